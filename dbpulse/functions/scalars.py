@@ -27,8 +27,7 @@ def kv_extract(text: Column, marker: str, delimiter: str = " ") -> Column:
 
 def kv_extract_long(text: Column, marker: str, delimiter: str = " ") -> Column:
     """C1 with the value parsed as an id (bad text -> NULL, never an error)."""
-    return F.try_cast(kv_extract(text, marker, delimiter), "bigint") \
-        if hasattr(F, "try_cast") else kv_extract(text, marker, delimiter).try_cast("bigint")
+    return kv_extract(text, marker, delimiter).try_cast("bigint")
 
 
 def first_word(text: Column) -> Column:
@@ -108,8 +107,7 @@ def wait_suffix(wait_type: Column, resource: Column, database_name: Column | Non
     db, middle, page = _page_latch_parts(resource)
     dbname = F.coalesce(database_name, F.lit("(null)")) if database_name is not None else db
     page_latch = F.concat(F.lit(":"), dbname, F.lit(":"), middle, F.lit("("),
-                          page_type(F.try_cast(page, "int") if hasattr(F, "try_cast")
-                                    else page.try_cast("int")), F.lit(")"))
+                          page_type(page.try_cast("int")), F.lit(")"))
     node_pos = F.locate("nodeId", resource)
     cx = F.concat(F.lit(":"), F.substr(resource, node_pos + 7, F.lit(4)))
     latch = F.concat(F.lit(" ["), first_word(resource), F.lit("]"))
@@ -217,8 +215,7 @@ def agent_step_id(program_name: Column) -> Column:
     """The step number of an agent step's program name."""
     raw = F.regexp_extract(program_name, ": Step ([0-9]+)\\)", 1)
     return F.when(program_name.startswith(AGENT_PREFIX),
-                  F.try_cast(F.nullif(raw, F.lit("")), "int") if hasattr(F, "try_cast")
-                  else F.nullif(raw, F.lit("")).try_cast("int"))
+                  F.nullif(raw, F.lit("")).try_cast("int"))
 
 
 def hex_to_guid(hex32: Column) -> Column:
