@@ -237,8 +237,7 @@ def handle_hex(handle: Column) -> Column:
 
 def elapsed_ms(start: Column, as_of: Column) -> Column:
     """C20: milliseconds from ``start`` to ``as_of`` (kept as a long)."""
-    return F.timestampdiff("MILLISECOND", start, as_of) if hasattr(F, "timestampdiff") \
-        else F.expr("timestampdiff(MILLISECOND, start, as_of)")
+    return F.timestamp_diff("MILLISECOND", start, as_of)
 
 
 def round_to_second(t: Column) -> Column:
