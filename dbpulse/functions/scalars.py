@@ -148,9 +148,14 @@ def wait_text(n: Column, min_ms: Column, avg_ms: Column, max_ms: Column, wait_ty
 
 
 def elapsed_text(ms: Column, day_width: Column | int = 2) -> Column:
-    """``dd hh:mm:ss.mss``; days zero-padded to ``day_width`` (>= 2)."""
-    days = idiv(ms, F.lit(86400000))
-    rem = ms % 86400000
+    """``dd hh:mm:ss.mss``; days zero-padded to ``day_width`` (>= 2).
+
+    Milliseconds stay a long, so there is no 576-hour switch to seconds; a
+    negative span (start after the collection time) gets a leading ``-``.
+    """
+    a = F.abs(ms)
+    days = idiv(a, F.lit(86400000))
+    rem = a % 86400000
     hh = idiv(rem, F.lit(3600000))
     mi = idiv(rem % 3600000, F.lit(60000))
     ss = idiv(rem % 60000, F.lit(1000))
@@ -158,13 +163,14 @@ def elapsed_text(ms: Column, day_width: Column | int = 2) -> Column:
     width = day_width if isinstance(day_width, Column) else F.lit(day_width)
     width = F.greatest(width, F.lit(2))
     pad2 = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat(F.lpad(days.cast("string"), width, "0"), F.lit(" "), pad2(hh), F.lit(":"),
+    text = F.concat(F.lpad(days.cast("string"), width, "0"), F.lit(" "), pad2(hh), F.lit(":"),
                     pad2(mi), F.lit(":"), pad2(ss), F.lit("."), F.lpad(mss.cast("string"), 3, "0"))
+    return F.when(ms < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def day_width(ms: Column) -> Column:
     """Digits of the day part, at least 2 (use with a window for the max)."""
-    return F.greatest(F.length(idiv(ms, F.lit(86400000)).cast("string")), F.lit(2))
+    return F.greatest(F.length(idiv(F.abs(ms), F.lit(86400000)).cast("string")), F.lit(2))
 
 
 def count_text(n: Column) -> Column:
