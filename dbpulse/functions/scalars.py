@@ -161,7 +161,8 @@ def elapsed_text(ms: Column, day_width: Column | int = 2) -> Column:
     ss = idiv(rem % 60000, F.lit(1000))
     mss = rem % 1000
     width = day_width if isinstance(day_width, Column) else F.lit(day_width)
-    width = F.greatest(width, F.lit(2))
+    # Never cut digits: a value wider than the requested width keeps them all.
+    width = F.greatest(width, F.lit(2), F.length(days.cast("string")))
     pad2 = lambda c: F.lpad(c.cast("string"), 2, "0")
     text = F.concat(F.lpad(days.cast("string"), width, "0"), F.lit(" "), pad2(hh), F.lit(":"),
                     pad2(mi), F.lit(":"), pad2(ss), F.lit("."), F.lpad(mss.cast("string"), 3, "0"))
