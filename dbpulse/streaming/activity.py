@@ -28,7 +28,14 @@ def minute_activity_stream(events: DataFrame, time_col: str = "ts", by: Sequence
     """T7 (stream): the same counts with a watermark, so each minute is
     emitted once (append mode) when it can no longer change and its state
     is dropped — state stays bounded by the watermark delay."""
-    return minute_activity(events.withWatermark(time_col, watermark), time_col, by, width)
+    ntz = isinstance(events.schema[time_col].dataType, T.TimestampNTZType)
+    if ntz:  # watermarks need TIMESTAMP; the wall-clock value round-trips
+        events = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    out = minute_activity(events.withWatermark(time_col, watermark), time_col, by, width)
+    if ntz:
+        out = (out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+               .withColumn("window_end", F.col("window_end").cast("timestamp_ntz")))
+    return out
 
 
 # ------------------------------------------------------------------- T2
