@@ -77,23 +77,35 @@ def blocker_closure(all_rows: DataFrame, seeds: DataFrame, keys: Sequence[str] =
     adding every row of any blocker that is not yet present, until a round
     finds nothing new (a blocker absent from ``all_rows`` just ends its
     chain). Adds ``closure_round``: 0 for seeds, k for rows found in round k.
+
+    The walk runs on a narrow, checkpointed (keys, session, blocker) table;
+    the full rows of the sessions found are joined back once at the end.
     """
     keys = list(keys)
     sk = [*keys, "session_id"]
     b = F.col(blocker_col)
-    added = [cut_lineage(seeds.withColumn("closure_round", F.lit(0)))]
-    present = [added[0].select(*sk).distinct()]
+    edges = cut_lineage(all_rows.select(*sk, b.alias("_blocker")).distinct())
+    known = edges.select(*sk).distinct()
+    seed_rows = seeds.withColumn("closure_round", F.lit(0))
+    present = [cut_lineage(seeds.select(*sk).distinct())]
+    wanted_from = seeds.select(*keys, b.alias("_blocker"))
+    found = []
     for rnd in range(1, max_rounds + 1):
         have = reduce(DataFrame.unionByName, present)
-        wanted = (added[-1].filter(b.isNotNull() & (b != 0))
-                  .select(*keys, b.alias("session_id")).distinct()
-                  .join(have, on=sk, how="left_anti"))
-        new_rows = cut_lineage(all_rows.join(wanted, on=sk, how="left_semi")
-                               .withColumn("closure_round", F.lit(rnd)))
-        if new_rows.isEmpty():
+        new = cut_lineage(
+            wanted_from.filter(F.col("_blocker").isNotNull() & (F.col("_blocker") != 0))
+            .select(*keys, F.col("_blocker").alias("session_id")).distinct()
+            .join(have, on=sk, how="left_anti")
+            .join(known, on=sk, how="left_semi")
+            .withColumn("closure_round", F.lit(rnd)))
+        if new.isEmpty():
             break
-        added.append(new_rows)
-        present.append(new_rows.select(*sk).distinct())
+        found.append(new)
+        present.append(new.select(*sk))
+        wanted_from = new.join(edges, on=sk).select(*keys, "_blocker")
     else:
         raise RuntimeError("blocking chain longer than max_rounds")
-    return reduce(lambda a, c: a.unionByName(c), added)
+    if not found:
+        return seed_rows
+    added = all_rows.join(reduce(DataFrame.unionByName, found), on=sk, how="inner")
+    return seed_rows.unionByName(added.select(*seed_rows.columns))

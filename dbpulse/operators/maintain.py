@@ -17,41 +17,63 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 _TIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
+def _distinct_key(f: T.StructField):
+    """A string that is equal exactly when the values are equal (``-0.0``
+    and ``0.0`` compare equal, so they share a key)."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+    return c.cast("string")
+
+
 def column_profile(df: DataFrame, table_name: str, exact_distinct: bool = False) -> DataFrame:
     """M1: one row per column — rows, NULLs, distinct values, min and max.
 
-    All columns are profiled in a single aggregation (one pass, partial
-    aggregation before the shuffle). Exact distinct counts expand the input
-    once per column; ``approx_count_distinct`` (HyperLogLog++) keeps the
-    pass linear and is the default for large tables.
+    Pass 1 computes rows, NULLs, min and max of every column in one
+    aggregation. Distinct counts: exact mode unpivots (column, value) pairs
+    and counts distinct pairs per column — a single shuffle of values
+    already de-duplicated map-side, instead of one input expansion per
+    column; approximate mode uses HyperLogLog++ in pass 1.
     """
-    aggs, names = [F.count(F.lit(1)).alias("_rows")], []
-    for i, f in enumerate(df.schema.fields):
+    fields = list(df.schema.fields)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        names.append((i, f))
-        aggs.append(F.sum(F.when(c.isNull(), 1).otherwise(0)).alias(f"n{i}"))
-        aggs.append((F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)).alias(f"d{i}"))
-        aggs.append(F.min(c).alias(f"lo{i}"))
-        aggs.append(F.max(c).alias(f"hi{i}"))
+        aggs += [F.sum(F.when(c.isNull(), 1).otherwise(0)).alias(f"n{i}"),
+                 F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        if not exact_distinct:
+            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
     one = df.agg(*aggs)
     rows = []
-    for i, f in names:
+    for i, f in enumerate(fields):
         num = isinstance(f.dataType, _NUMERIC)
         tim = isinstance(f.dataType, _TIME)
         txt = not (num or tim)
         rows.append(F.struct(
             F.lit(f.name).alias("column_name"),
             F.col(f"n{i}").cast("bigint").alias("null_count"),
-            F.col(f"d{i}").cast("bigint").alias("distinct_count"),
+            (F.col(f"d{i}").cast("bigint") if not exact_distinct else F.lit(None).cast("bigint"))
+            .alias("distinct_count"),
             (F.col(f"lo{i}").cast("double") if num else F.lit(None).cast("double")).alias("min_num"),
             (F.col(f"hi{i}").cast("double") if num else F.lit(None).cast("double")).alias("max_num"),
             (F.col(f"lo{i}").cast("timestamp_ntz") if tim else F.lit(None).cast("timestamp_ntz")).alias("min_time"),
             (F.col(f"hi{i}").cast("timestamp_ntz") if tim else F.lit(None).cast("timestamp_ntz")).alias("max_time"),
             (F.col(f"lo{i}").cast("string") if txt else F.lit(None).cast("string")).alias("min_text"),
             (F.col(f"hi{i}").cast("string") if txt else F.lit(None).cast("string")).alias("max_text")))
-    return (one.select(F.lit(table_name).alias("table_name"), F.col("_rows").alias("row_count"),
+    prof = (one.select(F.lit(table_name).alias("table_name"), F.col("_rows").alias("row_count"),
                        F.explode(F.array(*rows)).alias("p"))
             .select("table_name", "row_count", "p.*"))
+    if not exact_distinct:
+        return prof
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), _distinct_key(f).alias("v")) for f in fields]))
+        .alias("kv")).select("kv.column_name", "kv.v").filter(F.col("v").isNotNull())
+    distinct = (pairs.distinct().groupBy("column_name")
+                .agg(F.count(F.lit(1)).alias("_d")))
+    return (prof.join(distinct, on="column_name", how="left")
+            .withColumn("distinct_count", F.coalesce(F.col("_d"), F.lit(0)).cast("bigint"))
+            .select("table_name", "row_count", "column_name", "null_count", "distinct_count",
+                    "min_num", "max_num", "min_time", "max_time", "min_text", "max_text"))
 
 
 def integrity_counts(checks: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:

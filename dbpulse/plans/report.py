@@ -17,6 +17,7 @@ from dbpulse.functions import scalars as S
 from dbpulse.operators import (blocking, delta, filters, jobs, locks, sessions, statements, tasks,
                                tempspace, trans)
 from dbpulse.plans.options import ReportOptions
+from dbpulse.session import cut_lineage
 from dbpulse.sources.history import result_schema_ddl
 
 
@@ -176,7 +177,7 @@ def format_elapsed(df: DataFrame, keys: list[str], elapsed_col: str = "elapsed_m
 
 
 def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
-                    as_of: Column | None = None) -> DataFrame:
+                    as_of: Column | None = None, materialize: bool = True) -> DataFrame:
     """The activity report as one lazy plan.
 
     ``sources`` names snapshot DataFrames: ``processes`` (required),
@@ -185,7 +186,9 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
     ``database_transactions``, ``session_transactions``, ``locks`` and the
     catalog tables, ``sql_text``, ``query_stats``, ``jobs``, ``job_steps``.
     Missing sources leave their columns NULL. ``options.keys`` that are not
-    present in ``processes`` are ignored (single-snapshot input).
+    present in ``processes`` are ignored (single-snapshot input). With
+    ``materialize`` the per-request rows are checkpointed once (an eager
+    step); otherwise the whole report stays one lazy plan.
     """
     o = options
     procs = sources["processes"]
@@ -201,6 +204,11 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         show_sleeping=o.show_sleeping_spids, forced=forced, keys=keys)
     top = sessions.top_wait_per_request(kept, keys)
     top = sessions.with_wait_info(top)
+    if materialize:
+        # One row per request, read by every later branch (overlay, tasks,
+        # temp space, transactions, locks, block leaders): write it once to
+        # the reliable checkpoint folder instead of recomputing it per branch.
+        top = cut_lineage(top)
     rows = top
     if "sessions" in sources and "requests" in sources:
         ov_as_of = (F.col("p.collection_time").cast("timestamp_ntz") if "collection_time" in keys
