@@ -269,6 +269,47 @@ def temp_pages(alloc_user: Column, alloc_internal: Column, dealloc_user: Column,
     return allocs, allocs - (dealloc_user + dealloc_internal)
 
 
+# ----------------------------------------------------------------------- C14
+
+
+def like_to_java_regex(pattern: str, escape: str | None = None) -> str:
+    """SQL LIKE (``%``, ``_``, ``[set]``, ``[^set]``, optional escape char) as
+    an anchored, case-insensitive Java regex."""
+    import re
+    out, i = ["(?is)^"], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if escape and ch == escape and i + 1 < len(pattern):
+            out.append(re.escape(pattern[i + 1]))
+            i += 2
+            continue
+        if ch == "%":
+            out.append(".*")
+        elif ch == "_":
+            out.append(".")
+        elif ch == "[" and "]" in pattern[i + 1:]:
+            j = pattern.index("]", i + 1)
+            body = pattern[i + 1:j]
+            neg = body.startswith("^")
+            body = body[1:] if neg else body
+            body = body.replace("\\", "\\\\")
+            out.append(("[^" if neg else "[") + body + "]")
+            i = j
+        else:
+            out.append(re.escape(ch))
+        i += 1
+    out.append("$")
+    return "".join(out)
+
+
+def like(col: Column, pattern: str, escape: str | None = "\\") -> Column:
+    """C14: case-insensitive LIKE. Plain ``%``/``_`` patterns use ``ilike``;
+    patterns with a ``[set]`` use an equivalent regex."""
+    if "[" in pattern:
+        return col.rlike(like_to_java_regex(pattern, escape))
+    return col.ilike(pattern)
+
+
 # ----------------------------------------------------------------- P10/P11
 
 # Isolation level codes and their labels.

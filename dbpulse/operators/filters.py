@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dbpulse.functions.scalars import like
+
 FILTER_COLUMNS = {"session": "session_id", "program": "program_name",
                   "database": "database_name", "login": "login_name", "host": "host_name"}
 
@@ -21,7 +23,7 @@ def include_predicate(kind: str, pattern):
     col = F.col(FILTER_COLUMNS[kind])
     if kind == "session":
         return F.lit(True) if _session_all(pattern) else (col == F.lit(int(pattern)))
-    return F.lit(True) if pattern in (None, "") else col.ilike(pattern)
+    return F.lit(True) if pattern in (None, "") else like(col, pattern)
 
 
 def exclude_predicate(kind: str, pattern):
@@ -32,7 +34,7 @@ def exclude_predicate(kind: str, pattern):
         return F.lit(True) if _session_all(pattern) else F.coalesce(col != F.lit(int(pattern)), F.lit(True))
     if pattern in (None, ""):
         return F.lit(True)
-    return F.coalesce(~col.ilike(pattern), F.lit(True))
+    return F.coalesce(~like(col, pattern), F.lit(True))
 
 
 def session_filter(df: DataFrame, *, include: tuple[str, object] | None = None,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dbpulse.functions import scalars as S
+from dbpulse.session import cut_lineage
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -152,3 +153,54 @@ def text_lines(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blk = Window.partitionBy(id_col, "block_no")
     return (kept.withColumn("line_in_block", F.row_number().over(blk.orderBy("line_no")))
             .withColumn("header", F.max(F.when(F.col("line_in_block") == 1, F.col("line"))).over(blk)))
+
+
+def compact_partitions(spark: SparkSession, path: str, partition_cols: Sequence[str],
+                       target_file_bytes: int = 128 * 1024 * 1024, low: float = 5,
+                       high: float = 30) -> DataFrame:
+    """M2 rewrite in two bands: partitions whose small-file share is below
+    ``low`` are left alone; the others are rewritten into
+    ``ceil(bytes / target)`` files each (``band`` reports "light" up to
+    ``high`` and "full" above it). Rows are spread over the files by a
+    deterministic hash, so a retried task writes the same files, and put
+    back through a staged dynamic partition overwrite. Returns the stats.
+    """
+    from dbpulse.sources.history import _fs
+    stats = file_fragmentation(spark, path, partition_cols, target_file_bytes)
+    band = (F.when(F.col("small_file_pct") < low, "none")
+            .when(F.col("small_file_pct") <= high, "light").otherwise("full"))
+    # Stats are written once before any file moves: a lazy frame would list
+    # files that the swap below replaces.
+    stats = cut_lineage(stats.withColumn("band", band).withColumn(
+        "target_files", F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(target_file_bytes)))))
+    todo = stats.filter(F.col("band") != "none").select(*partition_cols, "target_files")
+    data = spark.read.parquet(path)
+    chosen = data.join(todo, on=list(partition_cols), how="inner")
+    bucket = F.pmod(F.hash(*[F.col(c) for c in data.columns]), F.col("target_files"))
+    staging = f"{path.rstrip('/')}/_compact_staging"
+    (chosen.repartition(*[F.col(c) for c in partition_cols], bucket).drop("target_files")
+        .write.mode("overwrite").partitionBy(*partition_cols).parquet(staging))
+    # Swap each rewritten partition folder into place (file-system metadata
+    # only; the rows were written once, by the job above).
+    fs, root, jvm = _fs(spark, staging)
+    root = fs.makeQualified(root)
+    Path = jvm.org.apache.hadoop.fs.Path
+
+    def leaves(p, depth):
+        if depth == 0:
+            return [p]
+        out = []
+        for st in fs.listStatus(p):
+            if st.isDirectory() and "=" in st.getPath().getName():
+                out += leaves(st.getPath(), depth - 1)
+        return out
+
+    for leaf in leaves(root, len(partition_cols)):
+        rel = leaf.toString()[len(root.toString()):].lstrip("/")
+        target = Path(f"{path.rstrip('/')}/{rel}")
+        fs.delete(target, True)
+        fs.mkdirs(target.getParent())
+        fs.rename(leaf, target)
+    fs.delete(root, True)
+    spark.catalog.refreshByPath(path)
+    return stats

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dbpulse.functions import scalars as S
@@ -48,3 +48,35 @@ def with_statement_text(requests: DataFrame, sql_text: DataFrame, keys: Sequence
             .withColumn("statement_start_offset", F.when(text.isNotNull() & whole, F.lit(0)).otherwise(start))
             .withColumn("statement_end_offset", F.when(text.isNotNull() & whole, F.lit(-1)).otherwise(end))
             .drop("_batch_text"))
+
+
+def with_outer_command(rows: DataFrame, input_buffer: DataFrame, requests: DataFrame,
+                       sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A9 + S15 + J20: the outer command (the client's batch text) of each
+    session, shown on the session's latest-starting row.
+
+    The buffer is valid only when that row's request still exists with the
+    same start time (and the start is the session's last request start),
+    or, for a request-less row, the session's last request start is
+    unchanged. Existence checks are left joins on the request and session
+    keys with a flag, not correlated lookups.
+    """
+    keys = list(keys)
+    per_session = Window.partitionBy(*keys, "session_id")
+    r = rows.withColumn("_latest", F.max("start_time").over(per_session))
+    req = (requests.select(*keys, "session_id", "request_id", F.col("start_time").alias("_rq_start"))
+           .distinct().withColumn("_rq", F.lit(True)))
+    ses = (sessions.select(*keys, "session_id",
+                           F.col("last_request_start_time").alias("_s_last")).distinct())
+    j = (r.join(ses, on=[*keys, "session_id"], how="left")
+          .join(req, on=[*keys, "session_id", "request_id"], how="left"))
+    start = F.col("start_time")
+    valid = ((start == F.col("_latest"))
+             & (((start == F.col("_s_last")) & F.coalesce(F.col("_rq") & (F.col("_rq_start") == start),
+                                                           F.lit(False)))
+                | ((F.col("request_id") == 0) & F.col("_s_last").isNotNull()
+                   & F.col("_s_last").eqNullSafe(F.col("last_request_start_time")))))
+    buf = input_buffer.select(*keys, "session_id", F.col("event_info").alias("_event_info"))
+    return (j.join(buf, on=[*keys, "session_id"], how="left")
+            .withColumn("sql_command", F.when(valid, S.scrub_control(F.col("_event_info"))))
+            .drop("_latest", "_rq_start", "_rq", "_s_last", "_event_info"))

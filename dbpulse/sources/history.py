@@ -186,6 +186,7 @@ def purge_partitions(spark: SparkSession, path: str, as_of: dt.datetime, days: i
             continue
         if day < bound.date():
             fs.delete(st.getPath(), True)
+            spark.catalog.refreshByPath(path)
         elif day == bound.date():
             boundary_present = True
     if not boundary_present:
@@ -203,3 +204,4 @@ def purge_partitions(spark: SparkSession, path: str, as_of: dt.datetime, days: i
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(partition_col).parquet(path))
     fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+    spark.catalog.refreshByPath(path)
