@@ -178,5 +178,6 @@ def overlay_requests(procs: DataFrame, sessions: DataFrame, requests: DataFrame,
         chain.insert(0, sys_start.cast("timestamp_ntz"))
     out.append(F.coalesce(*chain).alias("start_time"))
     out.append(F.col("p.login_time").cast("timestamp_ntz").alias("login_time"))
+    out.append(F.col("s.last_request_start_time").cast("timestamp_ntz").alias("last_request_start_time"))
     out.append(F.col("r.session_id").isNotNull().alias("has_request"))
     return joined.select(*out)

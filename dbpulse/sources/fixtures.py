@@ -121,6 +121,10 @@ SELECT p_partkey AS allocation_unit_id, p_partkey % 3 + 1 AS type, CASE WHEN p_p
 SELECT p_partkey AS object_id, p_size % 3 AS index_id, p_brand AS name FROM {part}""",
     "fx_catalog_principals": """
 SELECT s_suppkey AS principal_id, s_name AS name FROM {supplier}""",
+    # Own addition (not in FIXTURES.md): the outer command buffer per
+    # session (S15), with a control character for the scrub.
+    "fx_input_buffer": """
+SELECT c_custkey AS session_id, CONCAT('EXEC dbo.usp_', c_mktsegment, ' @customer = ', CAST(c_custkey AS VARCHAR(20)), CHR(1)) AS event_info FROM {customer}""",
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
