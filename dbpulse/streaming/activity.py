@@ -42,36 +42,38 @@ def minute_activity_stream(events: DataFrame, time_col: str = "ts", by: Sequence
 def _delta_fn(entity_cols: list[str], time_col: str, metrics: list[str], signed: set[str],
               guard_col: str | None):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(time_col, kind="stable")
-        if state.exists:
-            last = state.get
-            prev_t, prev_guard, prev_vals = last[0], last[1], list(last[2:])
-        else:
-            prev_t, prev_guard, prev_vals = None, None, [None] * len(metrics)
-        out = []
-        for row in pdf.itertuples(index=False):
-            r = row._asdict()
-            t = r[time_col]
-            if prev_t is not None and t <= prev_t:
-                continue  # late or repeated snapshot: no delta, state unchanged
-            ok = (prev_t is not None and r["prev_collection_time"] is not None
-                  and pd.Timestamp(prev_t) == pd.Timestamp(r["prev_collection_time"])
-                  and (guard_col is None or r[guard_col] == prev_guard))
-            rec = {c: r[c] for c in entity_cols}
-            rec[time_col] = t
-            for m, pv in zip(metrics, prev_vals):
-                d = None
-                if ok and r[m] is not None and pv is not None and not pd.isna(r[m]) and not pd.isna(pv):
-                    d = int(r[m]) - int(pv)
-                    if d < 0 and m not in signed:
-                        d = None
-                rec[f"{m}_delta"] = d
-            out.append(rec)
-            prev_t, prev_guard = t, (r[guard_col] if guard_col else None)
-            prev_vals = [None if pd.isna(r[m]) else int(r[m]) for m in metrics]
-        state.update((prev_t, prev_guard, *prev_vals))
-        if out:
-            yield pd.DataFrame(out)
+        pdf = (pd.concat(list(batches), ignore_index=True)
+               .sort_values(time_col, kind="stable")
+               .drop_duplicates(time_col, keep="last"))
+        last = state.get if state.exists else None
+        if last is not None:
+            # late or repeated snapshots get no delta and leave the state alone
+            pdf = pdf[pdf[time_col] > pd.Timestamp(last[0])]
+        if pdf.empty:
+            return
+        pdf = pdf.reset_index(drop=True)
+        vals = {m: pdf[m].astype("Int64") for m in metrics}
+        prev_t = pdf[time_col].shift(1)
+        prev_vals = {m: v.shift(1) for m, v in vals.items()}
+        prev_guard = pdf[guard_col].shift(1) if guard_col else None
+        if last is not None:
+            prev_t.iloc[0] = pd.Timestamp(last[0])
+            if guard_col:
+                prev_guard.iloc[0] = last[1]
+            for i, m in enumerate(metrics):
+                prev_vals[m].iloc[0] = last[2 + i]
+        ok = prev_t.notna() & (prev_t == pd.to_datetime(pdf["prev_collection_time"]))
+        if guard_col:
+            ok &= (pdf[guard_col] == prev_guard).fillna(False)
+        out = pdf[entity_cols + [time_col]].copy()
+        for m in metrics:
+            d = vals[m] - prev_vals[m]
+            keep = ok & d.notna() & ((d >= 0) | (m in signed))
+            out[f"{m}_delta"] = d.where(keep.astype(bool), pd.NA).astype("Int64")
+        tail = pdf.iloc[-1]
+        state.update((tail[time_col], tail[guard_col] if guard_col else None,
+                      *[None if pd.isna(vals[m].iloc[-1]) else int(vals[m].iloc[-1]) for m in metrics]))
+        yield out
     return fn
 
 

@@ -62,8 +62,10 @@ def test_stream_equals_batch(spark, scratch):
     df = with_previous_snapshot_time(spark.createDataFrame(ROWS, SCHEMA))
     src = os.path.join(scratch, "snaps")
     for i, t in enumerate([T0, T1, T2]):
-        df.filter(F.col("collection_time") == F.lit(t)).write.parquet(os.path.join(src, f"part{i}"))
-    stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "*"))
+        df.filter(F.col("collection_time") == F.lit(t)).coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+    # one snapshot file per micro-batch, so deltas must come from carried state
+    stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+              .parquet(os.path.join(src, "*")))
     out = snapshot_delta_stream(stream, ["instance_id", "session_id", "request_id"],
                                 ["reads", "tempdb_current"])
     q = (out.writeStream.format("memory").queryName("delta_stream_test").outputMode("append")
