@@ -17,7 +17,8 @@ def spark():
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC")
-               .config("spark.sql.adaptive.enabled", "true"))
+               .config("spark.sql.adaptive.enabled", "true")
+               .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="dbpulse-test-wh-")))
     s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     # Tests own their scratch space: set a checkpoint folder only when the

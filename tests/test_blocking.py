@@ -43,3 +43,16 @@ def test_closure_adds_blockers_until_done(spark):
     seeds = rows.filter(F.col("session_id").isin(3, 4))
     got = {r.session_id: r.closure_round for r in blocker_closure(rows, seeds).collect()}
     assert got == {3: 0, 4: 0, 2: 1, 1: 2}
+
+
+def test_multi_instance_isolation(spark):
+    rows = [(i, s, 0, b) for i in ("a", "b") for s, b in [(1, 0), (2, 1), (3, 2), (4, 1)]]
+    rows += [("b", 5, 0, 4)]
+    df = spark.createDataFrame(rows, "instance_id string, session_id bigint, request_id bigint, blocked bigint")
+    both = {(r.instance_id, r.session_id): r.blocked_session_count
+            for r in block_leaders(df, keys=["instance_id"]).collect()}
+    for inst in ("a", "b"):
+        one = {r.session_id: r.blocked_session_count
+               for r in block_leaders(df.filter(F.col("instance_id") == inst).drop("instance_id")).collect()}
+        assert one == {s: c for (i, s), c in both.items() if i == inst}
+    assert both[("a", 1)] == 3 and both[("b", 1)] == 4

@@ -79,3 +79,12 @@ def test_collect_batches_idempotent(spark, scratch):
     q.stop()
     got = spark.read.parquet(out)
     assert got.agg(F.sum("n")).first()[0] == 200
+
+
+def test_append_to_table_by_name(spark):
+    a = spark.createDataFrame([(1, "x")], "session_id bigint, status string")
+    history.append_to_table(a, "[activity_hist]")
+    b = spark.createDataFrame([("y", 2)], "status string, session_id bigint")
+    history.append_to_table(b, "activity_hist")
+    got = sorted((r.session_id, r.status) for r in spark.table("activity_hist").collect())
+    assert got == [(1, "x"), (2, "y")]
