@@ -105,11 +105,17 @@ def null_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def orphan_keys(child: DataFrame, child_key: Sequence[str], parent: DataFrame,
                 parent_key: Sequence[str]) -> DataFrame:
-    """Child rows whose non-NULL foreign key has no parent (a left-anti join;
-    the parent side is reduced to distinct keys before the shuffle)."""
+    """Child rows whose non-NULL foreign key has no parent.
+
+    Child rows are first counted per key (partial aggregation map-side), so
+    a hot key that holds a third of all rows crosses the shuffle as one
+    row; the per-key counts are then anti-joined with the parent's
+    distinct keys and summed.
+    """
     p = parent.select(*[F.col(pk).alias(ck) for pk, ck in zip(parent_key, child_key)]).distinct()
-    c = child.select(*child_key).dropna()
-    return c.join(p, on=list(child_key), how="left_anti").agg(F.count(F.lit(1)).alias("violations"))
+    per_key = child.select(*child_key).dropna().groupBy(*child_key).agg(F.count(F.lit(1)).alias("_n"))
+    return (per_key.join(p, on=list(child_key), how="left_anti")
+            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")))
 
 
 def file_fragmentation(spark: SparkSession, path: str, partition_cols: Sequence[str],

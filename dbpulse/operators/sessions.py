@@ -11,6 +11,25 @@ from pyspark.sql import functions as F
 from dbpulse.functions import scalars as S
 
 
+def with_broker_labels(processes: DataFrame, broker_tasks: DataFrame,
+                       keys: Sequence[str] = ()) -> DataFrame:
+    """S16 + U2: sessions running an activated queue task show
+    ``Service Broker database_id: D queue_id: Q`` as their program name.
+    (The reference joins processes with a union of blockers, a wildcard
+    row and broker tasks — J15; here every process row is kept and the
+    broker rows are a left join on the session. The reference's label
+    carries a line break and its source indentation between the two parts;
+    a single space is used here.)"""
+    keys = list(keys)
+    b = (broker_tasks.groupBy(*keys, "session_id")
+         .agg(F.max(F.concat(F.lit("Service Broker database_id: "),
+                             F.col("database_id").cast("string"), F.lit(" queue_id: "),
+                             F.col("queue_id").cast("string"))).alias("_broker")))
+    return (processes.join(b, on=[*keys, "session_id"], how="left")
+            .withColumn("program_name", F.coalesce(F.col("_broker"), F.col("program_name")))
+            .drop("_broker"))
+
+
 def collapse_processes(processes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A1 + W4 + P16/P17: collapse thread rows (one per ``ecid``).
 

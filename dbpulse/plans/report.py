@@ -196,6 +196,8 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
     as_of = as_of if as_of is not None else (
         F.col("collection_time").cast("timestamp_ntz") if "collection_time" in procs.columns
         else F.current_timestamp().cast("timestamp_ntz"))
+    if "broker_tasks" in sources:
+        procs = sessions.with_broker_labels(procs, sources["broker_tasks"], keys)
     collapsed = sessions.collapse_processes(procs, keys)
     forced = filters.blockers_of(collapsed, keys) if (o.get_task_info > 0 or o.find_block_leaders) else None
     kept = filters.session_filter(
@@ -275,6 +277,7 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
             .withColumn("elapsed_ms", S.elapsed_ms(F.col("start_time"), as_of))
             .withColumn("request_id", F.when(F.col("status") == "sleeping", F.lit(None).cast("bigint"))
                         .otherwise(F.col("request_id")))
+            .withColumn("login_time", F.col("login_time").cast("timestamp_ntz"))
             .withColumn("collection_time", as_of))
     if o.format_output in (1, 2):
         rows = format_elapsed(rows, keys)

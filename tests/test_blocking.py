@@ -56,3 +56,11 @@ def test_multi_instance_isolation(spark):
                for r in block_leaders(df.filter(F.col("instance_id") == inst).drop("instance_id")).collect()}
         assert one == {s: c for (i, s), c in both.items() if i == inst}
     assert both[("a", 1)] == 3 and both[("b", 1)] == 4
+
+
+def test_broker_labels(spark):
+    from dbpulse.operators.sessions import with_broker_labels
+    procs = spark.createDataFrame([(1, "App"), (2, "App")], "session_id bigint, program_name string")
+    broker = spark.createDataFrame([(2, 5, 77)], "session_id bigint, database_id bigint, queue_id bigint")
+    got = {r.session_id: r.program_name for r in with_broker_labels(procs, broker).collect()}
+    assert got == {1: "App", 2: "Service Broker database_id: 5 queue_id: 77"}
