@@ -114,3 +114,16 @@ def load_sources(spark: SparkSession, root: str, names=None) -> dict[str, DataFr
         if "://" in root or os.path.exists(p):
             out[n] = load_source(spark, n, p)
     return out
+
+
+def _make_loader(name: str):
+    def loader(spark: SparkSession, path: str) -> DataFrame:
+        return load_source(spark, name, path)
+    loader.__name__ = f"load_{name}"
+    loader.__doc__ = f"Read the ``{name}`` snapshot source with its fixed schema."
+    return loader
+
+
+for _n in SCHEMAS:
+    globals()[f"load_{_n}"] = _make_loader(_n)
+del _n
