@@ -25,29 +25,6 @@ ACTIVITY_RETENTION_DAYS = 30
 JOB_HISTORY_RETENTION_DAYS = 60
 
 
-def _merge_append(spark: SparkSession, rows: DataFrame, path: str, key_col: str = "collection_time") -> None:
-    """Idempotent append: rows of the dates being written are merged with
-    what those dates already hold, minus rows of the same collection times,
-    then the dates are overwritten dynamically from a staged copy."""
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # no history yet
-        existing = None
-    merged = rows
-    if existing is not None:
-        dates = rows.select("collection_date").distinct()
-        times = rows.select(key_col).distinct()
-        keep = (existing.join(dates, on="collection_date", how="left_semi")
-                .join(times, on=key_col, how="left_anti"))
-        merged = keep.unionByName(rows.select(*existing.columns))
-    staging = f"{path.rstrip('/')}/_staging_{abs(hash(str(dt.datetime.now())))}"
-    merged.write.mode("overwrite").parquet(staging)
-    history.append_partitioned(spark.read.parquet(staging), path)
-    fs, _, jvm = history._fs(spark, staging)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
-    spark.catalog.refreshByPath(path)
-
-
 def wait_rollup_job(spark: SparkSession, wait_stats: DataFrame, history_path: str,
                     as_of: dt.datetime, keys=("instance_id",),
                     retention_days: int = WAIT_RETENTION_DAYS) -> DataFrame:
@@ -56,7 +33,7 @@ def wait_rollup_job(spark: SparkSession, wait_stats: DataFrame, history_path: st
     pareto = wait_pareto(wait_stats, keys=list(keys))
     rows = history.wait_history_rows(pareto, F.lit(as_of).cast("timestamp_ntz"))
     rows = history._conform(rows, history.WAIT_HISTORY_SCHEMA)
-    _merge_append(spark, rows, history_path)
+    history.append_collection(spark, rows, history_path)
     history.purge_partitions(spark, history_path, as_of, retention_days)
     return spark.read.parquet(history_path)
 
@@ -76,6 +53,6 @@ def activity_collection_job(spark: SparkSession, sources: Mapping[str, DataFrame
     if "instance_id" not in rep.columns:
         rep = rep.withColumn("instance_id", F.lit(None).cast("string"))
     rows = history._conform(rep, history.ACTIVITY_HISTORY_SCHEMA)
-    _merge_append(spark, rows, history_path)
+    history.append_collection(spark, rows, history_path)
     history.purge_partitions(spark, history_path, as_of, retention_days)
     return spark.read.parquet(history_path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,24 +89,40 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def append_partitioned(df: DataFrame, path: str, schema: T.StructType | None = None,
-                       partition_col: str = "collection_date") -> None:
-    """Idempotent append. Rows are written by name into date
-    partitions with dynamic partition overwrite, so re-running a failed
-    batch replaces its own partitions instead of duplicating rows. Callers
-    that append several batches into one date partition should pass one
-    collection per call or use ``append_rows``."""
+def overwrite_date_partitions(df: DataFrame, path: str, schema: T.StructType | None = None,
+                              partition_col: str = "collection_date") -> None:
+    """Replace exactly the date partitions present in ``df`` (dynamic
+    partition overwrite), writing columns by name. Other dates are kept.
+    Use ``append_collection`` to add rows to a date that already has some."""
     out = _conform(df, schema) if schema is not None else df
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_col).parquet(path))
 
 
-def append_rows(df: DataFrame, path: str, schema: T.StructType | None = None,
-                partition_col: str = "collection_date") -> None:
-    """Plain append by name (the reference's INSERT without a column list,
-    made positional-safe)."""
-    out = _conform(df, schema) if schema is not None else df
-    out.write.mode("append").partitionBy(partition_col).parquet(path)
+def append_collection(spark: SparkSession, rows: DataFrame, path: str,
+                      time_col: str = "collection_time", partition_col: str = "collection_date") -> None:
+    """Idempotent append of one or more collections.
+
+    The dates being written are rebuilt from what they already hold minus
+    the rows of the same collection times, plus the new rows, and replaced
+    through a staged dynamic partition overwrite. Re-running a collection
+    (a retried job or micro-batch) therefore replaces its rows instead of
+    duplicating them, and other collections of the same day are kept.
+    """
+    fs, root, jvm = _fs(spark, path)
+    merged = rows
+    if fs.exists(root):
+        existing = spark.read.parquet(path)
+        dates = rows.select(partition_col).distinct()
+        times = rows.select(time_col).distinct()
+        keep = (existing.join(dates, on=partition_col, how="left_semi")
+                .join(times, on=time_col, how="left_anti"))
+        merged = keep.unionByName(rows.select(*existing.columns))
+    staging = f"{path.rstrip('/')}/_staging_{uuid.uuid4().hex}"
+    merged.write.mode("overwrite").parquet(staging)
+    overwrite_date_partitions(spark.read.parquet(staging), path, partition_col=partition_col)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+    spark.catalog.refreshByPath(path)
 
 
 _PART = r'(?:\[[^\]]+\]|"[^"]+"|[A-Za-z_#@][\w@$#]*)'
@@ -195,13 +212,12 @@ def purge_partitions(spark: SparkSession, path: str, as_of: dt.datetime, days: i
     part = (spark.read.parquet(path)
             .filter(F.col(partition_col) == F.lit(bound.date()))
             .filter((F.col(time_col) >= bound_c) | F.col(time_col).isNull()))
-    staging = f"{path.rstrip('/')}/_staging_{int(dt.datetime.now().timestamp() * 1000)}"
+    staging = f"{path.rstrip('/')}/_staging_{uuid.uuid4().hex}"
     part.write.mode("overwrite").parquet(staging)
     staged = spark.read.parquet(staging)
     if staged.isEmpty():
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{prefix}{bound.date()}"), True)
     else:
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition_col).parquet(path))
+        overwrite_date_partitions(staged, path, partition_col=partition_col)
     fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
     spark.catalog.refreshByPath(path)

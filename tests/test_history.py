@@ -39,7 +39,7 @@ def test_purge_partitions(spark, scratch):
     rows = [(dt.datetime(2024, 1, d, h), d) for d in (1, 2, 3) for h in (0, 12)]
     df = (spark.createDataFrame(rows, "collection_time timestamp_ntz, v int")
           .withColumn("collection_date", F.to_date("collection_time")))
-    history.append_partitioned(df, path)
+    history.overwrite_date_partitions(df, path)
     history.purge_partitions(spark, path, dt.datetime(2024, 1, 4, 6), days=2)
     left = sorted(r.collection_time for r in spark.read.parquet(path).collect())
     assert left == [dt.datetime(2024, 1, 2, 12), dt.datetime(2024, 1, 3, 0), dt.datetime(2024, 1, 3, 12)]
@@ -88,3 +88,17 @@ def test_append_to_table_by_name(spark):
     history.append_to_table(b, "activity_hist")
     got = sorted((r.session_id, r.status) for r in spark.table("activity_hist").collect())
     assert got == [(1, "x"), (2, "y")]
+
+
+def test_append_collection_keeps_same_day_and_is_idempotent(spark, scratch):
+    path = os.path.join(scratch, "h")
+
+    def coll(t, n):
+        return (spark.createDataFrame([(t, i) for i in range(n)], "collection_time timestamp_ntz, v int")
+                .withColumn("collection_date", F.to_date("collection_time")))
+    a, b = dt.datetime(2024, 1, 1, 10), dt.datetime(2024, 1, 1, 11)
+    history.append_collection(spark, coll(a, 3), path)
+    history.append_collection(spark, coll(b, 2), path)
+    history.append_collection(spark, coll(b, 2), path)   # replayed
+    got = spark.read.parquet(path).groupBy("collection_time").count().collect()
+    assert sorted((r[0], r[1]) for r in got) == [(a, 3), (b, 2)]
