@@ -210,3 +210,14 @@ def compact_partitions(spark: SparkSession, path: str, partition_cols: Sequence[
     fs.delete(root, True)
     spark.catalog.refreshByPath(path)
     return stats
+
+
+def block_pivot(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per block with its header and first detail line side by
+    side (conditional ``MIN(CASE ...)`` per group) and its line count."""
+    first = F.col("line_in_block") == 1
+    second = F.col("line_in_block") == 2
+    return (lines.groupBy(id_col, "block_no")
+            .agg(F.min(F.when(first, F.col("line"))).alias("header"),
+                 F.min(F.when(second, F.col("line"))).alias("first_detail"),
+                 F.count(F.lit(1)).alias("lines")))

@@ -80,3 +80,36 @@ def with_outer_command(rows: DataFrame, input_buffer: DataFrame, requests: DataF
     return (j.join(buf, on=[*keys, "session_id"], how="left")
             .withColumn("sql_command", F.when(valid, S.scrub_control(F.col("_event_info"))))
             .drop("_latest", "_rq_start", "_rq", "_s_last", "_event_info"))
+
+
+def with_query_plan(rows: DataFrame, plans: DataFrame, get_plans: int = 1,
+                    live_plans: DataFrame | None = None, requests: DataFrame | None = None,
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """The query plan of each request.
+
+    ``get_plans=1`` looks up the statement's plan by (handle, start, end);
+    ``get_plans=2`` the whole batch's plan by (handle, 0, -1). A live plan
+    (``live_plans``: keys, session_id, query_plan) is preferred when the
+    request still runs the same handle and statement offsets.
+    """
+    keys = list(keys)
+    if get_plans not in (1, 2):
+        raise ValueError("get_plans must be 1 or 2")
+    start = F.col("statement_start_offset") if get_plans == 1 else F.lit(0)
+    end = F.col("statement_end_offset") if get_plans == 1 else F.lit(-1)
+    r = rows.withColumn("_ps", start.cast("bigint")).withColumn("_pe", end.cast("bigint"))
+    cached = plans.select(*keys, "plan_handle", F.col("statement_start_offset").cast("bigint").alias("_ps"),
+                          F.col("statement_end_offset").cast("bigint").alias("_pe"),
+                          F.col("query_plan").alias("_cached_plan"))
+    out = r.join(cached, on=[*keys, "plan_handle", "_ps", "_pe"], how="left")
+    plan = F.col("_cached_plan")
+    if live_plans is not None and requests is not None:
+        still = (requests.select(*keys, "session_id", "request_id", "plan_handle",
+                                 "statement_start_offset", "statement_end_offset")
+                 .distinct().withColumn("_still", F.lit(True)))
+        live = live_plans.select(*keys, "session_id", F.col("query_plan").alias("_live_plan"))
+        out = (out.join(still, on=[*keys, "session_id", "request_id", "plan_handle",
+                                   "statement_start_offset", "statement_end_offset"], how="left")
+               .join(live, on=[*keys, "session_id"], how="left"))
+        plan = F.coalesce(F.when(F.col("_still"), F.col("_live_plan")), plan)
+    return out.withColumn("query_plan", plan).drop("_ps", "_pe", "_cached_plan", "_still", "_live_plan")

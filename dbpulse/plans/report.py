@@ -240,6 +240,9 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         rows = rows.join(tx, on=[*keys, "session_id", "request_id"], how="left")
     if "sql_text" in sources and "sql_handle" in rows.columns:
         rows = statements.with_statement_text(rows, sources["sql_text"], keys, o.get_full_inner_text)
+    if o.get_plans >= 1 and "query_plans" in sources and "plan_handle" in rows.columns:
+        rows = statements.with_query_plan(rows, sources["query_plans"], o.get_plans,
+                                          sources.get("live_plans"), sources.get("requests"), keys)
     if o.get_avg_time and "query_stats" in sources and "plan_handle" in rows.columns:
         rows = statements.with_avg_elapsed(rows, sources["query_stats"], keys)
     if o.find_block_leaders:

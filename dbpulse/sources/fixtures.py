@@ -125,6 +125,13 @@ SELECT s_suppkey AS principal_id, s_name AS name FROM {supplier}""",
     # session (S15), with a control character for the scrub.
     "fx_input_buffer": """
 SELECT c_custkey AS session_id, CONCAT('EXEC dbo.usp_', c_mktsegment, ' @customer = ', CAST(c_custkey AS VARCHAR(20)), CHR(1)) AS event_info FROM {customer}""",
+    # Own addition: cached plans (S14) for the statement handles of
+    # fx_statements, one whole-batch plan (0, -1) and one statement plan
+    # (0, 30) per handle.
+    "fx_query_plans": """
+SELECT s_suppkey AS plan_handle, 0 AS statement_start_offset, x.e AS statement_end_offset,
+ CONCAT('<ShowPlanXML supplier="', s_name, '" end="', CAST(x.e AS VARCHAR(20)), '"/>') AS query_plan
+FROM {supplier} CROSS JOIN (SELECT -1 AS e UNION ALL SELECT 30 AS e) x""",
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")

@@ -44,3 +44,22 @@ def test_activity_report_runs(spark):
     assert df.columns[0] == "dd hh:mm:ss.mss" and "blocked_session_count" in df.columns
     counts = [int(r.blocked_session_count.replace(",", "")) for r in rows if r.blocked_session_count]
     assert counts == sorted(counts, reverse=True)
+
+
+def test_live_plan_preferred_only_while_request_unchanged(spark):
+    from dbpulse.operators.statements import with_query_plan
+    rows = spark.createDataFrame([(1, 0, 7, 0, 30), (2, 0, 8, 0, 30)],
+                                 "session_id bigint, request_id bigint, plan_handle bigint, "
+                                 "statement_start_offset bigint, statement_end_offset bigint")
+    plans = spark.createDataFrame([(7, 0, 30, "cached7"), (8, 0, 30, "cached8"), (8, 0, -1, "batch8")],
+                                  "plan_handle bigint, statement_start_offset bigint, "
+                                  "statement_end_offset bigint, query_plan string")
+    live = spark.createDataFrame([(1, "live1"), (2, "live2")], "session_id bigint, query_plan string")
+    # session 2's request moved on to another statement: its live plan is stale
+    reqs = spark.createDataFrame([(1, 0, 7, 0, 30), (2, 0, 8, 60, 90)],
+                                 "session_id bigint, request_id bigint, plan_handle bigint, "
+                                 "statement_start_offset bigint, statement_end_offset bigint")
+    got = {r.session_id: r.query_plan for r in with_query_plan(rows, plans, 1, live, reqs).collect()}
+    assert got == {1: "live1", 2: "cached8"}
+    got2 = {r.session_id: r.query_plan for r in with_query_plan(rows, plans, 2).collect()}
+    assert got2 == {1: None, 2: "batch8"}
