@@ -199,12 +199,19 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
     if "broker_tasks" in sources:
         procs = sessions.with_broker_labels(procs, sources["broker_tasks"], keys)
     collapsed = sessions.collapse_processes(procs, keys)
-    forced = filters.blockers_of(collapsed, keys) if (o.get_task_info > 0 or o.find_block_leaders) else None
-    kept = filters.session_filter(
-        collapsed, include=(o.filter_type, o.filter), exclude=(o.not_filter_type, o.not_filter),
+    all_top = sessions.top_wait_per_request(collapsed, keys)
+    # P2-P6 on the per-request rows (the filtered attributes are the same on
+    # every thread row of a request, so filtering before or after W3 keeps
+    # the same rows), then G1/P8: the blockers of the kept sessions, and
+    # their blockers in turn, are added with all their rows, past the filters.
+    seeds = filters.session_filter(
+        all_top, include=(o.filter_type, o.filter), exclude=(o.not_filter_type, o.not_filter),
         own_session_id=o.own_session_id, show_own=o.show_own_spid, show_system=o.show_system_spids,
-        show_sleeping=o.show_sleeping_spids, forced=forced, keys=keys)
-    top = sessions.top_wait_per_request(kept, keys)
+        show_sleeping=o.show_sleeping_spids, keys=keys)
+    if o.get_task_info > 0 or o.find_block_leaders:
+        top = blocking.blocker_closure(all_top, seeds, keys).drop("closure_round")
+    else:
+        top = seeds
     top = sessions.with_wait_info(top)
     if materialize:
         # One row per request, read by every later branch (overlay, tasks,

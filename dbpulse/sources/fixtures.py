@@ -129,9 +129,11 @@ SELECT c_custkey AS session_id, CONCAT('EXEC dbo.usp_', c_mktsegment, ' @custome
     # fx_statements, one whole-batch plan (0, -1) and one statement plan
     # (0, 30) per handle.
     "fx_query_plans": """
-SELECT s_suppkey AS plan_handle, 0 AS statement_start_offset, x.e AS statement_end_offset,
- CONCAT('<ShowPlanXML supplier="', s_name, '" end="', CAST(x.e AS VARCHAR(20)), '"/>') AS query_plan
-FROM {supplier} CROSS JOIN (SELECT -1 AS e UNION ALL SELECT 30 AS e) x""",
+SELECT s_suppkey AS plan_handle, 0 AS statement_start_offset, -1 AS statement_end_offset,
+ CONCAT('<ShowPlanXML supplier="', s_name, '" end="-1"/>') AS query_plan FROM {supplier}
+UNION ALL
+SELECT s_suppkey AS plan_handle, 0 AS statement_start_offset, 30 AS statement_end_offset,
+ CONCAT('<ShowPlanXML supplier="', s_name, '" end="30"/>') AS query_plan FROM {supplier}""",
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")

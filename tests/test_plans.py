@@ -19,6 +19,7 @@ def plan(df):
 def test_no_cartesian_or_python(spark, name):
     p = plan(QUERIES[name](spark, SF_SMOKE))
     assert "CartesianProduct" not in p
+    # the only cross join is inside the prescribed fx_job_steps fixture
     assert "BroadcastNestedLoopJoin" not in p or name == "c10_j19_agent_jobs"
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
