@@ -88,3 +88,27 @@ def test_round_to_minute_and_div(spark):
     got = one(spark, [(5, 1000), (-5, 1000), (1, 32), (496, 100000)], "a bigint, b bigint",
               round_div(F.col("a"), F.col("b"), 2).cast("string"))
     assert got == ["0.01", "-0.01", "0.03", "0.00"]
+
+
+def test_labels_and_handles(spark):
+    df = spark.createDataFrame([(1, 0, "OBJECT", ""), (0, 5, "METADATA", "SCHEMA"), (None, 9, "KEY", None)],
+                               "flag int, iso int, t string, st string")
+    got = df.select(S.on_off(F.col("flag")).alias("f"), S.isolation_level_text(F.col("iso")).alias("i"),
+                    S.resource_type_text(F.col("t"), F.col("st")).alias("r")).collect()
+    assert [(r.f, r.i, r.r) for r in got] == [("ON", "Unspecified", "OBJECT"),
+                                             ("OFF", "Snapshot", "METADATA.SCHEMA"),
+                                             (None, None, "KEY")]
+    h = spark.createDataFrame([(bytearray(b"\x01\xab"),)], "h binary").select(S.handle_hex(F.col("h"))).first()[0]
+    assert h == "0x01ab"
+
+
+def test_block_info_record(spark):
+    rows = [("LCK_M_S", "objectlock lockPartition=0 objid=1977058079 subresource=FULL dbid=5 id=lock1", 52),
+            ("LCK_M_X", "pagelock fileid=1 pageid=9 dbid=7 associatedObjectId=720575 id=lock2", 52),
+            ("LCK_M_X", "keylock hobtid=720576 dbid=7 id=lock3", None),
+            ("PAGELATCH_EX", "7:1:9", 52)]
+    df = spark.createDataFrame(rows, "w string, r string, b bigint")
+    got = [r[0] for r in df.select(S.block_info(F.col("w"), F.col("r"), F.col("b"))).collect()]
+    assert got[0].lock_type == "objectlock" and got[0].object_id == "1977058079" and got[0].database_id == 5
+    assert got[1].hobt_id == "720575" and got[1].object_id is None
+    assert got[2] is None and got[3] is None

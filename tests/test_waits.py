@@ -36,3 +36,36 @@ def test_multi_instance_isolation(spark):
     b = [("b", f"W{i}", 10 + i * i, 0, 1) for i in range(30)]
     both = run(spark, a + b)
     assert both == run(spark, a) + run(spark, b)
+
+
+def test_pareto_properties_random_groups(spark):
+    """Per group: the result is a prefix of the ranking; the kept share
+    reaches 95 % or every type is kept; without its last row the share is
+    below 95 %."""
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for g in range(40):
+        n = rnd.randint(1, 25)
+        for i in range(n):
+            ms = rnd.choice([0, 1, 5, 10, 100, 1000, rnd.randint(1, 10 ** 6)])
+            rows.append((f"g{g}", f"W{i}", ms, ms // 3, rnd.randint(1, 50)))
+    df = spark.createDataFrame(rows, "instance_id string, wait_type string, wait_time_ms bigint, "
+                                     "signal_wait_time_ms bigint, waiting_tasks_count bigint")
+    kept = {}
+    for r in wait_pareto(df).collect():
+        kept.setdefault(r.instance_id, []).append((r.wait_rank, r.wait_type))
+    by_group = {}
+    for inst, wt, ms, _, _ in rows:
+        by_group.setdefault(inst, []).append((wt, ms))
+    for inst, types in by_group.items():
+        ranking = sorted(types, key=lambda t: (-t[1], t[0]))
+        total = sum(ms for _, ms in ranking)
+        got = [wt for _, wt in sorted(kept.get(inst, []))]
+        if total == 0:
+            assert got == []
+            continue
+        assert got == [wt for wt, _ in ranking[:len(got)]]          # prefix
+        share = sum(ms for _, ms in ranking[:len(got)])
+        assert 100 * share >= 95 * total or len(got) == len(ranking)
+        assert 100 * (share - ranking[len(got) - 1][1]) < 95 * total
