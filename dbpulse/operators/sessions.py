@@ -56,7 +56,8 @@ def collapse_processes(processes: DataFrame, keys: Sequence[str] = ()) -> DataFr
                      F.max(F.rtrim("cmd")).alias("cmd"),
                      F.max("stmt_start").alias("stmt_start"),
                      F.max("stmt_end").alias("stmt_end"),
-                     *([F.max("sql_handle").alias("sql_handle")] if has_handle else []),
+                     *([F.max(F.nullif(F.col("sql_handle"), F.lit(bytearray(b"\x00"))))
+                        .alias("sql_handle")] if has_handle else []),
                      F.max(F.rtrim("host_name")).alias("host_name"),
                      F.max(F.rtrim("login_name")).alias("login_name"),
                      F.max(F.rtrim("program_name")).alias("program_name"),

@@ -36,6 +36,9 @@ class ReportOptions:
     format_output: int = 1
     destination_table: str = ""
     return_schema: bool = False
+    # With a delta, keep only each instance's latest snapshot (the
+    # earlier ones only serve as the delta's base).
+    latest_snapshot_only: bool = False
     keys: tuple[str, ...] = field(default=("instance_id", "collection_time"))
 
     def __post_init__(self):

@@ -278,6 +278,9 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         ik = [k for k in keys if k != "collection_time"]
         rows = delta.snapshot_delta(rows, ik, time_col="collection_time",
                                     cpu=("CPU", "thread_cpu_snapshot"))
+        if o.latest_snapshot_only:
+            latest = rows.groupBy(*ik).agg(F.max("collection_time").alias("collection_time"))
+            rows = rows.join(latest, on=[*ik, "collection_time"], how="left_semi")
     if "databases" in sources:
         dbs = sources["databases"].select(*keys, "database_id", F.col("name").alias("database_name"))
         rows = rows.join(dbs, on=[*keys, "database_id"], how="left")

@@ -66,3 +66,11 @@ def test_named_loader(spark, scratch):
     keyed(p, "a", T1).write.parquet(f"{scratch}/processes")
     df = load_processes(spark, f"{scratch}/processes")
     assert df.count() == p.count() and "sql_handle" in df.columns
+
+
+def test_report_latest_snapshot_only(spark):
+    o = ReportOptions(get_task_info=1, format_output=0, delta_interval=5, latest_snapshot_only=True,
+                      output_column_list="[session_id][reads_delta][collection_time]")
+    df = report.activity_report(sources(spark, [("a", T1), ("a", T2), ("b", T1)]), o, materialize=False)
+    times = {(r.instance_id, r.collection_time) for r in df.select("instance_id", "collection_time").distinct().collect()}
+    assert times == {("a", T2), ("b", T1)}
