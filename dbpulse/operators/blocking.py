@@ -44,17 +44,24 @@ def block_leaders(sessions: DataFrame, keys: Sequence[str] = (), blocker_col: st
     """
     keys = list(keys)
     edges = cut_lineage(blocking_edges(sessions, keys, blocker_col))
+    # With at most one blocker per session the graph is functional: every
+    # (root, descendant) pair is reached by exactly one path and a walk can
+    # only come back to its own root, so the per-round de-duplication and
+    # the anti-join against earlier rounds can be skipped. One aggregation
+    # (partial, map-side) decides which case applies.
+    functional = (edges.groupBy(*keys, "child").agg(F.count(F.lit(1)).alias("_parents"))
+                  .filter(F.col("_parents") > 1).isEmpty())
     frontier = cut_lineage(edges.select(*keys, F.col("parent").alias("root"),
                                         F.col("child").alias("node"))
                            .filter(F.col("root") != F.col("node")))
     reached = [frontier]
     for _ in range(max_rounds):
-        seen = reduce(DataFrame.unionByName, reached)
         nxt = (frontier.join(edges.withColumnRenamed("parent", "node"), on=[*keys, "node"])
                .select(*keys, "root", F.col("child").alias("node"))
-               .filter(F.col("root") != F.col("node"))
-               .distinct()
-               .join(seen, on=[*keys, "root", "node"], how="left_anti"))
+               .filter(F.col("root") != F.col("node")))
+        if not functional:
+            seen = reduce(DataFrame.unionByName, reached)
+            nxt = nxt.distinct().join(seen, on=[*keys, "root", "node"], how="left_anti")
         nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break

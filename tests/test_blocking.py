@@ -64,3 +64,17 @@ def test_broker_labels(spark):
     broker = spark.createDataFrame([(2, 5, 77)], "session_id bigint, database_id bigint, queue_id bigint")
     got = {r.session_id: r.program_name for r in with_broker_labels(procs, broker).collect()}
     assert got == {1: "App", 2: "Service Broker database_id: 5 queue_id: 77"}
+
+
+def test_multi_parent_graph_counts_distinct(spark):
+    # session 3 has two requests blocked by different sessions (1 and 2);
+    # 2 is itself blocked by 1, so 1 reaches 3 along two paths
+    edges = [(1, 0, 0), (2, 0, 1), (3, 0, 1), (3, 1, 2), (4, 0, 3)]
+    got = counts(spark, edges)
+    assert got == {1: 3, 2: 2, 3: 1, 4: 0}
+
+
+def test_functional_cycle_with_tail(spark):
+    edges = [(7, 0, 8), (8, 0, 7), (9, 0, 8), (10, 0, 9)]
+    got = counts(spark, edges)
+    assert got == {7: 3, 8: 3, 9: 1, 10: 0}
