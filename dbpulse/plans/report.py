@@ -200,6 +200,9 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         procs = sessions.with_broker_labels(procs, sources["broker_tasks"], keys)
     collapsed = sessions.collapse_processes(procs, keys)
     all_top = sessions.top_wait_per_request(collapsed, keys)
+    if materialize and (o.get_task_info > 0 or o.find_block_leaders):
+        # read by the closure's edge table, its seeds and its final join
+        all_top = cut_lineage(all_top)
     # P2-P6 on the per-request rows (the filtered attributes are the same on
     # every thread row of a request, so filtering before or after W3 keeps
     # the same rows), then G1/P8: the blockers of the kept sessions, and
