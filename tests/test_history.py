@@ -25,7 +25,7 @@ def test_retention_keeps_nulls(spark):
 
 
 def test_table_name_check():
-    assert history.check_table_name("[db].[dbo].[WhoIsActive]") == "db.dbo.WhoIsActive"
+    assert history.check_table_name("[db].[dbo].[ActivityHistory]") == "db.dbo.ActivityHistory"
     for bad in ("", "a.b.c.d", "a..b"):
         try:
             history.check_table_name(bad)

@@ -31,8 +31,8 @@ def test_sort_spec():
 
 def test_result_schema(spark):
     df = spark.range(1).select(F.col("id").alias("session_id"), F.lit("x").alias("status"))
-    ddl = result_schema_ddl(df, "dbo.WhoIsActive")
-    assert ddl.startswith("CREATE TABLE dbo.WhoIsActive ( `session_id` BIGINT NOT NULL")
+    ddl = result_schema_ddl(df, "dbo.ActivityHistory")
+    assert ddl.startswith("CREATE TABLE dbo.ActivityHistory ( `session_id` BIGINT NOT NULL")
 
 
 def test_activity_report_runs(spark):
