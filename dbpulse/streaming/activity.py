@@ -151,3 +151,30 @@ def collect_batches(stream: DataFrame, build: Callable[[DataFrame], DataFrame],
     if trigger_seconds:
         w = w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()
+
+
+def collect_activity_stream(processes: DataFrame, other_sources: dict, path: str, checkpoint: str,
+                            options=None, retention_days: int | None = 30,
+                            trigger_seconds: int | None = 60, query_name: str | None = None):
+    """T3 + T5 for the activity report: process rows of new snapshots
+    arrive on ``processes`` (a stream keyed by instance and collection
+    time); every other source is a lake table joined on the same keys, so
+    each micro-batch reports exactly the snapshots it brought. Rows are
+    written by name in the history shape, with retention after each batch.
+    """
+    from dbpulse.plans.options import ReportOptions
+    from dbpulse.plans.report import activity_report
+    from dbpulse.functions import scalars as S
+
+    o = options or ReportOptions(get_transaction_info=True, get_outer_command=True, get_plans=1,
+                                 format_output=0, output_column_list="[%]", sort_order="")
+
+    def build(batch: DataFrame) -> DataFrame:
+        rep = activity_report({**other_sources, "processes": batch}, o, materialize=False)
+        return (rep.withColumn("elapsed_text",
+                               S.elapsed_text(S.elapsed_ms(F.col("start_time"), F.col("collection_time"))))
+                .withColumn("collection_date", F.to_date("collection_time")))
+
+    return collect_batches(processes, build, path, checkpoint, schema=history.ACTIVITY_HISTORY_SCHEMA,
+                           retention_days=retention_days, trigger_seconds=trigger_seconds,
+                           query_name=query_name)

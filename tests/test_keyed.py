@@ -74,3 +74,34 @@ def test_report_latest_snapshot_only(spark):
     df = report.activity_report(sources(spark, [("a", T1), ("a", T2), ("b", T1)]), o, materialize=False)
     times = {(r.instance_id, r.collection_time) for r in df.select("instance_id", "collection_time").distinct().collect()}
     assert times == {("a", T2), ("b", T1)}
+
+
+def test_activity_stream_equals_batch(spark, scratch):
+    import os
+    from dbpulse.sources import history
+    from dbpulse.streaming.activity import collect_activity_stream
+    snaps = [("a", T1), ("b", T1), ("a", T2)]
+    src = sources(spark, snaps)
+    procs = src.pop("processes")
+    pdir = os.path.join(scratch, "procs")
+    for n, (i, t) in enumerate(snaps):
+        (procs.filter((F.col("instance_id") == i) & (F.col("collection_time") == F.lit(t).cast("timestamp_ntz")))
+         .coalesce(1).write.parquet(os.path.join(pdir, f"s{n}")))
+    stream = (spark.readStream.schema(procs.schema).option("maxFilesPerTrigger", 1)
+              .parquet(os.path.join(pdir, "*")))
+    out = os.path.join(scratch, "hist")
+    o = ReportOptions(get_task_info=1, find_block_leaders=True, format_output=0,
+                      output_column_list="[%]", sort_order="")
+    q = collect_activity_stream(stream, src, out, os.path.join(scratch, "ckpt"), options=o,
+                                retention_days=None, trigger_seconds=None)
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(out).drop("_batch_id")
+    batch = report.activity_report({**src, "processes": procs}, o, materialize=False)
+    want = history._conform(batch.withColumn("elapsed_text", F.lit(None).cast("string"))
+                            .withColumn("collection_date", F.to_date("collection_time")),
+                            history.ACTIVITY_HISTORY_SCHEMA)
+    cols = [c for c in want.columns if c != "elapsed_text"]
+    g = sorted((tuple(r) for r in got.select(*cols).collect()), key=repr)
+    w = sorted((tuple(r) for r in want.select(*cols).collect()), key=repr)
+    assert len(g) == len(w) > 0 and g == w
