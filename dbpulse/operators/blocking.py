@@ -92,24 +92,25 @@ def blocker_closure(all_rows: DataFrame, seeds: DataFrame, keys: Sequence[str] =
     sk = [*keys, "session_id"]
     b = F.col(blocker_col)
     edges = cut_lineage(all_rows.select(*sk, b.alias("_blocker")).distinct())
-    known = edges.select(*sk).distinct()
     seed_rows = seeds.withColumn("closure_round", F.lit(0))
-    present = [cut_lineage(seeds.select(*sk).distinct())]
-    wanted_from = seeds.select(*keys, b.alias("_blocker"))
+    seed_edges = cut_lineage(seeds.select(*sk, b.alias("_blocker")).distinct())
+    present = [seed_edges.select(*sk).distinct()]
+    wanted_from = seed_edges.select(*keys, "_blocker")
     found = []
     for rnd in range(1, max_rounds + 1):
         have = reduce(DataFrame.unionByName, present)
-        new = cut_lineage(
-            wanted_from.filter(F.col("_blocker").isNotNull() & (F.col("_blocker") != 0))
-            .select(*keys, F.col("_blocker").alias("session_id")).distinct()
-            .join(have, on=sk, how="left_anti")
-            .join(known, on=sk, how="left_semi")
-            .withColumn("closure_round", F.lit(rnd)))
-        if new.isEmpty():
+        wanted = (wanted_from.filter(F.col("_blocker").isNotNull() & (F.col("_blocker") != 0))
+                  .select(*keys, F.col("_blocker").alias("session_id")).distinct()
+                  .join(have, on=sk, how="left_anti"))
+        # the semi-join keeps blockers present in the snapshot and yields
+        # their own blockers for the next round in the same step
+        new_edges = cut_lineage(edges.join(wanted, on=sk, how="left_semi"))
+        if new_edges.isEmpty():
             break
+        new = new_edges.select(*sk).distinct().withColumn("closure_round", F.lit(rnd))
         found.append(new)
         present.append(new.select(*sk))
-        wanted_from = new.join(edges, on=sk).select(*keys, "_blocker")
+        wanted_from = new_edges.select(*keys, "_blocker")
     else:
         raise RuntimeError("blocking chain longer than max_rounds")
     if not found:
