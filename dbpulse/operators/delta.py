@@ -22,6 +22,8 @@ def with_previous_snapshot_time(df: DataFrame, instance_keys: Sequence[str] = ("
     (instance, time), which AQE broadcasts when it is small enough.
     """
     ik = list(instance_keys)
+    if not ik:
+        raise ValueError("with_previous_snapshot_time needs the instance key(s)")
     snaps = df.select(*ik, time_col).distinct()
     w = Window.partitionBy(*ik).orderBy(time_col)
     snaps = snaps.withColumn("prev_collection_time", F.lag(time_col).over(w))
@@ -73,6 +75,8 @@ def counter_usage(df: DataFrame, counter_keys: Sequence[str], value_cols: Sequen
     same counter (e.g. wait time per wait type and server). A counter that
     fell was reset (server restart) and gives NULL; the first reading has no
     interval. Adds ``interval_ms`` and ``<value>_used``."""
+    if not counter_keys:
+        raise ValueError("counter_usage needs the counter's key columns")
     w = Window.partitionBy(*counter_keys).orderBy(time_col)
     prev_t = F.lag(time_col).over(w)
     out = df.withColumn("interval_ms", F.when(prev_t.isNotNull(),

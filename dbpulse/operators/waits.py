@@ -64,6 +64,9 @@ def wait_pareto(waits: DataFrame, keys: Sequence[str] = ("instance_id",),
     total is zero yields no rows.
     """
     keys = list(keys)
+    if not keys:
+        raise ValueError("wait_pareto needs at least one key (e.g. instance_id): "
+                         "a window without a partition key runs in one task")
     w = exclude_benign_waits(waits)
     grp = Window.partitionBy(*keys)
     ordered = grp.orderBy(F.col("wait_time_ms").desc(), F.col("wait_type").asc())

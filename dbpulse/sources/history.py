@@ -151,6 +151,8 @@ def append_to_table(df: DataFrame, name: str) -> None:
 def first_row_wins(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """K4: insert-ignore-duplicates: keep the first row per key under an
     explicit order (not an arbitrary ``dropDuplicates`` survivor)."""
+    if not key:
+        raise ValueError("first_row_wins needs a key")
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_k4", F.row_number().over(w)).filter(F.col("_k4") == 1).drop("_k4")
 

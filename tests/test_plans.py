@@ -36,3 +36,15 @@ def test_filter_and_columns_pushed_to_scan(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in p and "ts" in p
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in p
+
+
+def test_windows_refuse_empty_keys(spark):
+    from dbpulse.operators.delta import counter_usage, with_previous_snapshot_time
+    from dbpulse.operators.waits import wait_pareto
+    df = spark.createDataFrame([("a", "W", 1, 0, 1)], "instance_id string, wait_type string, "
+                               "wait_time_ms bigint, signal_wait_time_ms bigint, waiting_tasks_count bigint")
+    for call in (lambda: wait_pareto(df, keys=[]),
+                 lambda: with_previous_snapshot_time(df, []),
+                 lambda: counter_usage(df, [], ["wait_time_ms"])):
+        with pytest.raises(ValueError):
+            call()
