@@ -68,10 +68,12 @@ def wait_pareto(waits: DataFrame, keys: Sequence[str] = ("instance_id",),
         raise ValueError("wait_pareto needs at least one key (e.g. instance_id): "
                          "a window without a partition key runs in one task")
     w = exclude_benign_waits(waits)
-    grp = Window.partitionBy(*keys)
-    ordered = grp.orderBy(F.col("wait_time_ms").desc(), F.col("wait_type").asc())
+    ordered = Window.partitionBy(*keys).orderBy(F.col("wait_time_ms").desc(), F.col("wait_type").asc())
+    # the total uses the same partitioning and order with a whole-partition
+    # frame, so all three functions run in one Window operator over one sort
+    everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    w = (w.withColumn("_total_ms", F.sum("wait_time_ms").over(grp))
+    w = (w.withColumn("_total_ms", F.sum("wait_time_ms").over(everything))
           .withColumn("wait_rank", F.row_number().over(ordered))
           .withColumn("_before_ms", F.coalesce(F.sum("wait_time_ms").over(before), F.lit(0)))
           .filter((F.col("_total_ms") > 0)
