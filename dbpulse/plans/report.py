@@ -178,13 +178,15 @@ def format_elapsed(df: DataFrame, keys: list[str], elapsed_col: str = "elapsed_m
 
 def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
                     as_of: Column | None = None, materialize: bool = True) -> DataFrame:
-    """The activity report as one lazy plan.
+    """The activity report.
 
     ``sources`` names snapshot DataFrames: ``processes`` (required),
     ``sessions``, ``requests``, ``tasks``, ``waiting_tasks``, ``workers``,
     ``threads``, ``space_usage``, ``active_transactions``,
     ``database_transactions``, ``session_transactions``, ``locks`` and the
-    catalog tables, ``sql_text``, ``query_stats``, ``jobs``, ``job_steps``.
+    catalog tables, ``sql_text``, ``query_plans``, ``live_plans``,
+    ``query_stats``, ``input_buffer``, ``broker_tasks``, ``databases``,
+    ``jobs``, ``job_steps``.
     Missing sources leave their columns NULL. ``options.keys`` that are not
     present in ``processes`` are ignored (single-snapshot input). With
     ``materialize`` the per-request rows are checkpointed once (an eager
@@ -250,6 +252,10 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         rows = rows.join(tx, on=[*keys, "session_id", "request_id"], how="left")
     if "sql_text" in sources and "sql_handle" in rows.columns:
         rows = statements.with_statement_text(rows, sources["sql_text"], keys, o.get_full_inner_text)
+    if (o.get_outer_command and "input_buffer" in sources and "sessions" in sources
+            and "requests" in sources):
+        rows = statements.with_outer_command(rows, sources["input_buffer"], sources["requests"],
+                                             sources["sessions"], keys)
     if o.get_plans >= 1 and "query_plans" in sources and "plan_handle" in rows.columns:
         rows = statements.with_query_plan(rows, sources["query_plans"], o.get_plans,
                                           sources.get("live_plans"), sources.get("requests"), keys)
@@ -279,8 +285,9 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         rows = rows.join(info, on=[*keys, "session_id", "request_id"], how="left")
     if o.delta_interval > 0 and "collection_time" in keys:
         ik = [k for k in keys if k != "collection_time"]
+        guard = "last_request_start_time" if "last_request_start_time" in rows.columns else None
         rows = delta.snapshot_delta(rows, ik, time_col="collection_time",
-                                    cpu=("CPU", "thread_cpu_snapshot"))
+                                    cpu=("CPU", "thread_cpu_snapshot"), guard_col=guard)
         if o.latest_snapshot_only:
             latest = rows.groupBy(*ik).agg(F.max("collection_time").alias("collection_time"))
             rows = rows.join(latest, on=[*ik, "collection_time"], how="left_semi")

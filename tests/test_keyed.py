@@ -35,7 +35,8 @@ def sources(spark, snaps):
 
 def test_report_keyed_equals_union_of_single_snapshots(spark):
     o = ReportOptions(get_task_info=2, find_block_leaders=True, get_transaction_info=True,
-                      get_locks=True, format_output=0, output_column_list="[%]", sort_order="")
+                      get_locks=True, get_outer_command=True, format_output=0,
+                      output_column_list="[%]", sort_order="")
     snaps = [("a", T1), ("b", T1), ("a", T2)]
     together = report.activity_report(sources(spark, snaps), o, materialize=False)
     cols = [c for c in together.columns]
@@ -46,6 +47,7 @@ def test_report_keyed_equals_union_of_single_snapshots(spark):
         want += [tuple(r) for r in one.select(*cols).collect()]
     assert len(got) == len(want) > 0
     assert got == sorted(want, key=repr)
+    assert "sql_command" in cols and any(r.sql_command for r in together.select("sql_command").collect())
 
 
 def test_report_delta_over_two_snapshots(spark):
