@@ -40,9 +40,16 @@ def minute_activity_stream(events: DataFrame, time_col: str = "ts", by: Sequence
 
 # ------------------------------------------------------------------- T2
 def _delta_fn(entity_cols: list[str], time_col: str, metrics: list[str], signed: set[str],
-              guard_col: str | None):
+              guard_col: str | None, ttl_ms: int | None):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = (pd.concat(list(batches), ignore_index=True)
+        if state.hasTimedOut:
+            # the entity left: a later return could not be consecutive anyway
+            state.remove()
+            return
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = (pd.concat(parts, ignore_index=True)
                .sort_values(time_col, kind="stable")
                .drop_duplicates(time_col, keep="last"))
         last = state.get if state.exists else None
@@ -73,6 +80,8 @@ def _delta_fn(entity_cols: list[str], time_col: str, metrics: list[str], signed:
         tail = pdf.iloc[-1]
         state.update((tail[time_col], tail[guard_col] if guard_col else None,
                       *[None if pd.isna(vals[m].iloc[-1]) else int(vals[m].iloc[-1]) for m in metrics]))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield out
     return fn
 
@@ -80,7 +89,8 @@ def _delta_fn(entity_cols: list[str], time_col: str, metrics: list[str], signed:
 def snapshot_delta_stream(snapshots: DataFrame, entity: Sequence[str], metrics: Sequence[str],
                           time_col: str = "collection_time",
                           guard_col: str | None = "last_request_start_time",
-                          signed: Sequence[str] = ("tempdb_current",)) -> DataFrame:
+                          signed: Sequence[str] = ("tempdb_current",),
+                          state_ttl_ms: int | None = 10 * 60 * 1000) -> DataFrame:
     """T1 on a stream of snapshot rows.
 
     State is kept per entity key (instance, session, request): the last
@@ -88,7 +98,12 @@ def snapshot_delta_stream(snapshots: DataFrame, entity: Sequence[str], metrics:
     live request, so a hot instance spreads over its sessions. Each row
     must carry ``prev_collection_time`` (its instance's previous snapshot,
     written by the collector), which is how "present in both snapshots" is
-    checked without instance-wide state.
+    checked without instance-wide state. State of an entity that sends no
+    row for ``state_ttl_ms`` of processing time is dropped, so state stays
+    bounded by the live requests (a delta needs consecutive snapshots, so
+    nothing is lost by forgetting an entity that went away). Run it with a
+    processing-time trigger (the collector's 60 s): timeouts are checked by
+    no-data micro-batches, which an untriggered query runs back to back.
     """
     entity = list(entity)
     metrics = list(metrics)
@@ -104,8 +119,11 @@ def snapshot_delta_stream(snapshots: DataFrame, entity: Sequence[str], metrics:
     cols = [*entity, time_col, "prev_collection_time", *metrics] + ([guard_col] if guard_col else [])
     return (snapshots.select(*dict.fromkeys(cols))
             .groupBy(*entity)
-            .applyInPandasWithState(_delta_fn(entity, time_col, metrics, set(signed), guard_col),
-                                    out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(_delta_fn(entity, time_col, metrics, set(signed), guard_col,
+                                              state_ttl_ms),
+                                    out_schema, state_schema, "append",
+                                    GroupStateTimeout.ProcessingTimeTimeout if state_ttl_ms
+                                    else GroupStateTimeout.NoTimeout))
 
 
 # ------------------------------------------------------------- T3 + T5

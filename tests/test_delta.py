@@ -68,11 +68,47 @@ def test_stream_equals_batch(spark, scratch):
               .parquet(os.path.join(src, "*")))
     out = snapshot_delta_stream(stream, ["instance_id", "session_id", "request_id"],
                                 ["reads", "tempdb_current"])
-    q = (out.writeStream.format("memory").queryName("delta_stream_test").outputMode("append")
-         .option("checkpointLocation", os.path.join(scratch, "ckpt")).start())
-    q.processAllAvailable()
-    q.stop()
+    # A pending state timeout makes an untriggered query run no-data batches
+    # back to back, so processAllAvailable would never see it idle; the
+    # collector runs with a 60 s trigger instead.
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        q = (out.writeStream.format("memory").queryName("delta_stream_test").outputMode("append")
+             .option("checkpointLocation", os.path.join(scratch, "ckpt")).start())
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set(key, before)
     got = {(r.session_id, r.collection_time): (r.reads_delta, r.tempdb_current_delta)
            for r in spark.table("delta_stream_test").collect()}
     want = {k: (r.reads_delta, r.tempdb_current_delta) for k, r in batch(spark).items()}
     assert got == want
+
+
+def test_stream_state_expires(spark, scratch):
+    import time
+    df = with_previous_snapshot_time(spark.createDataFrame(ROWS, SCHEMA))
+    src = os.path.join(scratch, "snaps")
+    df.coalesce(1).write.parquet(os.path.join(src, "part0"))
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "*"))
+    out = snapshot_delta_stream(stream, ["instance_id", "session_id", "request_id"], ["reads"],
+                                state_ttl_ms=1000)
+    q = (out.writeStream.format("memory").queryName("delta_ttl_test").outputMode("append")
+         .trigger(processingTime="1 second")
+         .option("checkpointLocation", os.path.join(scratch, "ckpt")).start())
+    try:
+        seen_state, emptied = False, False
+        for _ in range(40):
+            time.sleep(1)
+            p = q.lastProgress
+            if p and p.get("stateOperators"):
+                n = p["stateOperators"][0]["numRowsTotal"]
+                seen_state = seen_state or n > 0
+                if seen_state and n == 0:
+                    emptied = True
+                    break
+        assert seen_state and emptied
+    finally:
+        q.stop()
