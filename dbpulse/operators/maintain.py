@@ -204,9 +204,14 @@ def compact_partitions(spark: SparkSession, path: str, partition_cols: Sequence[
     for leaf in leaves(root, len(partition_cols)):
         rel = leaf.toString()[len(root.toString()):].lstrip("/")
         target = Path(f"{path.rstrip('/')}/{rel}")
-        fs.delete(target, True)
+        # old folder aside (hidden name), new folder in, old folder removed:
+        # an interruption leaves either the old or the new data in place
+        aside = Path(target.getParent(), "_old_" + target.getName())
         fs.mkdirs(target.getParent())
+        if fs.exists(target):
+            fs.rename(target, aside)
         fs.rename(leaf, target)
+        fs.delete(aside, True)
     fs.delete(root, True)
     spark.catalog.refreshByPath(path)
     return stats
