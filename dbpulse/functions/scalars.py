@@ -248,13 +248,14 @@ def elapsed_ms(start: Column, as_of: Column) -> Column:
 
 
 def round_to_second(t: Column) -> Column:
-    """Nearest second."""
-    return F.date_trunc("second", t + F.expr("INTERVAL 500 MILLISECONDS"))
+    """Nearest second, as ``timestamp_ntz`` (``date_trunc`` itself
+    returns a zone-dependent TIMESTAMP; the cast keeps the wall clock)."""
+    return F.date_trunc("second", t + F.expr("INTERVAL 500 MILLISECONDS")).cast("timestamp_ntz")
 
 
 def round_to_minute(t: Column) -> Column:
-    """Nearest minute (the small-datetime cast)."""
-    return F.date_trunc("minute", t + F.expr("INTERVAL 30 SECONDS"))
+    """Nearest minute (the small-datetime cast), as ``timestamp_ntz``."""
+    return F.date_trunc("minute", t + F.expr("INTERVAL 30 SECONDS")).cast("timestamp_ntz")
 
 
 def days_before(as_of: Column, days: int) -> Column:

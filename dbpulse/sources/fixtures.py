@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dbpulse.sources.tables import load_table
 
@@ -143,11 +145,33 @@ def _tables_of(sql: str) -> list[str]:
     return sorted(set(_PLACEHOLDER.findall(sql)))
 
 
+FIXTURE_TIME_ZONE = "UTC"
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build fixture ``name`` as a lazy Spark plan over the lake's tables."""
+    """Build fixture ``name`` as a lazy Spark plan over the lake's tables.
+
+    The statements are defined with the session time zone at UTC (their
+    ``date_trunc`` and timestamp literals depend on it). They are analysed
+    under UTC and their TIMESTAMP columns are exposed as ``timestamp_ntz``
+    (UTC wall clock), so a fixture is the same whatever zone the calling
+    session uses; the caller's setting is restored afterwards.
+    """
     sql = FIXTURE_SQL[name]
     dfs = {t: load_table(spark, sf_dir, t) for t in _tables_of(sql)}
-    return spark.sql(sql, **dfs)
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, FIXTURE_TIME_ZONE)
+    try:
+        df = spark.sql(sql, **dfs)
+        cols = [F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name)
+                if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`")
+                for f in df.schema.fields]
+        out = df.select(*cols)
+        out.schema  # analyse now, under UTC
+    finally:
+        spark.conf.set(key, before)
+    return out
 
 
 def fixture_duckdb_sql(name: str) -> str:

@@ -61,3 +61,19 @@ def test_every_query_runs(spark):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["t1_snapshot_delta", "k1_wait_history", "j2_j3_p9_overlay",
+                                  "c7_c8_formatting"])
+def test_results_do_not_depend_on_session_zone(spark, duck, name):
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "Asia/Kolkata")
+    try:
+        df = QUERIES[name](spark, SF_SMOKE)
+        got = _canon(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        spark.conf.set(key, before)
+    cur = duck.execute(ORACLES[name])
+    want = _canon([d[0] for d in cur.description], cur.fetchall())
+    assert got == want
