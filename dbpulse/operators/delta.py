@@ -42,31 +42,40 @@ def snapshot_delta(df: DataFrame, instance_keys: Sequence[str] = ("instance_id",
     not change; a negative delta is NULL except for signed metrics. For
     CPU, the thread-level delta is used when it exceeds the request-level
     delta and is positive, else the request delta when it is not negative.
-    Generalises the reference's two-snapshot form to n snapshots; one
-    exchange on (instance, entity) serves every ``lag``.
+    Generalises the reference's two-snapshot form to n snapshots.
+
+    Each row is equi-joined with the same entity's row in its instance's
+    previous snapshot, on (instance, entity, time). The join key includes
+    the snapshot time, so an entity present in every snapshot of a long
+    history is not a hot key (a ``lag`` window over the entity would put
+    its whole history in one task); the small snapshot list supplies the
+    previous time.
     """
     ik, ek = list(instance_keys), list(entity)
     if "prev_collection_time" not in df.columns:
         df = with_previous_snapshot_time(df, ik, time_col)
-    w = Window.partitionBy(*ik, *ek).orderBy(time_col)
-    prev_t = F.lag(time_col).over(w)
-    valid = prev_t.isNotNull() & (prev_t == F.col("prev_collection_time"))
+    ms = [m for m in metrics if m in df.columns]
+    cpu_cols = [c for c in (cpu or ()) if c in df.columns] if cpu and cpu[0] in df.columns else []
+    carried = list(dict.fromkeys(ms + cpu_cols + ([guard_col] if guard_col else [])))
+    prev = df.select(*ik, *ek, F.col(time_col).alias("prev_collection_time"),
+                     F.lit(True).alias("_found"),
+                     *[F.col(c).alias(f"_prev_{c}") for c in carried])
+    j = df.join(prev, on=[*ik, *ek, "prev_collection_time"], how="left")
+    valid = F.coalesce(F.col("_found"), F.lit(False))
     if guard_col:
-        valid = valid & F.col(guard_col).eqNullSafe(F.lag(guard_col).over(w))
-    out = df.withColumn("_valid", valid)
-    for m in metrics:
-        if m not in df.columns:
-            continue
-        d = F.col(m) - F.lag(m).over(w)
+        valid = valid & F.col(guard_col).eqNullSafe(F.col(f"_prev_{guard_col}"))
+    out = j.withColumn("_valid", valid)
+    for m in ms:
+        d = F.col(m) - F.col(f"_prev_{m}")
         keep = F.col("_valid") if m in SIGNED_METRICS else (F.col("_valid") & (d >= 0))
         out = out.withColumn(f"{m}_delta", F.when(keep, d))
-    if cpu and cpu[0] in df.columns:
+    if cpu_cols:
         c, t = cpu
-        cd = F.col(c) - F.lag(c).over(w)
-        td = (F.col(t) - F.lag(t).over(w)) if t in df.columns else F.lit(None).cast("bigint")
+        cd = F.col(c) - F.col(f"_prev_{c}")
+        td = (F.col(t) - F.col(f"_prev_{t}")) if t in cpu_cols else F.lit(None).cast("bigint")
         out = out.withColumn(f"{c}_delta", F.when(
             F.col("_valid"), F.when((td > cd) & (td > 0), td).when(cd >= 0, cd)))
-    return out.drop("_valid")
+    return out.drop("_valid", "_found", *[f"_prev_{c}" for c in carried])
 
 
 def counter_usage(df: DataFrame, counter_keys: Sequence[str], value_cols: Sequence[str],
