@@ -100,23 +100,28 @@ def overwrite_date_partitions(df: DataFrame, path: str, schema: T.StructType | N
 
 
 def append_collection(spark: SparkSession, rows: DataFrame, path: str,
-                      time_col: str = "collection_time", partition_col: str = "collection_date") -> None:
+                      key_cols: Sequence[str] = ("instance_id", "collection_time"),
+                      partition_col: str = "collection_date") -> None:
     """Idempotent append of one or more collections.
 
-    The dates being written are rebuilt from what they already hold minus
-    the rows of the same collection times, plus the new rows, and replaced
-    through a staged dynamic partition overwrite. Re-running a collection
-    (a retried job or micro-batch) therefore replaces its rows instead of
-    duplicating them, and other collections of the same day are kept.
+    A collection is identified by ``key_cols`` (server and time). The dates
+    being written are rebuilt from what they already hold minus the rows of
+    the same collections, plus the new rows, and replaced through a staged
+    dynamic partition overwrite. Re-running a collection (a retried job or
+    micro-batch) therefore replaces its rows instead of duplicating them,
+    while other collections of the same day — other times, or other
+    servers at the same time — are kept.
     """
+    key_cols = [k for k in key_cols if k in rows.columns]
     fs, root, jvm = _fs(spark, path)
     merged = rows
     if fs.exists(root):
         existing = spark.read.parquet(path)
         dates = rows.select(partition_col).distinct()
-        times = rows.select(time_col).distinct()
+        done = rows.select(*[F.col(k).alias(f"_done_{k}") for k in key_cols]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in key_cols]  # NULL server = NULL server
         keep = (existing.join(dates, on=partition_col, how="left_semi")
-                .join(times, on=time_col, how="left_anti"))
+                .join(done, on=same, how="left_anti"))
         merged = keep.unionByName(rows.select(*existing.columns))
     staging = f"{path.rstrip('/')}/_staging_{uuid.uuid4().hex}"
     merged.write.mode("overwrite").parquet(staging)

@@ -146,13 +146,14 @@ def collect_batches(stream: DataFrame, build: Callable[[DataFrame], DataFrame],
             out = history._conform(out, schema)
         spark = batch.sparkSession
         out = out.withColumn("_batch_id", F.lit(batch_id).cast("bigint"))
-        try:
+        fs, root, _ = history._fs(spark, path)
+        if fs.exists(root):
             existing = spark.read.parquet(path)
             dates = out.select("collection_date").distinct()
             keep = (existing.join(dates, on="collection_date", how="left_semi")
                     .filter(F.col("_batch_id") != batch_id))
             merged = keep.unionByName(out)
-        except Exception:  # first batch: the history folder does not exist yet
+        else:  # first batch: no history yet
             merged = out
         staging = f"{path.rstrip('/')}/_staging_batch_{batch_id}"
         merged.write.mode("overwrite").parquet(staging)

@@ -102,3 +102,18 @@ def test_append_collection_keeps_same_day_and_is_idempotent(spark, scratch):
     history.append_collection(spark, coll(b, 2), path)   # replayed
     got = spark.read.parquet(path).groupBy("collection_time").count().collect()
     assert sorted((r[0], r[1]) for r in got) == [(a, 3), (b, 2)]
+
+
+def test_append_collection_keeps_other_servers_at_the_same_time(spark, scratch):
+    path = os.path.join(scratch, "h2")
+    t = dt.datetime(2024, 1, 1, 10)
+
+    def coll(inst, n):
+        return (spark.createDataFrame([(inst, t, i) for i in range(n)],
+                                      "instance_id string, collection_time timestamp_ntz, v int")
+                .withColumn("collection_date", F.to_date("collection_time")))
+    history.append_collection(spark, coll("a", 3), path)
+    history.append_collection(spark, coll("b", 2), path)
+    history.append_collection(spark, coll("a", 3), path)   # replayed
+    got = spark.read.parquet(path).groupBy("instance_id").count().collect()
+    assert sorted((r[0], r[1]) for r in got) == [("a", 3), ("b", 2)]

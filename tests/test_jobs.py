@@ -30,3 +30,12 @@ def test_activity_collection_job(spark, scratch):
     assert len(rows) > 0
     assert all(r.session_id is not None and r.status is not None for r in rows)
     assert rows[0].elapsed_text is not None
+
+
+def test_activity_collection_job_rerun_does_not_duplicate(spark, scratch):
+    path = os.path.join(scratch, "activity2")
+    src = report_sources(spark, SF_SMOKE)
+    t = dt.datetime(1998, 8, 3, 12, 0)
+    n1 = jobs.activity_collection_job(spark, src, path, t).count()
+    n2 = jobs.activity_collection_job(spark, src, path, t).count()
+    assert n1 == n2 > 0
