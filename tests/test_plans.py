@@ -48,3 +48,56 @@ def test_windows_refuse_empty_keys(spark):
                  lambda: counter_usage(df, [], ["wait_time_ms"])):
         with pytest.raises(ValueError):
             call()
+
+
+def _bracket_groups(text: str) -> list[str]:
+    groups, depth, start = [], 0, None
+    for i, ch in enumerate(text):
+        if ch == "[":
+            if depth == 0:
+                start = i + 1
+            depth += 1
+        elif ch == "]":
+            depth -= 1
+            if depth == 0:
+                groups.append(text[start:i])
+                if not text[i + 1:].startswith(", ["):
+                    break
+    return groups
+
+
+def unpartitioned_windows(plan_text: str) -> list[str]:
+    """Physical Window lines print ``[exprs], [partition], [order]`` and
+    leave out an empty partition list: a window whose second group is an
+    ordering (or that has no second group) runs in one task."""
+    bad = []
+    for ln in plan_text.split("\n"):
+        k = ln.find("Window [")
+        if k < 0:
+            continue
+        g = _bracket_groups(ln[k + len("Window "):])
+        ordered = len(g) == 2 and all(" ASC NULLS " in x or " DESC NULLS " in x
+                                      for x in g[1].split(", ") if x)
+        if len(g) == 1 or ordered:
+            bad.append(ln.strip()[:160])
+    return bad
+
+
+def test_detector_catches_unpartitioned_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    cases = {"order only": (Window.orderBy("id"), True), "none": (Window.partitionBy(), True),
+             "partition": (Window.partitionBy(F.col("id") % 2), False),
+             "partition and order": (Window.partitionBy(F.col("id") % 2).orderBy("id"), False)}
+    for label, (w, expect_bad) in cases.items():
+        df = spark.range(10).withColumn("r", F.max("id").over(w))
+        df.write.format("noop").mode("overwrite").save()
+        assert bool(unpartitioned_windows(plan(df))) == expect_bad, label
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_unpartitioned_window(spark, name):
+    df = QUERIES[name](spark, SF_SMOKE)
+    df.write.format("noop").mode("overwrite").save()   # final (AQE) plan
+    bad = unpartitioned_windows(plan(df))
+    assert not bad, bad
