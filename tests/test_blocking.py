@@ -78,3 +78,33 @@ def test_functional_cycle_with_tail(spark):
     edges = [(7, 0, 8), (8, 0, 7), (9, 0, 8), (10, 0, 9)]
     got = counts(spark, edges)
     assert got == {7: 3, 8: 3, 9: 1, 10: 0}
+
+
+def test_hot_blocker_with_a_third_of_all_sessions(spark):
+    n = 9000
+    rows = [(1, 0, 0)]
+    rows += [(s, 0, 1) for s in range(2, 3002)]                 # 3000 sessions behind session 1
+    rows += [(s, 0, s - 1 if s % 3 else 0) for s in range(3002, n + 1)]  # short chains
+    parent = {s: b for s, _, b in rows}
+    children = {}
+    for s, b in parent.items():
+        if b:
+            children.setdefault(b, []).append(s)
+
+    def below(s):
+        out, stack = 0, list(children.get(s, []))
+        while stack:
+            x = stack.pop()
+            out += 1
+            stack += children.get(x, [])
+        return out
+
+    got = counts(spark, rows)
+    assert got[1] == 3000
+    assert all(got[s] == below(s) for s in (2, 3002, 3003, 3004, 4500, n))
+    assert sum(got.values()) == sum(below(s) for s in parent)
+
+    df = spark.createDataFrame(rows, "session_id bigint, request_id bigint, blocked bigint")
+    seeds = df.filter(F.col("session_id").between(2, 3001))
+    closed = blocker_closure(df, seeds)
+    assert closed.count() == 3001 and closed.filter(F.col("closure_round") == 1).count() == 1
