@@ -100,7 +100,7 @@ def test_hot_blocker_with_a_third_of_all_sessions(spark):
         return out
 
     got = counts(spark, rows)
-    assert got[1] == 3000
+    assert got[1] == below(1) >= 3000
     assert all(got[s] == below(s) for s in (2, 3002, 3003, 3004, 4500, n))
     assert sum(got.values()) == sum(below(s) for s in parent)
 
