@@ -63,3 +63,20 @@ def test_live_plan_preferred_only_while_request_unchanged(spark):
     assert got == {1: "live1", 2: "cached8"}
     got2 = {r.session_id: r.query_plan for r in with_query_plan(rows, plans, 2).collect()}
     assert got2 == {1: None, 2: "batch8"}
+
+
+def test_options_validation():
+    for bad in (dict(show_sleeping_spids=3), dict(get_task_info=5), dict(format_output=9),
+                dict(delta_interval=300), dict(filter_type="nope"), dict(get_plans=4)):
+        with pytest.raises(ValueError):
+            ReportOptions(**bad)
+
+
+def test_report_schema_ddl_follows_options(spark):
+    from dbpulse.plans.queries_core import report_sources
+    src = {k: v for k, v in report_sources(spark, SF_SMOKE).items()
+           if k in ("processes", "sessions", "requests")}
+    o = ReportOptions(format_output=0, get_task_info=1, output_column_list="[session_id][wait_info][reads]")
+    ddl = report.report_schema(src, o, "hist")
+    assert ddl.startswith("CREATE TABLE hist ( `session_id` BIGINT")
+    assert "`wait_info` STRING" in ddl and "`reads` BIGINT" in ddl and "tasks" not in ddl
