@@ -28,6 +28,13 @@ def op3_bpe(spark, sf_dir):
     return encode_documents(load_table(spark, sf_dir, "documents"))
 
 
+@register("op5_source_mix")
+def op5_source_mix(spark, sf_dir):
+    from dbpulse.llm.mixing import mix_documents
+
+    return mix_documents(load_table(spark, sf_dir, "documents"))
+
+
 @register("op8_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
@@ -39,3 +46,17 @@ def op8_exact_dedup(spark, sf_dir):
     from dbpulse.llm.exact_dedup import exact_groups
 
     return exact_groups(load_table(spark, sf_dir, "documents"))
+
+
+@register("op9_quality")
+def op9_quality(spark, sf_dir):
+    from dbpulse.llm.quality_fm import judge_quality
+
+    return judge_quality(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+@register("op10_language")
+def op10_language(spark, sf_dir):
+    from dbpulse.llm.lang_id import identify
+
+    return identify(load_table(spark, sf_dir, "documents"))
