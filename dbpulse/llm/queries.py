@@ -35,6 +35,13 @@ def op5_source_mix(spark, sf_dir):
     return mix_documents(load_table(spark, sf_dir, "documents"))
 
 
+@register("op7_ngram_join")
+def op7_ngram_join(spark, sf_dir):
+    from dbpulse.llm.ngram_join import join_documents
+
+    return join_documents(load_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 @register("op8_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
