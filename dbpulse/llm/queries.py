@@ -28,6 +28,26 @@ def op3_bpe(spark, sf_dir):
     return encode_documents(load_table(spark, sf_dir, "documents"))
 
 
+@register("op4_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0 AND len(q.v) = len(c.v)),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op4_topk(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from dbpulse.llm.topk import top_k
+
+    return top_k(load_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
+
+
 @register("op5_source_mix")
 def op5_source_mix(spark, sf_dir):
     from dbpulse.llm.mixing import mix_documents
