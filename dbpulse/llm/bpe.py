@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from dbpulse.llm.common import pick
+from dbpulse.llm.textkit import slices
 
 CACHE_WORDS = 600_000      # words a worker keeps encoded; beyond, the table starts anew
 BATCH_CHARS = 6_000_000    # characters of text whose new words are encoded together
@@ -242,30 +243,16 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of at most BATCH_CHARS bytes of text (one row at least)."""
-    for batch in batches:
-        sizes = np.cumsum([0, *(x or 0 for x in pa.compute.binary_length(batch.column(1)).to_pylist())])
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH_CHARS, "right")) - 1)
-            part = batch.slice(at, end - at)
-            yield part, part.column(1).to_pylist()
-            at = end
-
-
 def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens and either digests of ids and
     decoded text (ids_sha256, decoded_sha256) or both whole (ids, decoded)."""
-    import pyarrow.compute  # noqa: F401
-
     path = path or word_bpe_path()
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
 
     def run(batches):
         enc = encoder(path)
-        for part, texts in _batches(batches):
-            counts, ids, decoded = zip(*enc.encode(texts))
+        for part in slices(batches, "text", BATCH_CHARS):
+            counts, ids, decoded = zip(*enc.encode(part.column(1).to_pylist()))
             if digests:
                 ids, decoded = ([hashlib.sha256(x.encode()).hexdigest() for x in col] for col in (ids, decoded))
             else:
