@@ -21,6 +21,20 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+@register("op1_url_filter")
+def op1_url_filter(spark, sf_dir):
+    from dbpulse.llm.url_filter import judge_urls
+
+    return judge_urls(load_table(spark, sf_dir, "pages"))
+
+
+@register("op2_pii")
+def op2_pii(spark, sf_dir):
+    from dbpulse.llm.pii_crf import find_pii
+
+    return find_pii(load_table(spark, sf_dir, "documents"))
+
+
 @register("op3_bpe")
 def op3_bpe(spark, sf_dir):
     from dbpulse.llm.bpe import encode_documents
@@ -55,6 +69,23 @@ def op5_source_mix(spark, sf_dir):
     return mix_documents(load_table(spark, sf_dir, "documents"))
 
 
+@register("op6_warc", """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT html, MIN(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY html)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON f.html = p.html
+""")
+def op6_warc(spark, sf_dir):
+    from dbpulse.llm.warc import archived_pages
+
+    return archived_pages(load_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op7_ngram_join")
 def op7_ngram_join(spark, sf_dir):
     from dbpulse.llm.ngram_join import join_documents
