@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from dbpulse.sources.tables import load_table
@@ -118,3 +119,8 @@ def op10_language(spark, sf_dir):
     from dbpulse.llm.lang_id import identify
 
     return identify(load_table(spark, sf_dir, "documents"))
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

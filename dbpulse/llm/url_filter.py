@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from dbpulse.llm.common import pick
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 15
 LENGTHS = (3, 4, 5)
 LABELLED = 10_000   # rows of the labelled table that are read at most
 CUTOFF = 0.5
@@ -81,19 +81,23 @@ def features(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(ngrams(host, "host"), ngrams(path, "path")))
 
 
-def fit(rows: list[tuple[int, list[int]]], steps: int = 300, rate: float = 2.0, l2: float = 1e-3) -> np.ndarray:
+def fit(rows: list[tuple[int, list[int]]], steps: int = 1500, rate: float = 4.0, l2: float = 1e-5) -> np.ndarray:
     """Weights of the features, the bias last, from (label, features) rows."""
     w = np.zeros(BUCKETS + 1)
     if not rows:
         return w
     y = np.array([r[0] for r in rows], float)
-    x = np.zeros((len(rows), BUCKETS + 1))
+    used = sorted({f for _, found in rows for f in found})
+    column = {f: i for i, f in enumerate(used)}
+    x = np.zeros((len(rows), len(used) + 1))
     for i, (_, found) in enumerate(rows):
-        x[i, found] = 1 / np.sqrt(max(len(found), 1))
+        x[i, [column[f] for f in found]] = 1 / np.sqrt(max(len(found), 1))
     x[:, -1] = 1
+    v = np.zeros(len(used) + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= rate * (x.T @ (p - y) / len(y) + l2 * np.append(w[:-1], 0))
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= rate * (x.T @ (p - y) / len(y) + l2 * np.append(v[:-1], 0))
+    w[[*used, BUCKETS]] = v
     return w
 
 
@@ -108,7 +112,7 @@ def fit_urls(labelled: DataFrame) -> np.ndarray:
 
 def unwanted_score(found: Column, weights: np.ndarray) -> Column:
     """Probability that a URL with these features is unwanted."""
-    table = F.split(F.lit(",".join(repr(round(float(w), 9)) for w in weights[:-1])), ",").cast("array<double>")
+    table = F.split(F.lit(",".join(f"{w:.9g}" for w in weights[:-1])), ",").cast("array<double>")
     total = F.aggregate(found, F.lit(0.0), lambda a, i: a + F.element_at(table, i + 1))
     z = total / F.sqrt(F.greatest(F.size(found), F.lit(1))) + float(weights[-1])
     return 1 / (1 + F.exp(-z))
