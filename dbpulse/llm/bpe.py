@@ -15,8 +15,9 @@ then contractions, runs of letters, single digits, and runs of anything else;
 white space goes. Words repeat, so each worker keeps a bounded table of words
 already encoded.
 
-Defined cases: a null text counts as empty and gives no ids; texts of any
-length are encoded whole; ids and the decoded text are returned, or digests.
+Defined cases: a null text counts as empty and gives no ids; code points that
+Python's Unicode tables do not know yet are split as the regex module's newer
+tables say; texts of any length are encoded whole; ids and the decoded text are returned, or digests.
 """
 
 from __future__ import annotations

@@ -35,8 +35,7 @@ from dbpulse.llm.textkit import slices
 BITS = 16            # hashed features for each n-gram length
 LENGTHS = (1, 2, 3)
 FIT_ROWS = 6000      # bound of the fitting sample
-FIT_CHARS = 4000     # a fitting row's features come from this many n-gram kinds at most
-REJECT_BELOW = 0.5   # the filter keeps a document from this score on
+REJECT_BELOW = 0.3   # the filter keeps a document from this score on
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +216,7 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def fit_language_model(docs: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None) -> DataFrame:
+def fit_language_model(docs: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None) -> LanguageModel:
     """Fit on the labelled rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds."""
     labelled = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = labelled.where(~held_out(F.col("doc_id")) if learn is None else learn)

@@ -38,10 +38,13 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 _UNWANTED = ("casino-win", "best-casino", "royal-casino", "casino-slots", "free-bets", "sport-bets", "bets-online",
              "poker-bets", "cheap-pills", "pills-online", "buy-pills", "diet-pills", "spam-farm", "link-spam",
              "spam-links", "mail-spam", "ads-track", "ads-serve", "click-track", "pop-ads", "adult-x", "adult-cams",
-             "x-adult", "adult-video", "win-prize", "free-prize", "payday-loans", "replica-bags", "warez-farm")
+             "x-adult", "adult-video", "win-prize", "free-prize", "payday-loans", "replica-bags", "warez-farm",
+             "casinowin", "freebets", "spamfarm", "cheappills", "adultcams", "adstrack", "slotscasino", "betspoker")
 _WANTED = ("library", "museum", "weather", "recipes", "garden", "history", "science", "travel", "theatre", "river",
            "ththen", "therin", "tionble", "thther", "ononth", "reandin", "esthing", "shwhere", "hereand", "therred",
-           "blog", "journal", "school", "council", "archive", "stories", "ththat", "tiontion", "therble", "morning")
+           "blog", "journal", "school", "council", "archive", "stories", "ththat", "tiontion", "therble", "morning",
+           "science-daily", "garden-club", "river-walks", "ththen-blog", "city-library", "history-notes", "the-theatre",
+           "school-news", "ththhe", "therre", "therst", "ththea")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
