@@ -175,8 +175,14 @@ def day_width(ms: Column) -> Column:
 
 
 def count_text(n: Column) -> Column:
-    """Thousands separators, no decimals, right-aligned in 19 chars."""
-    return F.lpad(F.format_number(n, 0), 19, " ")
+    """Thousands separators, no decimals, right-aligned in 19 chars (a
+    longer text is never cut)."""
+    return right_aligned(F.format_number(n, 0))
+
+
+def right_aligned(text: Column, width: int = 19) -> Column:
+    """``text`` with blanks before it up to ``width``; longer texts stay whole."""
+    return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0))), text)
 
 
 # ------------------------------------------------------------------ C9 / C17
@@ -303,12 +309,14 @@ def like_to_java_regex(pattern: str, escape: str | None = None) -> str:
     return "".join(out)
 
 
-def like(col: Column, pattern: str, escape: str | None = "\\") -> Column:
-    """C14: case-insensitive LIKE. Plain ``%``/``_`` patterns use ``ilike``;
-    patterns with a ``[set]`` use an equivalent regex."""
-    if "[" in pattern:
+def like(col: Column, pattern: str, escape: str | None = None) -> Column:
+    """C14: case-insensitive LIKE. There is no escape character unless one is
+    given: a backslash stands for itself (domain logins hold one), a literal
+    wildcard is written as a set, ``[_]``. Plain ``%``/``_`` patterns use
+    ``ilike``; patterns with a ``[set]`` or an escape use an equivalent regex."""
+    if "[" in pattern or escape is not None:
         return col.rlike(like_to_java_regex(pattern, escape))
-    return col.ilike(pattern)
+    return col.ilike(pattern.replace("\\", "\\\\"))
 
 
 # ----------------------------------------------------------------- P10/P11

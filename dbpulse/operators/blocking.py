@@ -1,24 +1,26 @@
 """Blocking graph operators: block leaders (G2, A8) and blocker closure
 (G1, U3).
 
-Both are iterative: each round is one join of the current frontier with the
-edge list on (keys, session), a ``distinct`` and an anti-join against what
-was already reached. Rounds equal the depth of the deepest blocking chain,
-not the number of sessions. Every round's frontier is written with
-``DataFrame.checkpoint`` into the session's shared checkpoint folder, so the
-plan never grows with the number of rounds and a lost executor re-reads the
-round instead of recomputing all earlier ones.
+Both are iterative. Where every session has at most one blocker, the counts
+below each session come from pointer doubling: one row per session in every
+round, and as many rounds as the logarithm of the deepest chain. Sessions
+with several blockers are walked level by level. Rounds are written to the
+session's shared checkpoint folder, so the plan never grows with their
+number and a lost executor re-reads a round instead of recomputing all
+earlier ones. No round number is capped: both loops end on every finite
+graph.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dbpulse.session import cut_lineage
+from dbpulse.session import cut_lineage, drop_table
 
 
 def blocking_edges(sessions: DataFrame, keys: Sequence[str] = (),
@@ -31,47 +33,99 @@ def blocking_edges(sessions: DataFrame, keys: Sequence[str] = (),
             .select(*keys, b.alias("parent"), F.col("session_id").alias("child")).distinct())
 
 
-def block_leaders(sessions: DataFrame, keys: Sequence[str] = (), blocker_col: str = "blocked",
-                  max_rounds: int = 10_000) -> DataFrame:
+def _doubled(tree: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, size) of a forest given as (keys, node, up): the nodes of
+    each subtree, the node itself included. ``up`` is NULL at a root.
+
+    After round k a row knows the ancestor 2^k levels up and how many nodes
+    lie fewer than 2^k levels below; the two halves of the next span are
+    added with one grouped sum and one join each.
+    """
+    now = cut_lineage(tree.withColumn("size", F.lit(1).cast("bigint")))
+    while not now.where("up is not null").isEmpty():
+        gained = (now.where("up is not null").groupBy(*keys, F.col("up").alias("node"))
+                  .agg(F.sum("size").alias("_more")))
+        upper = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("_next"))
+        after = cut_lineage(now.join(gained, on=[*keys, "node"], how="left").join(upper, on=[*keys, "up"], how="left")
+                            .select(*keys, "node", F.col("_next").alias("up"),
+                                    (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")))
+        drop_table(now)
+        now = after
+    return now.drop("up")
+
+
+def _cycle_nodes(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, cycle) of the sessions that block one another in a ring;
+    ``cycle`` is the smallest of the ring. ``edges`` has one parent per child.
+
+    Doubling the parent pointer until it spans more levels than there are
+    edges leaves exactly the ring nodes as ends; the least node met on the
+    way names a ring.
+    """
+    total = edges.count()
+    now = cut_lineage(edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up"),
+                                   F.col("child").alias("least")))
+    span = 1
+    while span <= total and not now.isEmpty():
+        upper = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("_next"), F.col("least").alias("_l"))
+        after = cut_lineage(now.join(upper, on=[*keys, "up"])  # chains that have ended drop out
+                            .select(*keys, "node", F.col("_next").alias("up"), F.least("least", "_l").alias("least")))
+        drop_table(now)
+        now, span = after, span * 2
+    ends = now.select(*keys, F.col("up").alias("node")).distinct()
+    return now.join(ends, on=[*keys, "node"]).select(*keys, "node", F.col("least").alias("cycle"))
+
+
+def _functional_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, session_id, blocked_session_count) where every child has one parent."""
+    rings = cut_lineage(_cycle_nodes(edges, keys))
+    nodes = (edges.select(*keys, F.col("child").alias("node"))
+             .union(edges.select(*keys, F.col("parent").alias("node"))).distinct())
+    up = edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up")).join(
+        rings.select(*keys, "node"), on=[*keys, "node"], how="left_anti")  # a ring node is the root of its tree
+    sizes = _doubled(nodes.join(up, on=[*keys, "node"], how="left"), keys)
+    ringed = rings.join(sizes, on=[*keys, "node"])
+    whole = ringed.groupBy(*keys, "cycle").agg(F.sum("size").alias("_ring"))
+    of_ring = ringed.join(whole, on=[*keys, "cycle"]).select(*keys, "node", "_ring")
+    return sizes.join(of_ring, on=[*keys, "node"], how="left").select(
+        *keys, F.col("node").alias("session_id"), (F.coalesce("_ring", "size") - 1).alias("blocked_session_count"))
+
+
+def _walked_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for any graph, by walking the distinct (root, node) pairs down."""
+    frontier = cut_lineage(edges.select(*keys, F.col("parent").alias("root"), F.col("child").alias("node"))
+                           .filter(F.col("root") != F.col("node")))
+    reached = frontier
+    while not frontier.isEmpty():
+        step = (frontier.join(edges.withColumnRenamed("parent", "node"), on=[*keys, "node"])
+                .select(*keys, "root", F.col("child").alias("node"))
+                .filter(F.col("root") != F.col("node")).distinct())
+        frontier = cut_lineage(step.join(reached, on=[*keys, "root", "node"], how="left_anti"))
+        reached = reached.unionByName(frontier)
+    return (reached.groupBy(*keys, F.col("root").alias("session_id"))
+            .agg(F.count(F.lit(1)).alias("blocked_session_count")))
+
+
+def block_leaders(sessions: DataFrame, keys: Sequence[str] = (), blocker_col: str = "blocked") -> DataFrame:
     """G2 + A8: for every session, how many distinct sessions sit below it
     in the blocking graph (directly or transitively). A session never counts
     itself, so cycles terminate.
 
     Returns (keys, session_id, blocked_session_count) for every session.
-    The pair set (root, descendant) has one row per pair — the sum of
-    subtree sizes — and a hot blocker with many children is a skewed join
-    key that AQE's skew-join handling splits.
+    Snapshots in which some session has several blockers are walked pair by
+    pair, all others are counted by doubling, one row per session.
     """
     keys = list(keys)
     edges = cut_lineage(blocking_edges(sessions, keys, blocker_col))
-    # With at most one blocker per session the graph is functional: every
-    # (root, descendant) pair is reached by exactly one path and a walk can
-    # only come back to its own root, so the per-round de-duplication and
-    # the anti-join against earlier rounds can be skipped. One aggregation
-    # (partial, map-side) decides which case applies.
-    functional = (edges.groupBy(*keys, "child").agg(F.count(F.lit(1)).alias("_parents"))
-                  .filter(F.col("_parents") > 1).isEmpty())
-    frontier = cut_lineage(edges.select(*keys, F.col("parent").alias("root"),
-                                        F.col("child").alias("node"))
-                           .filter(F.col("root") != F.col("node")))
-    reached = [frontier]
-    for _ in range(max_rounds):
-        nxt = (frontier.join(edges.withColumnRenamed("parent", "node"), on=[*keys, "node"])
-               .select(*keys, "root", F.col("child").alias("node"))
-               .filter(F.col("root") != F.col("node")))
-        if not functional:
-            seen = reduce(DataFrame.unionByName, reached)
-            nxt = nxt.distinct().join(seen, on=[*keys, "root", "node"], how="left_anti")
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            break
-        reached.append(nxt)
-        frontier = nxt
+    several = edges.groupBy(*keys, "child").agg(F.count(F.lit(1)).alias("_parents")).filter("_parents > 1")
+    several = cut_lineage(several.select(*keys).distinct() if keys else several.limit(1).select("_parents"))
+    if several.isEmpty():
+        counts = _functional_counts(edges, keys)
+    elif not keys:
+        counts = _walked_counts(edges, keys)
     else:
-        raise RuntimeError("blocking graph deeper than max_rounds")
-    counts = (reduce(DataFrame.unionByName, reached)
-              .groupBy(*keys, F.col("root").alias("session_id"))
-              .agg(F.count(F.lit(1)).alias("blocked_session_count")))
+        counts = _functional_counts(cut_lineage(edges.join(several, on=keys, how="left_anti")), keys).unionByName(
+            _walked_counts(cut_lineage(edges.join(several, on=keys, how="left_semi")), keys))
     nodes = sessions.select(*keys, "session_id").distinct()
     return (nodes.join(counts, on=[*keys, "session_id"], how="left")
             .withColumn("blocked_session_count",
@@ -79,7 +133,7 @@ def block_leaders(sessions: DataFrame, keys: Sequence[str] = (), blocker_col: st
 
 
 def blocker_closure(all_rows: DataFrame, seeds: DataFrame, keys: Sequence[str] = (),
-                    blocker_col: str = "blocked", max_rounds: int = 10_000) -> DataFrame:
+                    blocker_col: str = "blocked") -> DataFrame:
     """G1 + U3: start from ``seeds`` (rows that passed the filters) and keep
     adding every row of any blocker that is not yet present, until a round
     finds nothing new (a blocker absent from ``all_rows`` just ends its
@@ -97,7 +151,7 @@ def blocker_closure(all_rows: DataFrame, seeds: DataFrame, keys: Sequence[str] =
     present = [seed_edges.select(*sk).distinct()]
     wanted_from = seed_edges.select(*keys, "_blocker")
     found = []
-    for rnd in range(1, max_rounds + 1):
+    for rnd in itertools.count(1):
         have = reduce(DataFrame.unionByName, present)
         wanted = (wanted_from.filter(F.col("_blocker").isNotNull() & (F.col("_blocker") != 0))
                   .select(*keys, F.col("_blocker").alias("session_id")).distinct()
@@ -111,8 +165,6 @@ def blocker_closure(all_rows: DataFrame, seeds: DataFrame, keys: Sequence[str] =
         found.append(new)
         present.append(new.select(*sk))
         wanted_from = new_edges.select(*keys, "_blocker")
-    else:
-        raise RuntimeError("blocking chain longer than max_rounds")
     if not found:
         return seed_rows
     added = all_rows.join(reduce(DataFrame.unionByName, found), on=sk, how="inner")

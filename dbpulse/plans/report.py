@@ -147,17 +147,17 @@ COUNTER_COLUMNS = ("physical_io", "reads", "physical_reads", "writes", "tempdb_a
 def format_counters(df: DataFrame, format_output: int, keys: list[str]) -> DataFrame:
     """C8 + W12: counters as text. Format 2: thousands separators, right
     aligned in 19. Format 1 also pads every value to the widest value of
-    its snapshot (a window per snapshot key, never a global one)."""
+    its snapshot; rows without snapshot keys are one snapshot."""
     if format_output == 0:
         return df
-    snap = Window.partitionBy(*keys) if keys else None
+    snap = Window.partitionBy(*(keys or [F.lit(0)]))
     out = df
     for c in COUNTER_COLUMNS:
         if c not in df.columns:
             continue
         text = S.count_text(F.col(c).cast("decimal(38,0)")) if c != "percent_complete" \
-            else F.lpad(F.format_number(F.col(c), 2), 19, " ")
-        if format_output == 1 and snap is not None:
+            else S.right_aligned(F.format_number(F.col(c), 2))
+        if format_output == 1:
             digits = F.length(F.col(c).cast("bigint").cast("string"))
             text = F.concat(F.repeat(F.lit(" "), F.max(digits).over(snap) - digits), text)
         out = out.withColumn(c, F.when(F.col(c).isNotNull(), text))
@@ -168,8 +168,8 @@ def format_elapsed(df: DataFrame, keys: list[str], elapsed_col: str = "elapsed_m
                    avg_col: str | None = "avg_elapsed_time") -> DataFrame:
     """C7 + W12: ``dd hh:mm:ss.mss`` with days padded to the widest value
     of the snapshot (at least 2); the average column uses width 2."""
-    snap = Window.partitionBy(*keys) if keys else None
-    width = F.max(S.day_width(F.col(elapsed_col))).over(snap) if snap is not None else F.lit(2)
+    snap = Window.partitionBy(*(keys or [F.lit(0)]))
+    width = F.max(S.day_width(F.col(elapsed_col))).over(snap)
     out = df.withColumn("dd hh:mm:ss.mss", S.elapsed_text(F.col(elapsed_col), width))
     if avg_col and avg_col in df.columns:
         out = out.withColumn("dd hh:mm:ss.mss (avg)", S.elapsed_text(F.col(avg_col), 2))
@@ -202,6 +202,11 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         procs = sessions.with_broker_labels(procs, sources["broker_tasks"], keys)
     collapsed = sessions.collapse_processes(procs, keys)
     all_top = sessions.top_wait_per_request(collapsed, keys)
+    if "databases" in sources:  # before the filters: one of them is on the name
+        dbs = sources["databases"].select(*keys, "database_id", F.col("name").alias("database_name"))
+        all_top = all_top.join(dbs, on=[*keys, "database_id"], how="left")
+    else:
+        all_top = all_top.withColumn("database_name", F.col("database_id").cast("string"))
     if materialize and (o.get_task_info > 0 or o.find_block_leaders):
         # read by the closure's edge table, its seeds and its final join
         all_top = cut_lineage(all_top)
@@ -291,11 +296,6 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         if o.latest_snapshot_only:
             latest = rows.groupBy(*ik).agg(F.max("collection_time").alias("collection_time"))
             rows = rows.join(latest, on=[*ik, "collection_time"], how="left_semi")
-    if "databases" in sources:
-        dbs = sources["databases"].select(*keys, "database_id", F.col("name").alias("database_name"))
-        rows = rows.join(dbs, on=[*keys, "database_id"], how="left")
-    else:
-        rows = rows.withColumn("database_name", F.col("database_id").cast("string"))
     rows = (rows.withColumn("blocking_session_id", F.nullif(F.col("blocked"), F.lit(0)))
             .withColumn("elapsed_ms", S.elapsed_ms(F.col("start_time"), as_of))
             .withColumn("request_id", F.when(F.col("status") == "sleeping", F.lit(None).cast("bigint"))

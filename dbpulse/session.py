@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -78,4 +79,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/dbpulse-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._table_path = path
+    for made in _SCOPES:
+        made.append(out)
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table made by :func:`cut_lineage`, once no plan reads it any more."""
+    path = getattr(df, "_table_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def table_scope():
+    """Delete at its end all tables that :func:`cut_lineage` makes inside.
+
+    For jobs whose result is written elsewhere before the scope ends; a
+    DataFrame that reads such a table must not be used after it.
+    """
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for df in made:
+            drop_table(df)

@@ -16,21 +16,31 @@ from pyspark.sql import types as T
 
 from dbpulse.sources.tables import load_table
 
+CATALOG_DATABASES = (0, 1, 2, 3)   # locks lie in 0 to 4, so some name nothing
+
+
+def _per_database(columns: str) -> str:
+    """A catalog of every database: the same ids again, other names (``{db}``)."""
+    return "\nUNION ALL\n".join(f"SELECT {d} AS database_id, " + columns.strip().replace("{db}", str(d))
+                                for d in CATALOG_DATABASES)
+
+
 FIXTURE_SQL: dict[str, str] = {
     "fx_waits": """
-SELECT l_returnflag AS instance_id, CONCAT('WT_', CAST(l_suppkey AS VARCHAR(20))) AS wait_type,
+SELECT l_returnflag AS instance_id, CASE WHEN l_suppkey % 10 = 3 THEN 'SLEEP_TASK' WHEN l_suppkey % 10 = 7 THEN 'LAZYWRITER_SLEEP'
+ ELSE CONCAT('WT_', CAST(l_suppkey AS VARCHAR(20))) END AS wait_type,
  SUM(CAST(l_quantity AS BIGINT) * 1000) AS wait_time_ms,
  SUM(CAST(l_quantity AS BIGINT) * l_linenumber * 10) AS signal_wait_time_ms,
- COUNT(*) AS waiting_tasks_count FROM {lineitem} GROUP BY l_returnflag, l_suppkey""",
+ SUM(CASE WHEN l_suppkey % 9 = 1 THEN 0 ELSE 1 END) AS waiting_tasks_count FROM {lineitem} GROUP BY l_returnflag, l_suppkey""",
     "fx_session_snapshots": """
-SELECT user_id % 4 AS instance_id, user_id AS session_id, 0 AS request_id,
+SELECT user_id % 4 AS instance_id, user_id AS session_id,
+ ROW_NUMBER() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) - 1 AS request_id,
  date_trunc('day', ts) AS collection_time, event_id AS seq,
  SUM(CAST(FLOOR(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS reads,
  SUM(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tempdb_current,
  event_id % 1000 AS cpu, (event_id * 7) % 1000 AS thread_cpu_snapshot,
  date_trunc('week', ts) AS last_request_start_time,
- CASE WHEN event_type = 'view' THEN 'sleeping' ELSE 'running' END AS status,
- ROW_NUMBER() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM {events}""",
+ CASE WHEN event_type = 'view' THEN 'sleeping' ELSE 'running' END AS status FROM {events}""",
     "fx_blocking": """
 SELECT c_custkey AS session_id, 0 AS request_id,
  CASE WHEN c_custkey = 7 THEN 8 WHEN c_custkey = 8 THEN 7 WHEN c_custkey % 5 = 0 THEN 0
@@ -63,7 +73,7 @@ SELECT l_suppkey AS session_id, 0 AS request_id, l_partkey % 5 AS resource_datab
     "fx_active_transactions": """
 SELECT o_orderkey AS transaction_id, o_orderdate AS transaction_begin_time FROM {orders}""",
     "fx_session_transactions": """
-SELECT o_orderkey AS transaction_id, o_custkey AS session_id FROM {orders} WHERE o_orderkey % 4 <> 0""",
+SELECT CASE WHEN o_orderkey % 4 = 0 THEN -o_orderkey ELSE o_orderkey END AS transaction_id, o_custkey AS session_id FROM {orders}""",
     "fx_database_transactions": """
 SELECT l_orderkey AS transaction_id, CASE WHEN l_suppkey % 50 = 0 THEN 32767 ELSE l_suppkey % 5 END AS database_id,
  l_linenumber AS log_record_count, CAST(FLOOR(l_extendedprice) AS BIGINT) AS log_bytes_used, l_shipdate AS database_transaction_begin_time FROM {lineitem}""",
@@ -81,10 +91,10 @@ SELECT l_partkey AS sql_handle, l_suppkey AS plan_handle, 0 AS statement_start_o
  COUNT(*) AS execution_count, SUM(CAST(FLOOR(l_extendedprice) AS BIGINT)) AS total_elapsed_time FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
     "fx_agent_sessions": """
 SELECT o_orderkey AS session_id, CASE WHEN o_orderkey % 3 = 0 THEN 'adhoc' ELSE CONCAT('SQLAgent - TSQL JobStep (Job 0x', UPPER(MD5(CAST(o_custkey AS VARCHAR(20)))), ' : Step ', CAST(o_orderkey % 4 + 1 AS VARCHAR(20)), ')') END AS program_name FROM {orders}""",
-    "fx_catalog_objects": """
-SELECT p_partkey AS object_id, p_name AS name, p_size % 25 AS schema_id FROM {part}""",
-    "fx_catalog_schemas": """
-SELECT n_nationkey AS schema_id, n_name AS name FROM {nation}""",
+    "fx_catalog_objects": _per_database("""
+p_partkey AS object_id, CONCAT(p_name, '/', '{db}') AS name, (p_size + {db}) % 25 AS schema_id FROM {part}"""),
+    "fx_catalog_schemas": _per_database("""
+n_nationkey AS schema_id, CONCAT(n_name, '/', '{db}') AS name FROM {nation}"""),
     "fx_space_usage": """
 SELECT user_id AS session_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 0 END AS request_id, event_id % 13 AS user_alloc, event_id % 5 AS internal_alloc, event_id % 11 AS user_dealloc, event_id % 6 AS internal_dealloc FROM {events}""",
     "fx_texts": """
@@ -103,26 +113,28 @@ SELECT o_custkey AS session_id, o_orderkey % 2 AS request_id,
  o_orderkey % 1000 AS wait_time, CASE WHEN o_orderkey % 9 = 0 THEN o_custkey WHEN o_orderkey % 9 = 1 THEN o_custkey + 1 ELSE 0 END AS blocked,
  CASE WHEN o_custkey % 10 = 0 THEN '' ELSE '1234' END AS hostprocess FROM {orders}""",
     "fx_statements": """
-SELECT l_orderkey AS session_id, l_partkey AS sql_handle, l_suppkey AS plan_handle, 0 AS statement_start_offset, CASE WHEN l_quantity > 40 THEN 30 ELSE -1 END AS statement_end_offset FROM {lineitem} WHERE l_linenumber = 1""",
+SELECT l_orderkey AS session_id, l_linenumber AS request_id, l_partkey AS sql_handle, l_suppkey AS plan_handle, 0 AS statement_start_offset, CASE WHEN l_quantity > 40 THEN 30 ELSE -1 END AS statement_end_offset FROM {lineitem}""",
     "fx_sql_text": """
-SELECT p_partkey AS sql_handle, CONCAT('SELECT ', p_name, ' FROM t WHERE x = ', CAST(p_size AS VARCHAR(20))) AS text FROM {part} WHERE p_partkey % 7 <> 0""",
+SELECT CASE WHEN p_partkey % 7 = 0 THEN -p_partkey ELSE p_partkey END AS sql_handle, CONCAT('SELECT ', p_name, ' FROM t WHERE x = ', CAST(p_size AS VARCHAR(20))) AS text FROM {part}""",
     "fx_workers": """
 SELECT event_id AS worker_address, event_id AS thread_address, CASE WHEN event_type = 'signup' THEN 'RUNNABLE' ELSE 'SUSPENDED' END AS state,
  event_id * 10 AS wait_resumed_ms_ticks, event_id AS task_bound_ms_ticks, 10000000 AS ms_ticks FROM {events}""",
     "fx_threads": """
 SELECT event_id AS thread_address, event_id % 100 AS usermode_time, event_id % 10 AS kernel_time FROM {events}""",
     "fx_jobs": """
-SELECT UPPER(MD5(CAST(c_custkey AS VARCHAR(20)))) AS job_hex, c_name AS job_name FROM {customer} WHERE c_custkey % 5 <> 0""",
+SELECT UPPER(MD5(CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR(20)) END)) AS job_hex, c_name AS job_name FROM {customer}""",
     "fx_job_steps": """
-SELECT UPPER(MD5(CAST(c_custkey AS VARCHAR(20)))) AS job_hex, r_regionkey + 1 AS step_id, CONCAT('step ', r_name) AS step_name FROM {customer} CROSS JOIN {region}""",
-    "fx_catalog_partitions": """
-SELECT p_partkey AS hobt_id, p_partkey + 100000 AS partition_id, p_partkey AS object_id, p_size % 3 AS index_id FROM {part}""",
-    "fx_catalog_allocation_units": """
-SELECT p_partkey AS allocation_unit_id, p_partkey % 3 + 1 AS type, CASE WHEN p_partkey % 3 = 1 THEN p_partkey + 100000 ELSE p_partkey END AS container_id FROM {part}""",
-    "fx_catalog_indexes": """
-SELECT p_partkey AS object_id, p_size % 3 AS index_id, p_brand AS name FROM {part}""",
-    "fx_catalog_principals": """
-SELECT s_suppkey AS principal_id, s_name AS name FROM {supplier}""",
+""" + "\nUNION ALL\n".join(f"""
+SELECT UPPER(MD5(CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR(20)) END)) AS job_hex, r_regionkey + 1 AS step_id,
+ CONCAT('step ', r_name) AS step_name FROM {{customer}} JOIN {{region}} ON r_regionkey = (c_custkey + {k}) % 5""".strip() for k in range(5)),
+    "fx_catalog_partitions": _per_database("""
+p_partkey AS hobt_id, p_partkey + 100000 AS partition_id, p_partkey AS object_id, (p_size + {db}) % 3 AS index_id FROM {part}"""),
+    "fx_catalog_allocation_units": _per_database("""
+p_partkey AS allocation_unit_id, p_partkey % 3 + 1 AS type, CASE WHEN p_partkey % 3 = 1 THEN p_partkey + 100000 ELSE p_partkey END AS container_id FROM {part}"""),
+    "fx_catalog_indexes": _per_database("""
+p_partkey AS object_id, p_size % 3 AS index_id, CONCAT(p_brand, '/', '{db}') AS name FROM {part}"""),
+    "fx_catalog_principals": _per_database("""
+s_suppkey AS principal_id, CONCAT(s_name, '/', '{db}') AS name FROM {supplier}"""),
     # Own addition (not in FIXTURES.md): the outer command buffer per
     # session (S15), with a control character for the scrub.
     "fx_input_buffer": """

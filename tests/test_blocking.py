@@ -108,3 +108,44 @@ def test_hot_blocker_with_a_third_of_all_sessions(spark):
     seeds = df.filter(F.col("session_id").between(2, 3001))
     closed = blocker_closure(df, seeds)
     assert closed.count() == 3001 and closed.filter(F.col("closure_round") == 1).count() == 1
+
+
+def brute_below(edges):
+    up = {}
+    for s, _, b in edges:
+        if b and b != s:
+            up.setdefault(b, set()).add(s)
+    out = {}
+    for s in {e[0] for e in edges}:
+        seen, todo = set(), [s]
+        while todo:
+            for c in up.get(todo.pop(), ()):
+                if c not in seen:
+                    seen.add(c)
+                    todo.append(c)
+        out[s] = len(seen - {s})
+    return out
+
+
+def test_random_graphs_with_rings_and_several_blockers(spark):
+    import random
+    for seed, several in ((1, False), (2, False), (3, True)):
+        rnd = random.Random(seed)
+        edges = [(n, 0, rnd.choice([0, rnd.randint(1, 40), max(1, n - 1)])) for n in range(1, 41)]
+        if several:
+            edges += [(n, 1, rnd.randint(1, 40)) for n in range(1, 41, 7)]
+        assert counts(spark, edges) == brute_below(edges)
+
+
+def test_a_deep_chain_needs_few_rounds(spark):
+    edges = [(n, 0, n - 1) for n in range(1, 3001)]
+    got = counts(spark, edges)
+    assert got[1] == 2999 and got[3000] == 0 and got[1500] == 1500
+
+
+def test_snapshots_with_and_without_several_blockers(spark):
+    a, b = [(1, 0, 0), (2, 0, 1), (3, 0, 2)], [(1, 0, 0), (2, 0, 1), (3, 0, 1), (3, 1, 2)]
+    df = spark.createDataFrame([("a", *e) for e in a] + [("b", *e) for e in b],
+                               "instance_id string, session_id bigint, request_id bigint, blocked bigint")
+    got = {(r.instance_id, r.session_id): r.blocked_session_count for r in block_leaders(df, ["instance_id"]).collect()}
+    assert got == {("a", 1): 2, ("a", 2): 1, ("a", 3): 0, ("b", 1): 2, ("b", 2): 1, ("b", 3): 0}

@@ -8,12 +8,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from dbpulse.plans import catalog
 from dbpulse.sources.tables import TABLES, table_path
 
 from conftest import SF_SMOKE
 
-ORACLES = E.oracle_sql()
-QUERIES = E.queries()
+catalog.load_all()
+ORACLES, QUERIES = catalog.ORACLES, catalog.QUERIES
 
 
 def _norm(v):

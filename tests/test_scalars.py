@@ -46,6 +46,16 @@ def test_elapsed_text(spark):
 def test_count_text(spark):
     got = one(spark, [(1234567,), (0,)], "n bigint", S.count_text(F.col("n")))
     assert got == ["          1,234,567", "                  0"]
+    got = one(spark, [(1234567890123456,), (-9223372036854775807,)], "n bigint", S.count_text(F.col("n")))
+    assert got == ["1,234,567,890,123,456", "-9,223,372,036,854,775,807"]
+
+
+def test_like_has_no_escape_of_its_own(spark):
+    rows = [("CORP\\alice",), ("corp\\bob",), ("CORP_x",), ("CORPyx",), (None,)]
+    match = lambda pattern: [r[0] for r in spark.createDataFrame(rows, "h string").filter(S.like(F.col("h"), pattern)).collect()]
+    assert match("CORP\\a%") == ["CORP\\alice"]
+    assert match("corp[_]%") == ["CORP_x"] and match("corp_x") == ["CORP_x", "CORPyx"]
+    assert match("%\\%") == ["CORP\\alice", "corp\\bob"]
 
 
 def test_statement_slice(spark):
