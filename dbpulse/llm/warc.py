@@ -2,7 +2,8 @@
 
 Writing: one WARC/1.1 record per capture, written by Spark's text writer into
 archive files in a shared folder (a record ends with two line ends, which is
-the writer's line separator, so a file is a plain WARC file). Of captures
+the writer's line separator, so a file is a WARC file, gzipped as a whole;
+offsets count in the plain stream). Of captures
 with equal payloads (by SHA-256) of at least ``least_bytes`` bytes, the one
 with the smallest id is a response that holds the payload; the others are
 revisit records that name it.
@@ -23,6 +24,7 @@ an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -92,7 +94,7 @@ def record_text(row_time: Column) -> Column:
 
 def write_archives(plan: DataFrame, path: str, row_time: Column | None = None) -> None:
     (plan.select(record_text(F.lit(CAPTURED) if row_time is None else row_time).alias("value"))
-     .write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path))
+     .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path))
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
@@ -131,7 +133,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(archive.rpartition("/")[2], at, length, name_of(h["warc-record-id"]), h["warc-type"],
                          h.get("warc-target-uri"), h["warc-date"], len(block), hashlib.sha256(block).hexdigest(),
                          h["warc-payload-digest"].removeprefix("sha256:"), name_of(h.get("warc-refers-to")))
-                        for h, at, length, block in records(data.as_py())]
+                        for h, at, length, block in records(gzip.decompress(data.as_py()))]
                 kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), *[pa.string()] * 3]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
