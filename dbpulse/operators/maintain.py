@@ -20,8 +20,13 @@ _TIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 def _distinct_key(f: T.StructField):
     """A string that is equal exactly when the values are equal (``-0.0``
-    and ``0.0`` compare equal, so they share a key)."""
+    and ``0.0`` compare equal, so they share a key; nested values are written
+    as JSON, which keeps ``["a, b"]`` and ``["a", "b"]`` apart)."""
     c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
+    if isinstance(f.dataType, T.BinaryType):
+        return F.hex(c)
     if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
         c = F.when(c == 0, F.lit(0.0)).otherwise(c)
     return c.cast("string")

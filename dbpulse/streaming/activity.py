@@ -39,11 +39,14 @@ def minute_activity_stream(events: DataFrame, time_col: str = "ts", by: Sequence
 
 
 # ------------------------------------------------------------------- T2
+STATE_TTL_MS = 7 * 24 * 3600 * 1000   # longer than any planned pause of a collector
+
+
 def _delta_fn(entity_cols: list[str], time_col: str, metrics: list[str], signed: set[str],
               guard_col: str | None, ttl_ms: int | None):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            # the entity left: a later return could not be consecutive anyway
+            # no row for the whole time to live: the entity is taken to have left
             state.remove()
             return
         parts = list(batches)
@@ -90,7 +93,7 @@ def snapshot_delta_stream(snapshots: DataFrame, entity: Sequence[str], metrics:
                           time_col: str = "collection_time",
                           guard_col: str | None = "last_request_start_time",
                           signed: Sequence[str] = ("tempdb_current",),
-                          state_ttl_ms: int | None = 10 * 60 * 1000) -> DataFrame:
+                          state_ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
     """T1 on a stream of snapshot rows.
 
     State is kept per entity key (instance, session, request): the last
@@ -100,10 +103,12 @@ def snapshot_delta_stream(snapshots: DataFrame, entity: Sequence[str], metrics:
     written by the collector), which is how "present in both snapshots" is
     checked without instance-wide state. State of an entity that sends no
     row for ``state_ttl_ms`` of processing time is dropped, so state stays
-    bounded by the live requests (a delta needs consecutive snapshots, so
-    nothing is lost by forgetting an entity that went away). Run it with a
-    processing-time trigger (the collector's 60 s): timeouts are checked by
-    no-data micro-batches, which an untriggered query runs back to back.
+    bounded by the requests of that time. The clock also runs while the
+    collector pauses: the stream equals the batch form as long as no pause is
+    longer than ``state_ttl_ms`` (a week, unless set; None keeps state for
+    ever). Run it with a processing-time trigger (the collector's 60 s):
+    timeouts are checked by no-data micro-batches, which an untriggered query
+    runs back to back.
     """
     entity = list(entity)
     metrics = list(metrics)

@@ -34,3 +34,10 @@ def test_text_lines_blocks(spark):
     assert [(r.line_no, r.block_no, r.line_in_block, r.header, r.line) for r in rows] == [
         (1, 1, 1, "Title", "Title"), (2, 1, 2, "Title", "line a"),
         (4, 2, 1, "Second", "Second"), (5, 2, 2, "Second", "b  ?")]
+
+
+def test_profile_counts_nested_values_by_type(spark):
+    df = spark.createDataFrame([(["a, b"], b"\x00"), (["a", "b"], b"\x01"), (["a", "b"], None), (None, b"\x01")],
+                               "a array<string>, b binary")
+    got = {r.column_name: r.distinct_count for r in maintain.column_profile(df.select("a", "b"), "t", exact_distinct=True).collect()}
+    assert got == {"a": 2, "b": 2}
