@@ -50,7 +50,8 @@ _WANTED = ("library", "museum", "weather", "recipes", "garden", "history", "scie
 def labelled_urls() -> list[tuple[str, int]]:
     """The labelled table: (URL, 1 if unwanted), made from two lists of site names."""
     rows = []
-    for label, names in ((1, _UNWANTED), (0, _WANTED)):
+    paired = tuple(f"{a}-{b}" for a, b in zip(_WANTED[::2], _WANTED[1::2]) if "-" not in a + b)
+    for label, names in ((1, _UNWANTED), (0, _WANTED + paired)):
         for i, name in enumerate(names):
             host = f"{('', 'www.', 'm.', 'blog.')[i % 4]}{name}.example.{('com', 'org', 'net')[i % 3]}"
             path = (f"/en/{i * 37 % 900}", f"/{('fr', 'de', 'es')[i % 3]}/{i * 53 % 700}.html", f"/{i}/", "/")[i % 4]
