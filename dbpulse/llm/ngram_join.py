@@ -22,7 +22,7 @@ Equal sets are one node of the join. The steps:
 Step 3 covers all pairs of nodes in different components, so no link that
 would join two components is lost; pairs inside a component need no test.
 Whole sets travel only for nodes in a comparison: a Bloom filter of fixed size
-picks them in a second pass over the texts. Hashes of 64 bits stand for
+picks them in another pass over the texts. Hashes of 64 bits stand for
 shingles and sets.
 
 Defined cases: null text, or text without a word: empty set, n_shingles 0,
@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dbpulse.llm.common import cut, drop_cut, pick, positional, restored
@@ -91,7 +91,9 @@ def frequent_tokens(texts: DataFrame, k: int, entries: int = FREQUENT) -> tuple[
 
 
 def signatures(texts: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, place (a hash of the text), n, node and prefix (the first tokens in the common order) of every row."""
+    """doc_id, place (a hash of the text), n, node and the prefix (the first
+    tokens in the common order) of every row, its tokens outside the table of
+    frequent ones as ``rare``, the others as ``often``."""
     common, often = frequent
     shared = texts.sparkSession.sparkContext.broadcast((common, often))
 
@@ -107,16 +109,20 @@ def signatures(texts: DataFrame, k: int, percent: int, frequent: tuple[np.ndarra
             place = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             length = n - (percent * n + 99) // 100 + 1
             inside = place < length[row]
-            prefix = token[order][inside].view(np.int64)
-            ends = np.cumsum(np.where(n > 0, length, 0))
+            prefix, own = token[order][inside].view(np.int64), row[inside]
+            known = level[order][inside] > 0
+
+            def lists(chosen):
+                ends = np.cumsum(np.bincount(own[chosen], minlength=len(n)))
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(prefix[chosen]))
+
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(n.astype(np.int64)), pa.array(node),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(prefix))],
-                names=["doc_id", "place", "n", "node", "prefix"])
+                 lists(~known), lists(known)], names=["doc_id", "place", "n", "node", "rare", "often"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text", F.xxhash64("text")).mapInArrow(
-        run, f"doc_id {id_type}, place long, n long, node long, prefix array<long>")
+        run, f"doc_id {id_type}, place long, n long, node long, rare array<long>, often array<long>")
 
 
 def _positions(id_hash: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -183,18 +189,40 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b"))
 
 
+def shared_tokens(signed: DataFrame) -> DataFrame:
+    """(token, node, low) of the prefix tokens that several nodes have; low is the smallest of these.
+
+    A token outside the table of frequent ones is in at most one document of
+    each counting window (or is rarer than all that the table holds), so its
+    rows fit a window by token, in one shuffle. Frequent tokens are
+    aggregated before the shuffle and joined back, where a hot one is split.
+    """
+    by_token = Window.partitionBy("token")
+    rare = (signed.select(F.explode("rare").alias("token"), "node")
+            .withColumn("low", F.min("node").over(by_token)).withColumn("high", F.max("node").over(by_token))
+            .where("low <> high").select("token", "node", "low").distinct())
+    often = signed.select(F.explode("often").alias("token"), "node")
+    several = (often.groupBy(F.col("token").alias("t")).agg(F.min("node").alias("low"), F.max("node").alias("high"))
+               .where("low <> high").drop("high"))
+    hot = often.join(several, F.col("token") == F.col("t")).select("token", "node", "low").distinct()
+    return rare.unionByName(hot)
+
+
 def similar_sets(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures, nodes, roots): doc_id/n/node of every row, node/rep/n of
     every set that is not empty, node/root of every node with a link."""
     frequent = frequent_tokens(texts, k)
     signed = cut(signatures(texts, k, percent, frequent))
-    nodes = cut(signed.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    rows = nodes.select(F.explode("prefix").alias("token"), "node")
-    several = (rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-               .where("low <> high").select(F.col("token").alias("t"), "low"))
+    shared = cut(shared_tokens(signed))
+    prefixes, signed = signed, cut(signed.select("doc_id", "place", "n", "node"))
+    drop_cut(prefixes)
+    nodes = cut(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     sizes = nodes.select("node", "n")
-    shared = cut(rows.join(several, F.col("token") == F.col("t")).select("token", "node", "low"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only the nodes in a pair have their sets fetched."""
+        both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return linked(pairs, whole_sets(texts, both.join(nodes.select("node", "rep"), "node"), k), percent)
 
     # step 2: each node and the node that most of its shared tokens point to
     n_of = lambda key, out: sizes.select(F.col("node").alias(key), F.col("n").alias(out))
@@ -204,9 +232,7 @@ def similar_sets(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
            .where(F.col("both") >= _needed(F.col("na"), F.col("nb"), percent))
            .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
     best = cut(fit.groupBy("a").agg(F.min(F.struct(-F.col("both"), "b")).alias("x")).select("a", F.col("x.b").alias("b")))
-    holders = shared.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    sets = whole_sets(texts, holders, k)
-    stars = cut(linked(best, sets, percent))
+    stars = cut(compared(best))
     first = cut(components(stars))
 
     # step 3: the matrix of tokens and groups
@@ -232,12 +258,12 @@ def similar_sets(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     # step 4: open the groups that qualify
     inside = member.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("r"),
                            F.col("chunk").alias("k"))
-    opened = (hits.where(F.col("both") >= least)
-              .join(inside, (F.col("g") == F.col("r")) & (F.col("c") == F.col("k")))
-              .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
-    across = cut(linked(opened, sets, percent))
-    for done in (shared, asked, best, sets):
+    opened = cut(hits.where(F.col("both") >= least)
+                 .join(inside, (F.col("g") == F.col("r")) & (F.col("c") == F.col("k")))
+                 .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
+    for done in (shared, asked, best):
         drop_cut(done)
+    across = opened if opened.isEmpty() else cut(compared(opened))
     if across.isEmpty():
         return signed, nodes, first
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
