@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from dbpulse.llm.common import pick
 from dbpulse.llm.textkit import slices
 
-CACHE_WORDS = 600_000      # words a worker keeps encoded; beyond, the table starts anew
-BATCH_CHARS = 6_000_000    # characters of text whose new words are encoded together
+CACHE_WORDS = 300_000      # words a worker keeps encoded; beyond, the table starts anew
+BATCH_CHARS = 4_000_000    # characters of text whose new words are encoded together
 
 # The vocabulary's word pattern, white space and word end.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -211,6 +211,11 @@ class Encoder:
             self.ids[c] = " ".join(map(name, own))
             self.decoded[c] = " ".join(map(token, own))
 
+    def forget(self) -> None:
+        """Empty the table; workers outlive their tasks and serve other operators, too."""
+        self.ids.clear()
+        self.decoded.clear()
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids joined by a space, decoded text) of each text.
 
@@ -224,8 +229,7 @@ class Encoder:
                 group.append(self.pieces(texts[at]))
                 at += 1
             if len(self.ids) > CACHE_WORDS:
-                self.ids.clear()
-                self.decoded.clear()
+                self.forget()
             self._add(set().union(*group).difference(self.ids))
             for p in group:
                 ids = " ".join(map(self.ids.__getitem__, p))
@@ -256,12 +260,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = T
             counts, ids, decoded = zip(*enc.encode(part.column(1).to_pylist()))
             if digests:
                 ids, decoded = ([hashlib.sha256(x.encode()).hexdigest() for x in col] for col in (ids, decoded))
+                ids = pa.array(ids, pa.string())
             else:
-                ids = [[int(i) for i in x.split()] for x in ids]
+                numbers = np.fromstring(" ".join(x for x in ids if x), np.int32, sep=" ")
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
+                                               pa.array(numbers, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int64()),
-                 pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                names=names)
+                [part.column(0), pa.array(counts, pa.int64()), ids, pa.array(decoded, pa.string())], names=names)
+        enc.forget()
 
     source = pick(docs, "doc_id", "text")
     id_type = source.schema["doc_id"].dataType.simpleString()
