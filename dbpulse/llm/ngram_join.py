@@ -17,7 +17,9 @@ Equal sets are one node of the join. The steps:
    node and a group of another component are opened only if the prefix tokens
    that they share, plus the most that can be common behind the prefixes,
    reach the overlap that a link needs.
-4. Opened groups' nodes are compared exactly; links join the components.
+4. An opened group meets the nodes that ask for it, a bounded part of them at
+   a time, in one task: whole sets are compared, and one link of a node with
+   the group is kept, as it joins the components.
 
 Step 3 covers all pairs of nodes in different components, so no link that
 would join two components is lost; pairs inside a component need no test.
@@ -46,6 +48,7 @@ from dbpulse.llm.textkit import Words, mix64, shingles, slices, utf8
 FREQUENT = 1 << 17       # entries of the table of frequent tokens
 COUNT_WINDOW = 2_000_000  # tokens that are counted together before rare ones go
 GROUP_NODES = 32
+QUERY_PART = 512         # queries that meet a group in one task, about
 BLOOM_BITS = 26
 _SET_A, _SET_B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -189,6 +192,35 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b"))
 
 
+def open_group(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
+    """For each query of a group the member that it links with best, if it links with one.
+
+    ``queries`` has a, n, tokens; ``members`` (GROUP_NODES or so) b, n, tokens.
+    One link is enough, as the members are one component already.
+    """
+    out = []
+    if queries.num_rows and members.num_rows:
+        lists = members.column("tokens").combine_chunks()
+        token = lists.flatten().to_numpy()
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        owner = np.repeat(np.arange(members.num_rows), lists.value_lengths().to_numpy())[order]
+        n, b = members.column("n").to_numpy(), members.column("b").to_numpy()
+        asked = queries.column("tokens").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
+        flat = asked.flatten().to_numpy()
+        for i, a in enumerate(queries.column("a").to_numpy()):
+            own = flat[ends[i]:ends[i + 1]]
+            low, high = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+            found = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())
+            common = np.bincount(owner[at], minlength=len(b))
+            links = common * 100 >= (len(own) + n - common) * percent
+            if links.any():
+                out.append((int(a), int(b[np.argmax(np.where(links, common, -1))])))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+
 def shared_tokens(signed: DataFrame) -> DataFrame:
     """(token, node, low) of the prefix tokens that several nodes have; low is the smallest of these.
 
@@ -256,14 +288,22 @@ def similar_sets(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     high = F.least("g_max", F.floor(F.col("na") * 100 / percent))
     least = F.least(_needed(F.col("na"), low, percent), _needed(F.col("na"), high, percent)) - 1
     # step 4: open the groups that qualify
-    inside = member.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("r"),
-                           F.col("chunk").alias("k"))
-    opened = cut(hits.where(F.col("both") >= least)
-                 .join(inside, (F.col("g") == F.col("r")) & (F.col("c") == F.col("k")))
-                 .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
+    qualified = cut(hits.where(F.col("both") >= least).select("a", "g", "c"))
     for done in (shared, asked, best):
         drop_cut(done)
-    across = opened if opened.isEmpty() else cut(compared(opened))
+    if qualified.isEmpty():
+        return signed, nodes, first
+    parts = cut(qualified.groupBy("g", "c").agg(F.ceil(F.count(F.lit(1)) / QUERY_PART).alias("parts")))
+    queries = qualified.join(parts, ["g", "c"]).withColumn("p", F.pmod(F.xxhash64("a"), F.col("parts")))
+    members = (member.select(F.col("node").alias("b"), F.col("root").alias("g"), F.col("chunk").alias("c"))
+               .join(parts, ["g", "c"]).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    met = qualified.select(F.col("a").alias("node")).union(members.select("b")).distinct()
+    sets = cut(whole_sets(texts, met.join(nodes.select("node", "rep"), "node"), k))
+    of = lambda rows, key: (rows.join(sets.withColumnRenamed("node", key), key)
+                            .select(*[F.col(c).alias(f"{c}_") for c in ("g", "c", "p", key, "n", "tokens")])
+                            .toDF("g", "c", "p", key, "n", "tokens"))
+    across = cut(of(queries, "a").groupBy("g", "c", "p").cogroup(of(members, "b").groupBy("g", "c", "p"))
+                 .applyInArrow(lambda a, b: open_group(a, b, percent), "a long, b long"))
     if across.isEmpty():
         return signed, nodes, first
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
