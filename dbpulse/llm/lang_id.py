@@ -4,11 +4,13 @@ character n-grams.
 Features are the hashed runs of 1 to 3 characters (lower case, every run of
 characters that are no letter as one blank) of the whole text: the share of
 each n-gram among the text's n-grams of its length, times its inverse document
-frequency. The weights are learnt row by row with follow-the-regularised-
-leader (per-coordinate rates, elastic net: L1 makes them sparse, L2 bounds
-them), on a sample of labelled rows of at most about ``fit_rows`` (drawn by a
-hash of the id; the classifier's document frequencies come from it, too). A
-temperature, fitted on held-back rows of the sample, calibrates the scores.
+frequency. Document frequencies and the list of languages come from all rows
+that may be learnt from (a grouped sum, at most 3 * 2^16 numbers). The weights
+are learnt row by row with follow-the-regularised-leader (per-coordinate
+rates, elastic net: L1 makes them sparse, L2 bounds them), on a sample: of each
+language its share of about ``fit_rows`` rows, but ``each`` rows at least or all
+it has, drawn by a hash of id and text, a repeated row once. A temperature,
+fitted on every fifth row of each language's sample, calibrates the scores.
 
 A prediction sums looked-up weights over the text's n-grams, in numpy.
 
@@ -29,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dbpulse.llm.common import bounded_sample, pick, positional, restored
+from dbpulse.llm.common import pick, positional, restored
 from dbpulse.llm.textkit import slices
 
 BITS = 16            # hashed features for each n-gram length
 LENGTHS = (1, 2, 3)
-FIT_ROWS = 6000      # bound of the fitting sample
+SIZE = len(LENGTHS) << BITS
+FIT_ROWS = 6000      # the fitting sample, dealt to the languages by their shares ...
+FIT_EACH = 200       # ... but of each language so many rows at least, or all it has
 REJECT_BELOW = 0.3   # the filter keeps a document from this score on
 
 
@@ -139,8 +143,8 @@ def sparse_rows(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     parts: list[list] = [[] for _ in range(rows)]
     for row, feature in features(points, edges):
         counts = np.bincount(row, minlength=rows)
-        key, n = np.unique(row * (len(LENGTHS) << BITS) + feature, return_counts=True)
-        r, f = np.divmod(key, len(LENGTHS) << BITS)
+        key, n = np.unique(row * SIZE + feature, return_counts=True)
+        r, f = np.divmod(key, SIZE)
         cuts = np.searchsorted(r, np.arange(rows + 1))
         for i in range(rows):
             s = slice(cuts[i], cuts[i + 1])
@@ -151,7 +155,7 @@ def sparse_rows(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, alpha=0.5, beta=1.0,
              l1=0.02, l2=0.02, epochs=3) -> tuple[np.ndarray, np.ndarray]:
     """Follow the regularised leader, one row at a time: (weights, bias)."""
-    size = len(LENGTHS) << BITS
+    size = SIZE
     z, n = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
 
     def weights(at):
@@ -189,24 +193,22 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin([loss(t) for t in grid]))])
 
 
-def fit(texts: list[str | None], langs: list[str]) -> LanguageModel:
-    """A model from labelled texts (at most about FIT_ROWS of them)."""
+def fit(texts: list[str | None], langs: list[str], df: np.ndarray, documents: int) -> LanguageModel:
+    """A model from a sample of labelled texts and the document frequencies ``df`` of all ``documents``."""
     labels = sorted(set(langs))
-    size = len(LENGTHS) << BITS
     if len(labels) < 2:
-        return LanguageModel(labels, np.zeros((size, len(labels))), np.zeros(len(labels)))
+        return LanguageModel(labels, np.zeros((SIZE, len(labels))), np.zeros(len(labels)))
     rows = []
     for s in range(0, len(texts), 200):
         rows += sparse_rows(pa.array(texts[s:s + 200], pa.string()))
     y = np.array([labels.index(x) for x in langs])
-    df = np.zeros(size)
-    for f, _ in rows:
-        df[f] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    idf = np.log((1 + documents) / (1 + df)) + 1
     rows = [(f, x * idf[f]) for f, x in rows]
-    held = np.arange(len(rows)) % 5 == 0
-    learn = [r for r, h in zip(rows, held) if not h] or rows
-    w, b = fit_ftrl(learn, y[~held] if (~held).any() else y, len(labels))
+    held = np.zeros(len(rows), bool)
+    for c in range(len(labels)):  # of each language, so that none is held back whole
+        held[np.flatnonzero(y == c)[4::5]] = True
+    learn = [r for r, h in zip(rows, held) if not h]
+    w, b = fit_ftrl(learn, y[~held], len(labels))
     scores = np.array([x @ w[f] + b for (f, x), h in zip(rows, held) if h])
     t = fit_temperature(scores, y[held])
     return LanguageModel(labels, (w * idf[:, None] / t).astype(np.float32), b / t)
@@ -216,14 +218,57 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def fit_language_model(docs: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None) -> LanguageModel:
+def document_counts(labelled: DataFrame) -> tuple[np.ndarray, int]:
+    """(rows that hold each hashed feature, rows) over all rows of ``labelled``."""
+    def run(batches):
+        df, rows, place = np.zeros(SIZE + 1, np.int64), 0, np.zeros(SIZE, np.int64)
+        for part in slices(batches, "text"):
+            points, edges = letters(part.column(0))
+            for row, feature in features(points, edges):
+                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+                for i in range(part.num_rows):
+                    f = feature[cuts[i]:cuts[i + 1]]
+                    at = np.arange(len(f))
+                    place[f] = at
+                    df[f[place[f] == at]] += 1  # each feature of the row once
+            rows += part.num_rows
+        df[SIZE] = rows
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(df[found], pa.int64())],
+                                         names=["feature", "n"])
+
+    got = (labelled.select("text").mapInArrow(run, "feature long, n long")
+           .groupBy("feature").agg(F.sum("n").alias("n")).toPandas())
+    df = np.zeros(SIZE + 1, np.int64)
+    df[got["feature"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return df[:SIZE], int(df[SIZE])
+
+
+def sample_of_each(labelled: DataFrame, fit_rows: int, each: int) -> DataFrame:
+    """Of every language its share of about ``fit_rows`` rows, but about ``each`` at least, or all it has.
+
+    Drawn by a hash of id and text, whatever the partitioning; rows alike in
+    both count once.
+    """
+    keyed = labelled.withColumn("key", F.xxhash64("doc_id", "text", F.lit("sample")))
+    found = keyed.select("lang", "key").distinct().groupBy("lang").count().collect()
+    total = sum(r["count"] for r in found)
+    cells = 1 << 30
+    wanted = [(r["lang"], cells if r["count"] <= (most := max(each, fit_rows * r["count"] / total))
+               else int(cells * most / r["count"])) for r in found]
+    limits = labelled.sparkSession.createDataFrame(wanted, "lang string, cells long")
+    return (keyed.join(F.broadcast(limits), "lang").where(F.pmod("key", F.lit(cells)) < F.col("cells"))
+            .dropDuplicates(["lang", "key"]))
+
+
+def fit_language_model(docs: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None,
+                       each: int = FIT_EACH) -> LanguageModel:
     """Fit on the labelled rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds."""
     labelled = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = labelled.where(~held_out(F.col("doc_id")) if learn is None else learn)
-    small = bounded_sample(labelled, F.col("doc_id"), fit_rows)
-    got = small.select("doc_id", "text", "lang").toPandas()
+    got = sample_of_each(labelled, fit_rows, each).select("doc_id", "text", "lang").toPandas()
     got = got.sort_values(["doc_id", "lang", "text"], kind="stable")
-    return fit(got["text"].tolist(), got["lang"].tolist())
+    return fit(got["text"].tolist(), got["lang"].tolist(), *document_counts(labelled))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -39,6 +39,40 @@ def test_language_edge_rows(edge_docs, no_docs, documents):
     assert {r.lang_pred for r in lang_id.identify(unlabelled).collect()} == {"und"}
 
 
+def with_greek(spark, documents, ids):
+    words = "και το να του η της με που την από για είναι στο θα τα οι δεν".split()
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words, 80)), "el", "src1", 1) for i in ids]
+    return documents.unionByName(spark.createDataFrame(rows, documents.schema))
+
+
+def test_language_rare_in_a_large_table_is_learnt(spark, documents):
+    ids = [i for i in range(700_000, 700_100) if fold(i, 3) != 1][:6] + [None, None]
+    docs = with_greek(spark, documents, ids)
+    model = lang_id.fit_language_model(docs, fit_rows=40)  # 1 row of 17 is drawn, of all languages together
+    assert set(model.labels) == {"de", "el", "en", "es", "fr"}
+    rows = lang_id.predict_languages(docs.where("lang = 'el'"), model).collect()
+    assert len(rows) == 8 and {r.lang_pred for r in rows} == {"el"}
+
+
+def test_language_sample_is_bounded_for_each_language(spark, documents):
+    copies = spark.range(3000).selectExpr("cast(null as long) doc_id", "'και το να' text", "'el' lang", "'src1' source", "9L n_chars")
+    sample = lang_id.sample_of_each(documents.unionByName(copies), 100, 20)
+    seen = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert seen["el"] == 1 and all(8 <= seen[x] <= 130 for x in ("de", "en", "es", "fr"))
+    again = lang_id.sample_of_each(documents.unionByName(copies).repartition(7), 100, 20)
+    assert sorted(r.key for r in sample.collect()) == sorted(r.key for r in again.collect())
+
+
+def test_language_document_counts_cover_all_rows(documents):
+    df, n = lang_id.document_counts(documents.repartition(5))
+    texts = [r.text for r in documents.collect()]
+    want = np.zeros(lang_id.SIZE, int)
+    for f, _ in lang_id.sparse_rows(pa.array(texts, pa.string())):
+        want[f] += 1
+    assert n == len(texts) and (df == want).all()
+
+
 def test_language_batches_do_not_matter(documents):
     model = lang_id.fit_language_model(documents)
     texts = [r.text for r in documents.orderBy("doc_id").limit(40).collect()] + ["", None, "ok", "😀 字"]
