@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's documents:
 
 1. language ID: documents without a letter, or whose language stays open
-   (calibrated score under 0.3), go;
+   (calibrated score under 0.3, or 3-grams that are not those of the predicted
+   language), go;
 2. exact dedup: of equal texts the row with the smallest doc_id stays;
 3. n-gram Jaccard join (five words, 0.8): of each component of near
    duplicates one document stays;

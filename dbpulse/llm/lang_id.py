@@ -12,7 +12,14 @@ language its share of about ``fit_rows`` rows, but ``each`` rows at least or all
 it has, drawn by a hash of id and text, a repeated row once. A temperature,
 fitted on every fifth row of each language's sample, calibrates the scores.
 
-A prediction sums looked-up weights over the text's n-grams, in numpy.
+A prediction sums looked-up weights over the text's n-grams, in numpy. The
+scores of a text add up to 1, also where no learnt language fits. So a text
+has a second number, ``fit``: how likely its 3-grams are in the predicted
+language (mean log frequency, from the sample), less what the language's own
+texts have, in standard deviations for a text of that length. What is usual
+comes from the sample's rows, each judged by counts without its own, and so
+does the cutoff of the filter: the ``REJECT_SHARE`` quantile less
+``REJECT_MARGIN``. It works alike for one language or many.
 
 Defined cases: null text or text without a letter: ``und``, score 0; no
 labelled row at all: every text is ``und``; labels with one value only: that
@@ -39,7 +46,9 @@ LENGTHS = (1, 2, 3)
 SIZE = len(LENGTHS) << BITS
 FIT_ROWS = 6000      # the fitting sample, dealt to the languages by their shares ...
 FIT_EACH = 200       # ... but of each language so many rows at least, or all it has
-REJECT_BELOW = 0.3   # the filter keeps a document from this score on
+REJECT_BELOW = 0.3   # the filter keeps a document from this score on ...
+REJECT_SHARE = 0.001  # ... whose fit is above this share's of the sample's rows ...
+REJECT_MARGIN = 1.0   # ... less so many standard deviations
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +116,67 @@ def features(points: np.ndarray, edges: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
+@dataclass
+class Typical:
+    """What 3-grams a language's texts have: log frequencies by (feature, label), and for each
+    label the usual mean, variance in a text and variance between texts; the filter's cutoff."""
+
+    logs: np.ndarray
+    mean: np.ndarray
+    within: np.ndarray
+    between: np.ndarray
+    cutoff: float = -np.inf
+
+    def fits(self, row: np.ndarray, feature: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The fit of texts to their ``label`` from (row, hashed feature) of their 3-grams."""
+        n = np.bincount(row, minlength=len(label))
+        logs = self.logs[feature - (2 << BITS), label[row]]
+        return self.scaled(np.bincount(row, weights=logs, minlength=len(label)) / np.maximum(n, 1), n, label)
+
+    def scaled(self, value: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
+        # neighbouring 3-grams share letters, so three of them count as one
+        spread = np.sqrt(self.within[label] * 3 / np.maximum(n, 1) + self.between[label])
+        return np.where(n > 0, (value - self.mean[label]) / np.maximum(spread, 1e-9), 0.0)
+
+
+def fit_typical(texts: list[str], y: np.ndarray, classes: int) -> Typical:
+    """From a sample's texts and labels; each text is judged by the others of its language."""
+    size = 1 << BITS
+    counts = np.zeros((size, classes))
+    rows = []
+    for s in range(0, len(texts), 200):
+        part = pa.array(texts[s:s + 200], pa.string())
+        row, feature = features(*letters(part))[2]
+        cuts = np.searchsorted(row, np.arange(len(part) + 1))
+        for i in range(len(part)):
+            f, n = np.unique(feature[cuts[i]:cuts[i + 1]] - (2 << BITS), return_counts=True)
+            rows.append((f, n))
+            counts[f, y[s + i]] += n
+    # an unseen 3-gram counts as half a seen one
+    totals = counts.sum(0)
+    logs = np.log((counts + 0.5) / (totals + 0.5 * size)).astype(np.float32)
+    value, square, length = np.zeros(len(rows)), np.zeros(len(rows)), np.array([n.sum() for _, n in rows])
+    for i, (f, n) in enumerate(rows):
+        if length[i]:
+            log = np.log((counts[f, y[i]] - n + 0.5) / (totals[y[i]] - length[i] + 0.5 * size))
+            value[i] = (n * log).sum() / length[i]
+            square[i] = (n * (log - value[i]) ** 2).sum() / length[i]
+    full = length > 0
+    mean, within, between = np.zeros(classes), np.zeros(classes), np.zeros(classes)
+    for c in range(classes):
+        own = full & (y == c)
+        if own.any():
+            mean[c] = np.average(value[own], weights=length[own])
+            within[c] = np.average(square[own], weights=length[own])
+            between[c] = np.average((value[own] - mean[c]) ** 2, weights=length[own])
+    # a language of few texts says little about how they differ
+    typical = Typical(logs, mean, within, np.maximum(between, np.median(between)))
+    if full.any():
+        fits = typical.scaled(value, length, y)[full]
+        typical.cutoff = float(np.quantile(fits, REJECT_SHARE, method="lower")) - REJECT_MARGIN
+    return typical
+
+
 @dataclass
 class LanguageModel:
     """Weights by (feature, label); they hold the inverse document frequencies and the temperature."""
@@ -114,13 +184,18 @@ class LanguageModel:
     labels: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    typical: Typical | None = None
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts, fit=False)[:2]
+
+    def judge(self, texts: pa.Array, fit: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and (if asked for) fit of each text."""
         points, edges = letters(texts)
         rows = len(edges) - 1
         letter = np.add.reduceat((points != 32).astype(np.int64), edges[:-1]) if rows else np.zeros(0, np.int64)
         if not self.labels:
-            return ["und"] * rows, np.zeros(rows)
+            return ["und"] * rows, np.zeros(rows), np.zeros(rows)
         z = np.tile(self.bias, (rows, 1))
         for row, feature in features(points, edges):
             counts = np.bincount(row, minlength=rows)
@@ -132,8 +207,9 @@ class LanguageModel:
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
         known = letter > 0
+        fits = self.typical.fits(row, feature, best) if fit and self.typical else np.zeros(rows)
         return ([self.labels[b] if k else "und" for b, k in zip(best, known)],
-                np.where(known, p[np.arange(rows), best], 0.0))
+                np.where(known, p[np.arange(rows), best], 0.0), fits)
 
 
 def sparse_rows(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -196,12 +272,13 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
 def fit(texts: list[str | None], langs: list[str], df: np.ndarray, documents: int) -> LanguageModel:
     """A model from a sample of labelled texts and the document frequencies ``df`` of all ``documents``."""
     labels = sorted(set(langs))
+    y = np.array([labels.index(x) for x in langs], np.int64)
+    typical = fit_typical(texts, y, len(labels)) if labels else None
     if len(labels) < 2:
-        return LanguageModel(labels, np.zeros((SIZE, len(labels))), np.zeros(len(labels)))
+        return LanguageModel(labels, np.zeros((SIZE, len(labels))), np.zeros(len(labels)), typical)
     rows = []
     for s in range(0, len(texts), 200):
         rows += sparse_rows(pa.array(texts[s:s + 200], pa.string()))
-    y = np.array([labels.index(x) for x in langs])
     idf = np.log((1 + documents) / (1 + df)) + 1
     rows = [(f, x * idf[f]) for f, x in rows]
     held = np.zeros(len(rows), bool)
@@ -211,7 +288,7 @@ def fit(texts: list[str | None], langs: list[str], df: np.ndarray, documents: in
     w, b = fit_ftrl(learn, y[~held], len(labels))
     scores = np.array([x @ w[f] + b for (f, x), h in zip(rows, held) if h])
     t = fit_temperature(scores, y[held])
-    return LanguageModel(labels, (w * idf[:, None] / t).astype(np.float32), b / t)
+    return LanguageModel(labels, (w * idf[:, None] / t).astype(np.float32), b / t, typical)
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
@@ -292,8 +369,9 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
 def keep_identified(docs: DataFrame, fit_rows: int = FIT_ROWS, reject_below: float = REJECT_BELOW) -> DataFrame:
     """``docs``, all columns, without the rows whose language stays open
-    (``und``, or a score under ``reject_below``)."""
+    (``und``, a score under ``reject_below``, or a fit under the model's cutoff)."""
     model = fit_language_model(docs, fit_rows)
+    cutoff = model.typical.cutoff if model.typical else -np.inf
 
     @F.pandas_udf("boolean")
     def known(texts):
@@ -303,8 +381,9 @@ def keep_identified(docs: DataFrame, fit_rows: int = FIT_ROWS, reject_below: flo
         whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
         at = 0
         for part in slices([whole], "text"):
-            langs, scores = model.predict(part.column(0))
-            out[at:at + len(langs)] = [lang != "und" and s >= reject_below for lang, s in zip(langs, scores)]
+            langs, scores, fits = model.judge(part.column(0))
+            known_langs = np.array([lang != "und" for lang in langs], bool)
+            out[at:at + len(langs)] = known_langs & (scores >= reject_below) & (fits >= cutoff)
             at += len(langs)
         return pd.Series(out)
 

@@ -90,6 +90,22 @@ def test_language_filter_keeps_clean_documents(documents, edge_docs):
     assert 10 not in ids and 3 not in ids and 4 not in ids
 
 
+ITALIAN = ("la casa di mio nonno era sulla collina e ogni mattina il sole entrava dalle finestre mentre noi bambini "
+           "correvamo nel giardino con gli altri ragazzi del paese che venivano a giocare fino a sera quando la nonna "
+           "ci chiamava per la cena")
+
+
+@pytest.mark.parametrize("langs", [["en"], ["en", "de"], ["de", "en", "es", "fr"]])
+def test_language_filter_drops_what_fits_no_learnt_language(spark, documents, langs):
+    rng = np.random.default_rng(8)
+    junk = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60))
+    planted = [(900_000 + i, t, None, "src1", 9) for i, t in enumerate([ITALIAN, junk, "και το να του η της με που " * 5])]
+    own = documents.where(documents.lang.isin(langs))
+    kept = lang_id.keep_identified(own.unionByName(spark.createDataFrame(planted, documents.schema)))
+    assert kept.where("doc_id >= 900000").count() == 0
+    assert kept.count() >= 0.995 * own.count()
+
+
 def test_temperature_and_ftrl():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 3000)
