@@ -8,9 +8,13 @@ column pruning and filter pushdown reach the Parquet scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from dbpulse.sources import history
+
 L, I, S, TS, B, F32, BIN = (T.LongType(), T.IntegerType(), T.StringType(), T.TimestampNTZType(),
                             T.BooleanType(), T.FloatType(), T.BinaryType())
 KEYS = [T.StructField("instance_id", S, False), T.StructField("collection_time", TS, False)]
@@ -116,6 +120,19 @@ def load_sources(spark: SparkSession, root: str, names=None) -> dict[str, DataFr
     return out
 
 
+def snapshot_loaders(root: str, names=None) -> dict[str, Callable[[SparkSession], DataFrame | None]]:
+    """For each source a function that reads ``<root>/<name>`` anew, None
+    while there is no such folder (``processes`` is left out unless named)."""
+    def loader(name: str):
+        path = f"{root.rstrip('/')}/{name}"
+
+        def load(spark: SparkSession) -> DataFrame | None:
+            fs, folder, _ = history._fs(spark, path)
+            return load_source(spark, name, path) if fs.exists(folder) else None
+        return load
+    return {n: loader(n) for n in names or [n for n in SCHEMAS if n != "processes"]}
+
+
 def _make_loader(name: str):
     def loader(spark: SparkSession, path: str) -> DataFrame:
         return load_source(spark, name, path)

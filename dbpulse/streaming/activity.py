@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -177,7 +178,38 @@ def collect_batches(stream: DataFrame, build: Callable[[DataFrame], DataFrame],
     return w.start()
 
 
-def collect_activity_stream(processes: DataFrame, other_sources: dict, path: str, checkpoint: str,
+def sources_of_batch(batch: DataFrame, other_sources: Mapping) -> dict[str, DataFrame]:
+    """The other sources as they are now, cut to the span of the batch's
+    collection times by filters that reach the scan (and the folders, where
+    a source is partitioned by ``collection_date``). A loader may give None:
+    no such source yet."""
+    t = F.col("collection_time")
+    ntz, ts = t.cast("timestamp_ntz"), F.unix_micros(t.cast("timestamp"))
+    span = batch.agg(F.min(ntz).cast("string").alias("ntz_from"), F.max(ntz).cast("string").alias("ntz_to"),
+                     F.min(ts).alias("ts_from"), F.max(ts).alias("ts_to")).first()
+    out = {}
+    for name, source in other_sources.items():
+        df = source(batch.sparkSession) if callable(source) else source
+        if df is None:
+            continue
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        kind = kinds.get("collection_time")
+        if isinstance(kind, T.TimestampNTZType):
+            low, high = (F.lit(span[x]).cast("timestamp_ntz") for x in ("ntz_from", "ntz_to"))
+            df = df.where(t.between(low, high))
+        elif isinstance(kind, T.TimestampType):
+            df = df.where(t.between(*(F.timestamp_micros(F.lit(span[x]).cast("bigint")) for x in ("ts_from", "ts_to"))))
+        if kind is not None and isinstance(kinds.get("collection_date"), T.DateType):
+            # a day more on each side, as the writer may have had another time zone
+            low, high = (F.lit(span[x]).cast("timestamp_ntz").cast("date") for x in ("ntz_from", "ntz_to"))
+            df = df.where(F.col("collection_date").between(F.date_sub(low, 1), F.date_add(high, 1)))
+        out[name] = df
+    return out
+
+
+def collect_activity_stream(processes: DataFrame,
+                            other_sources: Mapping[str, Callable[[SparkSession], DataFrame | None] | DataFrame],
+                            path: str, checkpoint: str,
                             options=None, retention_days: int | None = 30,
                             trigger_seconds: int | None = 60, query_name: str | None = None):
     """T3 + T5 for the activity report: process rows of new snapshots
@@ -185,6 +217,12 @@ def collect_activity_stream(processes: DataFrame, other_sources: dict, path: str
     time); every other source is a lake table joined on the same keys, so
     each micro-batch reports exactly the snapshots it brought. Rows are
     written by name in the history shape, with retention after each batch.
+
+    ``other_sources`` holds loaders (``sources.snapshots.snapshot_loaders``),
+    called for every batch, so files that came after the start are seen; the
+    collector writes a snapshot's processes last. A DataFrame in place of a
+    loader stands for a table that no longer changes: it keeps its first list
+    of files.
     """
     from dbpulse.plans.options import ReportOptions
     from dbpulse.plans.report import activity_report
@@ -192,9 +230,12 @@ def collect_activity_stream(processes: DataFrame, other_sources: dict, path: str
 
     o = options or ReportOptions(get_transaction_info=True, get_outer_command=True, get_plans=1,
                                  format_output=0, output_column_list="[%]", sort_order="")
+    fixed = sorted(n for n, x in other_sources.items() if not callable(x))
+    if fixed:
+        warnings.warn(f"read once, later files are not seen: {', '.join(fixed)}", stacklevel=2)
 
     def build(batch: DataFrame) -> DataFrame:
-        rep = activity_report({**other_sources, "processes": batch}, o, materialize=False)
+        rep = activity_report({**sources_of_batch(batch, other_sources), "processes": batch}, o, materialize=False)
         return (rep.withColumn("elapsed_text",
                                S.elapsed_text(S.elapsed_ms(F.col("start_time"), F.col("collection_time"))))
                 .withColumn("collection_date", F.to_date("collection_time")))

@@ -107,3 +107,62 @@ def test_activity_stream_equals_batch(spark, scratch):
     g = sorted((tuple(r) for r in got.select(*cols).collect()), key=repr)
     w = sorted((tuple(r) for r in want.select(*cols).collect()), key=repr)
     assert len(g) == len(w) > 0 and g == w
+
+
+def test_activity_stream_sees_files_written_after_the_start(spark, scratch):
+    import os
+    from dbpulse.sources import history
+    from dbpulse.streaming.activity import collect_activity_stream
+    snaps = [("a", T1), ("a", T2)]
+    src = sources(spark, snaps)
+    procs = src.pop("processes")
+    src = {n: src[n] for n in ("sessions", "requests", "active_transactions", "database_transactions",
+                                "session_transactions")}
+    lake = os.path.join(scratch, "lake")
+
+    def write(instance, time):
+        """One snapshot, its processes last."""
+        for name, df in [*src.items(), ("processes", procs)]:
+            one = df.filter((F.col("instance_id") == instance) & (F.col("collection_time") == F.lit(time).cast("timestamp_ntz")))
+            one.coalesce(1).write.mode("append").parquet(os.path.join(lake, name))
+
+    def loader(name):
+        return lambda s: s.read.schema(src[name].schema).parquet(os.path.join(lake, name))
+
+    write(*snaps[0])
+    stream = spark.readStream.schema(procs.schema).parquet(os.path.join(lake, "processes"))
+    o = ReportOptions(get_task_info=0, get_transaction_info=True, format_output=0, output_column_list="[%]", sort_order="")
+    out = os.path.join(scratch, "hist")
+    q = collect_activity_stream(stream, {n: loader(n) for n in src}, out, os.path.join(scratch, "ckpt"), options=o,
+                                retention_days=None, trigger_seconds=None)
+    q.processAllAvailable()
+    write(*snaps[1])
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(out).drop("_batch_id")
+    batch = report.activity_report({**src, "processes": procs}, o, materialize=False)
+    want = history._conform(batch.withColumn("collection_date", F.to_date("collection_time")),
+                            history.ACTIVITY_HISTORY_SCHEMA)
+    cols = [c for c in want.columns if c != "elapsed_text"]
+    g = sorted((tuple(r) for r in got.select(*cols).collect()), key=repr)
+    w = sorted((tuple(r) for r in want.select(*cols).collect()), key=repr)
+    assert len(g) == len(w) > 0 and g == w
+    late = got.filter(F.col("collection_time") == F.lit(T2).cast("timestamp_ntz"))
+    assert late.filter("reads is not null").count() > 0 and late.filter("tran_start_time is not null").count() > 0
+
+
+def test_sources_of_a_batch_are_pruned(spark, scratch):
+    import os
+    from dbpulse.sources.snapshots import snapshot_loaders
+    from dbpulse.streaming.activity import sources_of_batch
+    src = sources(spark, [("a", T1), ("a", T2)])
+    load = snapshot_loaders(scratch, ["tasks", "locks"])
+    src["tasks"].withColumn("collection_date", F.to_date("collection_time")).write.parquet(os.path.join(scratch, "tasks"))
+    batch = src["processes"].filter(F.col("collection_time") == F.lit(T2).cast("timestamp_ntz"))
+    got = sources_of_batch(batch, load)
+    assert set(got) == {"tasks"}
+    assert {r[0] for r in got["tasks"].select("collection_time").distinct().collect()} == {T2}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = got["tasks"].select("session_id")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(collection_time" in plan and "LessThanOrEqual(collection_time" in plan
