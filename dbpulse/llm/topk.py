@@ -7,7 +7,7 @@ every block of queries meets every block of candidates once in each of two
 passes (a cogroup by the pair of blocks):
 
 1. Each list gives its best k local scores for each query, and its least one.
-   The candidates so gathered are scored in full; the k-th best of these
+   The full scores of the candidates so gathered are taken; the k-th best of these
    scores is a safe cutoff: the true k-th score is no lower. (Local scores
    may be negative, so they count from their list's least.)
 2. The cutoff goes back to the blocks, joined by query: each list gives all
@@ -15,7 +15,11 @@ passes (a cogroup by the pair of blocks):
    cannot reach the cutoff.
 3. Of the entries' candidates, those whose known local scores plus the
    threshold for the lists that did not give them can still reach the cutoff
-   are scored in full, and the best k of all blocks are the answer.
+   are ranked by their full scores, and the best k of all blocks are the answer.
+
+The local scores of a pair of blocks are computed whole, in matrix products,
+in each of the two passes, and their sum is every full score: the phases
+choose which of these are compared and returned, they save no products.
 
 Defined cases: vectors that are null, or hold a null, NaN or infinite
 component, take no part; vectors of different lengths are no candidates of
