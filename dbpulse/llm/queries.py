@@ -121,6 +121,49 @@ def op10_language(spark, sf_dir):
     return identify(load_table(spark, sf_dir, "documents"))
 
 
+@register("op11_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+         CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND a.vec_id % 50 = 0 AND len(a.v) = len(c.v)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         ROW_NUMBER() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike
+    AND 100 * s.score BETWEEN 50 * p.positive_score AND 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3
+""")
+def op11_hard_negatives(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from dbpulse.llm.common import pick
+    from dbpulse.llm.hard_negatives import hard_negatives
+
+    rows = pick(load_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    noisy = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
+                            .otherwise(F.col("label")))
+    return hard_negatives(noisy, "vec_id", "embedding", "label", F.col("id") % 50 == 0)
+
+
+@register("op12_binary_index")
+def op12_binary_index(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from dbpulse.llm.binary_index import nearest
+
+    return nearest(load_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
