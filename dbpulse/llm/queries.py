@@ -164,6 +164,46 @@ def op12_binary_index(spark, sf_dir):
     return nearest(load_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
 
 
+@register("op13_phrases", r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+n AS (SELECT lang, CAST(SUM(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2),
+                                        lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 5)) AS k)),
+f AS (SELECT lang, k, phrase, COUNT(*) AS f FROM g GROUP BY ALL HAVING COUNT(*) >= 30),
+c AS (
+  SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS at
+  FROM f WHERE k >= 2),
+s AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, c.at,
+         CAST((2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.at], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.at + 1:], ' ')
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.at) = 1),
+p AS (
+  SELECT lang, f, string_split(phrase, ' ') AS ws, k, unnest(range(2, k)) AS size FROM f WHERE k >= 3),
+h AS (
+  SELECT lang, phrase, MAX(f) AS holder FROM (
+    SELECT lang, f, unnest(list_transform(range(1, k - size + 2),
+                                          lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM p)
+  GROUP BY lang, phrase)
+SELECT s.lang, ROW_NUMBER() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank,
+       s.phrase, s.a, s.l, s.r, n.n, s.score
+FROM s JOIN n ON n.lang = s.lang LEFT JOIN h ON h.lang = s.lang AND h.phrase = s.phrase
+WHERE h.holder IS NULL OR 100::HUGEINT * h.holder < 80::HUGEINT * s.a
+QUALIFY rank <= 2000
+""")
+def op13_phrases(spark, sf_dir):
+    from dbpulse.llm.phrases import collocations
+
+    return collocations(load_table(spark, sf_dir, "documents"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
