@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from dbpulse.sources import history
 from dbpulse.streaming.activity import collect_batches, minute_activity, minute_activity_stream
 
-from conftest import SF_SMOKE
+from lake_paths import SF_SMOKE
 
 
 def test_first_row_wins_idempotent(spark):

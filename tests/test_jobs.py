@@ -7,7 +7,7 @@ from dbpulse.plans import jobs
 from dbpulse.plans.queries_core import report_sources
 from dbpulse.sources.fixtures import fixture
 
-from conftest import SF_SMOKE
+from lake_paths import SF_SMOKE
 
 
 def test_wait_rollup_job_idempotent_with_retention(spark, scratch):

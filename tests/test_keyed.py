@@ -11,7 +11,7 @@ from dbpulse.plans.queries_core import _REPORT_SOURCES
 from dbpulse.sources.fixtures import fixture
 from dbpulse.sources.snapshots import load_processes
 
-from conftest import SF_SMOKE
+from lake_paths import SF_SMOKE
 
 T1 = dt.datetime(1998, 8, 3, 12, 0)
 T2 = dt.datetime(1998, 8, 3, 12, 1)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from dbpulse.functions.scalars import like
 from dbpulse.operators import maintain
 
-from conftest import SF_SMOKE
+from lake_paths import SF_SMOKE
 
 
 def test_compaction_bands_and_rewrite(spark, scratch):

@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from dbpulse.plans import catalog
 from dbpulse.sources.tables import TABLES, table_path
 
-from conftest import SF_SMOKE
+from lake_paths import SF_SMOKE
 
 catalog.load_all()
 ORACLES, QUERIES = catalog.ORACLES, catalog.QUERIES

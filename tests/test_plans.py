@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 from dbpulse.plans import catalog
 
-from conftest import SF_SMOKE
+from lake_paths import SF_SMOKE
 
 catalog.load_all()
 QUERIES = catalog.QUERIES

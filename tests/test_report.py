@@ -5,7 +5,7 @@ from dbpulse.plans import report
 from dbpulse.plans.options import ReportOptions
 from dbpulse.sources.history import result_schema_ddl
 
-from conftest import SF_SMOKE
+from lake_paths import SF_SMOKE
 
 
 def test_select_columns_default_and_patterns():
