@@ -3,9 +3,9 @@
 
 Both are iterative. Where every session has at most one blocker, the counts
 below each session come from pointer doubling: one row per session in every
-round, and as many rounds as the logarithm of the deepest chain. Sessions
-with several blockers are walked level by level. Rounds are written to the
-session's shared checkpoint folder, so the plan never grows with their
+round, and as many rounds as the logarithm of the deepest chain. Where
+sessions have several blockers, sets of sessions as 64-bit words take the
+rows' place. Rounds are written to the session's shared checkpoint folder, so the plan never grows with their
 number and a lost executor re-reads a round instead of recomputing all
 earlier ones. No round number is capped: both loops end on every finite
 graph.
@@ -62,7 +62,8 @@ def _cycle_nodes(edges: DataFrame, keys: list[str]) -> DataFrame:
     edges leaves exactly the ring nodes as ends; the least node met on the
     way names a ring.
     """
-    total = edges.count()
+    # no ring is longer than the largest snapshot has edges
+    total = (edges.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) if keys else edges.count()
     now = cut_lineage(edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up"),
                                    F.col("child").alias("least")))
     span = 1
@@ -91,19 +92,46 @@ def _functional_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.col("node").alias("session_id"), (F.coalesce("_ring", "size") - 1).alias("blocked_session_count"))
 
 
-def _walked_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for any graph, by walking the distinct (root, node) pairs down."""
-    frontier = cut_lineage(edges.select(*keys, F.col("parent").alias("root"), F.col("child").alias("node"))
-                           .filter(F.col("root") != F.col("node")))
-    reached = frontier
-    while not frontier.isEmpty():
-        step = (frontier.join(edges.withColumnRenamed("parent", "node"), on=[*keys, "node"])
-                .select(*keys, "root", F.col("child").alias("node"))
-                .filter(F.col("root") != F.col("node")).distinct())
-        frontier = cut_lineage(step.join(reached, on=[*keys, "root", "node"], how="left_anti"))
-        reached = reached.unionByName(frontier)
-    return (reached.groupBy(*keys, F.col("root").alias("session_id"))
-            .agg(F.count(F.lit(1)).alias("blocked_session_count")))
+def _bits(column: str) -> F.Column:
+    """The positions of the ones of a 64-bit word."""
+    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col(column), i) == 1)
+
+
+def _bitmap_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for any graph, by reachability bitmaps.
+
+    A set of sessions is held in 64-bit words: (word, bits) for the sessions
+    word * 64 + bit. After round k each session has two sets: ``in`` (reached
+    in fewer than 2^k steps) and ``at`` (by a walk of exactly 2^k steps). The
+    next round looks up both sets of every session in ``at`` and ORs them in,
+    so the number of rounds is the logarithm of the longest shortest path, in
+    rings too, and the ORs combine map-side. A round without a new bit ends it.
+    """
+    node = [*keys, "node"]
+    word = (F.shiftright("child", 6).alias("word"),
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("child").bitwiseAND(63).cast("int"))).alias("bits"))
+    at = (edges.groupBy(*keys, F.col("parent").alias("node"), word[0]).agg(word[1]).withColumn("kind", F.lit("at")))
+    now = cut_lineage(at.unionByName(at.withColumn("kind", F.lit("in"))))
+    held = None
+    while True:
+        # ``in`` counts what is reached in at most 2^k steps from here on
+        state = now.where("kind = 'in'").agg(F.count(F.lit(1)), F.sum(F.bit_count("bits"))).first()
+        if state[1] == held:
+            break
+        held = state[1]
+        via = (now.where("kind = 'at'").select(*node, "word", F.explode(_bits("bits")).alias("_b"))
+               .select(*node, (F.shiftleft("word", 6) + F.col("_b")).alias("_via")))
+        there = now.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node").alias("_node"), "word", "bits", "kind")
+        met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_via") == F.col("_node")]
+        further = via.join(there, on=met).select(*node, "word", "bits", "kind")
+        after = cut_lineage(now.where("kind = 'in'").unionByName(further)
+                            .groupBy(*node, "word", "kind").agg(F.bit_or("bits").alias("bits")))
+        drop_table(now)
+        now = after
+    own = F.when(F.shiftright("node", 6) == F.col("word"),
+                 F.getbit("bits", F.col("node").bitwiseAND(63).cast("int"))).otherwise(F.lit(0))
+    return (now.where("kind = 'in'").groupBy(*keys, F.col("node").alias("session_id"))
+            .agg(F.sum(F.bit_count("bits") - own).alias("blocked_session_count")))
 
 
 def block_leaders(sessions: DataFrame, keys: Sequence[str] = (), blocker_col: str = "blocked") -> DataFrame:
@@ -112,8 +140,9 @@ def block_leaders(sessions: DataFrame, keys: Sequence[str] = (), blocker_col: st
     itself, so cycles terminate.
 
     Returns (keys, session_id, blocked_session_count) for every session.
-    Snapshots in which some session has several blockers are walked pair by
-    pair, all others are counted by doubling, one row per session.
+    Snapshots in which some session has several blockers are counted by
+    bitmaps of the sessions reached, all others by doubling, one row per
+    session; both take as many rounds as the logarithm of the longest chain.
     """
     keys = list(keys)
     edges = cut_lineage(blocking_edges(sessions, keys, blocker_col))
@@ -122,10 +151,10 @@ def block_leaders(sessions: DataFrame, keys: Sequence[str] = (), blocker_col: st
     if several.isEmpty():
         counts = _functional_counts(edges, keys)
     elif not keys:
-        counts = _walked_counts(edges, keys)
+        counts = _bitmap_counts(edges, keys)
     else:
         counts = _functional_counts(cut_lineage(edges.join(several, on=keys, how="left_anti")), keys).unionByName(
-            _walked_counts(cut_lineage(edges.join(several, on=keys, how="left_semi")), keys))
+            _bitmap_counts(cut_lineage(edges.join(several, on=keys, how="left_semi")), keys))
     nodes = sessions.select(*keys, "session_id").distinct()
     return (nodes.join(counts, on=[*keys, "session_id"], how="left")
             .withColumn("blocked_session_count",

@@ -44,6 +44,7 @@ def session_filter(df: DataFrame, *, include: tuple[str, object] | None = None,
     """P2-P8 in one ``filter``.
 
     ``show_sleeping``: 0 none, 1 only with an open transaction, 2 all.
+    System sessions that the list of sources names (``named``, J15) are shown.
     ``forced`` (P8) is a DataFrame of (keys, session_id) that bypass the
     filters — the blockers of collected sessions; it is applied through a
     left-semi join so nothing is collected.
@@ -56,7 +57,8 @@ def session_filter(df: DataFrame, *, include: tuple[str, object] | None = None,
     if not show_own and own_session_id is not None:
         cond = cond & (F.col("session_id") != F.lit(own_session_id))
     if not show_system:
-        cond = cond & F.col("is_user_process")
+        own = F.col("is_user_process")
+        cond = cond & (own | F.col("named") if "named" in df.columns else own)
     if show_sleeping == 0:
         cond = cond & (F.col("status") != "sleeping")
     elif show_sleeping == 1:

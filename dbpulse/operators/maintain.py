@@ -144,26 +144,35 @@ def compaction_band(pct: float, low: float = 5, high: float = 30) -> str:
     return "coalesce" if pct <= high else "repartition"
 
 
-def text_lines(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               scrub: bool = True) -> DataFrame:
-    """M4 + C2: split whole texts into numbered lines, group consecutive
-    non-blank lines into blocks and copy each block's first line (its
-    header) to all of its lines (W15).
-
-    Lines are produced with ``posexplode`` inside the task that read the
-    text; the windows partition by document, so one task holds at most one
-    document's lines.
+def text_blocks(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                scrub: bool = True) -> DataFrame:
+    """M4 + C2: each text's blocks of consecutive non-blank lines, a row each:
+    (id, block_no, lines), lines an array of (line_no, line).
+
+    All of it happens inside the task that read the text, without an exchange
+    and in time linear in the text: its lines are numbered (a blank one
+    becomes ``-``, which no numbered line is), joined again and split at the
+    blank ones, so the place of a part is its block number.
     """
     t = S.scrub_control(F.col(text_col)) if scrub else F.col(text_col)
-    lines = texts.select(F.col(id_col), F.posexplode(F.split(t, "\n")).alias("pos", "raw"))
-    lines = lines.select(id_col, (F.col("pos") + 1).alias("line_no"), F.trim("raw").alias("line"))
-    doc = Window.partitionBy(id_col).orderBy("line_no")
-    blank = F.when(F.col("line") == "", 1).otherwise(0)
-    lines = lines.withColumn("block_no", F.sum(blank).over(doc.rowsBetween(Window.unboundedPreceding, 0)) + 1)
-    kept = lines.filter(F.col("line") != "")
-    blk = Window.partitionBy(id_col, "block_no")
-    return (kept.withColumn("line_in_block", F.row_number().over(blk.orderBy("line_no")))
-            .withColumn("header", F.max(F.when(F.col("line_in_block") == 1, F.col("line"))).over(blk)))
+    numbered = F.transform(F.split(t, "\n"), lambda x, i: F.when(F.trim(x) == "", F.lit("-")).otherwise(
+        F.concat((i + 1).cast("string"), F.lit("\t"), F.trim(x))))
+    blocks = texts.select(F.col(id_col), F.posexplode(F.split(F.array_join(numbered, "\n"), "(?md)^-$"))
+                          .alias("_block", "_text"))
+    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x != ""), lambda x: F.struct(
+        F.substring_index(x, "\t", 1).cast("int").alias("line_no"), F.substr(x, F.instr(x, "\t") + 1).alias("line")))
+    return (blocks.select(id_col, (F.col("_block") + 1).cast("bigint").alias("block_no"), lines.alias("lines"))
+            .where(F.size("lines") > 0))
+
+
+def text_lines(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               scrub: bool = True) -> DataFrame:
+    """M4 + W15: the lines of :func:`text_blocks`, numbered within their block,
+    each with its block's first line (the header) copied to it."""
+    blocks = text_blocks(texts, id_col, text_col, scrub)
+    return (blocks.select(id_col, "block_no", F.col("lines")[0]["line"].alias("header"),
+                          F.posexplode("lines").alias("_place", "_l"))
+            .select(id_col, "_l.line_no", "_l.line", "block_no", (F.col("_place") + 1).alias("line_in_block"), "header"))
 
 
 def compact_partitions(spark: SparkSession, path: str, partition_cols: Sequence[str],
@@ -222,12 +231,9 @@ def compact_partitions(spark: SparkSession, path: str, partition_cols: Sequence[
     return stats
 
 
-def block_pivot(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per block with its header and first detail line side by
-    side (conditional ``MIN(CASE ...)`` per group) and its line count."""
-    first = F.col("line_in_block") == 1
-    second = F.col("line_in_block") == 2
-    return (lines.groupBy(id_col, "block_no")
-            .agg(F.min(F.when(first, F.col("line"))).alias("header"),
-                 F.min(F.when(second, F.col("line"))).alias("first_detail"),
-                 F.count(F.lit(1)).alias("lines")))
+def block_pivot(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per block of :func:`text_blocks`, its two kinds of line
+    (header, first detail) side by side, and its line count."""
+    return blocks.select(id_col, "block_no", F.get("lines", F.lit(0))["line"].alias("header"),
+                         F.get("lines", F.lit(1))["line"].alias("first_detail"),
+                         F.size("lines").cast("bigint").alias("lines"))

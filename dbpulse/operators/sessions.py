@@ -3,6 +3,7 @@ session/request overlay (J2, J3, P9, C25)."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -11,23 +12,51 @@ from pyspark.sql import functions as F
 from dbpulse.functions import scalars as S
 
 
-def with_broker_labels(processes: DataFrame, broker_tasks: DataFrame,
-                       keys: Sequence[str] = ()) -> DataFrame:
-    """S16 + U2: sessions running an activated queue task show
-    ``Service Broker database_id: D queue_id: Q`` as their program name.
-    (The reference joins processes with a union of blockers, a wildcard
-    row and broker tasks — J15; here every process row is kept and the
-    broker rows are a left join on the session. The reference's label
-    carries a line break and its source indentation between the two parts;
-    a single space is used here.)"""
+def named_sources(keys: Sequence[str] = (), blockers: DataFrame | None = None,
+                  broker_tasks: DataFrame | None = None) -> DataFrame | None:
+    """The sessions that are asked for by name, as one relation (keys,
+    session_id, queue_id, queue_database_id): ``blockers`` found by an earlier
+    pass (no queue), and on the first pass the broker-activated tasks (S16).
+    None if there are neither."""
     keys = list(keys)
-    b = (broker_tasks.groupBy(*keys, "session_id")
-         .agg(F.max(F.concat(F.lit("Service Broker database_id: "),
-                             F.col("database_id").cast("string"), F.lit(" queue_id: "),
-                             F.col("queue_id").cast("string"))).alias("_broker")))
-    return (processes.join(b, on=[*keys, "session_id"], how="left")
-            .withColumn("program_name", F.coalesce(F.col("_broker"), F.col("program_name")))
-            .drop("_broker"))
+    parts = []
+    if blockers is not None:
+        parts.append(blockers.select(*keys, "session_id", F.lit(None).cast("bigint").alias("queue_id"),
+                                     F.lit(None).cast("bigint").alias("queue_database_id")).distinct())
+    if broker_tasks is not None:
+        parts.append(broker_tasks.select(*keys, "session_id", F.col("queue_id").cast("bigint").alias("queue_id"),
+                                         F.col("database_id").cast("bigint").alias("queue_database_id")))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def join_sources(processes: DataFrame, keys: Sequence[str] = (), blockers: DataFrame | None = None,
+                 broker_tasks: DataFrame | None = None, first_pass: bool = True) -> DataFrame:
+    """J15 + U2: processes joined to the list of sources on ``source = session
+    or (source = 0 and first pass)``.
+
+    The alternatives are two branches that share no pair: the wildcard row
+    (source 0, first pass only) meets every process without a join, and the
+    named sources meet theirs by an equi-join; so no nested loop is planned,
+    and one session with most of the rows is an ordinary skewed join key. A
+    process that both branches give has two rows, as the list names it twice;
+    :func:`collapse_processes` folds them. Adds ``queue_id``,
+    ``queue_database_id`` and ``named`` (asked for by name, so past the filter
+    on system sessions).
+    """
+    keys = list(keys)
+    named = named_sources(keys, None if first_pass else blockers, broker_tasks if first_pass else None)
+    branches = []
+    if first_pass:
+        branches.append(processes.withColumns({
+            "queue_id": F.lit(None).cast("bigint"), "queue_database_id": F.lit(None).cast("bigint"),
+            "named": F.lit(False)}))
+    if named is not None:
+        # 0 stands for the wildcard, which the other branch is
+        named = named.where(F.col("session_id") != 0) if first_pass else named
+        branches.append(processes.join(named, on=[*keys, "session_id"], how="inner").withColumn("named", F.lit(True)))
+    if not branches:
+        raise ValueError("a later pass needs the blockers it looks for")
+    return functools.reduce(DataFrame.unionByName, branches)
 
 
 def collapse_processes(processes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -39,12 +68,23 @@ def collapse_processes(processes: DataFrame, keys: Sequence[str] = ()) -> DataFr
     handle, memory and open-transaction values are then spread to every row
     of the request (W4) — the P6 sleeping filter must see the spread value.
     Both steps partition on (keys, session, request): one exchange.
+
+    Rows of :func:`join_sources` may carry a queue: its label ``Service Broker
+    database_id: D queue_id: Q`` takes part in the MAX of the program names
+    (with a space where the reference has a line break and indentation), and
+    ``named`` tells whether some row was asked for by name.
     """
     keys = list(keys)
     p = processes
     req = F.when(F.col("status") == "sleeping", F.lit(0)).otherwise(F.col("request_id")).cast("bigint")
     blk = F.coalesce(F.nullif(F.col("blocked"), F.col("session_id")), F.lit(0))
     has_handle = "sql_handle" in p.columns
+    has_source = "queue_id" in p.columns
+    program = F.rtrim("program_name")
+    if has_source:
+        label = F.concat(F.lit("Service Broker database_id: "), F.col("queue_database_id").cast("string"),
+                         F.lit(" queue_id: "), F.col("queue_id").cast("string"))
+        program = F.when(F.col("queue_id").isNotNull(), label).otherwise(program)
     grouped = (p.withColumn("request_id", req)
                 .withColumn("blocked", blk)
                 .withColumn("wait_type", F.rtrim("wait_type"))
@@ -60,7 +100,8 @@ def collapse_processes(processes: DataFrame, keys: Sequence[str] = ()) -> DataFr
                         .alias("sql_handle")] if has_handle else []),
                      F.max(F.rtrim("host_name")).alias("host_name"),
                      F.max(F.rtrim("login_name")).alias("login_name"),
-                     F.max(F.rtrim("program_name")).alias("program_name"),
+                     F.max(program).alias("program_name"),
+                     *([F.max("named").alias("named")] if has_source else []),
                      F.max("database_id").alias("database_id"),
                      F.max("memory_usage").alias("memory_usage"),
                      F.max("open_tran_count").alias("open_tran_count"),

@@ -31,28 +31,35 @@ def transaction_summary(active: DataFrame, database_tx: DataFrame, session_tx: D
     a = active
     if last_collection_start is not None:
         a = a.filter(F.col("transaction_begin_time") <= last_collection_start)
+    per_tran = [*keys, "transaction_id"]
     s_tran = database_tx.filter(F.col("database_id") < 32767)
-    tx = (s_tran.join(a.select(*keys, "transaction_id"), on=[*keys, "transaction_id"], how="inner")
-          .join(session_tx.select(*keys, "transaction_id", F.col("session_id").alias("_owner")),
-                on=[*keys, "transaction_id"], how="left"))
+    # J9 + A5, first half: one row per transaction and database, before any join
+    per_db = (s_tran.join(a.select(*per_tran).distinct(), on=per_tran, how="left_semi")
+              .groupBy(*per_tran, "database_id")
+              .agg(F.sum("log_record_count").alias("_records"), F.sum("log_bytes_used").alias("_bytes"),
+                   F.min("database_transaction_begin_time").alias("_begin")))
+    # Each side is brought to one candidate per transaction before they
+    # meet: the lowest request that names it, and the lowest request of each
+    # owner; an owner's requests are never paired with its transactions
+    lowest = F.min(F.struct("request_id", "session_id"))
     sess = sessions.select(*keys, "session_id", "request_id", "transaction_id")
-    by_tran = (tx.select(*keys, "transaction_id").distinct()
-               .join(sess, on=[*keys, "transaction_id"], how="inner")
-               .select(*keys, "transaction_id", "session_id", "request_id"))
-    owners = tx.select(*keys, "transaction_id", "_owner").distinct().filter(F.col("_owner").isNotNull())
-    by_owner = (owners.join(sess.drop("transaction_id").withColumnRenamed("session_id", "_owner"),
-                            on=[*keys, "_owner"], how="inner")
-                .select(*keys, "transaction_id", F.col("_owner").alias("session_id"), "request_id"))
-    pick = Window.partitionBy(*keys, "transaction_id").orderBy("request_id", "session_id")
-    tmap = (by_tran.unionByName(by_owner)
-            .withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") == 1).drop("_r"))
-    per_db = (tx.select(*keys, "transaction_id", "database_id", "log_record_count", "log_bytes_used",
-                        "database_transaction_begin_time")
-              .join(tmap, on=[*keys, "transaction_id"], how="inner")
+    by_tran = (sess.filter(F.col("transaction_id").isNotNull()).groupBy(*per_tran).agg(lowest.alias("_pick")))
+    by_owner = (session_tx.select(*per_tran, "session_id").distinct()
+                .join(sess.groupBy(*keys, "session_id").agg(F.min("request_id").alias("request_id")),
+                      on=[*keys, "session_id"], how="inner")
+                .groupBy(*per_tran).agg(lowest.alias("_pick")))
+    tmap = (by_tran.unionByName(by_owner).groupBy(*per_tran).agg(F.min("_pick").alias("_pick"))
+            .select(*per_tran, F.col("_pick.session_id").alias("session_id"), F.col("_pick.request_id").alias("request_id")))
+    # a transaction may have several owners; each repeats its log rows, as the left join on the owners does
+    owners = session_tx.groupBy(*per_tran).agg(F.count(F.lit(1)).alias("_owners"))
+    begun = a.groupBy(*per_tran).agg(F.count(F.lit(1)).alias("_begun"))
+    times = F.coalesce(F.col("_owners"), F.lit(1)) * F.col("_begun")
+    per_db = (per_db.join(tmap, on=per_tran, how="inner").join(begun, on=per_tran, how="inner")
+              .join(owners, on=per_tran, how="left")
               .groupBy(*keys, "session_id", "request_id", "database_id")
-              .agg(F.coalesce(F.sum("log_record_count"), F.lit(0)).alias("log_record_count"),
-                   idiv(F.coalesce(F.sum("log_bytes_used"), F.lit(0)), F.lit(1024)).alias("log_kb_used"),
-                   F.min("database_transaction_begin_time").alias("transaction_start_time")))
+              .agg(F.coalesce(F.sum(F.col("_records") * times), F.lit(0)).alias("log_record_count"),
+                   idiv(F.coalesce(F.sum(F.col("_bytes") * times), F.lit(0)), F.lit(1024)).alias("log_kb_used"),
+                   F.min("_begin").alias("transaction_start_time")))
     if database_names is not None:
         per_db = per_db.join(database_names.select(*keys, "database_id", F.col("name").alias("_db")),
                              on=[*keys, "database_id"], how="left")

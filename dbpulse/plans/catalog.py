@@ -29,4 +29,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from dbpulse.plans import queries_core  # noqa: F401
+    from dbpulse.plans import queries_core, queries_keyed  # noqa: F401

@@ -199,7 +199,7 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         F.col("collection_time").cast("timestamp_ntz") if "collection_time" in procs.columns
         else F.current_timestamp().cast("timestamp_ntz"))
     if "broker_tasks" in sources:
-        procs = sessions.with_broker_labels(procs, sources["broker_tasks"], keys)
+        procs = sessions.join_sources(procs, keys, broker_tasks=sources["broker_tasks"])
     collapsed = sessions.collapse_processes(procs, keys)
     all_top = sessions.top_wait_per_request(collapsed, keys)
     if "databases" in sources:  # before the filters: one of them is on the name

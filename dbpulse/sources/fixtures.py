@@ -150,6 +150,49 @@ SELECT s_suppkey AS plan_handle, 0 AS statement_start_offset, 30 AS statement_en
  CONCAT('<ShowPlanXML supplier="', s_name, '" end="30"/>') AS query_plan FROM {supplier}""",
 }
 
+# Keyed forms: the same ids occur in several snapshots (instance, collection
+# time) with other values, so an operator that forgets a key mixes them up. Session 0 is
+# left to the wildcard.
+_SNAP = "o_orderkey % 3 AS instance_id, date_trunc('year', o_orderdate) AS collection_time"
+_SNAP_KEYS = "o_orderkey % 3, date_trunc('year', o_orderdate)"
+
+FIXTURE_SQL |= {
+    "fx_snap_processes": f"""
+SELECT {_SNAP}, o_custkey + 1 AS session_id, o_orderkey % 2 AS request_id,
+ ROW_NUMBER() OVER (PARTITION BY {_SNAP_KEYS}, o_custkey, o_orderkey % 2 ORDER BY o_orderkey) - 1 AS ecid,
+ TIMESTAMP '1992-01-01 00:00:00' AS login_time, o_orderdate AS last_batch,
+ CASE WHEN o_custkey % 4 = 0 THEN 'sleeping' ELSE 'RUNNING' END AS status, 'SELECT' AS cmd, 0 AS stmt_start, 0 AS stmt_end,
+ 'HOST' AS host_name, CONCAT('Login_', CAST(o_custkey AS VARCHAR(20))) AS login_name,
+ CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN CONCAT('Worker_', CAST(o_custkey % 8 AS VARCHAR(20))) ELSE CONCAT('App_', CAST(o_custkey % 8 AS VARCHAR(20))) END AS program_name,
+ o_custkey % 5 AS database_id, o_orderkey % 30 AS memory_usage, o_orderkey % 3 AS open_tran_count,
+ 'LATCH_EX' AS wait_type, '' AS wait_resource, o_orderkey % 1000 AS wait_time,
+ CASE WHEN o_orderkey % 9 < 4 THEN o_custkey + 1 + o_orderkey % 9 ELSE 0 END AS blocked,
+ CASE WHEN o_custkey % 10 = 0 THEN '' ELSE '1234' END AS hostprocess FROM {{orders}}""",
+    "fx_snap_broker_tasks": f"""
+SELECT {_SNAP}, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey + 1000000 END AS session_id,
+ o_orderkey % 6 AS queue_id, o_orderkey % 7 AS database_id FROM {{orders}}""",
+    "fx_snap_requests": f"""
+SELECT {_SNAP}, o_custkey + 1 AS session_id, o_orderkey % 2 AS request_id, o_orderdate AS start_time,
+ (o_orderkey % 7 - 1) * 1234 AS total_elapsed_time FROM {{orders}}""",
+    "fx_snap_locks": f"""
+SELECT {_SNAP}, o_custkey + 1 AS session_id, l_linenumber % 2 AS request_id, l_suppkey % 5 AS resource_database_id,
+ CASE l_linenumber % 3 WHEN 0 THEN 'OBJECT' WHEN 1 THEN 'KEY' ELSE 'PAGE' END AS resource_type, '' AS resource_subtype,
+ CASE l_linenumber % 3 WHEN 2 THEN CONCAT('1:', CAST(l_partkey AS VARCHAR(20))) ELSE '' END AS resource_description,
+ l_partkey % 50 AS resource_associated_entity_id, l_returnflag AS request_mode, l_linestatus AS request_status
+ FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey""",
+    # two requests a session, each with a blocker of its own: chains of 60
+    # sessions, a shorter way past them, rings of two and of five
+    "fx_snap_blocking": """
+SELECT c_custkey % 2 AS instance_id, c_custkey % 3 AS collection_no, CAST(FLOOR(c_custkey / 6.0) AS BIGINT) AS session_id, 0 AS request_id,
+ CASE WHEN CAST(FLOOR(c_custkey / 6.0) AS BIGINT) % 60 = 0 THEN CAST(FLOOR(c_custkey / 600.0) AS BIGINT)
+  ELSE CAST(FLOOR(c_custkey / 6.0) AS BIGINT) - 1 END AS blocked FROM {customer}
+UNION ALL
+SELECT c_custkey % 2, c_custkey % 3, CAST(FLOOR(c_custkey / 6.0) AS BIGINT), 1,
+ CASE WHEN CAST(FLOOR(c_custkey / 6.0) AS BIGINT) % 50 = 20 AND c_custkey % 3 = 1 THEN CAST(FLOOR(c_custkey / 6.0) AS BIGINT) + 1
+  WHEN CAST(FLOOR(c_custkey / 6.0) AS BIGINT) % 50 = 30 AND c_custkey % 3 = 2 THEN CAST(FLOOR(c_custkey / 6.0) AS BIGINT) + 4
+  WHEN c_nationkey < 8 THEN CAST(FLOOR(c_custkey / 24.0) AS BIGINT) ELSE 0 END FROM {customer}""",
+}
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 

@@ -58,12 +58,64 @@ def test_multi_instance_isolation(spark):
     assert both[("a", 1)] == 3 and both[("b", 1)] == 4
 
 
-def test_broker_labels(spark):
-    from dbpulse.operators.sessions import with_broker_labels
-    procs = spark.createDataFrame([(1, "App"), (2, "App")], "session_id bigint, program_name string")
-    broker = spark.createDataFrame([(2, 5, 77)], "session_id bigint, database_id bigint, queue_id bigint")
-    got = {r.session_id: r.program_name for r in with_broker_labels(procs, broker).collect()}
-    assert got == {1: "App", 2: "Service Broker database_id: 5 queue_id: 77"}
+def test_source_list_wildcard_broker_and_blockers(spark):
+    from dbpulse.operators.filters import session_filter
+    from dbpulse.operators.sessions import collapse_processes, join_sources
+    cols = ("session_id bigint, request_id bigint, login_time timestamp_ntz, last_batch timestamp_ntz, status string, "
+            "cmd string, stmt_start int, stmt_end int, host_name string, login_name string, program_name string, "
+            "database_id int, memory_usage int, open_tran_count int, wait_type string, wait_resource string, "
+            "wait_time int, blocked bigint, hostprocess string")
+    row = lambda s, program, host, blocked=0: (
+        s, 0, None, None, "running", "SELECT", 0, 0, "h", "l", program, 1, 1, 0, "W", "", 1, blocked, host)
+    procs = spark.createDataFrame([row(1, "App", "12"), row(2, "App", ""), row(3, "Worker", ""), row(4, "App", "", 0),
+                                   row(5, "App", "9", 4)], cols)
+    broker = spark.createDataFrame([(2, 5, 77), (3, 5, 78), (2, 5, 12), (9, 1, 1)],
+                                   "session_id bigint, database_id bigint, queue_id bigint")
+    first = collapse_processes(join_sources(procs, broker_tasks=broker))
+    got = {r.session_id: (r.program_name, r.named) for r in first.collect()}
+    # the label takes part in the MAX with the program name, the larger queue text wins
+    assert got == {1: ("App", False), 2: ("Service Broker database_id: 5 queue_id: 77", True), 3: ("Worker", True),
+                   4: ("App", False), 5: ("App", False)}
+    # a system session named by the list passes the filter on system sessions
+    assert {r.session_id for r in session_filter(first).collect()} == {1, 2, 3, 5}
+    wanted = spark.createDataFrame([(4,), (4,), (99,)], "session_id bigint")
+    later = collapse_processes(join_sources(procs, blockers=wanted, broker_tasks=broker, first_pass=False))
+    assert [(r.session_id, r.program_name, r.named) for r in later.collect()] == [(4, "App", True)]
+
+
+def test_bitmaps_equal_reachability_on_random_graphs(spark):
+    import random
+
+    import dbpulse.operators.blocking as blocking
+    rng = random.Random(4)
+    edges = set()
+    for snap in ("a", "b", None):
+        ids = [rng.randrange(-70, 2_000_000_000) for _ in range(8)] + list(range(1, 60))
+        for _ in range(rng.choice([60, 110])):
+            a, b = rng.sample(ids, 2)
+            edges.add((snap, a, b))
+    want = {}
+    for snap, root, _ in edges:
+        seen, todo = set(), [root]
+        while todo:
+            n = todo.pop()
+            for s, p, c in edges:
+                if s == snap and p == n and c not in seen:
+                    seen.add(c)
+                    todo.append(c)
+        want[snap, root] = len(seen - {root})
+    df = spark.createDataFrame(sorted(edges, key=str), "k string, parent bigint, child bigint")
+    got = {(r.k, r.session_id): r.blocked_session_count for r in blocking._bitmap_counts(df, ["k"]).collect()}
+    assert got == want
+
+
+def test_bitmaps_take_logarithmic_rounds(spark, monkeypatch):
+    import dbpulse.operators.blocking as blocking
+    rounds = []
+    monkeypatch.setattr(blocking, "cut_lineage", lambda df, f=blocking.cut_lineage: (rounds.append(1), f(df))[1])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(200, 1)], "parent bigint, child bigint")
+    got = {r.session_id: r.blocked_session_count for r in blocking._bitmap_counts(chain, []).collect()}
+    assert got == {i: 199 for i in range(1, 201)} and len(rounds) <= 10
 
 
 def test_multi_parent_graph_counts_distinct(spark):
