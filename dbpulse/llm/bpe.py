@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from dbpulse.llm.common import pick
 from dbpulse.llm.textkit import slices
 
-CACHE_WORDS = 300_000      # words a worker keeps encoded; beyond, the table starts anew
-BATCH_CHARS = 4_000_000    # characters of text whose new words are encoded together
+CACHE_WORDS = 30_000       # words a worker keeps encoded; beyond, the table starts anew
+BATCH_CHARS = 512_000      # characters of text whose new words are encoded together
 
 # The vocabulary's word pattern, white space and word end.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")

@@ -14,12 +14,13 @@ fitted on every fifth row of each language's sample, calibrates the scores.
 
 A prediction sums looked-up weights over the text's n-grams, in numpy. The
 scores of a text add up to 1, also where no learnt language fits. So a text
-has a second number, ``fit``: how likely its 3-grams are in the predicted
-language (mean log frequency, from the sample), less what the language's own
-texts have, in standard deviations for a text of that length. What is usual
-comes from the sample's rows, each judged by counts without its own, and so
-does the cutoff of the filter: the ``REJECT_SHARE`` quantile less
-``REJECT_MARGIN``. It works alike for one language or many.
+has a second number, ``fit``: its mean log frequency of 3-grams in a learnt
+language, less what the language's own texts have, for the language where that
+is largest. Frequencies come from the sample, mixed with a uniform share
+(``UNIFORM``), so an unseen 3-gram weighs the same whatever the sample's size.
+The filter keeps a text whose fit is above ``REJECT_FIT``, a fixed number of
+nats: prose of other genres in a learnt language stays, other languages and
+letter junk go. Texts of less than ``SHORT`` 3-grams get a wider margin.
 
 Defined cases: null text or text without a letter: ``und``, score 0; no
 labelled row at all: every text is ``und``; labels with one value only: that
@@ -46,9 +47,9 @@ LENGTHS = (1, 2, 3)
 SIZE = len(LENGTHS) << BITS
 FIT_ROWS = 6000      # the fitting sample, dealt to the languages by their shares ...
 FIT_EACH = 200       # ... but of each language so many rows at least, or all it has
-REJECT_BELOW = 0.3   # the filter keeps a document from this score on ...
-REJECT_SHARE = 0.001  # ... whose fit is above this share's of the sample's rows ...
-REJECT_MARGIN = 1.0   # ... less so many standard deviations
+REJECT_FIT = -4.2    # nats; the filter keeps a document whose fit is above that
+UNIFORM = 0.1        # share of the uniform distribution in a 3-gram's frequency
+SHORT = 30           # 3-grams; the mean of fewer says less
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -118,63 +119,31 @@ def features(points: np.ndarray, edges: np.ndarray) -> list[tuple[np.ndarray, np
 
 @dataclass
 class Typical:
-    """What 3-grams a language's texts have: log frequencies by (feature, label), and for each
-    label the usual mean, variance in a text and variance between texts; the filter's cutoff."""
+    """What 3-grams a language's texts have: log frequencies by (feature, label), and each label's mean."""
 
     logs: np.ndarray
     mean: np.ndarray
-    within: np.ndarray
-    between: np.ndarray
-    cutoff: float = -np.inf
 
-    def fits(self, row: np.ndarray, feature: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """The fit of texts to their ``label`` from (row, hashed feature) of their 3-grams."""
-        n = np.bincount(row, minlength=len(label))
-        logs = self.logs[feature - (2 << BITS), label[row]]
-        return self.scaled(np.bincount(row, weights=logs, minlength=len(label)) / np.maximum(n, 1), n, label)
-
-    def scaled(self, value: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
-        # neighbouring 3-grams share letters, so three of them count as one
-        spread = np.sqrt(self.within[label] * 3 / np.maximum(n, 1) + self.between[label])
-        return np.where(n > 0, (value - self.mean[label]) / np.maximum(spread, 1e-9), 0.0)
+    def fits(self, row: np.ndarray, feature: np.ndarray, rows: int) -> np.ndarray:
+        """The best fit of each text to a label, from (row, hashed feature) of their 3-grams; 0 without any."""
+        n = np.bincount(row, minlength=rows)
+        logs = self.logs[feature - (2 << BITS)]
+        value = np.stack([np.bincount(row, weights=logs[:, c], minlength=rows) for c in range(len(self.mean))], 1)
+        best = (value / np.maximum(n, 1)[:, None] - self.mean).max(1)
+        margin = np.maximum(3 / np.sqrt(np.maximum(n, 1)) - 3 / np.sqrt(SHORT), 0)
+        return np.where(n > 0, best + margin, 0.0)
 
 
 def fit_typical(texts: list[str], y: np.ndarray, classes: int) -> Typical:
-    """From a sample's texts and labels; each text is judged by the others of its language."""
+    """From a sample's texts and labels."""
     size = 1 << BITS
     counts = np.zeros((size, classes))
-    rows = []
     for s in range(0, len(texts), 200):
-        part = pa.array(texts[s:s + 200], pa.string())
-        row, feature = features(*letters(part))[2]
-        cuts = np.searchsorted(row, np.arange(len(part) + 1))
-        for i in range(len(part)):
-            f, n = np.unique(feature[cuts[i]:cuts[i + 1]] - (2 << BITS), return_counts=True)
-            rows.append((f, n))
-            counts[f, y[s + i]] += n
-    # an unseen 3-gram counts as half a seen one
-    totals = counts.sum(0)
-    logs = np.log((counts + 0.5) / (totals + 0.5 * size)).astype(np.float32)
-    value, square, length = np.zeros(len(rows)), np.zeros(len(rows)), np.array([n.sum() for _, n in rows])
-    for i, (f, n) in enumerate(rows):
-        if length[i]:
-            log = np.log((counts[f, y[i]] - n + 0.5) / (totals[y[i]] - length[i] + 0.5 * size))
-            value[i] = (n * log).sum() / length[i]
-            square[i] = (n * (log - value[i]) ** 2).sum() / length[i]
-    full = length > 0
-    mean, within, between = np.zeros(classes), np.zeros(classes), np.zeros(classes)
-    for c in range(classes):
-        own = full & (y == c)
-        if own.any():
-            mean[c] = np.average(value[own], weights=length[own])
-            within[c] = np.average(square[own], weights=length[own])
-            between[c] = np.average((value[own] - mean[c]) ** 2, weights=length[own])
-    # a language of few texts says little about how they differ
-    typical = Typical(logs, mean, within, np.maximum(between, np.median(between)))
-    if full.any():
-        fits = typical.scaled(value, length, y)[full]
-        typical.cutoff = float(np.quantile(fits, REJECT_SHARE, method="lower")) - REJECT_MARGIN
-    return typical
+        row, feature = features(*letters(pa.array(texts[s:s + 200], pa.string())))[2]
+        np.add.at(counts, (feature - (2 << BITS), y[s:s + 200][row]), 1)
+    share = counts / np.maximum(counts.sum(0), 1)
+    logs = np.log((1 - UNIFORM) * share + UNIFORM / size)
+    return Typical(logs.astype(np.float32), (share * logs).sum(0))
 
 
 @dataclass
@@ -207,7 +176,7 @@ class LanguageModel:
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
         known = letter > 0
-        fits = self.typical.fits(row, feature, best) if fit and self.typical else np.zeros(rows)
+        fits = self.typical.fits(row, feature, rows) if fit and self.typical else np.zeros(rows)
         return ([self.labels[b] if k else "und" for b, k in zip(best, known)],
                 np.where(known, p[np.arange(rows), best], 0.0), fits)
 
@@ -367,25 +336,16 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return predict_languages(docs, fit_language_model(docs, fit_rows))
 
 
-def keep_identified(docs: DataFrame, fit_rows: int = FIT_ROWS, reject_below: float = REJECT_BELOW) -> DataFrame:
+def keep_identified(docs: DataFrame, fit_rows: int = FIT_ROWS, reject_fit: float = REJECT_FIT) -> DataFrame:
     """``docs``, all columns, without the rows whose language stays open
-    (``und``, a score under ``reject_below``, or a fit under the model's cutoff)."""
+    (``und``, or a fit under ``reject_fit``)."""
     model = fit_language_model(docs, fit_rows)
-    cutoff = model.typical.cutoff if model.typical else -np.inf
-
-    @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
-        out = np.zeros(len(texts), bool)
-        whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        at = 0
-        for part in slices([whole], "text"):
-            langs, scores, fits = model.judge(part.column(0))
-            known_langs = np.array([lang != "und" for lang in langs], bool)
-            out[at:at + len(langs)] = known_langs & (scores >= reject_below) & (fits >= cutoff)
-            at += len(langs)
-        return pd.Series(out)
-
-    flat, own = positional(docs)
-    return restored(flat.where(known(own["text"])), docs.columns)
+    flat, _ = positional(docs)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for part in slices(batches, f"c{text}"):
+            langs, _, fits = model.judge(part.column(text))
+            yield part.filter(pa.array([lang != "und" and fit >= reject_fit for lang, fit in zip(langs, fits)], pa.bool_()))
+
+    return restored(flat.mapInArrow(run, flat.schema), docs.columns)

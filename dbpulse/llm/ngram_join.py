@@ -9,20 +9,22 @@ Equal sets are one node of the join. The steps:
    order is right; this one keeps shared passages out of the prefixes. Sets
    that link must share a token of their prefixes, the first
    n - ceil(percent * n / 100) + 1 tokens of a set of n.
-2. Similar documents are put into groups: every node is compared with the one
-   other node that is smallest among those sharing the most prefix tokens,
-   and the pairs that link make the first components.
-3. The token-group matrix: a group is a component, in chunks of at most
-   GROUP_NODES nodes, and its token union is that of its nodes' prefixes. A
-   node and a group of another component are opened only if the prefix tokens
-   that they share, plus the most that can be common behind the prefixes,
-   reach the overlap that a link needs.
-4. An opened group meets the nodes that ask for it, a bounded part of them at
-   a time, in one task: whole sets are compared, and one link of a node with
-   the group is kept, as it joins the components.
-
-Step 3 covers all pairs of nodes in different components, so no link that
-would join two components is lost; pairs inside a component need no test.
+2. Every node is compared with the one other node that is smallest among those
+   sharing the most prefix tokens; the pairs that link make the first
+   components. Nodes that point to one another in this way, linked or not, and
+   are of about one size are a group of similar documents, cut into chunks of
+   at most CHUNK_NODES nodes and CHUNK_TOKENS tokens.
+3. The token-group matrix: a chunk's token union is that of its nodes'
+   prefixes. Chunk meets chunk, and is opened only if the prefix tokens that
+   both unions hold reach the fewest that any of their pairs needs, and not all
+   nodes that hold these tokens are in one component already.
+4. An opened chunk meets the nodes of the chunks that ask for it, a bounded
+   part of them at a time, in one task: whole sets are compared, and of the
+   links those are kept that join what was not joined before.
+
+Step 3 covers all pairs of nodes in different components, those inside a chunk
+as well, so no link that would join two components is lost; pairs inside a
+component need no test.
 Whole sets travel only for nodes in a comparison: a Bloom filter of fixed size
 picks them in another pass over the texts. Hashes of 64 bits stand for
 shingles and sets.
@@ -47,8 +49,10 @@ from dbpulse.llm.textkit import Words, mix64, shingles, slices, utf8
 
 FREQUENT = 1 << 17       # entries of the table of frequent tokens
 COUNT_WINDOW = 2_000_000  # tokens that are counted together before rare ones go
-GROUP_NODES = 32
-QUERY_PART = 512         # queries that meet a group in one task, about
+CHUNK_NODES = 400        # nodes of a chunk, about
+CHUNK_TOKENS = 1 << 20   # ... and tokens of their sets
+SIZE_STEP = 1.1          # sets of one group differ in size by this factor at most
+QUERY_PART = 512         # nodes that meet a chunk in one task, about
 BLOOM_BITS = 26
 _SET_A, _SET_B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -193,10 +197,10 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_group(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
-    """For each query of a group the member that it links with best, if it links with one.
+    """Links (a, b) of queries with the members of a chunk, as many as join components.
 
-    ``queries`` has a, n, tokens; ``members`` (GROUP_NODES or so) b, n, tokens.
-    One link is enough, as the members are one component already.
+    ``queries`` has a, root, tokens; ``members`` b, root, tokens; rows of one
+    root are joined already. Of all links found a spanning part is returned.
     """
     out = []
     if queries.num_rows and members.num_rows:
@@ -204,20 +208,30 @@ def open_group(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
         token = lists.flatten().to_numpy()
         order = np.argsort(token, kind="stable")
         token = token[order]
-        owner = np.repeat(np.arange(members.num_rows), lists.value_lengths().to_numpy())[order]
-        n, b = members.column("n").to_numpy(), members.column("b").to_numpy()
+        n = lists.value_lengths().to_numpy()
+        owner = np.repeat(np.arange(len(n)), n)[order]
+        a, b = queries.column("a").to_numpy(), members.column("b").to_numpy()
+        roots, label = np.unique(np.concatenate([members.column("root").to_numpy(), queries.column("root").to_numpy()]),
+                                 return_inverse=True)
+        own_label, label = label[len(b):], label[:len(b)]   # of queries and members; merged as links are found
+        merged = np.arange(len(roots))
         asked = queries.column("tokens").combine_chunks()
         ends = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
         flat = asked.flatten().to_numpy()
-        for i, a in enumerate(queries.column("a").to_numpy()):
+        for i in range(len(a)):
+            mine = merged[own_label[i]]
+            if (merged[label] == mine).all():
+                continue
             own = flat[ends[i]:ends[i + 1]]
             low, high = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
             found = high - low
             at = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())
             common = np.bincount(owner[at], minlength=len(b))
-            links = common * 100 >= (len(own) + n - common) * percent
-            if links.any():
-                out.append((int(a), int(b[np.argmax(np.where(links, common, -1))])))
+            links = np.flatnonzero((common * 100 >= (len(own) + n - common) * percent) & (merged[label] != mine))
+            if len(links):
+                others, first = np.unique(merged[label[links]], return_index=True)
+                out += [(int(a[i]), int(b[j])) for j in links[first]]
+                merged[np.isin(merged, others)] = mine
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
@@ -267,43 +281,54 @@ def similar_sets(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     stars = cut(compared(best))
     first = cut(components(stars))
 
-    # step 3: the matrix of tokens and groups
-    member = shared.select("node").distinct().join(sizes, "node").join(first, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    chunks = member.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count(F.lit(1)) / GROUP_NODES).alias("chunks"))
-    member = cut(member.join(chunks, F.col("root") == F.col("r")).withColumn(
-        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).select("node", "n", "root", "chunk"))
-    asked = shared.select("token", "node").join(member, "node")
-    several_roots = (asked.groupBy("token").agg(F.min("root").alias("l"), F.max("root").alias("h"))
-                     .where("l <> h").select(F.col("token").alias("t"), F.col("l").alias("least")))
-    asked = cut(asked.join(several_roots, F.col("token") == F.col("t")).drop("t"))
-    matrix = asked.groupBy(F.col("token").alias("t"), F.col("root").alias("g"), F.col("chunk").alias("c")).agg(
-        F.min("n").alias("g_min"), F.max("n").alias("g_max"))
-    hits = (asked.where("root > least").join(matrix, (F.col("token") == F.col("t")) & (F.col("g") < F.col("root"))
-                                             & (F.col("g_max") * 100 >= F.col("n") * percent)
-                                             & (F.col("n") * 100 >= F.col("g_min") * percent))
-            .groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "g", "c")
-            .agg(F.count(F.lit(1)).alias("both"), F.min("g_min").alias("g_min"), F.max("g_max").alias("g_max")))
-    low = F.greatest("g_min", _ceil(F.col("na"), percent))
-    high = F.least("g_max", F.floor(F.col("na") * 100 / percent))
-    least = F.least(_needed(F.col("na"), low, percent), _needed(F.col("na"), high, percent)) - 1
-    # step 4: open the groups that qualify
-    qualified = cut(hits.where(F.col("both") >= least).select("a", "g", "c"))
-    for done in (shared, asked, best):
+    # groups: nodes tied by step 2, of about one size, in chunks
+    tied = cut(components(best))
+    leader = tied.select(F.col("node").alias("t"), F.col("root").alias("leader"))
+    level = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))
+    member = (shared.select("node").distinct().join(sizes, "node").join(first, "node", "left")
+              .withColumn("root", F.coalesce("root", "node"))
+              .join(leader, F.col("node") == F.col("t"), "left")
+              .withColumn("leader", F.coalesce("leader", "node")).withColumn("level", level).drop("t"))
+    chunks = member.groupBy(F.col("leader").alias("l"), F.col("level").alias("v")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_NODES), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks"))
+    member = cut(member.join(chunks, (F.col("leader") == F.col("l")) & (F.col("level") == F.col("v"))).withColumn(
+        "chunk", F.xxhash64("leader", "level", F.pmod(F.xxhash64("node"), F.col("chunks"))))
+        .select("node", "n", "root", "chunk"))
+
+    # step 3: the matrix of tokens and chunks
+    cells = cut(shared.select("token", "node").join(member, "node").groupBy("token", "chunk").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root"), F.max("root").alias("last")))
+    apart = (cells.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("l"), F.max("last").alias("h"))
+             .where("l <> h").select("t"))
+    matrix = cells.join(apart, F.col("token") == F.col("t"), "left_semi")
+    there = matrix.toDF(*[f"{c}_" for c in matrix.columns])
+    one = (F.col("root") == F.col("last")) & (F.col("root_") == F.col("last_")) & (F.col("root") == F.col("root_"))
+    needed = F.least(*[_needed(F.col(x), F.col(y), percent) for x in ("low", "high") for y in ("low_", "high_")]) - 1
+    hits = (matrix.join(there, (F.col("token") == F.col("token_")) & (F.col("chunk") <= F.col("chunk_"))
+                        & (F.col("high") * 100 >= F.col("low_") * percent) & (F.col("high_") * 100 >= F.col("low") * percent))
+            .groupBy("chunk", "chunk_").agg(
+                F.count(F.lit(1)).alias("both"), F.max(F.when(one, 0).otherwise(1)).alias("open"),
+                F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_").alias("low_"), F.max("high_").alias("high_")))
+    # step 4: open the chunks that qualify
+    met = hits.where((F.col("open") == 1) & (F.col("both") >= needed)).select("chunk", F.col("chunk_").alias("g"))
+    qualified = cut(met.join(member.select("node", "root", "chunk"), "chunk").select(F.col("node").alias("a"), "root", "g"))
+    for done in (shared, cells, best, tied):
         drop_cut(done)
     if qualified.isEmpty():
         return signed, nodes, first
-    parts = cut(qualified.groupBy("g", "c").agg(F.ceil(F.count(F.lit(1)) / QUERY_PART).alias("parts")))
-    queries = qualified.join(parts, ["g", "c"]).withColumn("p", F.pmod(F.xxhash64("a"), F.col("parts")))
-    members = (member.select(F.col("node").alias("b"), F.col("root").alias("g"), F.col("chunk").alias("c"))
-               .join(parts, ["g", "c"]).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
-    met = qualified.select(F.col("a").alias("node")).union(members.select("b")).distinct()
-    sets = cut(whole_sets(texts, met.join(nodes.select("node", "rep"), "node"), k))
+    parts = cut(qualified.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERY_PART).alias("parts")))
+    queries = qualified.join(parts, "g").withColumn("p", F.pmod(F.xxhash64("a"), F.col("parts")))
+    members = (member.select(F.col("node").alias("b"), "root", F.col("chunk").alias("g"))
+               .join(parts, "g").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    wanted = qualified.select(F.col("a").alias("node")).union(members.select("b")).distinct()
+    sets = cut(whole_sets(texts, wanted.join(nodes.select("node", "rep"), "node"), k))
     of = lambda rows, key: (rows.join(sets.withColumnRenamed("node", key), key)
-                            .select(*[F.col(c).alias(f"{c}_") for c in ("g", "c", "p", key, "n", "tokens")])
-                            .toDF("g", "c", "p", key, "n", "tokens"))
-    across = cut(of(queries, "a").groupBy("g", "c", "p").cogroup(of(members, "b").groupBy("g", "c", "p"))
+                            .select(*[F.col(c).alias(f"{c}_") for c in ("g", "p", key, "root", "tokens")])
+                            .toDF("g", "p", key, "root", "tokens"))
+    across = cut(of(queries, "a").groupBy("g", "p").cogroup(of(members, "b").groupBy("g", "p"))
                  .applyInArrow(lambda a, b: open_group(a, b, percent), "a long, b long"))
+    for done in (sets, parts, qualified, member):
+        drop_cut(done)
     if across.isEmpty():
         return signed, nodes, first
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))

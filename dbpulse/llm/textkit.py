@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 512_000   # a batch's arrays take some 50 times as much
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -27,6 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
             end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()   # workers outlive their tasks
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

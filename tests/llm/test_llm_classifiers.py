@@ -93,19 +93,49 @@ def test_language_filter_keeps_clean_documents(documents, edge_docs):
 ITALIAN = ("la casa di mio nonno era sulla collina e ogni mattina il sole entrava dalle finestre mentre noi bambini "
            "correvamo nel giardino con gli altri ragazzi del paese che venivano a giocare fino a sera quando la nonna "
            "ci chiamava per la cena")
+POLISH = ("dom mojego dziadka stał na wzgórzu i każdego ranka słońce wpadało przez okna a my dzieci biegaliśmy po ogrodzie "
+          "z innymi chłopcami ze wsi którzy przychodzili bawić się aż do wieczora kiedy babcia wołała nas na kolację")
 
 
 @pytest.mark.parametrize("langs", [["en"], ["en", "de"], ["de", "en", "es", "fr"]])
 def test_language_filter_drops_what_fits_no_learnt_language(spark, documents, langs):
     rng = np.random.default_rng(8)
     junk = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60))
-    planted = [(900_000 + i, t, None, "src1", 9) for i, t in enumerate([ITALIAN, junk, "και το να του η της με που " * 5])]
+    # next to Spanish, Italian is as near as learnt languages' prose of other genres, and stays
+    foreign = [POLISH, junk, "και το να του η της με που " * 5] + ([] if "es" in langs else [ITALIAN])
+    planted = [(900_000 + i, t, None, "src1", 9) for i, t in enumerate(foreign)]
     own = documents.where(documents.lang.isin(langs))
     kept = lang_id.keep_identified(own.unionByName(spark.createDataFrame(planted, documents.schema)))
     assert kept.where("doc_id >= 900000").count() == 0
     assert kept.count() >= 0.995 * own.count()
 
 
+PROSE = {
+    "en": ["The museum reopened last spring after three years of repairs, and the first visitors were surprised by how bright the old halls had become.",
+           "Heavy rain is expected across the northern counties tonight, with a risk of flooding on low roads near the river."],
+    "de": ["Das Museum wurde im vergangenen Frühjahr nach drei Jahren Umbau wieder eröffnet, und die ersten Besucher staunten über die hellen Säle.",
+           "Für die nördlichen Landkreise wird heute Nacht starker Regen erwartet, auf tiefer gelegenen Straßen droht Hochwasser."],
+    "fr": ["Le musée a rouvert ses portes au printemps dernier après trois ans de travaux, et les premiers visiteurs ont été surpris par la clarté des salles.",
+           "De fortes pluies sont attendues cette nuit dans les départements du nord, avec un risque d'inondation près de la rivière."],
+    "es": ["El museo volvió a abrir la primavera pasada después de tres años de obras, y los primeros visitantes se sorprendieron de la luz de las salas.",
+           "Se esperan fuertes lluvias esta noche en las provincias del norte, con riesgo de inundaciones en los caminos junto al río."]}
+OTHERS = ["Muzeum otwarto ponownie wiosną po trzech latach remontu, a pierwsi zwiedzający byli zaskoczeni jasnością starych sal.",
+          "Museo avattiin uudelleen viime keväänä kolmen vuoden korjausten jälkeen, ja ensimmäiset kävijät ihmettelivät salien valoisuutta.",
+          "Müze üç yıllık onarımın ardından geçen ilkbaharda yeniden açıldı ve ilk ziyaretçiler salonların aydınlığına şaşırdı.",
+          "Музей вновь открылся весной после трёх лет ремонта, и первые посетители удивились светлым залам.",
+          "qwpo zxmn vbkj hgqw plkz mxnb qazw sxed crfv tgby hnuj mikl opqz wsxq edcz rfvx tgbq yhnz ujmx"]
+
+
+def test_language_filter_keeps_prose_of_learnt_languages(spark, documents):
+    """Sentences of another genre than the table's, which the cutoff was not chosen on."""
+    planted = [(900_000 + i, t, None, "src1", 9) for i, t in enumerate(x for v in PROSE.values() for x in v)]
+    planted += [(910_000 + i, t, None, "src1", 9) for i, t in enumerate(OTHERS)]
+    docs = spark.createDataFrame(planted, documents.schema)
+    for size in (documents, documents.where("doc_id % 5 = 0")):   # the cutoff does not move with the table
+        kept = lang_id.keep_identified(size.unionByName(docs)).where("doc_id >= 900000")
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [900_000 + i for i in range(8)]
+
+
 def test_temperature_and_ftrl():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 3000)

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 def test_registered():
     names = entry.queries().keys()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and [s for s, _ in corpus_pipeline.STAGES] == [
         "language_id", "exact_dedup", "ngram_jaccard_join", "source_mix", "bpe"]
