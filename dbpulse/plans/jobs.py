@@ -1,9 +1,8 @@
 """The scheduled collection jobs as batch Spark jobs.
 
-Each job appends one collection into date partitions of a Parquet history
-(dynamic partition overwrite of the dates it touches, so a rerun of the
-same collection replaces instead of duplicating) and then applies the
-retention of its history.
+Each job writes its collections into leaf folders of their own in a Parquet
+history (a rerun of a collection overwrites its leaf and touches nothing
+else) and then applies the retention of its history.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from dbpulse.functions import scalars as S
 from dbpulse.operators.waits import wait_pareto
 from dbpulse.plans.options import ReportOptions
 from dbpulse.plans.report import activity_report
-from dbpulse.session import cut_lineage, table_scope
+from dbpulse.session import table_scope
 from dbpulse.sources import history
 
 WAIT_RETENTION_DAYS = 30
@@ -51,7 +50,7 @@ def wait_rollup_job(spark: SparkSession, wait_stats: DataFrame, history_path: st
     rows = history._conform(rows, history.WAIT_HISTORY_SCHEMA)
     history.append_collection(spark, rows, history_path)
     history.purge_partitions(spark, history_path, as_of, retention_days)
-    return spark.read.parquet(history_path)
+    return history.read_history(spark, history_path)
 
 
 def activity_collection_job(spark: SparkSession, sources: Mapping[str, DataFrame], history_path: str,
@@ -85,7 +84,6 @@ def activity_collection_job(spark: SparkSession, sources: Mapping[str, DataFrame
                .withColumn("collection_date", F.to_date(F.col("collection_time"))))
         if "instance_id" not in rep.columns:
             rep = rep.withColumn("instance_id", F.lit(None).cast("string"))
-        rows = cut_lineage(history._conform(rep, history.ACTIVITY_HISTORY_SCHEMA))
-        history.append_collection(spark, rows, history_path)
+        history.append_collection(spark, history._conform(rep, history.ACTIVITY_HISTORY_SCHEMA), history_path)
     history.purge_partitions(spark, history_path, as_of, retention_days)
-    return spark.read.parquet(history_path)
+    return history.read_history(spark, history_path)

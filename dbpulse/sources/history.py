@@ -99,35 +99,49 @@ def overwrite_date_partitions(df: DataFrame, path: str, schema: T.StructType | N
         .partitionBy(partition_col).parquet(path))
 
 
+LEAF = "collection"
+LEAF_TIME = "yyyyMMdd'T'HHmmss.SSSSSS"
+
+
+def leaf_name(key_cols: Sequence[str], schema: T.StructType, salt: str = "") -> Column:
+    """The name of a collection's folder: its time first, then the other keys
+    (``=`` and the value, ``-`` for NULL), then ``salt``."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+    timed = [k for k in key_cols if isinstance(kinds[k], (T.TimestampType, T.TimestampNTZType))]
+    parts = [F.coalesce(F.date_format(k, LEAF_TIME), F.lit("-")) for k in timed]
+    parts += [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in key_cols if k not in timed]
+    return F.concat_ws("~", *parts, *([F.lit(salt)] if salt else []))
+
+
+def write_leaves(rows: DataFrame, path: str, key_cols: Sequence[str] = ("instance_id", "collection_time"),
+                 partition_col: str = "collection_date", salt: str = "") -> None:
+    """Write each collection of ``rows`` into a leaf folder of its own under its
+    date, replacing exactly these leaves; one pass over ``rows``, nothing read."""
+    keys = [k for k in key_cols if k in rows.columns]
+    out = rows.withColumn(LEAF, leaf_name(keys, rows.schema, salt))
+    (out.repartition(partition_col, LEAF).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition_col, LEAF).parquet(path))
+    rows.sparkSession.catalog.refreshByPath(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a history, without the name of the leaf they lie in."""
+    return spark.read.parquet(path).drop(LEAF)
+
+
 def append_collection(spark: SparkSession, rows: DataFrame, path: str,
                       key_cols: Sequence[str] = ("instance_id", "collection_time"),
                       partition_col: str = "collection_date") -> None:
     """Idempotent append of one or more collections.
 
-    A collection is identified by ``key_cols`` (server and time). The dates
-    being written are rebuilt from what they already hold minus the rows of
-    the same collections, plus the new rows, and replaced through a staged
-    dynamic partition overwrite. Re-running a collection (a retried job or
-    micro-batch) therefore replaces its rows instead of duplicating them,
-    while other collections of the same day — other times, or other
-    servers at the same time — are kept.
+    A collection is identified by ``key_cols`` (server and time) and is the
+    only content of its leaf folder ``collection_date=.../collection=...``.
+    Re-running a collection (a retried job or micro-batch) overwrites its leaf
+    instead of duplicating rows; other collections of the same day, other
+    times or other servers, are neither read nor written, so collectors that
+    run at once lose nothing of one another.
     """
-    key_cols = [k for k in key_cols if k in rows.columns]
-    fs, root, jvm = _fs(spark, path)
-    merged = rows
-    if fs.exists(root):
-        existing = spark.read.parquet(path)
-        dates = rows.select(partition_col).distinct()
-        done = rows.select(*[F.col(k).alias(f"_done_{k}") for k in key_cols]).distinct()
-        same = [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in key_cols]  # NULL server = NULL server
-        keep = (existing.join(dates, on=partition_col, how="left_semi")
-                .join(done, on=same, how="left_anti"))
-        merged = keep.unionByName(rows.select(*existing.columns))
-    staging = f"{path.rstrip('/')}/_staging_{uuid.uuid4().hex}"
-    merged.write.mode("overwrite").parquet(staging)
-    overwrite_date_partitions(spark.read.parquet(staging), path, partition_col=partition_col)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
-    spark.catalog.refreshByPath(path)
+    write_leaves(rows, path, key_cols, partition_col)
 
 
 _PART = r'(?:\[[^\]]+\]|"[^"]+"|[A-Za-z_#@][\w@$#]*)'
@@ -190,9 +204,10 @@ def purge_partitions(spark: SparkSession, path: str, as_of: dt.datetime, days: i
     """K7 on a date-partitioned Parquet history.
 
     Whole date partitions older than the bound are removed from the file
-    system (metadata only, no data read); the one boundary date is read
-    with partition pruning, filtered, staged next to the history and put
-    back with dynamic partition overwrite.
+    system (metadata only, no data read), and of the one boundary date the
+    leaves of collections before it, whose names tell their time. Only a
+    boundary date without leaves is read (with partition pruning), filtered,
+    staged next to the history and put back with dynamic partition overwrite.
     """
     bound = as_of - dt.timedelta(days=days)
     fs, root, jvm = _fs(spark, path)
@@ -215,6 +230,16 @@ def purge_partitions(spark: SparkSession, path: str, as_of: dt.datetime, days: i
             boundary_present = True
     if not boundary_present:
         return
+    first = bound.strftime("%Y%m%dT%H%M%S.%f")
+    leaves = [st.getPath() for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{prefix}{bound.date()}"))
+              if st.isDirectory() and st.getPath().getName().startswith(f"{LEAF}=")]
+    if leaves:
+        for leaf in leaves:
+            time = leaf.getName()[len(LEAF) + 1:].split("~")[0]
+            if time != "-" and time < first:
+                fs.delete(leaf, True)
+        spark.catalog.refreshByPath(path)
+        return
     bound_c = F.lit(bound).cast("timestamp_ntz")
     part = (spark.read.parquet(path)
             .filter(F.col(partition_col) == F.lit(bound.date()))

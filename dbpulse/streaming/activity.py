@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dbpulse.sources import history
 
@@ -41,95 +41,127 @@ def minute_activity_stream(events: DataFrame, time_col: str = "ts", by: Sequence
 
 # ------------------------------------------------------------------- T2
 STATE_TTL_MS = 7 * 24 * 3600 * 1000   # longer than any planned pause of a collector
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _delta_fn(entity_cols: list[str], time_col: str, metrics: list[str], signed: set[str],
-              guard_col: str | None, ttl_ms: int | None):
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            # no row for the whole time to live: the entity is taken to have left
-            state.remove()
-            return
-        parts = list(batches)
-        if not parts:
-            return
-        pdf = (pd.concat(parts, ignore_index=True)
-               .sort_values(time_col, kind="stable")
-               .drop_duplicates(time_col, keep="last"))
-        last = state.get if state.exists else None
-        if last is not None:
-            # late or repeated snapshots get no delta and leave the state alone
-            pdf = pdf[pdf[time_col] > pd.Timestamp(last[0])]
-        if pdf.empty:
+class SnapshotDeltas(StatefulProcessor):
+    """The last row of one (instance, session, request), and the deltas to it.
+
+    One value holds the row: its time, its guard, its metrics and CPU pair, and
+    the event time at which it is forgotten. A row re-arms that timer; when the
+    watermark passes it, the entity is taken to have left.
+    """
+
+    def __init__(self, entity: list[str], metrics: list[str], signed: set[str],
+                 cpu: tuple[str, str] | None, guarded: bool, ttl_ms: int | None):
+        self.entity, self.metrics, self.signed = entity, metrics, signed
+        self.cpu, self.guarded, self.ttl_ms = cpu, guarded, ttl_ms
+        self.carried = list(dict.fromkeys([*metrics, *(cpu or ())]))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        values = ", ".join(f"v{i} long" for i in range(len(self.carried)))
+        self.last = handle.getValueState("last", f"t long, guard long, timer long, {values}")
+
+    def _deltas(self, row: dict, last) -> list[int | None]:
+        valid = last is not None and row["prev__"] == last[0] and (not self.guarded or row["guard__"] == last[1])
+        was = dict(zip(self.carried, last[3:])) if valid else {}
+
+        def change(name):
+            now, then = row[name], was.get(name)
+            return None if now is None or then is None else now - then
+
+        out = [d if d is not None and (d >= 0 or m in self.signed) else None
+               for m, d in ((m, change(m)) for m in self.metrics)]
+        if self.cpu:
+            own, thread = change(self.cpu[0]), change(self.cpu[1])
+            faster = own is not None and thread is not None and thread > own and thread > 0
+            out.append(thread if faster else own if own is not None and own >= 0 else None)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("time__", kind="stable").drop_duplicates("time__", keep="last")
+        names = ["time__", "prev__", "guard__", *self.carried]
+        found = [dict(zip(names, (None if pd.isna(x) else int(x) for x in r)))
+                 for r in batch[names].itertuples(index=False, name=None)]
+        last = tuple(self.last.get()) if self.last.exists() else None
+        timer = last[2] if last else None
+        out = []
+        for row in found:
+            if last is not None and row["time__"] <= last[0]:
+                continue   # late or repeated snapshots get no delta and leave the state alone
+            out.append((row["time__"], *self._deltas(row, last)))
+            last = (row["time__"], row["guard__"], None, *(row[c] for c in self.carried))
+        if not out:
             return
-        pdf = pdf.reset_index(drop=True)
-        vals = {m: pdf[m].astype("Int64") for m in metrics}
-        prev_t = pdf[time_col].shift(1)
-        prev_vals = {m: v.shift(1) for m, v in vals.items()}
-        prev_guard = pdf[guard_col].shift(1) if guard_col else None
-        if last is not None:
-            prev_t.iloc[0] = pd.Timestamp(last[0])
-            if guard_col:
-                prev_guard.iloc[0] = last[1]
-            for i, m in enumerate(metrics):
-                prev_vals[m].iloc[0] = last[2 + i]
-        ok = prev_t.notna() & (prev_t == pd.to_datetime(pdf["prev_collection_time"]))
-        if guard_col:
-            ok &= (pdf[guard_col] == prev_guard).fillna(False)
-        out = pdf[entity_cols + [time_col]].copy()
-        for m in metrics:
-            d = vals[m] - prev_vals[m]
-            keep = ok & d.notna() & ((d >= 0) | (m in signed))
-            out[f"{m}_delta"] = d.where(keep.astype(bool), pd.NA).astype("Int64")
-        tail = pdf.iloc[-1]
-        state.update((tail[time_col], tail[guard_col] if guard_col else None,
-                      *[None if pd.isna(vals[m].iloc[-1]) else int(vals[m].iloc[-1]) for m in metrics]))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield out
-    return fn
+        if self.ttl_ms:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = last[0] // 1000 + self.ttl_ms
+            self.handle.registerTimer(timer)
+        self.last.update((last[0], last[1], timer, *last[3:]))
+        columns = {c: pd.array([k] * len(out)) for c, k in zip(self.entity, key)}
+        columns["time__"] = pd.array([r[0] for r in out], dtype="Int64")
+        for i, name in enumerate([*self.metrics, *([self.cpu[0]] if self.cpu else [])]):
+            columns[f"{name}_delta"] = pd.array([r[1 + i] for r in out], dtype="Int64")
+        yield pd.DataFrame(columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def snapshot_delta_stream(snapshots: DataFrame, entity: Sequence[str], metrics: Sequence[str],
                           time_col: str = "collection_time",
                           guard_col: str | None = "last_request_start_time",
                           signed: Sequence[str] = ("tempdb_current",),
-                          state_ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
-    """T1 on a stream of snapshot rows.
+                          cpu: tuple[str, str] | None = None,
+                          state_ttl_ms: int | None = STATE_TTL_MS, watermark: str = "10 minutes") -> DataFrame:
+    """T1 on a stream of snapshot rows, by ``transformWithStateInPandas``.
 
     State is kept per entity key (instance, session, request): the last
-    snapshot time, request start and metric values — a few numbers per
-    live request, so a hot instance spreads over its sessions. Each row
-    must carry ``prev_collection_time`` (its instance's previous snapshot,
-    written by the collector), which is how "present in both snapshots" is
-    checked without instance-wide state. State of an entity that sends no
-    row for ``state_ttl_ms`` of processing time is dropped, so state stays
-    bounded by the requests of that time. The clock also runs while the
-    collector pauses: the stream equals the batch form as long as no pause is
-    longer than ``state_ttl_ms`` (a week, unless set; None keeps state for
-    ever). Run it with a processing-time trigger (the collector's 60 s):
-    timeouts are checked by no-data micro-batches, which an untriggered query
-    runs back to back.
+    snapshot time, request start and values, a few numbers per live request,
+    so a hot instance spreads over its sessions. Each row must carry
+    ``prev_collection_time`` (its instance's previous snapshot, written by the
+    collector), which is how "present in both snapshots" is checked without
+    instance-wide state. ``cpu`` names the request and thread counters of the
+    CPU rule (thread delta if it is the larger and positive).
+
+    All clocks are event time: an event-time timer drops the state of an entity
+    whose last row is ``state_ttl_ms`` behind the watermark. While all
+    collectors pause no event time passes, so the first snapshot after a pause
+    of any length has its deltas, as in the batch form. One collector that
+    pauses longer than ``state_ttl_ms`` (a week, unless set; None keeps state
+    for ever) while others go on gets NULL deltas for its next snapshot. Rows
+    more than ``watermark`` behind the newest are dropped.
+
+    The operator needs the RocksDB state store; it is set on the session if
+    the session names none.
     """
-    entity = list(entity)
-    metrics = list(metrics)
-    in_schema = {f.name: f.dataType for f in snapshots.schema.fields}
-    out_schema = T.StructType(
-        [T.StructField(c, in_schema[c]) for c in entity]
-        + [T.StructField(time_col, in_schema[time_col])]
-        + [T.StructField(f"{m}_delta", T.LongType()) for m in metrics])
-    guard_type = in_schema[guard_col] if guard_col else T.StringType()
-    state_schema = T.StructType(
-        [T.StructField("t", in_schema[time_col]), T.StructField("guard", guard_type)]
-        + [T.StructField(m, T.LongType()) for m in metrics])
-    cols = [*entity, time_col, "prev_collection_time", *metrics] + ([guard_col] if guard_col else [])
-    return (snapshots.select(*dict.fromkeys(cols))
-            .groupBy(*entity)
-            .applyInPandasWithState(_delta_fn(entity, time_col, metrics, set(signed), guard_col,
-                                              state_ttl_ms),
-                                    out_schema, state_schema, "append",
-                                    GroupStateTimeout.ProcessingTimeTimeout if state_ttl_ms
-                                    else GroupStateTimeout.NoTimeout))
+    spark = snapshots.sparkSession
+    if not spark.conf.get(STATE_STORE, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(STATE_STORE, ROCKSDB)
+    entity, metrics = list(entity), list(metrics)
+    kind = {f.name: f.dataType for f in snapshots.schema.fields}
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    carried = list(dict.fromkeys([*metrics, *(cpu or ())]))
+    rows = snapshots.select(
+        *entity, F.col(time_col).cast("timestamp").alias("event_time__"), micros(time_col).alias("time__"),
+        micros("prev_collection_time").alias("prev__"),
+        (micros(guard_col) if guard_col else F.lit(None).cast("bigint")).alias("guard__"),
+        *[F.col(c).cast("bigint").alias(c) for c in carried]).withWatermark("event_time__", watermark)
+    out_cols = [*metrics, *([cpu[0]] if cpu else [])]
+    schema = ", ".join([*(f"`{c}` {kind[c].simpleString()}" for c in entity), "time__ bigint",
+                        *(f"`{m}_delta` bigint" for m in out_cols)])
+    out = rows.groupBy(*entity).transformWithStateInPandas(
+        SnapshotDeltas(entity, metrics, set(signed), cpu, guard_col is not None, state_ttl_ms),
+        schema, "Append", "EventTime")
+    return out.select(*entity, F.timestamp_micros("time__").cast(kind[time_col]).alias(time_col),
+                      *[f"{m}_delta" for m in out_cols])
 
 
 # ------------------------------------------------------------- T3 + T5
@@ -138,37 +170,26 @@ def collect_batches(stream: DataFrame, build: Callable[[DataFrame], DataFrame],
                     retention_days: int | None = None, trigger_seconds: int | None = 60,
                     query_name: str | None = None):
     """T3 + T5: run ``build`` (a batch report) on every micro-batch of raw
-    snapshot rows and write the result into date partitions of ``path``.
+    snapshot rows and write the result, once, into ``path``.
 
-    The write is a dynamic partition overwrite per batch's dates after a
-    union with what those dates already hold, so a batch replayed after a
-    failure (same batch id, same input from the checkpointed offsets)
-    gives the same rows. Retention (K7) runs after each write when
-    ``retention_days`` is set.
+    A batch's rows go to leaf folders of their own (date, collection, batch),
+    written by a dynamic overwrite of these leaves only: a batch replayed after
+    a failure (same batch id, same input from the checkpointed offsets)
+    replaces its own files, and nothing else of the day is read or rewritten,
+    so two collectors of one day do not meet. Retention (K7) runs after each
+    write when ``retention_days`` is set, from the newest time the batch brought.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         out = build(batch)
         if schema is not None:
             out = history._conform(out, schema)
-        spark = batch.sparkSession
         out = out.withColumn("_batch_id", F.lit(batch_id).cast("bigint"))
-        fs, root, _ = history._fs(spark, path)
-        if fs.exists(root):
-            existing = spark.read.parquet(path)
-            dates = out.select("collection_date").distinct()
-            keep = (existing.join(dates, on="collection_date", how="left_semi")
-                    .filter(F.col("_batch_id") != batch_id))
-            merged = keep.unionByName(out)
-        else:  # first batch: no history yet
-            merged = out
-        staging = f"{path.rstrip('/')}/_staging_batch_{batch_id}"
-        merged.write.mode("overwrite").parquet(staging)
-        (spark.read.parquet(staging).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("collection_date").parquet(path))
+        history.write_leaves(out, path, salt=f"b{batch_id}")
         if retention_days is not None:
-            newest = out.agg(F.max("collection_time")).first()[0]
+            timed = batch if "collection_time" in batch.columns else out
+            newest = timed.agg(F.max("collection_time")).first()[0]
             if newest is not None:
-                history.purge_partitions(spark, path, newest, retention_days)
+                history.purge_partitions(batch.sparkSession, path, newest, retention_days)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if query_name:

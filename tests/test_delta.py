@@ -58,57 +58,45 @@ def test_delta_telescopes(spark):
     assert s == 40 - 3
 
 
-def test_stream_equals_batch(spark, scratch):
-    df = with_previous_snapshot_time(spark.createDataFrame(ROWS, SCHEMA))
-    src = os.path.join(scratch, "snaps")
-    for i, t in enumerate([T0, T1, T2]):
-        df.filter(F.col("collection_time") == F.lit(t)).coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
-    # one snapshot file per micro-batch, so deltas must come from carried state
-    stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+def streamed(spark, scratch, snapshots, **options):
+    """Rows of the stream form, one snapshot file per micro-batch, and the query's last progress with state."""
+    name = f"delta_{os.path.basename(scratch).replace('-', '_')}_{len(os.listdir(scratch))}"
+    src = os.path.join(scratch, f"snaps_{name}")
+    for i, df in enumerate(snapshots):
+        df.coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+    stream = (spark.readStream.schema(snapshots[0].schema).option("maxFilesPerTrigger", 1)
               .parquet(os.path.join(src, "*")))
-    out = snapshot_delta_stream(stream, ["instance_id", "session_id", "request_id"],
-                                ["reads", "tempdb_current"])
-    # A pending state timeout makes an untriggered query run no-data batches
-    # back to back, so processAllAvailable would never see it idle; the
-    # collector runs with a 60 s trigger instead.
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        q = (out.writeStream.format("memory").queryName("delta_stream_test").outputMode("append")
-             .option("checkpointLocation", os.path.join(scratch, "ckpt")).start())
-        q.processAllAvailable()
-        q.stop()
-    finally:
-        spark.conf.set(key, before)
-    got = {(r.session_id, r.collection_time): (r.reads_delta, r.tempdb_current_delta)
-           for r in spark.table("delta_stream_test").collect()}
-    want = {k: (r.reads_delta, r.tempdb_current_delta) for k, r in batch(spark).items()}
+    out = snapshot_delta_stream(stream, ["instance_id", "session_id", "request_id"], ["reads", "tempdb_current"],
+                                cpu=("CPU", "thread_CPU_snapshot"), **options)
+    q = (out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
+         .option("checkpointLocation", os.path.join(scratch, f"ckpt_{name}")).start())
+    q.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return {(r.instance_id, r.session_id, r.collection_time): (r.reads_delta, r.tempdb_current_delta, r.CPU_delta)
+            for r in spark.table(name).collect()}, state
+
+
+def test_stream_equals_batch(spark, scratch):
+    later = [("a", 2, 0, T2, None, 5, 5, 5, 5), ("a", 2, 0, T2 + dt.timedelta(days=40), None, 9, 1, 5, 50),  # no start: NULL = NULL
+             ("a", 4, 0, T2 + dt.timedelta(days=40), S0, 95, 0, 9, 9)]
+    rows = spark.createDataFrame([*ROWS, *later], SCHEMA)
+    df = with_previous_snapshot_time(rows)
+    times = sorted({r[3] for r in [*ROWS, *later]})
+    snaps = [df.filter(F.col("collection_time") == F.lit(t)) for t in times]
+    got, _ = streamed(spark, scratch, snaps)      # all collectors pause for 40 days: no event time passes
+    want = {(r.instance_id, r.session_id, r.collection_time): (r.reads_delta, r.tempdb_current_delta, r.CPU_delta)
+            for r in snapshot_delta(rows, metrics=("reads", "tempdb_current")).collect()}
     assert got == want
+    assert got["a", 2, times[-1]] == (4, -4, 45) and got["a", 4, T1] == (None, 0, None)
 
 
-def test_stream_state_expires(spark, scratch):
-    import time
-    df = with_previous_snapshot_time(spark.createDataFrame(ROWS, SCHEMA))
-    src = os.path.join(scratch, "snaps")
-    df.coalesce(1).write.parquet(os.path.join(src, "part0"))
-    stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "*"))
-    out = snapshot_delta_stream(stream, ["instance_id", "session_id", "request_id"], ["reads"],
-                                state_ttl_ms=1000)
-    q = (out.writeStream.format("memory").queryName("delta_ttl_test").outputMode("append")
-         .trigger(processingTime="1 second")
-         .option("checkpointLocation", os.path.join(scratch, "ckpt")).start())
-    try:
-        seen_state, emptied = False, False
-        for _ in range(40):
-            time.sleep(1)
-            p = q.lastProgress
-            if p and p.get("stateOperators"):
-                n = p["stateOperators"][0]["numRowsTotal"]
-                seen_state = seen_state or n > 0
-                if seen_state and n == 0:
-                    emptied = True
-                    break
-        assert seen_state and emptied
-    finally:
-        q.stop()
+def test_stream_state_expires_in_event_time(spark, scratch):
+    rows = [("a", 1, 0, T0, S0, 1, 1, 1, 1), ("a", 2, 0, T0, S0, 1, 1, 1, 1)]
+    rows += [("a", 2, 0, T0 + dt.timedelta(minutes=m), S0, 1 + m, 1, 1, 1) for m in range(1, 6)]
+    df = with_previous_snapshot_time(spark.createDataFrame(rows, SCHEMA))
+    snaps = [df.filter(F.col("collection_time") == F.lit(T0 + dt.timedelta(minutes=m))) for m in range(6)]
+    got, state = streamed(spark, scratch, snaps, state_ttl_ms=120_000, watermark="0 seconds")
+    assert [got["a", 2, T0 + dt.timedelta(minutes=m)][0] for m in range(1, 6)] == [1] * 5
+    assert max(state) > state[-1]      # the session that left is forgotten, the one that stays is not
+    again, kept = streamed(spark, scratch, snaps, state_ttl_ms=None, watermark="0 seconds")
+    assert again == got and kept[-1] == max(kept)

@@ -117,3 +117,27 @@ def test_append_collection_keeps_other_servers_at_the_same_time(spark, scratch):
     history.append_collection(spark, coll("a", 3), path)   # replayed
     got = spark.read.parquet(path).groupBy("instance_id").count().collect()
     assert sorted((r[0], r[1]) for r in got) == [("a", 3), ("b", 2)]
+
+
+def test_collections_are_leaves_that_are_replaced_alone(spark, scratch):
+    path = os.path.join(scratch, "leaves")
+    times = [dt.datetime(2024, 1, 1, h) for h in (9, 10, 11)] + [dt.datetime(2024, 1, 2, 9)]
+
+    def coll(inst, t, v):
+        return (spark.createDataFrame([(inst, t, v)], "instance_id string, collection_time timestamp_ntz, v int")
+                .withColumn("collection_date", F.to_date("collection_time")))
+    for inst in ("a~b/c=d", None, "", "-"):
+        for t in times:
+            history.append_collection(spark, coll(inst, t, 1), path)
+    files = lambda: {f for d, _, names in os.walk(path) for n in names if n.endswith(".parquet") for f in [os.path.join(d, n)]}
+    before = files()
+    history.append_collection(spark, coll(None, times[1], 7), path)   # a late rerun
+    assert len(before - files()) == 1 and len(files() - before) == 1
+    got = history.read_history(spark, path)
+    assert got.count() == 16 and got.columns == ["instance_id", "collection_time", "v", "collection_date"]
+    assert [(r.instance_id, r.collection_time) for r in got.where("v = 7").collect()] == [(None, times[1])]
+    kept = files()
+    history.purge_partitions(spark, path, dt.datetime(2024, 1, 11, 10), days=10)
+    left = history.read_history(spark, path)
+    assert {r[0] for r in left.select("collection_time").distinct().collect()} == set(times[1:]) and left.count() == 12
+    assert files() < kept     # no file was rewritten
