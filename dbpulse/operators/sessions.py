@@ -177,6 +177,11 @@ OVERLAY_ATTRIBUTES = (
     ("lock_timeout", "lock_timeout"), ("deadlock_priority", "deadlock_priority"),
     ("row_count", "row_count"),
 )
+# The same of the statement that runs: (request's, process row's, result's).
+STATEMENT_ATTRIBUTES = (("sql_handle", "sql_handle", "sql_handle"),
+                        ("statement_start_offset", "statement_start_offset", "statement_start_offset"),
+                        ("statement_end_offset", "statement_end_offset", "statement_end_offset"),
+                        ("command", "cmd", "command_type"))
 ON_OFF_ATTRIBUTES = ("quoted_identifier", "arithabort", "ansi_null_dflt_on", "ansi_defaults",
                      "ansi_warnings", "ansi_padding", "ansi_nulls", "concat_null_yields_null")
 
@@ -218,11 +223,20 @@ def overlay_requests(procs: DataFrame, sessions: DataFrame, requests: DataFrame,
         elif src in ON_OFF_ATTRIBUTES:
             c = S.on_off(c)
         out.append(c.alias(name))
+    # the statement a request runs, else what its process row last ran
+    for src, own, name in STATEMENT_ATTRIBUTES:
+        in_r, in_p = src in requests.columns, own in procs.columns
+        if in_r or in_p:
+            c = (F.coalesce(F.col(f"r.{src}"), F.col(f"p.{own}")) if in_r and in_p
+                 else F.col(f"r.{src}") if in_r else F.col(f"p.{own}"))
+            out.append(c.alias(name))
     mem = F.col("p.memory_usage")
     if "granted_query_memory" in requests.columns:
         mem = mem + F.coalesce(F.col("r.granted_query_memory"), F.lit(0))
     out.append(mem.alias("used_memory"))
-    for c in ("transaction_id", "plan_handle", "percent_complete", "command"):
+    if "host_process_id" in sessions.columns:
+        out.append(F.col("s.host_process_id").alias("host_process_id"))
+    for c in ("transaction_id", "plan_handle", "percent_complete", "group_id"):
         if c in requests.columns:
             col = F.col(f"r.{c}")
             if c == "percent_complete":

@@ -50,7 +50,7 @@ def wait_rollup_job(spark: SparkSession, wait_stats: DataFrame, history_path: st
     rows = history._conform(rows, history.WAIT_HISTORY_SCHEMA)
     history.append_collection(spark, rows, history_path)
     history.purge_partitions(spark, history_path, as_of, retention_days)
-    return history.read_history(spark, history_path)
+    return history.read_history(spark, history_path, history.WAIT_HISTORY_SCHEMA)
 
 
 def activity_collection_job(spark: SparkSession, sources: Mapping[str, DataFrame], history_path: str,
@@ -86,4 +86,4 @@ def activity_collection_job(spark: SparkSession, sources: Mapping[str, DataFrame
             rep = rep.withColumn("instance_id", F.lit(None).cast("string"))
         history.append_collection(spark, history._conform(rep, history.ACTIVITY_HISTORY_SCHEMA), history_path)
     history.purge_partitions(spark, history_path, as_of, retention_days)
-    return history.read_history(spark, history_path)
+    return history.read_history(spark, history_path, history.ACTIVITY_HISTORY_SCHEMA)

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dbpulse.functions import scalars as S
-from dbpulse.operators import (blocking, delta, filters, jobs, locks, sessions, statements, tasks,
+from dbpulse.operators import (blocking, delta, filters, info, jobs, locks, sessions, statements, tasks,
                                tempspace, trans)
 from dbpulse.plans.options import ReportOptions
-from dbpulse.session import cut_lineage
-from dbpulse.sources.history import result_schema_ddl
+from dbpulse.session import cut_lineage, table_scope
+from dbpulse.sources.history import append_to_table, check_table_name, result_schema_ddl
 
 
 # The report's columns in default order, each with the
@@ -136,6 +136,29 @@ def sort_by(df: DataFrame, sort_order: str) -> DataFrame:
     return df.orderBy(*[F.col(n).asc_nulls_first() if a else F.col(n).desc_nulls_last() for n, a in spec])
 
 
+def sort_positions(df: DataFrame, sort_order: str, tie_breakers: list[str], name: str = "position") -> DataFrame:
+    """O1 with an order that outlives the DataFrame: adds each row's place (from
+    1) in the order of a sort text, ties by ``tie_breakers``.
+
+    Rows are range-partitioned by the order and sorted within their partitions
+    (what a global sort does), written once, and numbered by their place in
+    the partition plus the sizes of the partitions before it: one small row a
+    partition crosses to the window that adds these up, no row of the data.
+    """
+    spec = [(n, a) for n, a in sort_spec(sort_order) if n in df.columns]
+    order = [F.col(n).asc_nulls_first() if a else F.col(n).desc_nulls_last() for n, a in spec]
+    order += [F.col(n).asc_nulls_first() for n in tie_breakers]
+    in_task = F.monotonically_increasing_id()
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_part", F.shiftright(in_task, 33)).withColumn("_row", in_task.bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_all", F.col("_part") * 0)
+    # one group: a row for each partition, however many rows they hold
+    before = Window.partitionBy("_all").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return (placed.join(starts, on="_part").withColumn(name, F.col("_before") + F.col("_row") + 1)
+            .drop("_part", "_row", "_before"))
+
+
 COUNTER_COLUMNS = ("physical_io", "reads", "physical_reads", "writes", "tempdb_allocations",
                    "tempdb_current", "CPU", "context_switches", "used_memory", "physical_io_delta",
                    "reads_delta", "physical_reads_delta", "writes_delta", "tempdb_allocations_delta",
@@ -144,38 +167,68 @@ COUNTER_COLUMNS = ("physical_io", "reads", "physical_reads", "writes", "tempdb_a
                    "blocked_session_count")
 
 
+def with_widths(df: DataFrame, keys: list[str], widths: Mapping[str, Column]) -> DataFrame:
+    """The widest text of each column in its snapshot, added to every row.
+
+    One plain aggregation gives a row a snapshot (combined map-side), joined
+    back on the keys; the wide rows are neither shuffled nor sorted for it.
+    Rows without snapshot keys are one snapshot, by a constant key.
+    """
+    keyed = df.withColumn("_one", F.lit(0))
+    on = [*keys, "_one"]
+    widest = keyed.groupBy(*on).agg(*[F.max(c).alias(n) for n, c in widths.items()])
+    there = widest.toDF(*[f"_w_{k}" for k in on], *widths)
+    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in on]
+    return keyed.join(there, on=same, how="left").drop("_one", *[f"_w_{k}" for k in on])
+
+
 def format_counters(df: DataFrame, format_output: int, keys: list[str]) -> DataFrame:
     """C8 + W12: counters as text. Format 2: thousands separators, right
     aligned in 19. Format 1 also pads every value to the widest value of
     its snapshot; rows without snapshot keys are one snapshot."""
     if format_output == 0:
         return df
-    snap = Window.partitionBy(*(keys or [F.lit(0)]))
-    out = df
-    for c in COUNTER_COLUMNS:
-        if c not in df.columns:
-            continue
+    counters = [c for c in COUNTER_COLUMNS if c in df.columns]
+    digits = {c: F.length(F.col(c).cast("bigint").cast("string")) for c in counters}
+    out = with_widths(df, keys, {f"_width_{c}": digits[c] for c in counters}) if format_output == 1 else df
+    texts = {}
+    for c in counters:
         text = S.count_text(F.col(c).cast("decimal(38,0)")) if c != "percent_complete" \
             else S.right_aligned(F.format_number(F.col(c), 2))
         if format_output == 1:
-            digits = F.length(F.col(c).cast("bigint").cast("string"))
-            text = F.concat(F.repeat(F.lit(" "), F.max(digits).over(snap) - digits), text)
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), text))
-    return out
+            text = F.concat(F.repeat(F.lit(" "), F.col(f"_width_{c}") - digits[c]), text)
+        texts[c] = F.when(F.col(c).isNotNull(), text)
+    return out.withColumns(texts).drop(*[f"_width_{c}" for c in counters])
 
 
 def format_elapsed(df: DataFrame, keys: list[str], elapsed_col: str = "elapsed_ms",
                    avg_col: str | None = "avg_elapsed_time") -> DataFrame:
     """C7 + W12: ``dd hh:mm:ss.mss`` with days padded to the widest value
     of the snapshot (at least 2); the average column uses width 2."""
-    snap = Window.partitionBy(*(keys or [F.lit(0)]))
-    width = F.max(S.day_width(F.col(elapsed_col))).over(snap)
-    out = df.withColumn("dd hh:mm:ss.mss", S.elapsed_text(F.col(elapsed_col), width))
+    wide = with_widths(df, keys, {"_days": S.day_width(F.col(elapsed_col))})
+    out = wide.withColumn("dd hh:mm:ss.mss", S.elapsed_text(F.col(elapsed_col), F.col("_days"))).drop("_days")
     if avg_col and avg_col in df.columns:
         out = out.withColumn("dd hh:mm:ss.mss (avg)", S.elapsed_text(F.col(avg_col), 2))
     return out
 
 
+# The types of report columns that no source may fill; all others
+# are text. Counters become text in formats 1 and 2.
+_TIMES = ("tran_start_time", "start_time", "login_time", "collection_time")
+_IDS = ("session_id", "request_id", "blocking_session_id", "avg_elapsed_time")
+
+
+def column_type(name: str, options: ReportOptions) -> str:
+    """K5: the type of a report column, whether or not its source is there."""
+    if name in _TIMES:
+        return "timestamp_ntz"
+    if name in _IDS:
+        return "bigint"
+    if name in COUNTER_COLUMNS and options.format_output == 0:
+        return "double" if name == "percent_complete" else "bigint"
+    return "string"
+
+
 def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
                     as_of: Column | None = None, materialize: bool = True) -> DataFrame:
     """The activity report.
@@ -228,13 +281,14 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         # temp space, transactions, locks, block leaders): write it once to
         # the reliable checkpoint folder instead of recomputing it per branch.
         top = cut_lineage(top)
-    rows = top
+    rows, blocks = top, None
     if "sessions" in sources and "requests" in sources:
         ov_as_of = (F.col("p.collection_time").cast("timestamp_ntz") if "collection_time" in keys
                     else as_of)
         ov = sessions.overlay_requests(top, sources["sessions"], sources["requests"], keys, ov_as_of)
         ov = ov.drop("status", "login_time")
-        rows = top.join(ov, on=[*keys, "session_id", "request_id"], how="left")
+        at = [*keys, "session_id", "request_id"]
+        rows = top.drop(*[c for c in ov.columns if c not in at]).join(ov, on=at, how="left")
     else:
         rows = (top.withColumn("start_time", F.col("last_request_end_time").cast("timestamp_ntz"))
                 .withColumn("used_memory", F.col("memory_usage")))
@@ -244,7 +298,9 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
     if o.get_task_info > 0 and "tasks" in sources and "waiting_tasks" in sources:
         tw = tasks.task_wait_summary(sources["tasks"], sources["waiting_tasks"], top,
                                      sources.get("workers"), sources.get("threads"), keys)
-        tw = tw.withColumnRenamed("wait_info", "_task_wait_info").drop("block_info")
+        tw = tw.withColumnRenamed("wait_info", "_task_wait_info")
+        blocks = tw.select(*keys, "session_id", "request_id", "block_info") if o.get_task_info == 2 else None
+        tw = tw.drop("block_info")
         rows = rows.join(tw, on=[*keys, "session_id", "request_id"], how="left")
         if o.get_task_info == 2:
             rows = rows.withColumn("wait_info", F.coalesce("_task_wait_info", "wait_info"))
@@ -282,12 +338,16 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
             .withColumn("principal_name", F.lit(None).cast("string")))
         doc = locks.lock_document(named, keys).withColumn("locks", F.to_json("databases")).drop("databases")
         rows = rows.join(doc, on=[*keys, "session_id", "request_id"], how="left")
-    if o.get_additional_info and "jobs" in sources and "job_steps" in sources:
-        info = jobs.agent_job_info(rows.select(*keys, "session_id", "request_id", "program_name"),
-                                   sources["jobs"], sources["job_steps"], keys)
-        info = info.select(*keys, "session_id", "request_id", F.to_json(F.struct(
-            "job_id", "step_id", "job_name", "step_name")).alias("additional_info"))
-        rows = rows.join(info, on=[*keys, "session_id", "request_id"], how="left")
+    if o.get_additional_info:
+        agent = None
+        if "jobs" in sources and "job_steps" in sources:
+            agent = jobs.agent_job_info(rows.select(*keys, "session_id", "request_id", "program_name"),
+                                        sources["jobs"], sources["job_steps"], keys)
+        if blocks is not None:
+            blocks = info.named_block_info(blocks, *[sources.get(n) for n in ("partitions", "objects", "schemas", "databases")],
+                                           keys=keys)
+        record = info.additional_info(rows, blocks, agent, keys).withColumn("additional_info", F.to_json("additional_info"))
+        rows = rows.join(record, on=[*keys, "session_id", "request_id"], how="left")
     if o.delta_interval > 0 and "collection_time" in keys:
         ik = [k for k in keys if k != "collection_time"]
         guard = "last_request_start_time" if "last_request_start_time" in rows.columns else None
@@ -302,18 +362,36 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
                         .otherwise(F.col("request_id")))
             .withColumn("login_time", F.col("login_time").cast("timestamp_ntz"))
             .withColumn("collection_time", as_of))
+    if materialize and o.format_output == 1:
+        rows = cut_lineage(rows)   # read by the widths and by the texts
     if o.format_output in (1, 2):
         rows = format_elapsed(rows, keys)
     rows = format_counters(rows, o.format_output, keys)
     wanted = select_columns(o.output_column_list, o)
     out_cols = [*[k for k in keys if k != "collection_time"]]
     for c in wanted:
-        out_cols.append(F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c))
+        out_cols.append(F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast(column_type(c, o)).alias(c))
     out = rows.select(*out_cols)
     return sort_by(out, o.sort_order)
 
 
 def report_schema(sources: Mapping[str, DataFrame], options: ReportOptions,
                   table_name: str = "<table_name>") -> str:
-    """K5: the DDL of the report for these options; nothing is executed."""
-    return result_schema_ddl(activity_report(sources, options), table_name)
+    """K5: the DDL of the report for these options; only the plan is analysed."""
+    return result_schema_ddl(activity_report(sources, options, materialize=False), table_name)
+
+
+def deliver_report(sources: Mapping[str, DataFrame], options: ReportOptions,
+                   as_of: Column | None = None) -> DataFrame | str | None:
+    """The report as its options ask for it: ``return_schema`` gives the DDL of
+    the result (K5) and collects nothing, ``destination_table`` appends the
+    rows to that table by column name (K2) and returns nothing, else the
+    report's rows are returned."""
+    if options.return_schema:
+        return report_schema(sources, options)
+    if not options.destination_table:
+        return activity_report(sources, options, as_of)
+    check_table_name(options.destination_table)   # before any work is done
+    with table_scope():
+        append_to_table(activity_report(sources, options, as_of), options.destination_table)
+    return None

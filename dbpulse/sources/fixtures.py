@@ -155,6 +155,10 @@ SELECT s_suppkey AS plan_handle, 0 AS statement_start_offset, 30 AS statement_en
 # left to the wildcard.
 _SNAP = "o_orderkey % 3 AS instance_id, date_trunc('year', o_orderdate) AS collection_time"
 _SNAP_KEYS = "o_orderkey % 3, date_trunc('year', o_orderdate)"
+_SETTINGS = ("logical_reads", "reads", "writes", "cpu_time", "text_size", "date_first", "transaction_isolation_level",
+             "lock_timeout", "deadlock_priority", "row_count")
+_FLAGS = ("quoted_identifier", "arithabort", "ansi_null_dflt_on", "ansi_defaults", "ansi_warnings", "ansi_padding",
+          "ansi_nulls", "concat_null_yields_null")
 
 FIXTURE_SQL |= {
     "fx_snap_processes": f"""
@@ -180,6 +184,49 @@ SELECT {_SNAP}, o_custkey + 1 AS session_id, l_linenumber % 2 AS request_id, l_s
  CASE l_linenumber % 3 WHEN 2 THEN CONCAT('1:', CAST(l_partkey AS VARCHAR(20))) ELSE '' END AS resource_description,
  l_partkey % 50 AS resource_associated_entity_id, l_returnflag AS request_mode, l_linestatus AS request_status
  FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey""",
+    "fx_snap_waits": f"""
+SELECT l_returnflag AS instance_id, date_trunc('year', l_shipdate) AS collection_time,
+ CASE WHEN l_suppkey % 10 = 3 THEN 'SLEEP_TASK' ELSE CONCAT('WT_', CAST(l_suppkey AS VARCHAR(20))) END AS wait_type,
+ SUM(CAST(l_quantity AS BIGINT) * 1000) AS wait_time_ms, SUM(CAST(l_quantity AS BIGINT) * l_linenumber * 10) AS signal_wait_time_ms,
+ SUM(CASE WHEN l_suppkey % 9 = 1 THEN 0 ELSE 1 END) AS waiting_tasks_count
+ FROM {{lineitem}} GROUP BY l_returnflag, date_trunc('year', l_shipdate), l_suppkey""",
+    # all attributes that a session and its request both carry (P9); every
+    # third request leaves them to its session
+    "fx_snap_settings": f"""
+SELECT instance_id, collection_time, session_id, TIMESTAMP '1992-01-01 00:00:00' AS login_time, is_user_process,
+ MAX(t) AS last_request_start_time, MIN(t) AS last_request_end_time, MAX(k) % 4000 AS host_process_id, {", ".join(f"MAX(k) % {7 + i} AS {c}" for i, c in enumerate(_SETTINGS))},
+ {", ".join(f"MAX(k + {i}) % 2 = 0 AS {c}" for i, c in enumerate(_FLAGS))}, CONCAT('lang', CAST(MAX(k) % 5 AS VARCHAR(20))) AS language, 'mdy' AS date_format
+ FROM (SELECT {_SNAP}, o_custkey + 1 AS session_id, o_custkey % 10 <> 0 AS is_user_process, o_orderdate AS t, o_orderkey AS k FROM {{orders}}) x
+ GROUP BY instance_id, collection_time, session_id, is_user_process""",
+    "fx_snap_running": f"""
+SELECT instance_id, collection_time, session_id, request_id, MAX(t) AS start_time, MAX(k) AS sql_handle, MAX(k) % 11 AS plan_handle,
+ MAX(k) % 100 AS statement_start_offset, CASE WHEN MAX(k) % 3 = 0 THEN NULL ELSE MAX(k) % 90 END AS statement_end_offset,
+ CASE WHEN MAX(k) % 3 = 1 THEN NULL ELSE CONCAT('CMD_', CAST(MAX(k) % 6 AS VARCHAR(20))) END AS command, MAX(k) % 17 AS group_id,
+ {", ".join(f"CASE WHEN MAX(k) % 3 = 0 THEN NULL ELSE MAX(k) % {5 + i} END AS {c}" for i, c in enumerate(_SETTINGS))},
+ {", ".join(f"CASE WHEN MAX(k) % 3 = 0 THEN NULL ELSE MAX(k + {i}) % 3 = 0 END AS {c}" for i, c in enumerate(_FLAGS))},
+ CASE WHEN MAX(k) % 3 = 0 THEN NULL ELSE CONCAT('req', CAST(MAX(k) % 4 AS VARCHAR(20))) END AS language, CASE WHEN MAX(k) % 3 = 0 THEN NULL ELSE 'dmy' END AS date_format
+ FROM (SELECT {_SNAP}, o_custkey + 1 AS session_id, o_orderkey % 2 AS request_id, o_orderdate AS t, o_orderkey AS k FROM {{orders}}) x
+ GROUP BY instance_id, collection_time, session_id, request_id""",
+    # every lock type a waiting task can name
+    "fx_snap_lock_waits": f"""
+SELECT {_SNAP}, o_custkey + 1 AS session_id, o_orderkey % 2 AS request_id,
+ CASE WHEN o_orderkey % 13 = 0 THEN 'PAGEIOLATCH_SH' ELSE 'LCK_M_X' END AS wait_type, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey + 2 END AS blocking_session_id,
+ CONCAT(CASE o_custkey % 11 WHEN 0 THEN CONCAT('objectlock lockPartition=0 objid=', CAST(o_orderkey % 300 AS VARCHAR(20)), ' subresource=FULL')
+  WHEN 1 THEN CONCAT('pagelock fileid=1 pageid=7 associatedObjectId=', CAST(o_orderkey % 300 AS VARCHAR(20)))
+  WHEN 2 THEN CONCAT('keylock hobtid=', CAST(o_orderkey % 300 AS VARCHAR(20)))
+  WHEN 3 THEN CONCAT('ridlock fileid=1 pageid=7 associatedObjectId=', CAST(o_orderkey % 300 AS VARCHAR(20)))
+  WHEN 4 THEN CONCAT('filelock fileid=', CAST(o_orderkey % 9 AS VARCHAR(20)), ' subresource=FULL')
+  WHEN 5 THEN CONCAT('extentlock fileid=1 pageid=8 associatedObjectId=', CAST(o_orderkey % 300 AS VARCHAR(20)))
+  WHEN 6 THEN CONCAT('hobtlock hobtid=', CAST(o_orderkey % 300 AS VARCHAR(20)), ' subresource=FULL')
+  WHEN 7 THEN CONCAT('allocunitlock hobtid=', CAST(o_orderkey % 300 AS VARCHAR(20)), ' subresource=FULL')
+  WHEN 8 THEN CONCAT('applicationlock hash=h', CAST(o_orderkey % 50 AS VARCHAR(20)), ' databasePrincipalId=0')
+  WHEN 9 THEN CONCAT('metadatalock subresource=', CASE WHEN o_orderkey % 2 = 0 THEN 'SCHEMA' ELSE 'STATS' END, ' classid=schema_id = ', CAST(o_orderkey % 40 AS VARCHAR(20)))
+  ELSE 'databaselock subresource=FULL' END, ' dbid=', CAST(o_orderkey % 5 AS VARCHAR(20)), ' id=lock1 mode=X') AS resource_description FROM {{orders}}""",
+    "fx_snap_programs": f"""
+SELECT instance_id, collection_time, session_id, request_id, CASE WHEN k % 4 = 0 THEN 'App' ELSE
+ CONCAT('SQLAgent - TSQL JobStep (Job 0x', UPPER(MD5(CAST(k % 700 AS VARCHAR(20)))), ' : Step ', CAST(k % 6 AS VARCHAR(20)), ')') END AS program_name
+ FROM (SELECT {_SNAP}, o_custkey + 1 AS session_id, o_orderkey % 2 AS request_id, MAX(o_orderkey) AS k FROM {{orders}}
+  GROUP BY {_SNAP_KEYS}, o_custkey, o_orderkey % 2) x""",
     # two requests a session, each with a blocker of its own: chains of 60
     # sessions, a shorter way past them, rings of two and of five
     "fx_snap_blocking": """

@@ -124,9 +124,11 @@ def write_leaves(rows: DataFrame, path: str, key_cols: Sequence[str] = ("instanc
     rows.sparkSession.catalog.refreshByPath(path)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a history, without the name of the leaf they lie in."""
-    return spark.read.parquet(path).drop(LEAF)
+def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of a history, without the name of the leaf they lie in. With its
+    ``schema`` a history that holds nothing yet is an empty table."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).drop(LEAF)
 
 
 def append_collection(spark: SparkSession, rows: DataFrame, path: str,
