@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,26 +197,31 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b"))
 
 
-def open_group(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
-    """Links (a, b) of queries with the members of a chunk, as many as join components.
+def _unpacked(chunks: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """(node, root, tokens) of the packed rows of chunks."""
+    rows = chunks.column("rows").combine_chunks().flatten()
+    node, root, tokens = (pc.struct_field(rows, c) for c in ("node", "root", "tokens"))
+    return node.to_numpy(), root.to_numpy(), tokens
 
-    ``queries`` has a, root, tokens; ``members`` b, root, tokens; rows of one
-    root are joined already. Of all links found a spanning part is returned.
+
+def open_chunk(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) of the nodes of some chunks with those of one, as many as join components.
+
+    Both hold packed chunks (:func:`packed_chunks`); rows of one root are
+    joined already. Of all links found a spanning part is returned.
     """
     out = []
     if queries.num_rows and members.num_rows:
-        lists = members.column("tokens").combine_chunks()
+        b, root, lists = _unpacked(members)
+        a, own_root, asked = _unpacked(queries)
         token = lists.flatten().to_numpy()
         order = np.argsort(token, kind="stable")
         token = token[order]
         n = lists.value_lengths().to_numpy()
         owner = np.repeat(np.arange(len(n)), n)[order]
-        a, b = queries.column("a").to_numpy(), members.column("b").to_numpy()
-        roots, label = np.unique(np.concatenate([members.column("root").to_numpy(), queries.column("root").to_numpy()]),
-                                 return_inverse=True)
+        roots, label = np.unique(np.concatenate([root, own_root]), return_inverse=True)
         own_label, label = label[len(b):], label[:len(b)]   # of queries and members; merged as links are found
         merged = np.arange(len(roots))
-        asked = queries.column("tokens").combine_chunks()
         ends = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
         flat = asked.flatten().to_numpy()
         for i in range(len(a)):
@@ -235,6 +241,13 @@ def open_group(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
+def packed_chunks(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """(chunk, size, rows): a chunk's nodes with their roots and whole sets, one
+    row a chunk; CHUNK_NODES and CHUNK_TOKENS bound it."""
+    return (member.join(sets.select("node", "tokens"), "node").groupBy("chunk")
+            .agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.struct("node", "root", "tokens")).alias("rows")))
+
+
 def shared_tokens(signed: DataFrame) -> DataFrame:
     """(token, node, low) of the prefix tokens that several nodes have; low is the smallest of these.
 
@@ -309,25 +322,27 @@ def similar_sets(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
             .groupBy("chunk", "chunk_").agg(
                 F.count(F.lit(1)).alias("both"), F.max(F.when(one, 0).otherwise(1)).alias("open"),
                 F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_").alias("low_"), F.max("high_").alias("high_")))
-    # step 4: open the chunks that qualify
-    met = hits.where((F.col("open") == 1) & (F.col("both") >= needed)).select("chunk", F.col("chunk_").alias("g"))
-    qualified = cut(met.join(member.select("node", "root", "chunk"), "chunk").select(F.col("node").alias("a"), "root", "g"))
+    # step 4: open the chunks that qualify; a chunk travels whole, in one row
+    met = cut(hits.where((F.col("open") == 1) & (F.col("both") >= needed)).select("chunk", F.col("chunk_").alias("g")))
     for done in (shared, cells, best, tied):
         drop_cut(done)
-    if qualified.isEmpty():
+    if met.isEmpty():
         return signed, nodes, first
-    parts = cut(qualified.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERY_PART).alias("parts")))
-    queries = qualified.join(parts, "g").withColumn("p", F.pmod(F.xxhash64("a"), F.col("parts")))
-    members = (member.select(F.col("node").alias("b"), "root", F.col("chunk").alias("g"))
-               .join(parts, "g").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
-    wanted = qualified.select(F.col("a").alias("node")).union(members.select("b")).distinct()
-    sets = cut(whole_sets(texts, wanted.join(nodes.select("node", "rep"), "node"), k))
-    of = lambda rows, key: (rows.join(sets.withColumnRenamed("node", key), key)
-                            .select(*[F.col(c).alias(f"{c}_") for c in ("g", "p", key, "root", "tokens")])
-                            .toDF("g", "p", key, "root", "tokens"))
-    across = cut(of(queries, "a").groupBy("g", "p").cogroup(of(members, "b").groupBy("g", "p"))
-                 .applyInArrow(lambda a, b: open_group(a, b, percent), "a long, b long"))
-    for done in (sets, parts, qualified, member):
+    opened = met.select("chunk").union(met.select("g")).distinct()
+    wanted = member.join(opened, "chunk", "left_semi")
+    sets = whole_sets(texts, wanted.select("node").join(nodes.select("node", "rep"), "node"), k)
+    packed = cut(packed_chunks(wanted, sets))
+    asking = met.join(packed.select("chunk", "size"), "chunk")
+    parts = asking.groupBy(F.col("g").alias("of")).agg(F.ceil(F.sum("size") / QUERY_PART).alias("parts"))
+    asking = cut(asking.join(parts, F.col("g") == F.col("of")).select(
+        "chunk", "g", F.pmod(F.xxhash64("chunk"), F.col("parts")).alias("p")))
+    rows_of = packed.select(F.col("chunk").alias("c"), "rows")
+    queries = asking.join(rows_of, F.col("chunk") == F.col("c")).select("g", "p", "rows")
+    members = asking.select(F.col("g").alias("g_"), F.col("p").alias("p_")).distinct().join(rows_of, F.col("g_") == F.col("c"))
+    members = members.select(F.col("g_").alias("g"), F.col("p_").alias("p"), F.col("rows").alias("rows"))
+    across = cut(queries.groupBy("g", "p").cogroup(members.groupBy("g", "p"))
+                 .applyInArrow(lambda a, b: open_chunk(a, b, percent), "a long, b long"))
+    for done in (sets, packed, asking, met, member):
         drop_cut(done)
     if across.isEmpty():
         return signed, nodes, first
