@@ -4,9 +4,10 @@ tokenizer of the help printer (M4)."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +83,54 @@ def column_profile(df: DataFrame, table_name: str, exact_distinct: bool = False)
                     "min_num", "max_num", "min_time", "max_time", "min_text", "max_text"))
 
 
+def profile_sketches(df: DataFrame, table_name: str, part: Column | None = None) -> DataFrame:
+    """M1, mergeable: one row per part and column of ``df`` that later ones can be added
+    to: rows, NULLs, least and greatest value, and a HyperLogLog sketch of the
+    distinct values. One pass, one aggregation by ``part`` (a day, a partition;
+    one part if not given), so a part that is profiled again takes its old rows' place.
+    """
+    fields = list(df.schema.fields)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, f in enumerate(fields):
+        c = F.col(f"`{f.name}`")
+        aggs += [F.count(c).alias(f"k{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
+                 F.hll_sketch_agg(_distinct_key(f)).alias(f"s{i}")]
+    rows = []
+    for i, f in enumerate(fields):
+        num, tim = isinstance(f.dataType, _NUMERIC), isinstance(f.dataType, _TIME)
+        as_ = lambda on, c, kind: (F.col(c) if on else F.lit(None)).cast(kind)
+        rows.append(F.struct(
+            F.lit(f.name).alias("column_name"), (F.col("_rows") - F.col(f"k{i}")).alias("null_count"),
+            F.col(f"s{i}").alias("sketch"),
+            *[as_(on, f"{side}{i}", kind).alias(f"{name}_{what}") for what, on, kind in (
+                ("num", num, "double"), ("time", tim, "timestamp_ntz"), ("text", not (num or tim), "string"))
+              for name, side in (("min", "lo"), ("max", "hi"))]))
+    parts = df.groupBy((F.lit("") if part is None else part).alias("_part")).agg(*aggs)
+    return (parts.select(F.lit(table_name).alias("table_name"), F.col("_part").alias("part"),
+                         F.col("_rows").alias("row_count"), F.explode(F.array(*rows)).alias("p"))
+            .select("table_name", "part", "row_count", "p.*"))
+
+
+def merge_profiles(sketches: DataFrame, by: Sequence[str] = ("table_name", "column_name")) -> DataFrame:
+    """M1: the profile of all parts together, from their sketches alone. The
+    sketch of a union is the union of the sketches, so parts profiled one at a
+    time give what one pass over everything gives. ``distinct_count`` is the
+    sketch's estimate (within some percent; merged sketches round otherwise)."""
+    least = lambda c: F.min(c).alias(c)
+    most = lambda c: F.max(c).alias(c)
+    merged = sketches.groupBy(*by).agg(
+        F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"),
+        F.hll_union_agg("sketch").alias("sketch"), *[least(f"min_{k}") for k in ("num", "time", "text")],
+        *[most(f"max_{k}") for k in ("num", "time", "text")])
+    return merged.withColumn("distinct_count", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """M1: every table's exact column profile in one row set."""
+    parts = [column_profile(df, name, exact_distinct=True) for name, df in tables.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def integrity_counts(checks: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
     """M3: union of (check, table, violations) rows; build the inputs with
     ``duplicate_keys``, ``null_keys`` and ``orphan_keys``."""

@@ -1,127 +1,115 @@
 """Task-level wait summary per request (A3, A7, A10, W7, W8, J5, J6, J11,
-J12, C4, C5, C42)."""
+J12, C4, C5, C42).
+
+The tasks of the collected requests are read once; from there two small
+results are made and met at the end: the totals of each request, and its waits.
+A wait is a row (request, kind, duration, lock record), whether a task waits
+for the processor or for a resource, so both kinds are rolled up alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dbpulse.functions import scalars as S
 from dbpulse.functions.numeric import idiv
 
 
-def task_info(tasks: DataFrame, sessions: DataFrame, workers: DataFrame | None = None,
-              threads: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """J11 + J5 + W7: tasks of collected, non-sleeping requests with their
-    runnable time and per-request totals repeated on every task row."""
+def timed_tasks(tasks: DataFrame, sessions: DataFrame, workers: DataFrame | None = None,
+                threads: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """J11 + J5: the tasks of collected requests that do not sleep, each with its
+    thread's processor time and how long it has been ready to run.
+
+    ``ms_ticks`` is the server clock of the snapshot (that of the first
+    collection when a delta is taken): a worker bound after it has no thread
+    time, and counts only while it is runnable.
+    """
     keys = list(keys)
-    live = (sessions.filter(F.col("status") != "sleeping")
-            .select(*keys, "session_id", "request_id").distinct())
-    t = tasks.join(live, on=[*keys, "session_id", "request_id"], how="left_semi")
-    if workers is not None:
-        # ms_ticks is the server clock of the snapshot (the first collection's
-        # clock when a delta is taken).
-        w = (workers.filter((F.col("state") == "RUNNABLE")
-                            | (F.col("ms_ticks") >= F.col("task_bound_ms_ticks")))
-             .select(*keys, "worker_address", "thread_address", "task_bound_ms_ticks", "ms_ticks",
-                     (F.col("ms_ticks") - F.col("wait_resumed_ms_ticks")).alias("_runnable_ms")))
-        t = t.join(w, on=[*keys, "worker_address"], how="left")
-        if threads is not None:
-            tr = threads.select(*keys, "thread_address",
-                                (F.col("usermode_time") + F.col("kernel_time")).alias("_thread_cpu"))
-            t = (t.join(tr, on=[*keys, "thread_address"], how="left")
-                 .withColumn("_thread_cpu", F.when(F.col("ms_ticks") >= F.col("task_bound_ms_ticks"),
-                                                   F.col("_thread_cpu"))))
-        else:
-            t = t.withColumn("_thread_cpu", F.lit(None).cast("bigint"))
-    else:
-        t = (t.withColumn("_runnable_ms", F.lit(None).cast("bigint"))
-             .withColumn("_thread_cpu", F.lit(None).cast("bigint")))
-    per_request = Window.partitionBy(*keys, "session_id", "request_id")
-    return t.select(
-        *keys, "session_id", "request_id", "task_address",
-        F.sum(F.col("pending_io_count").cast("bigint")).over(per_request).alias("physical_io"),
-        F.sum(F.col("context_switches_count").cast("bigint")).over(per_request).alias("context_switches"),
-        F.sum("_thread_cpu").over(per_request).alias("thread_cpu_snapshot"),
-        F.count(F.lit(1)).over(per_request).alias("tasks"),
-        F.when((F.col("task_state") == "RUNNABLE") & (F.col("_runnable_ms") > 0),
-               F.col("_runnable_ms")).alias("runnable_time"))
-
-
-def waiting_task_waits(waiting: DataFrame, sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """J12 + C4 + C42 + A7: one row per (waiting task, decorated wait type)
-    with its longest duration and lock record.
-
-    A waiting task keeps its blocker only when it equals its session's
-    blocker; OLEDB waits are left out on both sides. The session side is
-    reduced to one row per session first (deterministic MAX of blockers),
-    so the join cannot multiply rows.
+    request = [*keys, "session_id", "request_id"]
+    awake = sessions.where(F.col("status") != "sleeping").select(*request).distinct()
+    own = tasks.join(awake, on=request, how="left_semi")
+    nothing = F.lit(None).cast("bigint")
+    if workers is None:
+        return own.withColumns({"cpu": nothing, "ready_ms": nothing})
+    bound_before = F.col("ms_ticks") >= F.col("task_bound_ms_ticks")
+    seen = workers.where((F.col("state") == "RUNNABLE") | bound_before)
+    cpu = nothing
+    if threads is not None:
+        used = threads.select(*keys, "thread_address", (F.col("usermode_time") + F.col("kernel_time")).alias("_used"))
+        seen = seen.join(used, on=[*keys, "thread_address"], how="left")
+        cpu = F.when(bound_before, F.col("_used"))
+    clock = seen.select(*keys, "worker_address", cpu.alias("cpu"),
+                        (F.col("ms_ticks") - F.col("wait_resumed_ms_ticks")).alias("_since"))
+    ready = F.when((F.col("task_state") == "RUNNABLE") & (F.col("_since") > 0), F.col("_since"))
+    return own.join(clock, on=[*keys, "worker_address"], how="left").withColumn("ready_ms", ready).drop("_since")
+
+
+def request_totals(timed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """What a request's tasks add up to, by one grouping (the detail rows that
+    the totals would be repeated on are not needed any more)."""
+    whole = lambda c: F.sum(F.col(c).cast("bigint"))
+    return timed.groupBy(*keys, "session_id", "request_id").agg(
+        whole("pending_io_count").alias("physical_io"), whole("context_switches_count").alias("context_switches"),
+        whole("cpu").alias("thread_cpu_snapshot"), F.count(F.lit(1)).alias("tasks"))
+
+
+def resource_waits(waiting: DataFrame, sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """J12 + C4 + C42 + A7: (keys, task_address, kind, ms, lock), a row for each kind
+    of wait of a task, with its longest duration and lock record.
+
+    The blocker of a waiting task counts only if it is its session's; sessions
+    are first reduced to one row (MAX of blockers), so the join multiplies
+    nothing. OLEDB waits are left out on both sides.
     """
     keys = list(keys)
-    s = (sessions.filter(F.coalesce(F.col("wait_type"), F.lit("")) != "OLEDB")
-         .groupBy(*keys, "session_id").agg(F.max("blocked").alias("_session_blocker")))
-    wt = (waiting.filter(F.col("wait_type") != "OLEDB")
-          .join(s, on=[*keys, "session_id"], how="inner")
-          .withColumn("blocking_session_id",
-                      F.when(F.col("blocking_session_id") == F.col("_session_blocker"),
-                             F.col("blocking_session_id"))))
-    decorated = F.concat(F.col("wait_type"),
-                         S.wait_suffix(F.col("wait_type"), F.col("resource_description"), with_oledb=False))
-    info = S.block_info(F.col("wait_type"), F.col("resource_description"), F.col("blocking_session_id"))
-    return (wt.select(*keys, decorated.alias("wait_type"), info.alias("block_info"),
-                      "wait_duration_ms", "waiting_task_address")
-            .distinct()
-            .groupBy(*keys, "wait_type", "waiting_task_address")
-            .agg(F.max("wait_duration_ms").alias("wait_duration_ms"),
-                 F.max("block_info").alias("block_info")))
+    blockers = (sessions.where(~F.col("wait_type").eqNullSafe(F.lit("OLEDB")))
+                .groupBy(*keys, "session_id").agg(F.max("blocked").alias("_blocked")))
+    wt, text = F.col("wait_type"), F.col("resource_description")
+    blocker = F.when(F.col("blocking_session_id") == F.col("_blocked"), F.col("_blocked"))
+    return (waiting.where(wt != "OLEDB").join(blockers, on=[*keys, "session_id"], how="inner")
+            .groupBy(*keys, F.col("waiting_task_address").alias("task_address"),
+                     F.concat(wt, S.wait_suffix(wt, text, with_oledb=False)).alias("kind"))
+            .agg(F.max("wait_duration_ms").alias("ms"), F.max(S.block_info(wt, text, blocker)).alias("lock")))
+
+
+def request_waits(timed: DataFrame, stalls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, session_id, request_id, kind, ms, lock): a ready task waits for the
+    processor, any other for what its waiting rows of some duration say."""
+    keys = list(keys)
+    request = [*keys, "session_id", "request_id"]
+    held = (timed.where(F.col("ready_ms").isNull()).select(*request, "task_address")
+            .join(stalls.where(F.col("ms") > 0), on=[*keys, "task_address"], how="inner"))
+    kind = dict(stalls.dtypes)["lock"]
+    ready = timed.where(F.col("ready_ms").isNotNull()).select(
+        *request, F.lit("RUNNABLE").alias("kind"), F.col("ready_ms").alias("ms"), F.lit(None).cast(kind).alias("lock"))
+    return ready.unionByName(held.select(*request, "kind", "ms", "lock"))
 
 
 def task_wait_summary(tasks: DataFrame, waiting: DataFrame, sessions: DataFrame,
                       workers: DataFrame | None = None, threads: DataFrame | None = None,
                       keys: Sequence[str] = ()) -> DataFrame:
-    """A3 + W8 + C5 + A10: per request the task totals and the wait string.
+    """A3 + W8 + C5 + A10: per request the task totals, the wait text and a lock.
 
-    Waits are rolled up per (request, wait type): count (0 -> NULL), min,
-    truncating integer average and max; a runnable task counts as a
-    ``RUNNABLE`` wait of its runnable time. The per-type texts are joined
-    with ``", "`` ordered by lock info first, then count desc, then type;
-    the lock record of the first one is reported.
+    Waits are rolled up per (request, kind): how many, least, truncating
+    integer average, most. The texts of a request's kinds are joined with
+    ``", "``, those with a lock first, then by falling number, then by kind;
+    ``block_info`` is the lock of the first. The list of a request is bounded
+    by its different kinds of wait.
     """
     keys = list(keys)
-    ti = task_info(tasks, sessions, workers, threads, keys).alias("ti")
-    w2 = waiting_task_waits(waiting, sessions, keys).alias("w2")
-    cond = [F.col(f"ti.{k}") == F.col(f"w2.{k}") for k in keys] + [
-        F.col("w2.waiting_task_address") == F.col("ti.task_address"),
-        F.col("w2.wait_duration_ms") > 0, F.col("ti.runnable_time").isNull()]
-    j = ti.join(w2, cond, "left")
-    wtype = F.when(F.col("ti.runnable_time").isNotNull(), F.lit("RUNNABLE")).otherwise(F.col("w2.wait_type"))
-    wtime = F.coalesce(F.col("ti.runnable_time"), F.col("w2.wait_duration_ms"))
-    grp = [*[F.col(f"ti.{k}").alias(k) for k in keys],
-           F.col("ti.session_id").alias("session_id"), F.col("ti.request_id").alias("request_id"),
-           F.col("ti.physical_io").alias("physical_io"),
-           F.col("ti.context_switches").alias("context_switches"),
-           F.col("ti.thread_cpu_snapshot").alias("thread_cpu_snapshot"),
-           F.col("ti.tasks").alias("tasks"), wtype.alias("wait_type")]
-    n = F.count(F.coalesce(F.col("ti.runnable_time"), F.col("w2.waiting_task_address")))
-    per_type = j.groupBy(*grp).agg(
-        F.nullif(n, F.lit(0)).alias("num_waits"),
-        F.min(wtime).alias("min_wait_time"),
-        F.when(F.count(wtime) > 0, idiv(F.sum(wtime), F.count(wtime))).alias("avg_wait_time"),
-        F.max(wtime).alias("max_wait_time"),
-        F.max("w2.block_info").alias("block_info"))
-    order = Window.partitionBy(*keys, "session_id", "request_id").orderBy(
-        F.col("block_info").isNotNull().desc(),
-        F.col("num_waits").desc_nulls_last(), F.col("wait_type").asc_nulls_first())
-    ranked = per_type.withColumn("_r", F.row_number().over(order)).withColumn(
-        "_text", S.wait_text(F.col("num_waits"), F.col("min_wait_time"), F.col("avg_wait_time"),
-                             F.col("max_wait_time"), F.col("wait_type")))
-    return (ranked.groupBy(*keys, "session_id", "request_id", "physical_io", "context_switches",
-                           "thread_cpu_snapshot", "tasks")
-            # The per-request list is bounded by the distinct wait types of
-            # one request; sorting it by rank fixes the concatenation order.
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_text"))),
-                                          lambda x: x["_text"]), ", ").alias("wait_info"),
-                 F.min_by("block_info", "_r").alias("block_info"))
-            .withColumn("wait_info", F.nullif(F.col("wait_info"), F.lit(""))))
+    request = [*keys, "session_id", "request_id"]
+    timed = timed_tasks(tasks, sessions, workers, threads, keys)
+    waits = request_waits(timed, resource_waits(waiting, sessions, keys), keys)
+    n, ms = F.count(F.lit(1)), F.col("ms")
+    kinds = waits.groupBy(*request, "kind").agg(
+        n.alias("n"), F.min(ms).alias("least"), idiv(F.sum(ms), n).alias("mean"), F.max(ms).alias("most"),
+        F.max("lock").alias("lock"))
+    line = F.struct(F.col("lock").isNull().alias("later"), (-F.col("n")).alias("fewer"), "kind",
+                    S.wait_text(F.col("n"), F.col("least"), F.col("mean"), F.col("most"), F.col("kind")).alias("text"), "lock")
+    lines = kinds.groupBy(*request).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    texts = lines.select(*request, F.array_join(F.transform("lines", lambda x: x["text"]), ", ").alias("wait_info"),
+                         F.col("lines")[0]["lock"].alias("block_info"))
+    return request_totals(timed, keys).join(texts, on=request, how="left")

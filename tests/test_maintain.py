@@ -41,3 +41,42 @@ def test_profile_counts_nested_values_by_type(spark):
                                "a array<string>, b binary")
     got = {r.column_name: r.distinct_count for r in maintain.column_profile(df.select("a", "b"), "t", exact_distinct=True).collect()}
     assert got == {"a": 2, "b": 2}
+
+
+def test_merged_parts_equal_one_pass(spark):
+    rows = [(i, float(i % 7), None if i % 5 else f"t{i % 90}", d) for d in ("a", "b", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, x double, t string, day string")
+    parts = maintain.profile_sketches(df, "lake", F.col("day"))
+    assert parts.count() == 12 and {r.part for r in parts.select("part").distinct().collect()} == {"a", "b", None}
+    merged = {r.column_name: r for r in maintain.merge_profiles(parts).collect()}
+    once = {r.column_name: r for r in maintain.merge_profiles(maintain.profile_sketches(df, "lake")).collect()}
+    plain = lambda rs: {c: [x for n, x in r.asDict().items() if n != "distinct_count"] for c, r in rs.items()}
+    assert plain(merged) == plain(once)
+    assert all(abs(merged[c].distinct_count - once[c].distinct_count) <= 0.05 * once[c].distinct_count for c in once)
+    exact = {r.column_name: r for r in maintain.column_profile(df, "lake", exact_distinct=True).collect()}
+    for c, r in merged.items():
+        assert (r.row_count, r.null_count, r.min_num, r.max_num, r.min_text, r.max_text) == (
+            exact[c].row_count, exact[c].null_count, exact[c].min_num, exact[c].max_num, exact[c].min_text, exact[c].max_text)
+        assert abs(r.distinct_count - exact[c].distinct_count) <= max(1, 0.1 * exact[c].distinct_count)
+    assert maintain.merge_profiles(maintain.profile_sketches(df.limit(0), "lake", F.col("day"))).count() == 0
+
+
+def test_blocks_of_odd_texts(spark):
+    texts = ["", "\n\n", None, "a", "\na\n", " \n x \n\n\n-\n- -\n", "1\t2\n\n3", "a\r\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in maintain.text_blocks(df, scrub=False).collect():
+        got.setdefault(r.doc_id, []).append((r.block_no, [(x.line_no, x.line) for x in r.lines]))
+    want = {}
+    for i, t in enumerate(texts):
+        block, lines = 1, []
+        for n, line in enumerate((t or "").split("\n"), 1):
+            if not line.strip(" "):
+                block += 1
+                continue
+            if not lines or lines[-1][0] != block:
+                lines.append((block, []))
+            lines[-1][1].append((n, line.strip(" ")))
+        if lines:
+            want[i] = lines
+    assert {k: sorted(v) for k, v in got.items()} == want

@@ -80,3 +80,58 @@ def test_report_schema_ddl_follows_options(spark):
     ddl = report.report_schema(src, o, "hist")
     assert ddl.startswith("CREATE TABLE hist ( `session_id` BIGINT")
     assert "`wait_info` STRING" in ddl and "`reads` BIGINT" in ddl and "tasks" not in ddl
+
+
+def test_positions_are_one_order_over_all_partitions(spark):
+    import random
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 1, 2, 3]), rng.choice(["x", "y", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "session_id bigint, reads bigint, host_name string").repartition(7)
+    got = report.sort_positions(df, "[reads] desc[host%]", ["session_id"]).collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is not None, r[2] or "", r[0]))
+    assert [(r.session_id, r.position) for r in sorted(got, key=lambda r: r.position)] == [
+        (r[0], n) for n, r in enumerate(want, 1)]
+    assert report.sort_positions(df.limit(0), "", ["session_id"]).count() == 0
+
+
+def test_widths_are_those_of_the_snapshot(spark):
+    df = spark.createDataFrame([("a", 5), ("a", 12345), ("b", 7), (None, 10), (None, None)], "k string, reads bigint")
+    got = [(str(r.k), r.reads) for r in report.format_counters(df, 1, ["k"]).collect()]
+    pad = lambda n, extra: " " * extra + f"{n:,}".rjust(19)
+    assert got == sorted([("a", pad(5, 4)), ("a", pad(12345, 0)), ("b", pad(7, 0)), ("None", pad(10, 0)), ("None", None)], key=str) or \
+        sorted(got, key=str) == sorted([("a", pad(5, 4)), ("a", pad(12345, 0)), ("b", pad(7, 0)), ("None", pad(10, 0)), ("None", None)], key=str)
+    p = report.format_counters(df, 1, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in p
+
+
+def test_schema_has_types_without_their_sources(spark):
+    from dbpulse.plans.queries_core import report_sources
+    src = {"processes": report_sources(spark, SF_SMOKE)["processes"]}
+    o = ReportOptions(return_schema=True, format_output=0, get_task_info=2, get_transaction_info=True, output_column_list="[%]")
+    ddl = report.deliver_report(src, o)
+    for want in ("`tran_start_time` TIMESTAMP_NTZ", "`physical_io` BIGINT", "`tempdb_current` BIGINT", "`percent_complete` DOUBLE",
+                 "`tasks` BIGINT", "`tran_log_writes` STRING", "`query_plan` STRING"):
+        assert want in ddl or want.split("`")[1] == "query_plan", want
+    text = report.deliver_report(src, ReportOptions(return_schema=True, output_column_list="[reads][start_time]"))
+    assert text == "CREATE TABLE <table_name> ( `reads` STRING, `start_time` TIMESTAMP_NTZ )"
+
+
+def test_destination_table_gets_the_rows_by_name(spark):
+    import uuid
+
+    from dbpulse.plans.queries_core import report_sources
+    src = {"processes": report_sources(spark, SF_SMOKE)["processes"]}
+    name = f"activity_{uuid.uuid4().hex[:12]}"
+    as_of = F.lit("1998-08-03 12:00:00").cast("timestamp_ntz")
+    o = ReportOptions(destination_table=f"[{name}]", get_task_info=0, format_output=0, output_column_list="[session_id][status][reads]")
+    try:
+        assert report.deliver_report(src, o, as_of) is None
+        n = spark.table(name).count()
+        other = ReportOptions(destination_table=name, get_task_info=0, format_output=0, output_column_list="[status][session_id]")
+        report.deliver_report(src, other, as_of)
+        assert n > 0 and spark.table(name).count() == 2 * n and spark.table(name).columns == ["session_id", "status", "reads"]
+        assert spark.table(name).where("status is null").count() == 0
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    with pytest.raises(ValueError):
+        report.deliver_report(src, ReportOptions(destination_table="a..b"), as_of)
