@@ -146,12 +146,29 @@ def top_wait_per_request(collapsed: DataFrame, keys: Sequence[str] = ()) -> Data
             .withColumn("wait_resource", F.when(keep_resource, F.col("wait_resource"))))
 
 
-def with_wait_info(df: DataFrame, database_name=None) -> DataFrame:
-    """Single-wait text for the request's top wait."""
+def with_wait_database(df: DataFrame, databases: DataFrame | None, wait_type: str, resource: str,
+                       keys: Sequence[str] = (), name: str = "_wait_database") -> DataFrame:
+    """C4: adds the name of the database that a page latch's resource
+    (``database:file:page``) lies in, looked up per snapshot; NULL for other
+    waits and unknown databases. One left join with the small dimension."""
+    if databases is None:
+        return df
+    keys = list(keys)
+    in_db = F.when(F.col(wait_type).rlike("^PAGE.*LATCH."), F.substring_index(resource, ":", 1).try_cast("bigint"))
+    dbs = databases.select(*keys, F.col("database_id").cast("bigint").alias("_in_db"), F.col("name").alias(name))
+    return df.withColumn("_in_db", in_db).join(dbs, on=[*keys, "_in_db"], how="left").drop("_in_db")
+
+
+def with_wait_info(df: DataFrame, database_name=None, databases: DataFrame | None = None,
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """Single-wait text for the request's top wait; with ``databases`` a page
+    latch shows its database by name (``(null)`` if unknown)."""
+    if databases is not None:
+        df, database_name = with_wait_database(df, databases, "wait_type", "wait_resource", keys), F.col("_wait_database")
     return df.withColumn("wait_info", F.when(
         F.col("wait_type").isNotNull(),
         S.single_wait_text(F.col("wait_time"), F.col("wait_type"),
-                           F.coalesce(F.col("wait_resource"), F.lit("")), database_name)))
+                           F.coalesce(F.col("wait_resource"), F.lit("")), database_name))).drop("_wait_database")
 
 
 def session_numbers(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

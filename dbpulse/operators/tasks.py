@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from dbpulse.functions import scalars as S
 from dbpulse.functions.numeric import idiv
+from dbpulse.operators.sessions import with_wait_database
 
 
 def timed_tasks(tasks: DataFrame, sessions: DataFrame, workers: DataFrame | None = None,
@@ -56,22 +57,26 @@ def request_totals(timed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         whole("cpu").alias("thread_cpu_snapshot"), F.count(F.lit(1)).alias("tasks"))
 
 
-def resource_waits(waiting: DataFrame, sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def resource_waits(waiting: DataFrame, sessions: DataFrame, keys: Sequence[str] = (),
+                   databases: DataFrame | None = None) -> DataFrame:
     """J12 + C4 + C42 + A7: (keys, task_address, kind, ms, lock), a row for each kind
     of wait of a task, with its longest duration and lock record.
 
     The blocker of a waiting task counts only if it is its session's; sessions
     are first reduced to one row (MAX of blockers), so the join multiplies
-    nothing. OLEDB waits are left out on both sides.
+    nothing. OLEDB waits are left out on both sides. With ``databases`` page
+    latches show their database by name.
     """
     keys = list(keys)
     blockers = (sessions.where(~F.col("wait_type").eqNullSafe(F.lit("OLEDB")))
                 .groupBy(*keys, "session_id").agg(F.max("blocked").alias("_blocked")))
     wt, text = F.col("wait_type"), F.col("resource_description")
     blocker = F.when(F.col("blocking_session_id") == F.col("_blocked"), F.col("_blocked"))
+    waiting = with_wait_database(waiting, databases, "wait_type", "resource_description", keys)
+    db_name = F.col("_wait_database") if databases is not None else None
     return (waiting.where(wt != "OLEDB").join(blockers, on=[*keys, "session_id"], how="inner")
             .groupBy(*keys, F.col("waiting_task_address").alias("task_address"),
-                     F.concat(wt, S.wait_suffix(wt, text, with_oledb=False)).alias("kind"))
+                     F.concat(wt, S.wait_suffix(wt, text, db_name, with_oledb=False)).alias("kind"))
             .agg(F.max("wait_duration_ms").alias("ms"), F.max(S.block_info(wt, text, blocker)).alias("lock")))
 
 
@@ -90,7 +95,7 @@ def request_waits(timed: DataFrame, stalls: DataFrame, keys: Sequence[str] = ())
 
 def task_wait_summary(tasks: DataFrame, waiting: DataFrame, sessions: DataFrame,
                       workers: DataFrame | None = None, threads: DataFrame | None = None,
-                      keys: Sequence[str] = ()) -> DataFrame:
+                      keys: Sequence[str] = (), databases: DataFrame | None = None) -> DataFrame:
     """A3 + W8 + C5 + A10: per request the task totals, the wait text and a lock.
 
     Waits are rolled up per (request, kind): how many, least, truncating
@@ -102,7 +107,7 @@ def task_wait_summary(tasks: DataFrame, waiting: DataFrame, sessions: DataFrame,
     keys = list(keys)
     request = [*keys, "session_id", "request_id"]
     timed = timed_tasks(tasks, sessions, workers, threads, keys)
-    waits = request_waits(timed, resource_waits(waiting, sessions, keys), keys)
+    waits = request_waits(timed, resource_waits(waiting, sessions, keys, databases), keys)
     n, ms = F.count(F.lit(1)), F.col("ms")
     kinds = waits.groupBy(*request, "kind").agg(
         n.alias("n"), F.min(ms).alias("least"), idiv(F.sum(ms), n).alias("mean"), F.max(ms).alias("most"),

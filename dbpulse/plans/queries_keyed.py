@@ -330,3 +330,26 @@ def t3_activity_history(spark, sf_dir):
         out = collection_jobs.activity_collection_job(spark, sources, path, t, o, retention_days=ACTIVITY_DAYS)
     return out.select("instance_id", "collection_time", "collection_date", "session_id", "request_id", "status", "login_name",
                       "program_name", "host_name", "database_name", "open_tran_count", "used_memory", "start_time", "login_time")
+
+
+# ------------------------------------------------ C4 + C3 + C6 page latches with database names
+C4_ORACLE = with_fixtures("""
+, parts AS (SELECT *, string_split(wait_resource, ':') AS at FROM fx_snap_page_waits)
+SELECT p.instance_id, p.collection_time, p.session_id, p.wait_type, p.wait_resource,
+       '(' || p.wait_time || 'ms)' || p.wait_type || CASE
+         WHEN starts_with(p.wait_type, 'PAGE') THEN ':' || COALESCE(d.name, '(null)') || ':' || p.at[2] || '(' || (
+           SELECT CASE WHEN n = 1 OR n % 8088 = 0 THEN 'PFS' WHEN n = 2 OR n % 511232 = 0 THEN 'GAM'
+                       WHEN n = 3 OR (n - 1) % 511232 = 0 THEN 'SGAM' WHEN n = 6 OR (n - 6) % 511232 = 0 THEN 'DCM'
+                       WHEN n = 7 OR (n - 7) % 511232 = 0 THEN 'BCM' ELSE '*' END
+           FROM (SELECT CAST(p.at[3] AS INTEGER) AS n)) || ')'
+         WHEN p.wait_type = 'LATCH_EX' THEN ' [' || p.wait_resource || ']' ELSE '' END AS wait_info
+FROM parts p LEFT JOIN fx_snap_databases d
+  ON d.instance_id = p.instance_id AND d.collection_time = p.collection_time AND CAST(d.database_id AS VARCHAR) = p.at[1]
+""", "fx_snap_page_waits", "fx_snap_databases")
+
+
+@register("c4_named_page_waits", C4_ORACLE)
+def c4_named_page_waits(spark, sf_dir):
+    waits = fixture(spark, sf_dir, "fx_snap_page_waits")
+    return sessions.with_wait_info(waits, databases=fixture(spark, sf_dir, "fx_snap_databases"), keys=KEYS).select(
+        *KEYS, "session_id", "wait_type", "wait_resource", "wait_info")

@@ -275,7 +275,8 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         top = blocking.blocker_closure(all_top, seeds, keys).drop("closure_round")
     else:
         top = seeds
-    top = sessions.with_wait_info(top)
+    databases = sources.get("databases")
+    top = sessions.with_wait_info(top, databases=databases, keys=keys)
     if materialize:
         # One row per request, read by every later branch (overlay, tasks,
         # temp space, transactions, locks, block leaders): write it once to
@@ -297,7 +298,7 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
         rows = tempspace.attach_temp_space(rows, tempspace.temp_space_summary(tu, su, top, keys), keys)
     if o.get_task_info > 0 and "tasks" in sources and "waiting_tasks" in sources:
         tw = tasks.task_wait_summary(sources["tasks"], sources["waiting_tasks"], top,
-                                     sources.get("workers"), sources.get("threads"), keys)
+                                     sources.get("workers"), sources.get("threads"), keys, databases)
         tw = tw.withColumnRenamed("wait_info", "_task_wait_info")
         blocks = tw.select(*keys, "session_id", "request_id", "block_info") if o.get_task_info == 2 else None
         tw = tw.drop("block_info")
@@ -309,7 +310,8 @@ def activity_report(sources: Mapping[str, DataFrame], options: ReportOptions,
             "active_transactions", "database_transactions", "session_transactions")) \
             and "transaction_id" in rows.columns:
         tx = trans.transaction_summary(sources["active_transactions"], sources["database_transactions"],
-                                       sources["session_transactions"], rows, keys)
+                                       sources["session_transactions"], rows, keys,
+                                       last_collection_start=as_of, database_names=databases)
         rows = rows.join(tx, on=[*keys, "session_id", "request_id"], how="left")
     if "sql_text" in sources and "sql_handle" in rows.columns:
         rows = statements.with_statement_text(rows, sources["sql_text"], keys, o.get_full_inner_text)

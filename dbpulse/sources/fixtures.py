@@ -227,6 +227,12 @@ SELECT instance_id, collection_time, session_id, request_id, CASE WHEN k % 4 = 0
  CONCAT('SQLAgent - TSQL JobStep (Job 0x', UPPER(MD5(CAST(k % 700 AS VARCHAR(20)))), ' : Step ', CAST(k % 6 AS VARCHAR(20)), ')') END AS program_name
  FROM (SELECT {_SNAP}, o_custkey + 1 AS session_id, o_orderkey % 2 AS request_id, MAX(o_orderkey) AS k FROM {{orders}}
   GROUP BY {_SNAP_KEYS}, o_custkey, o_orderkey % 2) x""",
+    "fx_snap_databases": f"""
+SELECT {_SNAP}, o_custkey % 4 AS database_id, MIN(CONCAT('db', CAST(o_custkey % 4 AS VARCHAR(20)), ' of ', CAST(o_orderkey % 3 AS VARCHAR(20)), ' in ',
+ SUBSTRING(CAST(date_trunc('year', o_orderdate) AS VARCHAR(30)), 1, 4))) AS name FROM {{orders}} GROUP BY {_SNAP_KEYS}, o_custkey % 4""",
+    "fx_snap_page_waits": f"""
+SELECT {_SNAP}, o_custkey + 1 AS session_id, o_orderkey AS wait_time, CASE o_orderkey % 4 WHEN 0 THEN 'PAGEIOLATCH_SH' WHEN 1 THEN 'PAGELATCH_EX' WHEN 2 THEN 'LATCH_EX' ELSE 'LCK_M_X' END AS wait_type,
+ CONCAT(CAST(o_custkey % 6 AS VARCHAR(20)), ':1:', CAST(o_orderkey % 9000 AS VARCHAR(20))) AS wait_resource FROM {{orders}}""",
     # two requests a session, each with a blocker of its own: chains of 60
     # sessions, a shorter way past them, rings of two and of five
     "fx_snap_blocking": """

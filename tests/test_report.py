@@ -135,3 +135,43 @@ def test_destination_table_gets_the_rows_by_name(spark):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     with pytest.raises(ValueError):
         report.deliver_report(src, ReportOptions(destination_table="a..b"), as_of)
+
+
+def test_report_names_databases_and_cuts_off_later_transactions(spark):
+    import datetime as dt
+
+    from dbpulse.plans.queries_core import report_sources
+    src = report_sources(spark, SF_SMOKE)
+    src = {k: src[k] for k in ("processes", "sessions", "requests", "active_transactions", "database_transactions",
+                               "session_transactions")}
+    src["databases"] = spark.createDataFrame([(i, f"base{i}") for i in range(4)], "database_id bigint, name string")
+    o = ReportOptions(get_task_info=1, get_transaction_info=True, format_output=0, show_sleeping_spids=2, show_system_spids=True,
+                      output_column_list="[session_id][database_name][wait_info][tran_log_writes][tran_start_time]", sort_order="")
+    at = lambda t: report.activity_report(src, o, as_of=F.lit(t).cast("timestamp_ntz"), materialize=False).collect()
+    late, early = at("2002-01-01"), at("1995-02-01")
+    texts = [r.tran_log_writes for r in late if r.tran_log_writes]
+    assert texts and all(x.split(":")[0] in {"base0", "base1", "base2", "base3", "(null)"} for t in texts for x in t.split(","))
+    assert any("base1: " in t for t in texts) and any("(null): " in t for t in texts)   # database 4 has no name
+    assert any(r.wait_info and "PAGEIOLATCH_SH:base" in r.wait_info for r in late)
+    begun = {r.transaction_id: r.transaction_begin_time for r in src["active_transactions"].collect()}
+    assert 0 < sum(r.tran_log_writes is not None for r in early) < len(texts)
+    assert min(begun.values()) <= dt.datetime(1995, 2, 1) < max(begun.values())
+
+
+def test_report_holds_one_record_of_settings_lock_and_job(spark):
+    import json
+
+    from dbpulse.plans.queries_core import report_sources
+    src = report_sources(spark, SF_SMOKE)
+    src = {k: src[k] for k in ("processes", "sessions", "requests", "tasks", "waiting_tasks", "workers", "threads",
+                               "partitions", "objects", "schemas")}
+    src["jobs"] = spark.createDataFrame([], "job_hex string, job_name string")
+    src["job_steps"] = spark.createDataFrame([], "job_hex string, step_id int, step_name string")
+    o = ReportOptions(get_task_info=2, get_additional_info=True, format_output=0, show_sleeping_spids=2, show_system_spids=True,
+                      output_column_list="[session_id][additional_info]", sort_order="")
+    rows = report.activity_report(src, o, as_of=F.lit("2002-01-01").cast("timestamp_ntz"), materialize=False).collect()
+    records = [json.loads(r.additional_info) for r in rows]
+    assert rows and all("command_type" in x for x in records)
+    assert any("transaction_isolation_level" in x for x in records)
+    held = [x["block_info"] for x in records if "block_info" in x]
+    assert all(x["lock_type"] == "keylock" and "hobt_id" in x for x in held)
