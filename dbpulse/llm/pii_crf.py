@@ -50,7 +50,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
-_PIECE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+# Pieces end at blanks and at signs that stand between things, not inside them.
+_BETWEEN = r"\s\[\]{}<>=:;,/|\"'\u201c\u201d"
+_PIECE = re.compile(rf"(?<![^{_BETWEEN}])[^{_BETWEEN}0-9@]*+[0-9@][^{_BETWEEN}]*+")
 
 
 def luhn(digits: str) -> bool:
@@ -106,8 +108,23 @@ class Run:
     after: str
 
 
-_WORD_BEFORE = re.compile(r"(\S{1,24})\s+$")
-_WORD_AFTER = re.compile(r"\s+(\S{1,24})")
+_WORD_BEFORE = re.compile(rf"([^{_BETWEEN}]{{1,24}})[{_BETWEEN}(]+$")
+_WORD_AFTER = re.compile(rf"[{_BETWEEN})]+([^{_BETWEEN}]{{1,24}})")
+
+
+def bare(text: str, s: int, e: int) -> tuple[int, int]:
+    """text[s:e] without final stops, lone brackets, and brackets around more than an area code."""
+    while e - s > 1:
+        if text[e - 1] in ".!?":
+            e -= 1
+        elif text[s] == "(" and (text.find(")", s, e) < 0 or (
+                text.find(")", s, e) == e - 1 and len(digits_of(text[s:e])) > 6)):
+            s += 1
+        elif text[e - 1] == ")" and text.find("(", s, e) < 0:
+            e -= 1
+        else:
+            break
+    return s, e
 
 
 def runs(text: str) -> list[Run]:
@@ -115,13 +132,13 @@ def runs(text: str) -> list[Run]:
     out: list[Run] = []
     last = -1
     for m in _PIECE.finditer(text):
-        s, e = m.span()
+        s, e = bare(text, *m.span())
         if last >= 0 and s - last <= 3 and text[last:s].isspace():
             out[-1].spans.append((s, e))
-            out[-1].texts.append(m[0])
+            out[-1].texts.append(text[s:e])
         else:
             b = _WORD_BEFORE.search(text[max(0, s - 30):s])
-            out.append(Run([(s, e)], [m[0]], b[1].lower() if b else "", ""))
+            out.append(Run([(s, e)], [text[s:e]], b[1].lower() if b else "", ""))
         last = e
         a = _WORD_AFTER.match(text[e:e + 30])
         out[-1].after = a[1].lower() if a else ""
@@ -136,9 +153,10 @@ def shape(text: str) -> str:
 
 @functools.lru_cache(maxsize=100_000)
 def _own(text: str) -> tuple[str, ...]:
-    s = shape(text[:200])
+    ends = text if len(text) <= 200 else text[:100] + text[-100:]   # the counts are of the whole piece
+    s = shape(ends)
     digits = len(digits_of(text))
-    kinds = re.sub(r"[^@.()/:=\-+,\"]", "", text[:200])[:8]
+    kinds = re.sub(r"[^@.()/:=\-+,\"]", "", ends)[:8]
     core = s.strip(".,;:!?#*$%&|\"'")
     return (f"s={core[:40]}", f"a={core[:4]}", f"z={core[-4:]}", f"d={min(digits, 20)}", f"k={kinds}",
             f"at={text.count('@')}", f"dots={min(text.count('.'), 5)}", f"dash={min(text.count('-'), 5)}",
@@ -153,7 +171,7 @@ def _number(feature: str) -> int:
 def run_features(run: Run) -> list[list[int]]:
     """For each piece of the run the numbers of its features."""
     own = [_own(t) for t in run.texts]
-    words = [re.sub(r"\W+", "", w)[:12] for w in (run.before, run.after)]
+    words = [re.sub(r"\d+", "#", re.sub(r"\W+", "", w))[:12] for w in (run.before, run.after)]
     out = []
     for i, f in enumerate(own):
         left = own[i - 1][0] if i else "w=" + words[0]
@@ -273,6 +291,12 @@ TEMPLATES = (
     "token = \"*##*###*\" *", "total ###,###.## euros", "* #### * ## *", "chapter #.## and #.##", "score ##-## in game #",
     "isbn 978-#-##-######-#", "order ########## shipped", "room ### floor ##", "*@* is no address", "@* said ##",
     "id ##### ##### #####", "pi is 3.14159####", "##% of ###", "serial ###-##-####-##", "build ####.##.##.#####",
+    "[phone|###-###-####]", "* [phone|###-###-####] *", "* * [phone|### ### ####] *", "* [phone|(###) ###-####]", "* [phone|###.###.####] *",
+    "([phone|###-###-####])", "* [email|*é*@*.com] *", "to [email|*.ß*@*-*.org]", "[email|*@*ñ*.com]", "* ([phone|###-###-####]) *",
+    "tel:[phone|###-###-####]", "phone=[phone|### ### ####]; *", "(or [phone|###.###.####]).", "[phone|###-###-####],[phone|###-###-####] *",
+    "mail:[email|*@*.org]", "user=[email|*.*@*.com]&x", "<[email|*ü*@*.de]>", "ip=[ip|1##.##.1#.2##];", "card:[card|{carddot}]",
+    "* (#-##-###) *", "id=##########&n=##", "(see ###-##) *", "at 1#:##:## *", "##/##/19## *", "v=#.#.#;",
+    "{\"n\": #######, \"m\": ##}", "size=###x###",
 )
 
 
@@ -317,6 +341,22 @@ def default_field() -> Field:
 _TRIM_LEFT, _TRIM_RIGHT = ".,;:!?#*$%&|\"'<>[]{}=", ".,;:!?#*$%&|\"'<>[]{}=("
 
 
+def _core(text: str, s: int, e: int, kind: int) -> tuple[int, int] | None:
+    """The longest part of text[s:e] that passes the kind's check, without the
+    signs and the open or lone brackets around it."""
+    while s < e and text[s] in _TRIM_LEFT:
+        s += 1
+    while e > s and text[e - 1] in _TRIM_RIGHT:
+        e -= 1
+    if s < e and text[s] == "(" and ")" not in text[s:e - 1]:   # the bracket holds the whole
+        s += 1
+    if s < e and text[e - 1] == ")":
+        e -= 1
+        while e > s and text[e - 1] in _TRIM_RIGHT:
+            e -= 1
+    return (s, e) if _accepted(kind, text[s:e]) else None
+
+
 def _accepted(kind: int, text: str) -> bool:
     """The check that a span of the field must pass."""
     if kind == 0:
@@ -351,14 +391,10 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
             while stop < len(path) and LABELS[path[stop]] == "I-" + name[2:]:
                 stop += 1
             s, e = run.spans[t][0], run.spans[stop - 1][1]
-            text = texts[i]
-            while s < e and text[s] in _TRIM_LEFT:
-                s += 1
-            while e > s and text[e - 1] in _TRIM_RIGHT:
-                e -= 1
             kind = KINDS.index(name[2:])
-            if _accepted(kind, text[s:e]):
-                out[i].append((kind, s, e))
+            core = _core(texts[i], s, e, kind)
+            if core:
+                out[i].append((kind, *core))
             t = stop
     return out
 

@@ -170,7 +170,9 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
     """Fit on labelled documents outside the held-out fold."""
     known = pick(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1)).where(~held_out(F.col("doc_id")))
     small = bounded_sample(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), F.col("doc_id"), fit_rows)
-    rows = inputs(docs).join(small, "doc_id")
+    # a repeated id brings its texts; the smallest hashes of id and text keep the bound whatever repeats
+    joined = inputs(docs).join(small, "doc_id").withColumn("key", F.xxhash64("doc_id", "text", F.lit("fit")))
+    rows = joined.dropDuplicates(["doc_id", "key"]).orderBy("key", "doc_id").limit(fit_rows + fit_rows // 4).drop("key")
 
     def run(batches):
         for part in slices(batches, "text"):

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from dbpulse.llm import pii_crf as pii
 
@@ -72,6 +73,36 @@ def test_field_adds_what_the_patterns_miss():
     assert pii.all_spans([clean], pii.default_field()) == [([], [])]
 
 
+@pytest.mark.parametrize("text,want", [
+    ("(555-123-4567)", ["phone:555-123-4567"]), ("call (or 555-123-4567).", ["phone:555-123-4567"]),
+    ("tel:555-123-4567", ["phone:555-123-4567"]), ("phone=555-123-4567", ["phone:555-123-4567"]),
+    ("555-123-4567,555-123-4568", ["phone:555-123-4567", "phone:555-123-4568"]),
+    ("mail:jörg@exämple.de", ["email:jörg@exämple.de"]), ("(call (555) 123-4567)", ["phone:(555) 123-4567"]),
+    ("mobile: 555-987-6543 / 555-987-6544", ["phone:555-987-6543", "phone:555-987-6544"]),
+    ("[owner=jürgen@bücher.example.org]", ["email:jürgen@bücher.example.org"])])
+def test_numbers_in_brackets_and_behind_labels(text, want):
+    base, spans = pii.all_spans([text], pii.default_field())[0]
+    assert [f"{pii.KINDS[k]}:{text[s:e]}" for k, s, e in spans if (k, s, e) not in base] == want
+
+
+# Forms that no template of the labelled table has.
+UNSEEN = ["dial [phone|###-###-####]!", "her cell is [phone|(###) ###-####], ok", "Tel.: [phone|###.###.####]", "{call: [phone|### ### ####]}",
+          "reply to [email|*ä*@*.net] soon", "(cc [email|*.*ö@*.org])", "billed to [card|{carddot}] yesterday", "server [ip|10.1#.#.##] went down",
+          "chapter ## (page ###)", "in 19##, ## of ###", "ratio #.##:#", "part no. ##-###", "run ##/## took #.# s", "x=##, y=##, z=##",
+          "lat ##.####, lon -#.####", "week ## of 20##", "ref ####-####"]
+
+
+def test_forms_outside_the_labelled_table(monkeypatch):
+    field = pii.default_field()
+    monkeypatch.setattr(pii, "TEMPLATES", UNSEEN)
+    right = found = all_ = 0
+    for text, spans in pii.labelled_rows(20, seed=5):
+        got = set(pii.all_spans([text], field)[0][1])
+        want = {(pii.KINDS.index(k), s, e) for k, s, e in spans if k != "ip" or pii._is_ip(text[s:e])}
+        right, found, all_ = right + len(want & got), found + len(got), all_ + len(want)
+    assert right / all_ > 0.8 and right / found > 0.8, (right, found, all_)
+
+
 def test_query_shape_and_edge_rows(spark, edge_docs, no_docs):
     long = "a" * 200_000 + " me@x.org " + "1" * 200_000
     docs = spark.createDataFrame([(1, "mail é me@x.org +1 (234) 567-8901", "s"), (2, None, None), (3, long, "s"), (None, "1.2.3.4", "s"),
