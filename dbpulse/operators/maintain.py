@@ -227,56 +227,40 @@ def text_lines(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def compact_partitions(spark: SparkSession, path: str, partition_cols: Sequence[str],
                        target_file_bytes: int = 128 * 1024 * 1024, low: float = 5,
                        high: float = 30) -> DataFrame:
-    """M2 rewrite in two bands: partitions whose small-file share is below
-    ``low`` are left alone; the others are rewritten into
-    ``ceil(bytes / target)`` files each (``band`` reports "light" up to
-    ``high`` and "full" above it). Rows are spread over the files by a
-    deterministic hash, so a retried task writes the same files, and put
-    back through a staged dynamic partition overwrite. Returns the stats.
+    """M2 rewrite in two bands, by the share of small files of a partition.
+
+    Below ``low`` a partition is left alone. Up to ``high`` ("light") its files
+    are merged without a shuffle: input splits are coalesced to as many tasks
+    as the band's partitions need files, and sorted by partition so that a task
+    writes few. Above it ("full") its rows are dealt anew over ``ceil(bytes /
+    target)`` files by a deterministic hash, so a retried task writes the same
+    files. Each band is one Spark write with dynamic partition overwrite, which
+    replaces the partitions it holds when the job commits and no others;
+    readers see the old files until then. Returns the stats.
     """
-    from dbpulse.sources.history import _fs
     stats = file_fragmentation(spark, path, partition_cols, target_file_bytes)
     band = (F.when(F.col("small_file_pct") < low, "none")
             .when(F.col("small_file_pct") <= high, "light").otherwise("full"))
-    # Stats are written once before any file moves: a lazy frame would list
-    # files that the swap below replaces.
+    # written once before any file moves: a lazy frame would list files that the writes below replace
     stats = cut_lineage(stats.withColumn("band", band).withColumn(
         "target_files", F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(target_file_bytes)))))
-    todo = stats.filter(F.col("band") != "none").select(*partition_cols, "target_files")
-    data = spark.read.parquet(path)
-    chosen = data.join(todo, on=list(partition_cols), how="inner")
-    bucket = F.pmod(F.hash(*[F.col(c) for c in data.columns]), F.col("target_files"))
-    staging = f"{path.rstrip('/')}/_compact_staging"
-    (chosen.repartition(*[F.col(c) for c in partition_cols], bucket).drop("target_files")
-        .write.mode("overwrite").partitionBy(*partition_cols).parquet(staging))
-    # Swap each rewritten partition folder into place (file-system metadata
-    # only; the rows were written once, by the job above).
-    fs, root, jvm = _fs(spark, staging)
-    root = fs.makeQualified(root)
-    Path = jvm.org.apache.hadoop.fs.Path
-
-    def leaves(p, depth):
-        if depth == 0:
-            return [p]
-        out = []
-        for st in fs.listStatus(p):
-            if st.isDirectory() and "=" in st.getPath().getName():
-                out += leaves(st.getPath(), depth - 1)
-        return out
-
-    for leaf in leaves(root, len(partition_cols)):
-        rel = leaf.toString()[len(root.toString()):].lstrip("/")
-        target = Path(f"{path.rstrip('/')}/{rel}")
-        # old folder aside (hidden name), new folder in, old folder removed:
-        # an interruption leaves either the old or the new data in place
-        aside = Path(target.getParent(), "_old_" + target.getName())
-        fs.mkdirs(target.getParent())
-        if fs.exists(target):
-            fs.rename(target, aside)
-        fs.rename(leaf, target)
-        fs.delete(aside, True)
-    fs.delete(root, True)
-    spark.catalog.refreshByPath(path)
+    cols = list(partition_cols)
+    for name in ("light", "full"):
+        todo = stats.where(F.col("band") == name)
+        files = todo.agg(F.sum("target_files")).first()[0]
+        if not files:
+            continue
+        data = spark.read.parquet(path)
+        marks = todo.select(*[F.col(c).alias(f"_p_{c}") for c in cols], "target_files")
+        same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in cols]
+        chosen = data.join(marks, on=same, how="inner")
+        if name == "light":
+            chosen = chosen.coalesce(int(files))
+        else:
+            chosen = chosen.repartition(*cols, F.pmod(F.hash(*data.columns), F.col("target_files")))
+        (chosen.select(*data.columns).sortWithinPartitions(*cols).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path))
+        spark.catalog.refreshByPath(path)
     return stats
 
 
