@@ -11,9 +11,10 @@ Equal sets are one node of the join. The steps:
    n - ceil(percent * n / 100) + 1 tokens of a set of n.
 2. Every node is compared with the one other node that is smallest among those
    sharing the most prefix tokens; the pairs that link make the first
-   components. Nodes that point to one another in this way, linked or not, and
-   are of about one size are a group of similar documents, cut into chunks of
-   at most CHUNK_NODES nodes and CHUNK_TOKENS tokens.
+   components. The nodes that point to one other in this way, whether they can
+   link with it or not, and are of about one size are a group of similar
+   documents, cut into chunks of at most CHUNK_NODES nodes and CHUNK_TOKENS
+   tokens.
 3. The token-group matrix: a chunk's token union is that of its nodes'
    prefixes. Chunk meets chunk, and is opened only if the prefix tokens that
    both unions hold reach the fewest that any of their pairs needs, and not all
@@ -294,9 +295,9 @@ def similar_sets(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     stars = cut(compared(best))
     first = cut(components(stars))
 
-    # groups: nodes tied by step 2, of about one size, in chunks
-    tied = cut(components(best))
-    leader = tied.select(F.col("node").alias("t"), F.col("root").alias("leader"))
+    # groups: the nodes that point to one other, linked or not, of about one size, in chunks
+    tied = cut(toward.groupBy("a").agg(F.min(F.struct(-F.col("both"), "b")).alias("x")).select("a", F.col("x.b").alias("b")))
+    leader = tied.select(F.col("a").alias("t"), F.col("b").alias("leader"))
     level = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))
     member = (shared.select("node").distinct().join(sizes, "node").join(first, "node", "left")
               .withColumn("root", F.coalesce("root", "node"))

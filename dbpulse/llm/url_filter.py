@@ -35,27 +35,42 @@ CUTOFF = 0.5
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-_UNWANTED = ("casino-win", "best-casino", "royal-casino", "casino-slots", "free-bets", "sport-bets", "bets-online",
-             "poker-bets", "cheap-pills", "pills-online", "buy-pills", "diet-pills", "spam-farm", "link-spam",
-             "spam-links", "mail-spam", "ads-track", "ads-serve", "click-track", "pop-ads", "adult-x", "adult-cams",
-             "x-adult", "adult-video", "win-prize", "free-prize", "payday-loans", "replica-bags", "warez-farm",
-             "casinowin", "freebets", "spamfarm", "cheappills", "adultcams", "adstrack", "slotscasino", "betspoker")
-_WANTED = ("library", "museum", "weather", "recipes", "garden", "history", "science", "travel", "theatre", "river",
-           "ththen", "therin", "tionble", "thther", "ononth", "reandin", "esthing", "shwhere", "hereand", "therred",
-           "blog", "journal", "school", "council", "archive", "stories", "ththat", "tiontion", "therble", "morning",
-           "science-daily", "garden-club", "river-walks", "ththen-blog", "city-library", "history-notes", "the-theatre",
-           "school-news", "ththhe", "therre", "therst", "ththea")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table: (URL, 1 if unwanted), made from two lists of site names."""
+# The labelled table's names are drawn from words by topic, by rule: what makes a
+# site unwanted is in the words, not in whole names.
+_UNWANTED = ("casino", "poker", "roulette", "jackpot", "lotto", "slots", "betting", "gambling", "wager", "pills", "pharmacy", "viagra",
+             "cialis", "steroids", "spam", "bulkmail", "adserver", "adclick", "tracker", "popunder", "banner-ads", "adult", "porn", "xxx",
+             "escort", "webcam-girls", "nude", "payday", "quick-loans", "debt-fix", "crypto-doubler", "bitcoin-giveaway", "warez",
+             "cracked", "keygen", "replica-watches", "prize-winner", "free-iphone", "miracle-diet", "clickbait", "phishing", "malware")
+_UNWANTED_WITH = ("online", "deals", "live", "best", "now", "zone", "club", "hub", "win", "cheap", "free", "hot", "24", "vip", "x", "farm", "bets")
+_WANTED = ("library", "museum", "weather", "recipes", "garden", "history", "science", "travel", "theatre", "river", "journal", "school",
+           "council", "archive", "stories", "morning", "university", "hospital", "railway", "football", "music", "climate", "poetry",
+           "physics", "gazette", "tribune", "kitchen", "bicycle", "wikipedia", "encyclopedia", "bbc", "news", "bank", "post", "city",
+           "parliament", "forum", "software", "hiking", "pottery", "chess", "orchestra", "bakery", "market", "cinema")
+_WANTED_WITH = ("daily", "notes", "club", "online", "review", "house", "world", "guide", "today", "local", "blog", "lab", "society", "hub", "live")
+_SYLLABLES = ("lo", "mar", "ten", "vi", "sel", "dor", "an", "the", "re", "tion", "ing", "ver", "est", "and", "hou", "ri", "ble", "con", "in", "ster")
+_TOPS = ("com", "org", "net", "info", "io", "shop", "tv", "biz", "co.uk", "de", "fr", "example.com", "example.org", "example.net")
+
+
+def labelled_urls(seed: int = 23, each: int = 1500) -> list[tuple[str, int]]:
+    """The labelled table: (URL, 1 if unwanted), ``each`` URLs of either label;
+    a quarter of the wanted names are made of syllables that mean nothing."""
+    rng = np.random.default_rng(seed)
+    pick_one = lambda words: words[int(rng.integers(len(words)))]
     rows = []
-    paired = tuple(f"{a}-{b}" for a, b in zip(_WANTED[::2], _WANTED[1::2]) if "-" not in a + b)
-    for label, names in ((1, _UNWANTED), (0, _WANTED + paired)):
-        for i, name in enumerate(names):
-            host = f"{('', 'www.', 'm.', 'blog.')[i % 4]}{name}.example.{('com', 'org', 'net')[i % 3]}"
-            path = (f"/en/{i * 37 % 900}", f"/{('fr', 'de', 'es')[i % 3]}/{i * 53 % 700}.html", f"/{i}/", "/")[i % 4]
-            rows += [(f"https://{host}{path}", label), (f"http://{host}/en/{i * 91 % 800}?page=2", label)]
+    for i in range(2 * each):
+        label = i % 2
+        topic, beside = (_UNWANTED, _UNWANTED_WITH) if label else (_WANTED, _WANTED_WITH)
+        form, name = int(rng.integers(6)), pick_one(topic)
+        if not label and form < 2:
+            name = "".join(pick_one(_SYLLABLES) for _ in range(int(rng.integers(2, 4))))
+        elif form >= 4:
+            name = pick_one(("{0}-{1}", "{1}-{0}", "{0}{1}", "{1}{0}")).format(name, pick_one(beside))
+        elif form == 3:
+            name += str(int(rng.integers(1, 99)))
+        host = f"{pick_one(('', '', 'www.', 'm.', 'blog.'))}{name}.{pick_one(_TOPS)}"
+        number = int(rng.integers(1000))
+        path = pick_one(("/", "", f"/en/{number}", f"/de/{number}.html", f"/{number}/", f"/index.php?id={number}", f"/fr/a-{number}"))
+        rows.append((f"{pick_one(('https', 'http'))}://{host}{path}", label))
     return rows
 
 
@@ -85,22 +100,22 @@ def features(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(ngrams(host, "host"), ngrams(path, "path")))
 
 
-def fit(rows: list[tuple[int, list[int]]], steps: int = 1500, rate: float = 4.0, l2: float = 1e-5) -> np.ndarray:
+def fit(rows: list[tuple[int, list[int]]], steps: int = 1500, rate: float = 20.0, l2: float = 1e-5) -> np.ndarray:
     """Weights of the features, the bias last, from (label, features) rows."""
     w = np.zeros(BUCKETS + 1)
     if not rows:
         return w
     y = np.array([r[0] for r in rows], float)
-    used = sorted({f for _, found in rows for f in found})
-    column = {f: i for i, f in enumerate(used)}
-    x = np.zeros((len(rows), len(used) + 1))
-    for i, (_, found) in enumerate(rows):
-        x[i, [column[f] for f in found]] = 1 / np.sqrt(max(len(found), 1))
-    x[:, -1] = 1
+    sizes = np.array([len(found) for _, found in rows])
+    used, column = np.unique(np.array([f for _, found in rows for f in found], np.int64), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    value = 1 / np.sqrt(np.maximum(sizes, 1))[row]
     v = np.zeros(len(used) + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ v))
-        v -= rate * (x.T @ (p - y) / len(y) + l2 * np.append(v[:-1], 0))
+        z = np.bincount(row, value * v[column], len(rows)) + v[-1]
+        off = 1 / (1 + np.exp(-z)) - y
+        v[:-1] -= rate * (np.bincount(column, value * off[row], len(used)) / len(y) + l2 * v[:-1])
+        v[-1] -= rate * off.mean()
     w[[*used, BUCKETS]] = v
     return w
 
@@ -109,8 +124,9 @@ def fit_urls(labelled: DataFrame) -> np.ndarray:
     """Weights from a table of (url, label), label 1 for unwanted URLs."""
     host, path = host_and_path(F.col("url"))
     rows = (pick(labelled, "url", "label").where("url is not null and label is not null")
-            .select(F.col("label").cast("int").alias("label"), features(host, path).alias("f"), F.col("url"))
-            .orderBy("url", "label").limit(LABELLED).collect())
+            .select(F.col("label").cast("int").alias("label"), features(host, path).alias("f"),
+                    F.xxhash64("url").alias("key"))
+            .orderBy("key", "label").limit(LABELLED).collect())   # by a hash: no prefix of the names
     return fit([(r["label"], r["f"]) for r in rows])
 
 
