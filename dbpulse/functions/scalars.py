@@ -35,6 +35,7 @@ def first_word(text: Column) -> Column:
     return F.substring_index(text, " ", 1)
 
 
+# Fixed values in block_info: the lock types and the markers of their ids in a resource text.
 def block_info(wait_type: Column, resource: Column, blocking_session_id: Column) -> Column:
     """Lock record parsed from a waiting task's resource string.
 
@@ -72,16 +73,18 @@ def scrub_control(text: Column, nul_to: str = "") -> Column:
 # ----------------------------------------------------------------------- C3
 
 
+# The allocation pages of a database file, as (class, number of its
+# first page, pages from one to the next, number that a multiple is ahead of it).
+PAGE_CLASSES = (("PFS", 1, 8088, 0), ("GAM", 2, 511232, 0), ("SGAM", 3, 511232, 1), ("DCM", 6, 511232, 6),
+                ("BCM", 7, 511232, 7))
+
+
 def page_type(page_no: Column) -> Column:
-    """Allocation-page class of a page number. Order of the tests matters."""
-    n = page_no
-    return (F.when(n.isNull(), F.lit(None).cast("string"))
-            .when((n == 1) | (n % 8088 == 0), "PFS")
-            .when((n == 2) | (n % 511232 == 0), "GAM")
-            .when((n == 3) | ((n - 1) % 511232 == 0), "SGAM")
-            .when((n == 6) | ((n - 6) % 511232 == 0), "DCM")
-            .when((n == 7) | ((n - 7) % 511232 == 0), "BCM")
-            .otherwise("*"))
+    """Allocation-page class of a page number; the first class that fits counts."""
+    out = F.when(page_no.isNull(), F.lit(None).cast("string"))
+    for name, first, step, ahead in PAGE_CLASSES:
+        out = out.when((page_no == first) | ((page_no - ahead) % step == 0), name)
+    return out.otherwise("*")
 
 
 # ------------------------------------------------------------------- C4 / C6
@@ -215,6 +218,7 @@ def resource_type_text(rtype: Column, subtype: Column) -> Column:
 # ----------------------------------------------------------------- C10-C12
 
 
+# Fixed value: how the program name of an agent's job step begins.
 AGENT_PREFIX = "SQLAgent - TSQL JobStep (Job 0x"
 
 

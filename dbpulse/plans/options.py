@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# The default column list, the default sort and the kinds of filter.
 DEFAULT_COLUMN_LIST = ("[dd%][session_id][sql_text][sql_command][login_name][wait_info][tasks]"
                        "[tran_log%][cpu%][temp%][block%][reads%][writes%][context%][physical%]"
                        "[query_plan][locks][%]")

@@ -80,3 +80,19 @@ def test_blocks_of_odd_texts(spark):
         if lines:
             want[i] = lines
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_light_band_merges_files_and_leaves_other_partitions(spark, scratch):
+    path = os.path.join(scratch, "light")
+    big = spark.range(0, 40_000).selectExpr("id", "md5(cast(id as string)) v", "1 d")
+    big.repartition(9).write.mode("append").partitionBy("d").parquet(path)
+    spark.range(5).selectExpr("id", "'x' v", "1 d").coalesce(1).write.mode("append").partitionBy("d").parquet(path)
+    spark.range(40_000).selectExpr("id", "md5(cast(id as string)) v", "2 d").coalesce(1).write.mode("append").partitionBy("d").parquet(path)
+    files = lambda d: sorted(f for f in os.listdir(os.path.join(path, f"d={d}")) if f.endswith(".parquet"))
+    size = os.path.getsize(os.path.join(path, "d=1", max(files(1), key=lambda f: os.path.getsize(os.path.join(path, "d=1", f)))))
+    untouched, before = files(2), len(files(1))
+    stats = {r.d: r.band for r in maintain.compact_partitions(spark, path, ["d"], target_file_bytes=size).collect()}
+    assert stats == {1: "light", 2: "none"} and before == 10
+    assert files(2) == untouched and len(files(1)) < before
+    got = spark.read.parquet(path)
+    assert got.where("d = 1").count() == 40_005 and got.where("d = 2").count() == 40_000
