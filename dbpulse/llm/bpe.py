@@ -12,8 +12,9 @@ lowest-rank-first rule for each word.
 Texts are split as the vocabulary's own settings say: special tokens are cut
 out of the raw text first, then NFC, white space to one space, lower case,
 then contractions, runs of letters, single digits, and runs of anything else;
-white space goes. Words repeat, so each worker keeps a bounded table of words
-already encoded.
+white space goes. Words repeat, so each worker keeps the words already encoded
+in two bounded tables: a word met again moves from the older to the younger,
+the others go when the younger one is full and takes the older one's place.
 
 Defined cases: a null text counts as empty and gives no ids; code points that
 Python's Unicode tables do not know yet are split as the regex module's newer
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame
 from dbpulse.llm.common import pick
 from dbpulse.llm.textkit import slices
 
-CACHE_WORDS = 30_000       # words a worker keeps encoded; beyond, the table starts anew
-BATCH_CHARS = 512_000      # characters of text whose new words are encoded together
+CACHE_WORDS = 70_000       # words in a worker's younger table; beyond, it becomes the older one
+BATCH_CHARS = 1_500_000    # characters of text whose new words are encoded together
 
 # The vocabulary's word pattern, white space and word end.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -162,12 +163,13 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
 
 
 class Encoder:
-    """Texts to words to ids, with a bounded table of encoded chunks."""
+    """Texts to words to ids, with two bounded tables of encoded chunks."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.ids: dict[str, str] = {}       # chunk to its ids, joined by a space
         self.decoded: dict[str, str] = {}   # chunk to its tokens, joined by a space
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}   # the same of earlier texts
         self.name = [str(i) for i in range(vocab.size)]
         self.token = [vocab.tokens.get(i, "") for i in range(vocab.size)]
 
@@ -197,6 +199,17 @@ class Encoder:
             at = m.end()
         return out + self.chunks(text[at:])
 
+    def _table(self, wanted: set[str]) -> None:
+        """Have every wanted chunk in the younger table."""
+        if len(self.ids) > CACHE_WORDS:
+            self.older = self.ids, self.decoded
+            self.ids, self.decoded = {}, {}
+        new = wanted.difference(self.ids)
+        ids, decoded = self.older
+        for c in new.intersection(ids):
+            self.ids[c], self.decoded[c] = ids.pop(c), decoded.pop(c)
+        self._add(new.difference(self.ids))
+
     def _add(self, new: set[str]) -> None:
         words = {c: WORD.findall(c) for c in new if c[0] != " "}
         different = list(set().union(*words.values()))
@@ -212,9 +225,8 @@ class Encoder:
             self.decoded[c] = " ".join(map(token, own))
 
     def forget(self) -> None:
-        """Empty the table; workers outlive their tasks and serve other operators, too."""
-        self.ids.clear()
-        self.decoded.clear()
+        """Empty the tables; workers outlive their tasks and serve other operators, too."""
+        self.ids, self.decoded, self.older = {}, {}, ({}, {})
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids joined by a space, decoded text) of each text.
@@ -228,9 +240,7 @@ class Encoder:
                 chars += len(texts[at] or "")
                 group.append(self.pieces(texts[at]))
                 at += 1
-            if len(self.ids) > CACHE_WORDS:
-                self.forget()
-            self._add(set().union(*group).difference(self.ids))
+            self._table(set().union(*group))
             for p in group:
                 ids = " ".join(map(self.ids.__getitem__, p))
                 yield ids.count(" ") + (ids != ""), ids, " ".join(map(self.decoded.__getitem__, p))

@@ -56,3 +56,21 @@ def test_runs_of_one_symbol_and_empty_words():
     single = [encode_words([w], vocab)[0] for w in words]
     assert encode_words(words, vocab) == single
     assert single[0] == []
+
+
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    from dbpulse.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 100)
+    encoded = []
+    monkeypatch.setattr(bpe, "encode_words", lambda words, vocab: encoded.extend(words) or encode_words(words, vocab))
+    enc = bpe.Encoder(Vocabulary(word_bpe_path()))
+    texts = [" ".join(["often", "seen", *(f"rare{'x' * (i + 1)}y{'z' * j}" for j in range(3))]) for i in range(100)]
+    found = list(enc.encode(texts))
+    assert encoded.count(b"often") == encoded.count(b"seen") == 1   # though the rare ones fill the tables several times
+    assert len(enc.ids) + len(enc.older[0]) <= 2 * (50 + 100)
+    single = bpe.Encoder(enc.vocab)
+    assert found == [next(iter(single.encode([t]))) for t in texts]
+    enc.forget()
+    assert not (enc.ids or enc.decoded or any(enc.older))
