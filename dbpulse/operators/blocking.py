@@ -17,6 +17,8 @@ import itertools
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,45 +94,93 @@ def _functional_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.col("node").alias("session_id"), (F.coalesce("_ring", "size") - 1).alias("blocked_session_count"))
 
 
-def _bits(column: str) -> F.Column:
-    """The positions of the ones of a 64-bit word."""
-    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col(column), i) == 1)
+TILE_ENTRIES = 2_000_000   # words that one group of the tile product may give
+
+
+def _through_tile(key, left, right):
+    """What the sessions in ``left`` reach through the 64 sessions of one word.
+
+    ``left``: (keys, node, bits), who reaches which of them; ``right``: (keys,
+    node, word, bits), what they reach. What they reach among themselves is
+    closed first (Warshall), so a step through the word spans all its levels.
+    """
+    schema = left.schema
+    found = pa.schema([*(f for f in schema if f.name not in ("node", "bits")), pa.field("node", pa.int64()),
+                       pa.field("word", pa.int64()), pa.field("bits", pa.int64())])
+    if not left.num_rows or not right.num_rows:
+        return found.empty_table()
+    own = key[-2].as_py()
+    words, at = np.unique(right["word"].to_numpy(), return_inverse=True)
+    rows = np.zeros((64, len(words)), np.uint64)
+    np.bitwise_or.at(rows, (right["node"].to_numpy() & 63, at), right["bits"].to_numpy().view(np.uint64))
+    used = [int(b) for b in np.flatnonzero(rows.any(axis=1))]
+    holds = lambda bits, b: (bits >> np.uint64(b) & np.uint64(1)).astype(bool)
+    inner = np.flatnonzero(words == own)
+    if len(inner):
+        for b in used:
+            rows[holds(rows[:, inner[0]], b)] |= rows[b]
+    bits = left["bits"].to_numpy().view(np.uint64)
+    parts = []
+    step = max(1, TILE_ENTRIES // len(words))
+    for s in range(0, len(bits), step):
+        some = bits[s:s + step]
+        reached = np.zeros((len(some), len(words)), np.uint64)
+        for b in used:
+            reached[holds(some, b)] |= rows[b]
+        if len(inner):  # known already
+            reached[:, inner[0]] &= ~some
+        i, j = np.nonzero(reached)
+        parts.append((i + s, words[j], reached[i, j].view(np.int64)))
+    i, word, bits = (np.concatenate(x) for x in zip(*parts))
+    taken = left.drop_columns(["bits"]).take(pa.array(i))
+    return pa.Table.from_arrays([*(taken[f.name] for f in found if f.name not in ("word", "bits")),
+                                 pa.array(word, pa.int64()), pa.array(bits, pa.int64())], schema=found)
 
 
 def _bitmap_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
     """The same for any graph, by reachability bitmaps.
 
     A set of sessions is held in 64-bit words: (word, bits) for the sessions
-    word * 64 + bit. After round k each session has two sets: ``in`` (reached
-    in fewer than 2^k steps) and ``at`` (by a walk of exactly 2^k steps). The
-    next round looks up both sets of every session in ``at`` and ORs them in,
-    so the number of rounds is the logarithm of the longest shortest path, in
-    rings too, and the ORs combine map-side. A round without a new bit ends it.
+    word * 64 + bit. A round looks up, for every word of a session's set, what
+    the sessions of that word reach, and ORs it in: words meet the 64 rows of
+    a word in one group, no bit becomes a row of its own. After round k a
+    session knows what it reaches in 2^k steps at least, so the number of
+    rounds is at most the logarithm of the longest shortest path, in rings
+    too, and the ORs combine map-side. A round without a new bit ends it.
     """
     node = [*keys, "node"]
-    word = (F.shiftright("child", 6).alias("word"),
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("child").bitwiseAND(63).cast("int"))).alias("bits"))
-    at = (edges.groupBy(*keys, F.col("parent").alias("node"), word[0]).agg(word[1]).withColumn("kind", F.lit("at")))
-    now = cut_lineage(at.unionByName(at.withColumn("kind", F.lit("in"))))
+    tile = [*keys, "_tile"]
+    id_type = edges.schema["parent"].dataType
+    child = F.col("child").cast("bigint")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), child.bitwiseAND(63).cast("int"))
+    now = cut_lineage(edges.groupBy(*keys, F.col("parent").cast("bigint").alias("node"), F.shiftright(child, 6).alias("word"))
+                      .agg(F.bit_or(one).alias("bits")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.select(*node, "word", "bits").schema)
     held = None
     while True:
-        # ``in`` counts what is reached in at most 2^k steps from here on
-        state = now.where("kind = 'in'").agg(F.count(F.lit(1)), F.sum(F.bit_count("bits"))).first()
-        if state[1] == held:
+        state = now.agg(F.sum(F.bit_count("bits"))).first()
+        if state[0] == held:
             break
-        held = state[1]
-        via = (now.where("kind = 'at'").select(*node, "word", F.explode(_bits("bits")).alias("_b"))
-               .select(*node, (F.shiftleft("word", 6) + F.col("_b")).alias("_via")))
-        there = now.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node").alias("_node"), "word", "bits", "kind")
-        met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_via") == F.col("_node")]
-        further = via.join(there, on=met).select(*node, "word", "bits", "kind")
-        after = cut_lineage(now.where("kind = 'in'").unionByName(further)
-                            .groupBy(*node, "word", "kind").agg(F.bit_or("bits").alias("bits")))
+        held = state[0]
+        to, of = now.withColumn("_tile", F.col("word")), now.withColumn("_tile", F.shiftright("node", 6))
+        # a word that very many sessions reach, and that reaches many, is met in several parts
+        wide = (to.groupBy(*tile).agg(F.count(F.lit(1)).alias("_n"), F.lit(0).cast("bigint").alias("_m"))
+                .unionByName(of.groupBy(*tile).agg(F.lit(0).cast("bigint").alias("_n"), F.approx_count_distinct("word").alias("_m")))
+                .groupBy(*tile).agg((F.ceil(F.sum("_n") * F.sum("_m") / TILE_ENTRIES)).cast("int").alias("_parts")).where("_parts > 1")
+                .select(*[F.col(k).alias(f"_{k}") for k in tile], "_parts"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in tile]
+        parts = F.coalesce("_parts", F.lit(1))
+        to = to.join(wide, on=same, how="left").select(*tile, F.pmod(F.xxhash64("node"), parts).cast("int").alias("_part"), "node", "bits")
+        of = of.join(wide, on=same, how="left").select(*tile, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), "node", "word", "bits")
+        of = of.toDF(*of.columns)  # columns of its own
+        further = (to.groupBy(*tile, "_part").cogroup(of.groupBy(*tile, "_part"))
+                   .applyInArrow(lambda key, a, b: _through_tile(key, a.drop_columns(["_tile", "_part"]), b), schema))
+        after = cut_lineage(now.unionByName(further).groupBy(*node, "word").agg(F.bit_or("bits").alias("bits")))
         drop_table(now)
         now = after
     own = F.when(F.shiftright("node", 6) == F.col("word"),
                  F.getbit("bits", F.col("node").bitwiseAND(63).cast("int"))).otherwise(F.lit(0))
-    return (now.where("kind = 'in'").groupBy(*keys, F.col("node").alias("session_id"))
+    return (now.groupBy(*keys, F.col("node").cast(id_type).alias("session_id"))
             .agg(F.sum(F.bit_count("bits") - own).alias("blocked_session_count")))
 
 

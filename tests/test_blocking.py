@@ -201,3 +201,32 @@ def test_snapshots_with_and_without_several_blockers(spark):
                                "instance_id string, session_id bigint, request_id bigint, blocked bigint")
     got = {(r.instance_id, r.session_id): r.blocked_session_count for r in block_leaders(df, ["instance_id"]).collect()}
     assert got == {("a", 1): 2, ("a", 2): 1, ("a", 3): 0, ("b", 1): 2, ("b", 2): 1, ("b", 3): 0}
+
+
+def test_bitmap_rounds_make_no_row_of_a_bit(spark, monkeypatch):
+    import dbpulse.operators.blocking as blocking
+    sent = []
+
+    def watched(df, f=blocking.cut_lineage):
+        out = f(df)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocking, "cut_lineage", watched)
+    n = 640   # every session but the last blocks all later ones, ten words in all
+    edges = spark.createDataFrame([(i, j) for i in range(n) for j in (i + 1, i + 2, (i + 64) // 64 * 64) if i < j < n],
+                                  "parent bigint, child bigint")
+    got = {r.session_id: r.blocked_session_count for r in blocking._bitmap_counts(edges, []).collect()}
+    assert got == {i: n - 1 - i for i in range(n - 1)}
+    # words as wholes: a level within a word takes no round of its own
+    assert len(sent) <= 6 and max(sent) <= n * n // 64
+
+
+def test_bitmaps_in_parts(spark, monkeypatch):
+    import random
+
+    import dbpulse.operators.blocking as blocking
+    rnd = random.Random(8)
+    edges = [(n, 0, rnd.randint(1, 300)) for n in range(1, 301)] + [(n, 1, rnd.randint(1, 300)) for n in range(1, 301, 3)]
+    monkeypatch.setattr(blocking, "TILE_ENTRIES", 40)
+    assert counts(spark, edges) == brute_below(edges)
