@@ -172,14 +172,15 @@ def with_widths(df: DataFrame, keys: list[str], widths: Mapping[str, Column]) ->
 
     One plain aggregation gives a row a snapshot (combined map-side), joined
     back on the keys; the wide rows are neither shuffled nor sorted for it.
-    Rows without snapshot keys are one snapshot, by a constant key.
+    Rows without snapshot keys are one snapshot, whose row is a scalar subquery.
     """
-    keyed = df.withColumn("_one", F.lit(0))
-    on = [*keys, "_one"]
-    widest = keyed.groupBy(*on).agg(*[F.max(c).alias(n) for n, c in widths.items()])
-    there = widest.toDF(*[f"_w_{k}" for k in on], *widths)
-    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in on]
-    return keyed.join(there, on=same, how="left").drop("_one", *[f"_w_{k}" for k in on])
+    most = [F.max(c).alias(n) for n, c in widths.items()]
+    if not keys:
+        return (df.withColumn("_widest", df.agg(*most).select(F.struct(*widths)).scalar())
+                .withColumns({n: F.col(f"_widest.{n}") for n in widths}).drop("_widest"))
+    there = df.groupBy(*keys).agg(*most).toDF(*[f"_w_{k}" for k in keys], *widths)
+    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
+    return df.join(there, on=same, how="left").drop(*[f"_w_{k}" for k in keys])
 
 
 def format_counters(df: DataFrame, format_output: int, keys: list[str]) -> DataFrame:

@@ -175,3 +175,11 @@ def test_report_holds_one_record_of_settings_lock_and_job(spark):
     assert any("transaction_isolation_level" in x for x in records)
     held = [x["block_info"] for x in records if "block_info" in x]
     assert all(x["lock_type"] == "keylock" and "hobt_id" in x for x in held)
+
+
+def test_widths_without_keys_make_no_join(spark):
+    df = spark.createDataFrame([(1, 5), (2, 1234), (3, None)], "id int, n bigint")
+    out = report.with_widths(df, [], {"_w": F.length(F.col("n").cast("string"))})
+    assert out.columns == ["id", "n", "_w"] and [r["_w"] for r in out.collect()] == [4, 4, 4]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert report.with_widths(df.limit(0), [], {"_w": F.length("n")}).count() == 0
