@@ -10,10 +10,12 @@ each distinct chunk of a language with its number of occurrences; phrases are
 counted inside the distinct chunks only, weighted by that number, and a phrase
 that begins in the overlap is left to the chunk that begins there.
 
-Words and pairs are counted first. A longer phrase can occur ``least`` times
-only if all its pairs do, so a Bloom filter of the frequent pairs (of bounded
-size; what it lets through wrongly is counted and dropped like all else) says
-which longer phrases of a chunk are worth counting.
+Words and pairs are counted first, by 64-bit hashes: equal phrases have equal
+hashes, so a hash has ``least`` occurrences if one of its phrases has. A longer
+phrase can occur ``least`` times only if all its pairs do. A Bloom filter of
+the frequent hashes (of bounded size; what it lets through wrongly is counted
+and dropped like all else) says which words, pairs and longer phrases of a
+chunk are worth counting as texts, and only these counts are used.
 
 A candidate is a phrase of 2 to ``most`` words with ``least`` occurrences. Its
 score is the least, over its cuts in two, of floor(scale * a / (l + r)) in
@@ -45,8 +47,9 @@ SCALE = 2_000_000
 COVERED = 80         # percent of a phrase's occurrences that a longer one may account for
 TRIGGER = 16         # one word in so many ends a chunk
 LONGEST = 64         # words of a chunk, without its overlap
-FILTER_BITS = (1 << 16, 1 << 27)   # the least and the largest filter of pairs
+FILTER_BITS = (1 << 16, 1 << 27)   # the least and the largest filter of words and pairs
 BATCH_BYTES = 1_000_000
+HELD_HASHES = 1 << 21   # hashes that a task holds before it adds them up, at least
 
 # Byte kinds: 0 a word's, 1 a blank, 2 the end of a piece, 3 the start of a chunk's overlap.
 _BLANK, _END, _OVERLAP = 1, 2, 3
@@ -152,29 +155,38 @@ def chunks(texts: pa.Array, overlap: int = MOST - 1, trigger: int = TRIGGER,
     return words.row[start], _strings(out, begin[head])
 
 
+def _own(words: Spans) -> np.ndarray:
+    """For each word of a batch of chunks: whether it stands before its chunk's overlap."""
+    since = np.cumsum(words.sign == _OVERLAP)
+    return since <= np.concatenate([[0], since])[words.first[:-1]][words.row]
+
+
 def phrases(chunk: pa.Array, sizes: range, passes: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
             ) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(row, phrase) of every phrase that begins in a chunk before its overlap, by number of words.
 
-    ``passes(row, pair hash)`` says of each adjacent pair whether phrases may hold it.
+    ``passes(row, hash)`` says of each word whether it may be a phrase, and of
+    each adjacent pair whether phrases may hold it.
     """
     data, offsets = utf8(chunk)
     words = Spans(data, offsets, _CHUNK_KIND)
     m = len(words.start)
-    overlap = np.zeros(m, bool)
+    own = np.zeros(m, bool)
     if m:
-        since = np.cumsum(words.sign == _OVERLAP)
-        overlap = since > np.concatenate([[0], since])[words.first[:-1]][words.row]
+        own = _own(words)
         left = words.left_in_piece()
         data = np.where((data == ord("\v")) | (data == ord("\n")), np.uint8(32), data)
         pair = np.zeros(m, bool)
         if passes is not None:
-            pair[:-1] = passes(words.row[:-1], pair_hash(words.hash[:-1], words.hash[1:]))
+            inside = np.flatnonzero(left > 0)
+            pair[inside] = passes(words.row[inside], pair_hash(words.hash[inside], words.hash[inside + 1]))
     for n in sizes:
-        ok = ~overlap
+        ok = own.copy()
         if m:
             ok &= left >= n - 1
-            if passes is not None:
+            if passes is not None and n == 1:
+                ok &= passes(words.row, words.hash)
+            elif passes is not None:
                 for j in range(n - 1):
                     ok[:m - j] &= pair[j:]
         at = np.flatnonzero(ok)
@@ -183,6 +195,17 @@ def phrases(chunk: pa.Array, sizes: range, passes: Callable[[np.ndarray, np.ndar
         yield words.row[at], _strings(out, begin)
 
 
+def short_hashes(chunk: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the words and pairs that begin in a chunk before its overlap."""
+    words = Spans(*utf8(chunk), _CHUNK_KIND)
+    if not len(words.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    own = _own(words)
+    at = np.flatnonzero(own & (words.left_in_piece() > 0))
+    return (np.concatenate([words.row[own], words.row[at]]),
+            np.concatenate([words.hash[own], pair_hash(words.hash[at], words.hash[at + 1])]))
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
@@ -197,11 +220,10 @@ def _lang_hash(langs: pa.Array) -> np.ndarray:
     return mix64(value + sizes.astype(np.uint64))
 
 
-def filter_places(lang: np.ndarray, pair: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The places of a pair in the filter, bits a power of two."""
-    h = mix64(pair ^ lang)
+def filter_places(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of a hash in the filter, bits a power of two."""
     mask = np.uint64(bits - 1)
-    return [(h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)]
+    return [(key & mask).astype(np.int64), (key >> np.uint64(32) & mask).astype(np.int64)]
 
 
 def segments(text: pa.Array, most: int) -> Iterator[pa.Array]:
@@ -237,20 +259,44 @@ def parse(docs: DataFrame, overlap: int = MOST - 1) -> DataFrame:
             .groupBy("lang", "chunk").agg(F.count(F.lit(1)).alias("n")))
 
 
-def count_phrases(dictionary: DataFrame, sizes: range, least: int, pairs: np.ndarray | None = None) -> DataFrame:
-    """(lang, words, phrase, f) of the phrases with ``least`` occurrences; ``pairs``: a filter of frequent pairs."""
-    bits = 0 if pairs is None else len(pairs) * 8
+def _added_up(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    got = pa.table({"key": key.view(np.int64), "n": n}).group_by("key", use_threads=False).aggregate([("n", "sum")])
+    return pa.RecordBatch.from_arrays([got.column("key").combine_chunks(), got.column("n_sum").combine_chunks()],
+                                      names=["key", "n"])
+
+
+def frequent_hashes(dictionary: DataFrame, least: int) -> DataFrame:
+    """(key): the hashes of words and pairs of a language with ``least`` occurrences."""
+    def run(batches):
+        keys, counts, held = [], [], 0
+        for part in slices(batches, "chunk", BATCH_BYTES):
+            row, value = short_hashes(part.column(1))
+            keys.append(mix64(value ^ _lang_hash(part.column(0))[row]))
+            counts.append(part.column(2).to_numpy(zero_copy_only=False)[row])
+            held += len(row)
+            if held >= HELD_HASHES:
+                yield _added_up(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, held = [], [], 0
+        if held:
+            yield _added_up(np.concatenate(keys), np.concatenate(counts))
+        pa.default_memory_pool().release_unused()
+
+    return (dictionary.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= least).select("key"))
+
+
+def count_phrases(dictionary: DataFrame, sizes: range, least: int, frequent: np.ndarray) -> DataFrame:
+    """(lang, words, phrase, f) of the phrases with ``least`` occurrences; ``frequent``: a filter of words and pairs."""
+    bits = len(frequent) * 8
 
     def run(batches):
         for part in slices(batches, "chunk", BATCH_BYTES):
             langs, weight = part.column(0), part.column(2)
-            passes = None
-            if pairs is not None:
-                own = _lang_hash(langs)
+            own = _lang_hash(langs)
 
-                def passes(row, pair):
-                    return np.logical_and.reduce([pairs[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0
-                                                  for p in filter_places(own[row], pair, bits)])
+            def passes(row, value):
+                return np.logical_and.reduce([frequent[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0
+                                              for p in filter_places(mix64(value ^ own[row]), bits)])
             code = langs.dictionary_encode()
             for n, (row, phrase) in zip(sizes, phrases(part.column(1), sizes, passes)):
                 row = pa.array(row)
@@ -274,23 +320,19 @@ def word_totals(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy("lang").agg(F.sum(words * F.col("n")).alias("n"))
 
 
-def pair_filter(pairs: DataFrame) -> np.ndarray:
-    """A Bloom filter of (lang, phrase) of two words each, at most ``FILTER_BITS[1]`` bits, as bytes."""
+def hash_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of hashes (key), at most ``FILTER_BITS[1]`` bits, as bytes."""
     bits = FILTER_BITS[0]
-    while bits < min(16 * pairs.count(), FILTER_BITS[1]):
+    while bits < min(16 * keys.count(), FILTER_BITS[1]):
         bits *= 2
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            words = Spans(data, offsets, _KIND * (_KIND == _BLANK))   # only blanks part words here
-            first = words.first[:-1]
-            pair = pair_hash(words.hash[first], words.hash[first + 1])
-            place = np.concatenate(filter_places(_lang_hash(batch.column(0)), pair, bits))
+            place = np.concatenate(filter_places(batch.column(0).to_numpy().view(np.uint64), bits))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(place >> 5), pa.array(np.int64(1) << (place & 31))], names=["at", "bit"])
 
-    got = (pairs.select("lang", "phrase").mapInArrow(run, "at long, bit long")
+    got = (keys.mapInArrow(run, "at long, bit long")
            .groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas())
     out = np.zeros(bits // 32, np.uint32)
     out[got["at"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64).astype(np.uint32)
@@ -336,10 +378,9 @@ def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, top: int
                  covered: int = COVERED) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` collocations."""
     dictionary = cut(parse(docs, most - 1))
-    short = cut(count_phrases(dictionary, range(1, 3), least))
     totals = cut(word_totals(dictionary))
-    long_ = cut(count_phrases(dictionary, range(3, most + 1), least, pair_filter(short.where("words = 2"))))
-    counts = short.unionByName(long_)
+    keys = cut(frequent_hashes(dictionary, least))
+    counts = cut(count_phrases(dictionary, range(1, most + 1), least, hash_filter(keys)))
     held = largest_holders(counts).select(F.col("lang").alias("lang_"), F.col("phrase").alias("phrase_"), "holder")
     left = (scored(counts, scale)
             .join(held, (F.col("lang") == F.col("lang_")) & (F.col("phrase") == F.col("phrase_")), "left")
@@ -349,6 +390,6 @@ def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, top: int
     best = (left.drop("lang_").withColumn("rank", F.row_number().over(order).cast("long"))
             .where(F.col("rank") <= top))
     out = cut(best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
-    for table in (dictionary, short, totals, long_):
+    for table in (dictionary, totals, keys, counts):
         drop_cut(table)
     return out

@@ -111,3 +111,31 @@ def test_segments_keep_the_whole_text():
     parts = [p.to_pylist()[0] for p in phrases.segments(pa.array([text]), 64)]
     assert "".join(parts) == text and len(parts) > 10
     assert all(p[-1] in ".\n" for p in parts[:-1])
+
+
+def test_only_frequent_words_and_pairs_become_texts(spark):
+    rows = corpus(150, 11, [f"v{i}" for i in range(60)])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    dictionary = phrases.parse(docs).cache()
+    counts = Counter()
+    for r in dictionary.collect():
+        for row, found in phrases.phrases(pa.array([r["chunk"]]), range(1, 3)):
+            counts.update({(r["lang"], p): n * r["n"] for p, n in Counter(found.to_pylist()).items()})
+    frequent = {p for p, n in counts.items() if n >= 30}
+    assert 60 < len(frequent) < len(counts) / 2
+    keys = phrases.frequent_hashes(dictionary, 30)
+    assert keys.count() == len(frequent)
+    bits = phrases.hash_filter(keys)
+    for r in dictionary.collect():
+        chunk, lang = pa.array([r["chunk"]]), phrases._lang_hash(pa.array([r["lang"]]))
+
+        def passes(row, value):
+            places = phrases.filter_places(phrases.mix64(value ^ lang[row]), len(bits) * 8)
+            return (bits[places[0] >> 3] >> (places[0] & 7) & 1 > 0) & (bits[places[1] >> 3] >> (places[1] & 7) & 1 > 0)
+        for (_, every), (_, found) in zip(phrases.phrases(chunk, range(1, 3)), phrases.phrases(chunk, range(1, 3), passes)):
+            wanted = [p for p in every.to_pylist() if (r["lang"], p) in frequent]
+            assert [p for p in found.to_pylist() if (r["lang"], p) in frequent] == wanted
+            assert len(found) <= len(wanted) + 2   # a few more may pass the filter
+    assert {(r["lang"], r["phrase"]): r["f"] for r in phrases.count_phrases(dictionary, range(1, 3), 30, bits).collect()} == {
+        p: counts[p] for p in frequent}
+    dictionary.unpersist()
