@@ -9,7 +9,13 @@ two pi less the sum), so the cosine lies in an interval, and times both norms
 the score lies between two bounds. The bounds are widened by more than the
 rounding of angles, cosines and norms, so they are safe.
 
-1. Positives: an anchor's rows of its own label are taken by falling upper
+The rows of a tile are sorted by label, nearest references and angle, and cut
+into cells of a few rows of one label, near one another. A cell has the range
+of its rows' norms and angles, so bounds are made for a cell, not for each row,
+and the cells that bounds leave are scored for all anchors that need them at
+once, as a matrix product.
+
+1. Positives: an anchor's cells of its own label are taken by falling upper
    bound and scored in integers, until the k-th best score is above all upper
    bounds that are left.
 2. Each positive sets a window of scores. Of the rows of other labels those
@@ -46,7 +52,10 @@ NEGATIVES = 3
 LOW_PERCENT, HIGH_PERCENT = 50, 95   # a window: these shares of the positive's score
 REFERENCES = 16                      # directions for each length of vectors
 FIT_ROWS = 4096                      # vectors that the directions are fitted on, at most
-FIRST_STEP = 256                     # rows scored before the bounds are looked at again
+CELL = 32                            # rows of a cell, at most
+FIRST_STEP = 64                      # rows scored before the bounds are looked at again
+BLOCK = 1 << 20                      # bounds (anchors with cells) made at once, about
+HELD = 1 << 20                       # scores held before the best are picked, about
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -76,19 +85,27 @@ def stored_angles(v: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np
     return top * size, np.arccos(np.clip(cosine, -1, 1))
 
 
-def score_bounds(norm: float, angles: np.ndarray, norms: np.ndarray, others: np.ndarray,
-                 dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the scores of one vector with others, from norms and stored angles."""
-    least, most = np.zeros(len(norms)), np.full(len(norms), np.pi)
-    if len(angles):
-        least = np.abs(others - angles).max(1)
-        total = others + angles
-        most = np.minimum(total, 2 * np.pi - total).min(1)
+def score_bounds(norm, angles: np.ndarray, norms: np.ndarray, others: np.ndarray, dim: int,
+                 norms_to: np.ndarray | None = None, others_to: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the scores of one vector (or of each of some) with others, from norms and stored angles.
+
+    With ``norms_to`` and ``others_to``: of all others whose norms and angles lie between.
+    """
+    norms_to = norms if norms_to is None else norms_to
+    others_to = others if others_to is None else others_to
+    norm = np.asarray(norm)[..., None]
+    least = np.zeros(np.broadcast_shapes(norm.shape, norms.shape))
+    most = np.full(least.shape, np.pi)
+    for j in range(others.shape[1]):
+        own = angles[..., j, None]
+        least = np.maximum(least, np.maximum(others[:, j] - own, own - others_to[:, j]))
+        most = np.minimum(most, np.minimum(own + others_to[:, j], 2 * np.pi - own - others[:, j]))
     slack = 4 * np.sqrt((dim + 8) * 2.3e-16)   # an angle near 0 or pi is that far off at most
-    size = norm * norms
-    room = size * ((dim + 8) * 1e-15) + 1
-    return (size * np.cos(np.minimum(most + slack, np.pi)) - room,
-            size * np.cos(np.maximum(least - slack, 0)) + room)
+    low, high = np.cos(np.minimum(most + slack, np.pi)), np.cos(np.maximum(least - slack, 0))
+    with np.errstate(invalid="ignore", over="ignore"):
+        room = norm * norms_to * ((dim + 8) * 1e-15) + 1
+        return (norm * np.where(low < 0, norms_to, norms) * low - room,
+                norm * np.where(high < 0, norms, norms_to) * high + room)
 
 
 def integer_scores(q: np.ndarray, rows: np.ndarray) -> list[int] | np.ndarray:
@@ -99,51 +116,120 @@ def integer_scores(q: np.ndarray, rows: np.ndarray) -> list[int] | np.ndarray:
     return np.array([min(max(sum(a * int(b) for a, b in zip(own, r)), _LOW), _HIGH) for r in rows], np.int64)
 
 
-def _falling(q: np.ndarray, rows: np.ndarray, at: np.ndarray, upper: np.ndarray):
-    """Score ``rows[at]`` by falling upper bound; yields (positions, scores, bound of what is left)."""
-    at = at[np.argsort(-upper[at], kind="stable")]
-    start, step = 0, FIRST_STEP
-    while start < len(at):
-        part = at[start:start + step]
-        start, step = start + step, step * 2
-        yield part, integer_scores(q, rows[part]), upper[at[start]] if start < len(at) else -np.inf
-
-
 class _Best:
-    """The n best of what it is given, ties to the smaller id."""
-
-    def __init__(self, n: int):
-        self.n, self.scores, self.ids = n, np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        keep = np.lexsort((ids, ~scores))[:self.n]   # ~s falls as s rises, also at the ends of the range
-        self.scores, self.ids = scores[keep], ids[keep]
-
-    def settled(self, left: float) -> bool:
-        return len(self.scores) == self.n and self.scores[-1] > left
-
-
-def _pairs(anchors: pa.Table, rows: pa.Table):
-    """For each anchor: its row number, and the candidates of its length with bounds."""
-    a_id, a_label = (anchors.column(c).to_numpy() for c in ("id", "label"))
-    r_id, r_label = (rows.column(c).to_numpy() for c in ("id", "label"))
-    have, angles = matrices(rows), {}
-    if len(rows):
-        flat, sizes = rows.column("angles").combine_chunks(), rows.column("norm").to_numpy()
-        for dim, (at, _) in have.items():
-            here = flat.take(pa.array(at))
-            angles[dim] = sizes[at], here.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
-    own_angles, own_norm = anchors.column("angles").to_pylist(), anchors.column("norm").to_numpy()
-    for dim, (a_at, q) in matrices(anchors).items():
+    """The n best scores of each of some groups, ties to the smaller id."""
+
+    def __init__(self, groups: int, n: int):
+        self.n, self.parts, self.held = n, [], 0
+        self.group = self.scores = self.ids = np.zeros(0, np.int64)
+        self.last = np.full(groups, _LOW)   # the n-th score of a group that has so many
+
+    def add(self, group: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((group, scores.astype(np.int64), ids))
+        self.held += len(group)
+        if self.held > HELD:
+            self.pick()
+
+    def pick(self) -> None:
+        if not self.parts:
+            return
+        group, scores, ids = (np.concatenate(x) for x in zip((self.group, self.scores, self.ids), *self.parts))
+        order = np.lexsort((ids, ~scores, group))   # ~s falls as s rises, also at the ends of the range
+        group = group[order]
+        place = np.arange(len(group)) - np.searchsorted(group, group)
+        order, group, place = order[place < self.n], group[place < self.n], place[place < self.n]
+        self.group, self.scores, self.ids = group, scores[order], ids[order]
+        ends = place == self.n - 1
+        self.last[group[ends]] = self.scores[ends]
+        self.parts, self.held = [], 0
+
+
+def _cells(label: np.ndarray, angles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows, where each cell begins): rows of one label, near the same references."""
+    near = second = closest = np.zeros(len(label))
+    if angles.shape[1]:
+        near, closest = angles.argmin(1), angles.min(1)
+        rest = angles.copy()
+        rest[np.arange(len(rest)), near] = np.inf
+        second = rest.argmin(1)
+    order = np.lexsort((closest, second, near, label))
+    label = label[order]
+    place = np.arange(len(label)) - np.searchsorted(label, label)
+    return order, np.flatnonzero(place % CELL == 0)
+
+
+class _Block:
+    """Anchors and rows of one length: rows in cells, bounds of each anchor's scores in each cell."""
+
+    def __init__(self, at, q, a_id, a_label, bounds, v, ids, starts, label):
+        self.at, self.q, self.a_id, self.v, self.ids = at, q, a_id, v, ids
+        self.starts, self.ends = starts, np.append(starts[1:], len(v))
+        # scores are held in 64 bits, so are their bounds; an undefined bound meets every window
+        self.lower, self.upper = (np.clip(np.where(np.isnan(b), end, b), _LOW, _HIGH)
+                                  for b, end in zip(bounds, (-np.inf, np.inf)))
+        self.alike = a_label[:, None] == label
+        self.exact = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(q.shape[1], 1) < 2.0 ** 53
+
+    def scores(self, who: np.ndarray, rows: slice) -> np.ndarray:
+        if self.exact:
+            return self.q[who] @ self.v[rows].T   # whole doubles
+        return np.stack([integer_scores(q, self.v[rows]) for q in self.q[who]])
+
+    def best(self, alike: bool, low: np.ndarray, high: np.ndarray, n: int) -> _Best:
+        """For each anchor and window (a column of ``low`` and ``high``): its n best rows
+        of the anchor's own label (but its own id) or of other labels."""
+        anchors, windows = low.shape
+        best = _Best(low.size, n)
+        allowed = self.alike == alike
+        place = np.argsort(np.argsort(np.where(allowed, -self.upper, np.inf), 1, kind="stable"), 1, kind="stable")
+        start, step, cells = 0, max(1, FIRST_STEP // CELL), int(allowed.sum(1).max(initial=0))
+        while start < cells:
+            least = np.maximum(low, best.last.reshape(low.shape))
+            meets = np.zeros(allowed.shape, bool)
+            for p in range(windows):
+                meets |= (self.lower <= high[:, p, None]) & (self.upper >= least[:, p, None]) & (low <= high)[:, p, None]
+            meets &= allowed
+            if not (meets & (place >= start)).any():
+                break
+            meets &= (place >= start) & (place < start + step)
+            start, step = start + step, step * 2
+            bottom, top = least.min(1), high.max(1)   # of all windows: first a wide sieve
+            for c in np.flatnonzero(meets.any(0)):
+                who, rows = np.flatnonzero(meets[:, c]), slice(self.starts[c], self.ends[c])
+                s, ids = self.scores(who, rows), self.ids[rows]
+                a, r = np.nonzero((s >= bottom[who, None].astype(s.dtype)) & (s <= top[who, None].astype(s.dtype)))
+                s, a, ids = s[a, r], who[a], ids[r]
+                if alike:
+                    other = ids != self.a_id[a]
+                    s, a, ids = s[other], a[other], ids[other]
+                for p in range(windows):
+                    inside = (s >= least[a, p].astype(s.dtype)) & (s <= high[a, p].astype(s.dtype))
+                    best.add(a[inside] * windows + p, s[inside], ids[inside])
+            best.pick()
+        best.pick()
+        return best
+
+
+def _blocks(anchors: pa.Table, rows: pa.Table):
+    """The blocks of a pair of tiles."""
+    a_id, a_label, a_norm = (anchors.column(c).to_numpy() for c in ("id", "label", "norm"))
+    r_id, r_label, r_norm = (rows.column(c).to_numpy() for c in ("id", "label", "norm"))
+    of = lambda table, at: (table.column("angles").combine_chunks().take(pa.array(at)).flatten()
+                            .to_numpy(zero_copy_only=False).reshape(len(at), -1))
+    have = matrices(rows) if len(rows) else {}
+    for dim, (a_at, q) in matrices(anchors).items() if len(anchors) else ():
         if dim not in have:
             continue
         at, v = have[dim]
-        norms, stored = angles[dim]
-        for i, row in enumerate(a_at):
-            lower, upper = score_bounds(own_norm[row], np.array(own_angles[row]), norms, stored, dim)
-            yield (int(row), q[i], v, r_id[at], lower, upper, r_label[at] == a_label[row],
-                   r_id[at] != a_id[row])
+        order, starts = _cells(r_label[at], of(rows, at))
+        at, v = at[order], v[order]
+        norms, stored, own = r_norm[at], of(rows, at), of(anchors, a_at)
+        ranges = [f.reduceat(x, starts) for f in (np.minimum, np.maximum) for x in (norms, stored)]
+        size = max(1, BLOCK // len(starts))
+        for i in range(0, len(a_at), size):
+            part = a_at[i:i + size]
+            bounds = score_bounds(a_norm[part], own[i:i + size], *ranges[:2], dim, *ranges[2:])
+            yield _Block(part, q[i:i + size], a_id[part], a_label[part], bounds, v, r_id[at], starts, r_label[at][starts])
 
 
 def _long(columns: dict[str, list]) -> pa.Table:
@@ -153,14 +239,10 @@ def _long(columns: dict[str, list]) -> pa.Table:
 def near_rows(anchors: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     """Of a pair of tiles: each anchor's k best rows of its own label."""
     out: dict[str, list] = {"anchor_id": [], "positive_id": [], "positive_score": []}
-    ids = anchors.column("id").to_numpy()
-    for row, q, v, own, _, upper, alike, other in _pairs(anchors, rows):
-        best = _Best(k)
-        for part, scores, left in _falling(q, v, np.flatnonzero(alike & other), upper):
-            best.add(scores, own[part])
-            if best.settled(left):
-                break
-        out["anchor_id"] += [int(ids[row])] * len(best.ids)
+    for block in _blocks(anchors, rows):
+        every = np.full((len(block.at), 1), _LOW)
+        best = block.best(True, every, np.full_like(every, _HIGH), k)
+        out["anchor_id"] += block.a_id[best.group].tolist()
         out["positive_id"] += best.ids.tolist()
         out["positive_score"] += best.scores.tolist()
     return _long(out)
@@ -169,28 +251,22 @@ def near_rows(anchors: pa.Table, rows: pa.Table, k: int) -> pa.Table:
 def window_rows(anchors: pa.Table, rows: pa.Table, n: int, low: int, high: int) -> pa.Table:
     """Of a pair of tiles: each window's n best rows of other labels."""
     out: dict[str, list] = {"anchor_id": [], "place": [], "negative_id": [], "negative_score": []}
-    ids, windows = anchors.column("id").to_numpy(), anchors.column("positives").to_pylist()
-    for row, q, v, own, lower, upper, alike, _ in _pairs(anchors, rows):
-        # low * p <= 100 * s <= high * p in whole numbers
-        spans = [(w["place"], -(-low * w["positive_score"] // 100), high * w["positive_score"] // 100)
-                 for w in windows[row]]
-        open_, best = {p: (a, b) for p, a, b in spans if a <= b}, {p: _Best(n) for p, *_ in spans}
-        meets = np.zeros(len(own), bool)
-        for a, b in open_.values():
-            meets |= ~((lower > b) | (upper < a))   # an undefined bound meets every window
-        for part, scores, left in _falling(q, v, np.flatnonzero(meets & ~alike), upper):
-            for p, (a, b) in list(open_.items()):
-                inside = (scores >= a) & (scores <= b)
-                best[p].add(scores[inside], own[part[inside]])
-                if best[p].settled(left) or left < a:
-                    del open_[p]
-            if not open_:
-                break
-        for p, got in best.items():
-            out["anchor_id"] += [int(ids[row])] * len(got.ids)
-            out["place"] += [p] * len(got.ids)
-            out["negative_id"] += got.ids.tolist()
-            out["negative_score"] += got.scores.tolist()
+    for block in _blocks(anchors, rows):
+        windows = anchors.column("positives").take(pa.array(block.at)).to_pylist()
+        shape = len(windows), max(map(len, windows))
+        place, first, last = np.zeros(shape, np.int64), np.full(shape, _HIGH), np.full(shape, _LOW)
+        for i, own in enumerate(windows):
+            for j, w in enumerate(own):
+                # low * p <= 100 * s <= high * p in whole numbers
+                a, b = -(-low * w["positive_score"] // 100), high * w["positive_score"] // 100
+                place[i, j] = w["place"]
+                if a <= _HIGH and b >= _LOW:
+                    first[i, j], last[i, j] = max(a, _LOW), min(b, _HIGH)
+        best = block.best(False, first, last, n)
+        out["anchor_id"] += block.a_id[best.group // shape[1]].tolist()
+        out["place"] += place.ravel()[best.group].tolist()
+        out["negative_id"] += best.ids.tolist()
+        out["negative_score"] += best.scores.tolist()
     return _long(out)
 
 

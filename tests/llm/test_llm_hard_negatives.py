@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,58 @@ def test_bounds_hold_and_leave_rows_unscored(monkeypatch):
         exact = x @ x[i]
         assert (lower <= exact).all() and (exact <= upper).all()
         assert (upper < 0.5 * exact.max()).mean() > 0.3   # the filter filters
+
+
+def tile(rows, references):
+    x = hard.floored(np.array([r[1] for r in rows]))
+    norm, angles = hard.stored_angles(x, references)
+    numbers = pa.list_(pa.float64())
+    return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "label": pa.array([r[2] for r in rows], pa.int64()),
+                     "v": pa.array(list(x), numbers), "norm": norm, "angles": pa.array(list(angles), numbers)})
+
+
+@pytest.mark.parametrize("cell,held,block", [(32, 1 << 20, 1 << 20), (1, 1 << 20, 1 << 20), (8, 10, 500)])
+def test_tiles_bound_cells_not_rows(monkeypatch, cell, held, block):
+    for name, value in (("CELL", cell), ("HELD", held), ("BLOCK", block)):
+        monkeypatch.setattr(hard, name, value)
+    made, bounds = [], hard.score_bounds
+
+    def counted(*a, **k):
+        made.append(bounds(*a, **k))
+        return made[-1]
+    monkeypatch.setattr(hard, "score_bounds", counted)
+    rows = vectors(600, 6, 4, 11, 2.0)
+    rows += [(600 + i, *rows[i][1:]) for i in range(0, 600, 9)]   # copies: ties
+    references = hard.reference_directions(hard.floored(np.array([r[1] for r in rows])))
+    every, anchors = tile(rows, references), tile([r for r in rows if r[0] % 10 == 0], references)
+    near = hard.near_rows(anchors, every, 5).to_pylist()
+    best = {}
+    for r in near:
+        best.setdefault(r["anchor_id"], []).append(r)
+    places = [[{"place": n + 1, "positive_score": r["positive_score"]} for n, r in enumerate(
+        sorted(best[a], key=lambda r: (-r["positive_score"], r["positive_id"])))] for a in anchors["id"].to_pylist()]
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("positive_score", pa.int64())]))
+    found = hard.window_rows(anchors.append_column("positives", pa.array(places, kind)), every, 3, 50, 95).to_pylist()
+    of = {(r["anchor_id"], n + 1): r for rs in best.values()
+          for n, r in enumerate(sorted(rs, key=lambda r: (-r["positive_score"], r["positive_id"])))}
+    got = sorted((r["anchor_id"], of[r["anchor_id"], r["place"]]["positive_id"], r["negative_id"],
+                  of[r["anchor_id"], r["place"]]["positive_score"], r["negative_score"]) for r in found)
+    assert got == sorted((a, p, n, s, t) for a, p, _, n, s, t in brute(rows, 10))
+    cells = sum(-(-sum(r[2] == label for r in rows) // cell) for label in range(4))
+    assert sum(lower.size for lower, _ in made) == 2 * len(anchors) * cells   # not anchors times rows
+    assert len(made) == 2 * -(-len(anchors) // max(1, block // cells))        # nor one call for each anchor
+
+
+def test_bounds_of_cells_hold():
+    rng = np.random.default_rng(1)
+    x = hard.floored(np.repeat(rng.normal(0, 1, (6, 12)), 60, 0) + rng.normal(0, 0.1, (360, 12)))
+    x[5] = 0
+    norm, angles = hard.stored_angles(x, hard.reference_directions(x))
+    order, starts = hard._cells(np.arange(360) % 3, angles)
+    cell = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, 360)))
+    low, high = (f.reduceat(norm[order], starts) for f in (np.minimum, np.maximum))
+    low_angles, high_angles = (f.reduceat(angles[order], starts) for f in (np.minimum, np.maximum))
+    lower, upper = hard.score_bounds(norm, angles, low, low_angles, 12, high, high_angles)
+    exact = x @ x[order].T
+    assert (lower[:, cell] <= exact).all() and (exact <= upper[:, cell]).all()
+    assert (upper < 0.5 * exact.max(1)[:, None]).mean() > 0.3   # cells are left out
